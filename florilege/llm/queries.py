@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from florilege.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from florilege.llm.quality import classify_documents
 
@@ -49,6 +55,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_neardup": op1_embedding_neardup,
     "op2_quality": op2_quality,
     "op5_rules": op5_rules,
     "op6_packing": op6_packing,
@@ -56,4 +63,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP1_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x != 0)) > 0
+), links as (
+  select a.vec_id as u, b.vec_id as v from v a join v b on a.vec_id != b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(u, v) as (
+  select u, v from links union select r.u, l.v from reach r join links l on r.v = l.u
+), n as (select u, count(*) as n_links from links group by u), c as (select u, min(v) as least from reach group by u)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, coalesce(least, vec_id)) as component_id,
+  vec_id = least(vec_id, coalesce(least, vec_id)) as kept
+from embeddings left join n on n.u = vec_id left join c on c.u = vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_neardup": _OP1_SQL,
+}
