@@ -26,6 +26,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from florilege.llm.sharding import shard_documents
+
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from florilege.llm.rules import judge_documents
 
@@ -48,6 +54,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from florilege.llm.storage import fresh_path
+    from florilege.llm.warc import assemble, read_archives, with_revisits, write_archives
+
+    path = fresh_path(spark, "warc")
+    write_archives(with_revisits(_table(spark, sf_dir, "pages")), path)
+    captures = assemble(read_archives(spark, path, payloads=False))
+    return captures.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to", F.size("metadata").alias("n_metadata"), F.col("request").isNotNull().alias("has_request"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from florilege.llm.jaccard import near_duplicates
 
@@ -57,9 +73,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_quality": op2_quality,
+    "op4_sharding": op4_sharding,
     "op5_rules": op5_rules,
     "op6_packing": op6_packing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_warc": op8_warc,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
@@ -77,6 +95,32 @@ select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, coalesce(l
 from embeddings left join n on n.u = vec_id left join c on c.u = vec_id
 """
 
+_OP4_SQL = """
+with d as (
+  select doc_id, strlen(coalesce(text, ''))::bigint as n_bytes, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from documents
+), p as (
+  select doc_id, n_bytes, k::integer as k, h >> (32 - k)::integer as prefix from d, range(0, 33) as r(k)
+), b as (
+  select k, prefix, sum(n_bytes)::bigint as shard_bytes, count(*) as shard_docs from p group by k, prefix
+), s as (
+  select doc_id, min(k) as depth from p join b using (k, prefix) where shard_bytes <= 8388608 group by doc_id
+)
+select p.doc_id, p.n_bytes, s.depth, lpad(case when s.depth = 0 then '' else bin(p.prefix) end, s.depth, '0') as shard, b.shard_bytes, b.shard_docs
+from p join s on p.doc_id = s.doc_id and p.k = s.depth join b on b.k = p.k and b.prefix = p.prefix
+"""
+
+_OP8_SQL = """
+with p as (
+  select page_id, sha256(coalesce(html, '')) as payload_digest, strlen(coalesce(html, ''))::bigint as payload_bytes from pages
+), m as (select payload_digest, min(page_id) as first_page from p group by payload_digest)
+select page_id, payload_bytes, p.payload_digest,
+  case when payload_bytes >= 100 and page_id != first_page then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id != first_page then first_page end as refers_to, 1::integer as n_metadata, true as has_request
+from p join m using (payload_digest)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_neardup": _OP1_SQL,
+    "op4_sharding": _OP4_SQL,
+    "op8_warc": _OP8_SQL,
 }
