@@ -64,6 +64,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to", F.size("metadata").alias("n_metadata"), F.col("request").isNotNull().alias("has_request"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from florilege.llm.lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from florilege.llm.jaccard import near_duplicates
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_warc": op8_warc,
+    "op9_lm_score": op9_lm_score,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
