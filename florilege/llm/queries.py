@@ -26,6 +26,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from florilege.llm.pii import find_in_documents
+
+    return find_in_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from florilege.llm.sharding import shard_documents
 
@@ -79,6 +85,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_quality": op2_quality,
+    "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
     "op5_rules": op5_rules,
     "op6_packing": op6_packing,
