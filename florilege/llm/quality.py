@@ -146,9 +146,13 @@ def classify_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(rows, fit(rows, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` predicted to be of quality 1, with all their columns; texts are measured twice, never shuffled."""
-    model = fit(materialize(with_features(docs, ["doc_id"]), "features"), labels)
+def filter_documents(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` predicted to be of quality 1, with all their columns; texts are never shuffled.
+
+    The classes are learned from the documents of ``labelled``, which should be the corpus before any other filter: what an
+    earlier stage has removed is what the model needs examples of.
+    """
+    model = fit(materialize(with_features(labelled, ["doc_id"]), "features"), labels)
     columns = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*columns).withColumn("text", F.col(columns[docs.columns.index("text")]))
     return scored(with_features(rows, columns), model).where("predicted = 1").select(*columns).toDF(*docs.columns)
