@@ -16,8 +16,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted to be of quality 1; learned from the labels of those that came here."""
-    return quality.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents predicted to be of quality 1; learned from all labelled documents of the corpus."""
+    corpus, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    return quality.filter_documents(docs, corpus, labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
