@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,10 +81,14 @@ def pack_lengths(lengths: list[int], window: int = WINDOW) -> list[tuple[int, in
     return out
 
 
+_MARKS = ",.;:!?"
+
+
 class ChunkTokenizer:
     """Token ids as little-endian 32-bit bytes, joined from those of the chunks between spaces and newlines.
 
-    Right for tokenizers whose pre-tokens never hold white space and whose normalizer leaves each side of a space alone.
+    Right for lower-casing tokenizers whose pre-tokens are runs of letters or of marks, without white space, and whose
+    normalizer leaves each side of a space alone.
     """
 
     def __init__(self, path: str):
@@ -93,6 +98,13 @@ class ChunkTokenizer:
         self._known = _Chunks(self._ids)
 
     def _ids(self, chunk: str) -> bytes:
+        """Ids of a chunk; trailing marks are pre-tokens of their own, and case makes no difference to ASCII."""
+        if "<" not in chunk:  # no special token's string
+            core = chunk.rstrip(_MARKS)
+            if core and core != chunk and core[-1].isalnum():
+                return self._known[core] + self._known[chunk[len(core) :]]
+            if chunk.isascii() and (low := chunk.lower()) != chunk:
+                return self._known[low]
         return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -114,6 +126,12 @@ class _Chunks(dict):
         return ids
 
 
+@lru_cache(1)
+def _tokenizer(path: str) -> ChunkTokenizer:
+    """One for all tasks of a worker, so that later tasks find most chunks known."""
+    return ChunkTokenizer(path)
+
+
 def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of every row of ``docs(doc_id, text)``: ``doc_id, start, length, ids_crc32, doc_tokens``.
 
@@ -123,7 +141,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, en
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ChunkTokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for doc_id, text in zip(ids, batch.column(1), strict=True):
