@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -108,6 +109,12 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+@lru_cache(1)
+def _encoder(rank_path: str, pattern: str) -> Encoder:
+    """One for all tasks of a worker, so that later tasks find most pieces known."""
+    return Encoder(load_ranks(rank_path), pattern)
+
+
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """``doc_id, ids`` for every row of ``docs(doc_id, text)``.
 
@@ -116,7 +123,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_ranks(rank_path), pattern)
+        encoder = _encoder(rank_path, pattern)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 ids = [encoder.encode(text or "") for text in part.column(1).to_pylist()]
@@ -146,7 +153,7 @@ def digest_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_ranks(rank_path), pattern)
+        encoder = _encoder(rank_path, pattern)
         names = {rank: str(rank) for rank in encoder.tokens}.__getitem__
         for batch in batches:
             sizes, of_ids, of_bytes = [], [], []
