@@ -184,7 +184,8 @@ def chunk_no_overlap(spark: SparkSession, d: str) -> DataFrame:
 def bucket_counts(spark: SparkSession, d: str) -> DataFrame:
     feats = _chunks(spark, d).select(F.col("id").alias("chunk_id"), F.explode(text.features(text.tokens(F.col("text")))).alias("f"))
     counts = feats.groupBy("chunk_id", "f").agg(F.count("*").alias("n"))
-    return counts.groupBy("chunk_id", (text.fnv1a(F.col("f")) % 256).alias("bucket")).agg(F.sum("n").alias("n"))
+    buckets = counts.select("f").distinct().withColumn("bucket", text.fnv1a(F.col("f")) % 256)  # each feature is hashed once
+    return counts.join(buckets, "f").groupBy("chunk_id", "bucket").agg(F.sum("n").alias("n"))
 
 
 @_query(f"with {_chunk_sql()}, {_EMB} select chunk_id, b as bucket, round(weight::double, 5) as weight from cv_long")
