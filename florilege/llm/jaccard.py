@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from florilege.llm.components import connected_components
+from florilege.llm.idfilter import split_by_ids
 from florilege.llm.storage import materialize
 from florilege.llm.textkernels import Words, mix, sliced, utf8
 
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     # blocks of each component by hash, and the pairs of blocks
     sizes = candidates.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
     sizes = sizes.select(F.col("component").alias("c"), "blocks")
-    texts = docs.select("doc_id", "text").join(candidates, "doc_id")
+    texts = split_by_ids(docs.select("doc_id", "text"), "doc_id", candidates, "doc_id")[0].join(candidates, "doc_id")
     sets = _sets(texts, n).dropDuplicates(["doc_id"]) if repeats.limit(1).count() else _sets(texts, n)
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     placed = sets.join(sizes, F.col("component") == F.col("c")).withColumn("own", own)
@@ -249,8 +250,9 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without those that a smaller doc_id of their class stands for; rows with a null doc_id stay."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone_id"))
+    gone = materialize(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone_id")), "gone")
     columns = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*columns)
     key = columns[docs.columns.index("doc_id")]
-    return rows.join(gone, F.col(key) == F.col("gone_id"), "left_anti").toDF(*docs.columns)
+    maybe, stay = split_by_ids(rows, key, gone, "gone_id")
+    return maybe.join(gone, F.col(key) == F.col("gone_id"), "left_anti").unionByName(stay).toDF(*docs.columns)
