@@ -36,7 +36,7 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most_hash
     for rows in range(32, 0, -1):
         bands = 1
         if threshold < 1:
-            bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+            bands = math.ceil(math.log1p(-recall) / math.log1p(-(threshold**rows)))
         if bands * rows <= most_hashes:
             return max(1, bands), rows
     raise ValueError("no banding of so few hashes reaches this recall")

@@ -117,7 +117,7 @@ with d as (
 ), b as (
   select k, prefix, sum(n_bytes)::bigint as shard_bytes, count(*) as shard_docs from p group by k, prefix
 ), s as (
-  select doc_id, min(k) as depth from p join b using (k, prefix) where shard_bytes <= 8388608 group by doc_id
+  select doc_id, min(k) as depth from p join b using (k, prefix) where shard_bytes <= 8388608 or shard_docs = 1 group by doc_id
 )
 select p.doc_id, p.n_bytes, s.depth, lpad(case when s.depth = 0 then '' else bin(p.prefix) end, s.depth, '0') as shard, b.shard_bytes, b.shard_docs
 from p join s on p.doc_id = s.doc_id and p.k = s.depth join b on b.k = p.k and b.prefix = p.prefix

@@ -34,12 +34,12 @@ def _prefix(bits: int):
     return F.shiftright("h", ALL_BITS - bits)
 
 
-def split(prefixes: np.ndarray, n_bytes: np.ndarray, bits: int, low: int, limit: int) -> np.ndarray:
-    """For each prefix of ``bits`` bits, the least depth in low..bits at which its bucket fits; bits + 1 if none does."""
+def split(prefixes: np.ndarray, n_bytes: np.ndarray, n_docs: np.ndarray, bits: int, low: int, limit: int) -> np.ndarray:
+    """For each prefix of ``bits`` bits, the least depth in low..bits at which its bucket fits or holds one document; bits + 1 if none does."""
     depth = np.full(len(prefixes), bits + 1)
     for d in range(bits, low - 1, -1):
         _, group = np.unique(prefixes >> (bits - d), return_inverse=True)
-        fits = np.bincount(group, n_bytes, minlength=1)[group] <= limit
+        fits = (np.bincount(group, n_bytes)[group] <= limit) | (np.bincount(group, n_docs)[group] <= 1)
         depth[fits] = d
     return depth
 
@@ -53,9 +53,9 @@ def directory(rows: DataFrame, limit: int) -> tuple[list[tuple[int, int, int]],
     while True:
         found = open_rows.groupBy(_prefix(bits).alias("p")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")).collect()
         p, b, n = (np.array([r[k] for r in found], np.int64) for k in range(3))
-        depth = split(p, b, bits, low, limit)
-        final = (depth <= bits) | (n == 1) | (bits >= ALL_BITS)  # one document over the limit is a shard of its own
-        depth[final & (depth > bits)] = bits
+        depth = split(p, b, n, bits, low, limit)
+        final = (depth <= bits) | (bits >= ALL_BITS)
+        depth[final] = np.minimum(depth[final], bits)
         out += [(bits, int(x), int(d)) for x, d in zip(p[final], depth[final], strict=True)]
         if final.all():
             return out, bits

@@ -1,0 +1,344 @@
+"""Text kernels, byte BPE, packing, rules, classifier, personal data and language model against plain versions."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from florilege.llm import byte_bpe, lm, packing, pii, quality, rules
+from florilege.llm.docstats import extra_counts, rule_counts
+from florilege.llm.textkernels import Words, sliced, utf8
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+RANKS, VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = ["", None, "   \n\t", "a", "é" * 300, "word " * 3000, "x" * 20_000, "# % & <|endoftext|> 1２ it's\r\n\n done", "  mixed\x0bspace", "same line\nsame line\n\nsame line "]
+
+
+def table(spark, texts, **more):
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def odd(spark):
+    """Odd texts, a null id, repeated rows and an extra column with a name that operators use themselves."""
+    rows = [(i, t, "en", None, "x") for i, t in enumerate(ODD)] + [(None, "null id", None, "s", "y"), (3, "a", "en", None, "x"), (3, "a", "en", None, "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, rule string")
+
+
+def empty(spark):
+    return odd(spark).limit(0)
+
+
+# --- kernels -----------------------------------------------------------------------------------------------------------------
+@given(st.lists(st.text(alphabet="ab \n\t\x0b\x85\xa0é#|A1.", max_size=60), max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_counts_against_plain_python(texts):
+    words = Words(*utf8(pa.array(texts, pa.string())))
+    got, more = rule_counts(words), extra_counts(words)
+    for i, t in enumerate(texts):
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        windows = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {k + j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        assert got["n_words"][i] == len(w) and got["word_chars"][i] == sum(map(len, w))
+        assert got["n_symbols"][i] == sum(c in "#*$%&|<>" for c in t)
+        assert got["n_dup_lines"][i] == len(lines) - len(set(lines)) and more["n_lines"][i] == len(lines)
+        assert got["n_repeat_words"][i] == len(covered) and more["n_distinct"][i] == len(set(w))
+
+
+def test_slices_cover_all_rows():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (5, 0, 30, 1, 1, 12)] + [None])], ["t"])
+    parts = list(sliced([batch], "t", 10))
+    assert pa.Table.from_batches(parts).column("t").to_pylist() == batch.column(0).to_pylist() and max(p.num_rows for p in parts) > 1
+
+
+# --- byte BPE ----------------------------------------------------------------------------------------------------------------
+def test_byte_bpe_equals_the_library(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = byte_bpe.load_ranks(RANKS)
+    own, theirs = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    texts = [t or "" for t in ODD] + ["".join(rng.choice("ab c\n\t éß中#'s've1２😀\x85\x1c\xa0") for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    for t in texts:
+        assert own.encode(t) == theirs.encode_ordinary(t) and own.decode(own.encode(t)) == t.encode()
+    rows = {r.doc_id: r for r in byte_bpe.digest_documents(table(spark, texts[:20]), RANKS, public_tokenizers.PATTERN).collect()}
+    for i, t in enumerate(texts[:20]):
+        ids = theirs.encode_ordinary(t)
+        assert rows[i].n_tokens == len(ids) and rows[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        assert rows[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_byte_bpe_round_trip_table(spark):
+    encoded = byte_bpe.encode_documents(odd(spark), RANKS, public_tokenizers.PATTERN)
+    back = byte_bpe.decode_documents(encoded, RANKS).collect()
+    assert sorted(bytes(r.bytes).decode() for r in back) == sorted([t or "" for t in ODD] + ["null id", "a", "a"])
+    assert byte_bpe.digest_documents(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_segment_tree_merges_the_leftmost_least_rank():
+    ranks = {bytes([b]): i for i, b in enumerate(b"abc")} | {b"ab": 3, b"bc": 4, b"aa": 5, b"abc": 6}
+    assert byte_bpe.encode_bytes(b"aabc", ranks) == [0, 6] and byte_bpe.encode_bytes(b"aaa", ranks) == [5, 0] and byte_bpe.encode_bytes(b"", ranks) == []
+
+
+# --- packing -----------------------------------------------------------------------------------------------------------------
+@given(st.lists(st.integers(1, 40), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_best_fit_against_a_plain_search(lengths):
+    placed = packing.pack_lengths(lengths, 40)
+    used: dict[int, int] = {}
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        s, o = placed[i]
+        room = [40 - u for u in used.values() if 40 - u >= lengths[i]]
+        assert (s in used and 40 - used[s] == min(room)) if room else s not in used
+        assert o == used.get(s, 0)
+        used[s] = o + lengths[i]
+    assert all(u <= 40 for u in used.values())
+
+
+def test_packed_table(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    theirs = tokenizers.Tokenizer.from_file(VOCABULARY)
+    texts = [*ODD, *("tok " * n for n in (4094, 4095, 4096, 9000))]
+    rows = packing.pack_documents(table(spark, texts), VOCABULARY, shard_pieces=4).collect()
+    for i, t in enumerate(texts):
+        ids = theirs.encode(t or "", add_special_tokens=False).ids + [2]
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert [r.start for r in own] == list(range(0, len(ids), 4096)) and {r.doc_tokens for r in own} == {len(ids)}
+        for r in own:
+            assert r.ids_crc32 == zlib.crc32(np.asarray(ids[r.start : r.start + r.length], "<u4").tobytes())
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for own in by.values():
+        own.sort()
+        assert all(o == sum(n for _, n in own[:k]) for k, (o, _) in enumerate(own)) and sum(n for _, n in own) <= 4096
+    assert packing.pack_documents(empty(spark), VOCABULARY).count() == 0
+    assert packing.pack_documents(odd(spark), VOCABULARY).count() >= len(ODD) + 3
+
+
+@given(st.lists(st.sampled_from(["a", "b", " ", "\n", "\t", "É", "ß", "中", "é", "é", "#", "'s", "1", "<|endoftext|>", "\x85", "\x1c", "\xa0", "İ", "Σ", "A", "Dog,", "x.", "<|ENDOFTEXT|>", "²?", "!"]), max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_chunks_make_the_whole(parts):
+    tokenizer, text = packing._tokenizer(VOCABULARY), "".join(parts)
+    assert np.asarray(tokenizer.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == tokenizer.encode(text)
+
+
+# --- rules -------------------------------------------------------------------------------------------------------------------
+def _corpus(n=400, seed=0):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("etaoinsrhld") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    return words, [" ".join(rng.choice(words) for _ in range(rng.randint(40, 90))) for _ in range(n)]
+
+
+def test_rules_keep_clean_and_reject_junk(spark):
+    words, texts = _corpus()
+    junk = [" ".join(w + "%%%" for w in words[:60]), "again and again " * 40, " ".join(words[:60]).upper() + "!!!!!!", "few words"]
+    rows = {r.doc_id: r for r in rules.judge_documents(table(spark, texts + junk)).collect()}
+    assert sum(rows[i].kept for i in range(len(texts))) == len(texts)
+    assert not any(rows[len(texts) + i].kept for i in range(len(junk)))
+    assert rows[len(texts) + 1].base_failed and rows[len(texts) + 3].base_failed and not rows[len(texts)].base_failed
+    kept = rules.filter_documents(table(spark, texts + junk))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.kept}
+
+
+def test_rules_on_odd_rows(spark):
+    rows = rules.judge_documents(odd(spark)).collect()
+    assert len(rows) == len(ODD) + 3 and all(r.base_failed for r in rows if r.n_words < 20)
+    assert rules.judge_documents(empty(spark)).count() == 0 and rules.filter_documents(empty(spark)).count() == 0
+    assert set(rules.filter_documents(odd(spark)).columns) == {"doc_id", "text", "lang", "source", "rule"}
+
+
+def test_sketches_merge_and_bound_the_error(spark):
+    words, texts = _corpus(300, 5)
+    stats = rules.with_stats(table(spark, texts), ["lang", "source"]).persist()
+    whole = {tuple(r)[:4]: r.n for r in rules.sketch(stats).collect()}
+    halves = collections.Counter()
+    for part in stats.randomSplit([0.5, 0.5], 1):
+        for r in rules.sketch(part).collect():
+            halves[tuple(r)[:4]] += r.n
+    assert whole == dict(halves)
+    lengths = sorted(r.rule.stats[-1] for r in stats.collect())
+    fence = rules.fences(rules.sketch(stats), min_group=1).first().fences[-1]
+    q50, q75 = lengths[149], lengths[224]
+    assert abs(fence - (q75 + rules.REACH * max(q75 - q50, 1.0))) < 0.03 * fence + 0.5
+
+
+# --- classifier --------------------------------------------------------------------------------------------------------------
+def test_classifier_on_held_out_rows(spark):
+    words, texts = _corpus(500, 2)
+    rng = random.Random(4)
+    bad = [" ".join(rng.choice(words) + rng.choice(("%%%", "", "!!", "###")) for _ in range(rng.randint(40, 90))).upper() for _ in range(250)]
+    docs = table(spark, texts + bad)
+    labels = spark.createDataFrame([(i, int(i < len(texts)), 0) for i in range(len(texts) + len(bad))] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.classify_documents(docs, labels).collect()
+    held = [r for r in rows if r.held_out]
+    assert len(held) > 80 and sum(r.predicted == (r.doc_id < len(texts)) for r in held) >= 0.97 * len(held)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    kept = quality.filter_documents(docs, docs, labels)
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.predicted} and kept.columns == docs.columns
+
+
+def test_held_out_labels_make_no_difference(spark):
+    words, texts = _corpus(120, 7)
+    docs = table(spark, texts)
+    labels = [(i, i % 2, 0) for i in range(120)]
+    other = [(i, (1 - q) if zlib.crc32(str(i).encode()) % 5 == 0 else q, 0) for i, q, _ in labels]
+    a, b = (quality.classify_documents(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int")).orderBy("doc_id").collect() for x in (labels, other))
+    assert [(r.doc_id, round(r.score, 9)) for r in a] == [(r.doc_id, round(r.score, 9)) for r in b]
+
+
+def test_classifier_on_odd_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = quality.classify_documents(odd(spark), none).collect()
+    assert len(rows) == len(ODD) + 3 and {r.score for r in rows} == {0.5}
+    assert quality.classify_documents(empty(spark), none).count() == 0
+
+
+# --- personal data -----------------------------------------------------------------------------------------------------------
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for i, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card" and not (14 <= len(digits) <= 19 and sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0):
+                continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), i, m.end()))
+    return [(pii.KINDS[k], s, e) for s, k, e in sorted(out)]
+
+
+@given(st.lists(st.sampled_from(["1", "2", "34", "567", "0", "+", ".", "-", " ", "(", ")", "@", "a", "b.c", "é", "\n", "4111 1111 1111 1111", "10.0.0.1", "+1 555 123 4567"]), max_size=30))
+@settings(max_examples=400, deadline=None)
+def test_base_spans_equal_the_patterns(parts):
+    text = "".join(parts)
+    base, every = pii.find_spans(text, pii.trained())
+    assert base == plain_spans(text) and set(base) <= set(every)
+    assert "".join(c for c in pii.redact(text, every)) is not None
+
+
+def test_field_adds_what_patterns_miss():
+    model = pii.trained()
+    text = "call (415) 555-0134 or +1 (415) 555-0199 4111111111111111 today, not 2024-01-05 or 1.2.3"
+    found = [text[s:e] for _, s, e in pii.find_spans(text, model)[1]]
+    assert found == ["(415) 555-0134", "+1 (415) 555-0199", "4111111111111111"]
+    assert pii.redact(text, pii.find_spans(text, model)[1]).startswith("call <PHONE> or <PHONE> <CARD> today")
+    assert pii.find_spans("plain words alone, in 1999 or 12:30", model) == ([], [])
+
+
+def test_field_on_held_out_sentences():
+    model, rng = pii.trained(), random.Random(4242)
+    hit = gold = extra = 0
+    for _ in range(300):
+        text, spans = pii._sentence(rng)
+        found = {x for a, b in pii.islands(text) for x in model.decode(text, a, b)}
+        hit, gold, extra = hit + len(found & set(spans)), gold + len(spans), extra + len(found - set(spans))
+    assert hit > 0.85 * gold and extra < 0.15 * gold
+
+
+def test_decoding_finds_the_best_segmentation():
+    model, text = pii.trained(), "x 4111111111111111 555-123-4567 a@b.de"
+    (low, high), *_ = list(pii.islands(text))
+    bounds, found = pii.candidates(text, low, high)
+    scores = np.stack([pii.span_features(text, bounds[i], bounds[j]) for i, j in found]) @ model.weights.T
+
+    def best(at, before):
+        if at == len(bounds) - 1:
+            return 0.0
+        own = [best(at + 1, 0)]
+        own += [scores[c, k] + model.follow[before, k] + best(j, k + 1) for c, (i, j) in enumerate(found) if i == at for k in range(4)]
+        return max(own)
+
+    spans, total, before, end = model.decode(text, low, high), 0.0, 0, low
+    for kind, s, e in spans:
+        k, c = pii.KINDS.index(kind), found.index((bounds.index(s), bounds.index(e)))
+        total += scores[c, k] + model.follow[before if s == end else 0, k]
+        before, end = k + 1, e
+    assert abs(total - best(0, 0)) < 1e-9
+
+
+def test_personal_data_tables(spark):
+    rows = pii.find_in_documents(odd(spark)).collect()
+    assert len(rows) == len(ODD) + 3 and {r.base_sha256 for r in rows if not r.spans} == {hashlib.sha256(b"").hexdigest()}
+    out = pii.redact_documents(table(spark, ["mail me@x.org", None])).collect()
+    assert [(r.text, r.n_chars) for r in out] == [("mail <EMAIL>", 12), (None, None)]
+    assert pii.find_in_documents(empty(spark)).count() == 0
+    long = pii.find_spans("1" * 100_000 + " " + "1." * 30_000 + "a@" * 30_000, pii.trained())
+    assert {k for k, _, _ in long[0]} == {"ip"} and len(long[0]) == 30_000 // 4
+
+
+# --- language model ----------------------------------------------------------------------------------------------------------
+def test_language_model_against_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 700)
+    words, texts = _corpus(260, 9)
+    texts = [t.title() if i % 3 else t for i, t in enumerate(texts)] + [t for t in ODD if t is None or len(t) < 500]
+    docs = table(spark, texts).repartition(3)
+    got = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+    toks = {i: WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) + ["</s>"] for i, t in enumerate(texts)}
+    role = dict(zip(toks, lm.roles(list(toks)), strict=True))
+    c, k, c2, k2 = (collections.Counter() for _ in range(4))
+    pairs = lambda w: list(zip(["</s>", *w], w, strict=False))
+    for i, w in toks.items():
+        if role[i] != 2:
+            c.update(w)
+            c2.update(pairs(w))
+        if role[i] == 1:
+            k.update(w)
+            k2.update(pairs(w))
+    n, v, held, left = sum(c.values()), len(c), sum(k.values()), sum(c[x] > k[x] for x in c)
+    assert held
+    binned = lambda p: 2.0 ** (np.rint(math.log2(p) * 4) / 4) if p > 0 else 0.0
+    one = lambda x: int(lm.bucket(np.array([x]))[0])
+    rows = collections.Counter()
+    for i, w in toks.items():
+        if role[i] == 1:
+            for h, x in pairs(w):
+                b = c[h] - k[h]
+                rows[one(b), binned((c2[h, x] - k2[h, x]) / b if b else 0), binned((c[x] - k[x]) / (n - held))] += 1
+    weights = lm.expectation_maximisation(np.array([(*key, m) for key, m in rows.items()], float), 1 / (left + 1))
+    last, table_ = np.array([0.0, 0.9, 0.1]), {}
+    for b in range(65):
+        last = weights.get(b, last) if b <= max(weights) else last
+        table_[b] = last
+    if 0 not in weights:
+        table_[0] = np.array([0.0, 0.9, 0.1])
+    for i, w in toks.items():
+        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
+        score = 0.0
+        for h, x in pairs(w):
+            a = table_[one(c[h])]
+            score += math.log10(a[0] * (c2[h, x] / c[h] if c[h] else 0) + a[1] * c[x] / n + a[2] / (v + 1))
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[x] > 0 for x in w), n, role[i] == 2)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-6)
+
+
+def test_language_model_on_odd_rows(spark):
+    assert lm.score_documents(odd(spark)).count() == len(ODD) + 3 and lm.score_documents(empty(spark)).count() == 0
+    lone = lm.score_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).first()
+    assert lone.held_out and (lone.train_tokens, lone.n_known) == (0, 0) and math.isfinite(lone.score)
+
+
+def test_em_recovers_mixture_weights():
+    rng = np.random.default_rng(0)
+    p, true = rng.random((4000, 2)), np.array([0.6, 0.3, 0.1])
+    n = (np.column_stack([p, np.full(4000, 0.2)]) @ true) * 1000  # expected counts under the mixture
+    w = lm.expectation_maximisation(np.column_stack([np.ones(4000), p, n]), 0.2)[1]
+    q = np.column_stack([p, np.full(4000, 0.2)])
+    even = (n * np.log(q @ np.full(3, 1 / 3))).sum()
+    assert (n * np.log(q @ w)).sum() >= even and w.sum() == pytest.approx(1)
