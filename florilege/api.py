@@ -55,7 +55,7 @@ class Engine:
         now = self.store.load(cid) if self.store.exists(cid) else Collection.new(self.spark, name, root)
         files = read_store_files(self.spark, root) if "://" in root else read_files(scan_folder(self.spark, root))
         result = ingest(now, files.persist(), self.chunking, self.dim, self.ocr, root if prune_root_only else None)
-        result.report = self.spark.createDataFrame(result.report.collect(), result.report.schema)  # a row per file: of the size of the scan's list
+        result.report = result.report.persist()  # read now, while the superseded version is there
         changed = result.report.where(F.col("status").isin("added", "updated", "removed")).limit(1).count()
         if changed or not self.store.exists(cid):
             result.collection = self.store.save(result.collection)
