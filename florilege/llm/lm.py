@@ -18,22 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from florilege.llm.storage import discard, materialize
+from florilege.llm.storage import materialize
 from florilege.llm.textkernels import Words, mix, sliced, utf8
 
 #: Tokens of a block at most, but for the last document.
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 1_250_000
 #: Documents with crc32 mod TEST_MOD = TEST_REST are never learned from; of the others, one in DELETED is held out for the weights.
 TEST_MOD, TEST_REST, DELETED = 7, 2, 89
 EM_ROUNDS, FLOOR = 60, 1e-6
 #: Bins per octave of the estimates in the held-out histogram.
 _BINS = 4
 #: Bytes of input per hash range, and the number of ranges.
-_RANGE_BYTES, _LEAST_RANGES, _MOST_RANGES = 16 << 20, 64, 1 << 20
+_RANGE_BYTES, _LEAST_RANGES, _MOST_RANGES = 4 << 20, 128, 1 << 20
 _END, _START = np.uint64(0x6C62272E07BB0142), np.uint64(0x27D4EB2F165667C5)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,7 +44,7 @@ def _compress(*arrays: np.ndarray) -> bytes:
     out = [struct.pack("<i", len(arrays))]
     for a in arrays:
         planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
-        packed = zstandard.ZstdCompressor(1).compress(planes)
+        packed = zstandard.ZstdCompressor(3).compress(planes)
         out += [struct.pack("<2sqq", a.dtype.str[1:].encode(), len(a), len(packed)), packed]
     return b"".join(out)
 
@@ -103,70 +102,98 @@ def _sequence(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return before
 
 
-def _requests(docs: DataFrame, bits: int) -> DataFrame:
-    """Rows ``block, part, payload``: part -1 holds a block's documents, others its n-grams and counts in a hash range.
+def _stamp(tokens: np.ndarray) -> int:
+    """A fingerprint of a block's tokens in order."""
+    return int(np.bitwise_xor.reduce(mix(tokens + np.arange(len(tokens), dtype=np.uint64) * _BASE)).view(np.int64)) if len(tokens) else 0
 
-    Held-out documents make blocks of their own besides (negative numbers), which ask without counting.
+
+def _pack_documents(ids: list[int | None], role: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> bytes:
+    """A block's documents: different words by falling frequency, and each token's place among them."""
+    word, index, n = np.unique(tokens, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    none = np.array([i is None for i in ids])
+    return _compress(np.array([i or 0 for i in ids], np.int64), none.astype(np.uint8), role.astype(np.uint8), sizes.astype(np.int64), word[order], place[index])
+
+
+def _pack_requests(role: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, bits: int, counting: bool) -> Iterator[tuple[int, bytes]]:
+    """Hash range, and its different n-grams with the block's counts: in training documents, and in those held out."""
+    weight, held = (np.repeat(role != 2, sizes), np.repeat(role == 1, sizes)) if counting else (np.zeros(len(tokens), bool),) * 2
+    keys, n, k = [], [], []
+    for h in (_unigram(tokens), _bigram(_sequence(tokens, sizes), tokens)):
+        key, inverse = np.unique(h, return_inverse=True)
+        keys.append(key)
+        n.append(np.bincount(inverse[weight], minlength=len(key)).astype(np.uint32))
+        k.append(np.bincount(inverse[held], minlength=len(key)).astype(np.uint32))
+    key, n, k = (np.concatenate(x) for x in (keys, n, k))
+    order = np.argsort(key)
+    key, n, k = key[order], n[order], k[order]
+    cut = np.searchsorted(key, np.arange(1, 1 << bits).astype(np.uint64) << np.uint64(64 - bits))
+    for part, (a, b) in enumerate(zip([0, *cut], [*cut, len(key)], strict=True)):
+        if b > a:
+            yield part, _compress(np.diff(key[a:b], prepend=np.uint64(0)), n[a:b], k[a:b])
+
+
+_ROWS = "block long, stamp long, part int, payload binary"
+
+
+def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "stamp", "part", "payload"])
+
+
+def _held_out() -> Column:
+    """Whether :func:`roles` is 1."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return (crc % TEST_MOD != TEST_REST) & (F.floor(crc / TEST_MOD) % DELETED == 0)
+
+
+def _blocks(docs: DataFrame, bits: int | None, counting: bool) -> DataFrame:
+    """Rows ``block, stamp, part, payload`` of blocks: their requests by hash range, or without ``bits`` their documents.
+
+    Blocks that ask without counting have negative numbers. A block is told by its task and number; the stamp makes sure that
+    both passes saw the same documents in it.
     """
 
-    def give(block: int, ids: list[int | None], role: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, counting: bool) -> Iterator[tuple[int, int, bytes]]:
-        word, index = np.unique(tokens, return_inverse=True)
-        none = np.array([i is None for i in ids])
-        yield block, -1, _compress(np.array([i or 0 for i in ids], np.int64), none.astype(np.uint8), role.astype(np.uint8), sizes.astype(np.int64), word, index.astype(np.uint32))
-        weight, held = (np.repeat(role != 2, sizes), np.repeat(role == 1, sizes)) if counting else (np.zeros(len(tokens), bool),) * 2
-        keys, n, k = [], [], []
-        for h in (_unigram(tokens), _bigram(_sequence(tokens, sizes), tokens)):
-            key, inverse = np.unique(h, return_inverse=True)
-            keys.append(key)
-            n.append(np.bincount(inverse[weight], minlength=len(key)).astype(np.uint32))
-            k.append(np.bincount(inverse[held], minlength=len(key)).astype(np.uint32))
-        key, n, k = (np.concatenate(x) for x in (keys, n, k))
-        order = np.argsort(key)
-        key, n, k = key[order], n[order], k[order]
-        cut = np.searchsorted(key, np.arange(1, 1 << bits).astype(np.uint64) << np.uint64(64 - bits))
-        for part, (a, b) in enumerate(zip([0, *cut], [*cut, len(key)], strict=True)):
-            if b > a:
-                yield block, part, _compress(np.diff(key[a:b], prepend=np.uint64(0)), n[a:b], k[a:b])
-
-    def flush(number: int, held: _Block) -> Iterator[tuple[int, int, bytes]]:
+    def rows_of(number: int, held: _Block) -> Iterator[tuple[int, int, int, bytes]]:
         tokens, sizes, role = np.concatenate(held.tokens), np.concatenate(held.sizes), roles(held.ids)
-        yield from give(number, held.ids, role, sizes, tokens, True)
-        own = role == 1
-        if own.any():
-            yield from give(-number, [i for i, o in zip(held.ids, own, strict=True) if o], role[own], sizes[own], tokens[np.repeat(own, sizes)], False)
+        stamp, block = _stamp(tokens), number if counting else -number
+        if bits is None:
+            yield block, stamp, -1, _pack_documents(held.ids, role, sizes, tokens)
+        else:
+            yield from ((block, stamp, part, payload) for part, payload in _pack_requests(role, sizes, tokens, bits, counting))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held = (TaskContext.get().partitionId() + 1) << 32, _Block()
+        number, held = 0, _Block()
 
-        def rows(held: _Block) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
             out, size = [], 0
-            for row in flush(number, held):
+            for row in rows_of(number, held):
                 out.append(row)
-                size += len(row[2])
+                size += len(row[3])
                 if size > 4 << 20:
-                    yield batch_of(out)
+                    yield _batch(out)
                     out, size = [], 0
             if out:
-                yield batch_of(out)
-
-        def batch_of(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            blocks, parts, payloads = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(parts, pa.int32()), pa.array(payloads, pa.binary())], ["block", "part", "payload"])
+                yield _batch(out)
 
         for batch in sliced(batches, "text"):
+            number = number or (batch.column(2)[0].as_py() + 1) << 32
             held.add(batch.column(0).to_pylist(), Words(*utf8(batch.column(1)), lower=True))
             if held.n >= BLOCK_TOKENS:
-                yield from rows(held)
+                yield from flush()
                 number, held = number + 1, _Block()
         if held.n:
-            yield from rows(held)
+            yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "block long, part int, payload binary")
+    # the task's number within this scan: within the whole stage it would depend on what the scan is united with
+    return docs.select("doc_id", "text", F.spark_partition_id().alias("task")).mapInArrow(run, _ROWS)
 
 
 def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Counts over all blocks of a hash range, for each block in the order asked; and the range's totals as block 0."""
-    blocks = table["block"].to_pylist()
+    blocks, stamps = table["block"].to_pylist(), table["stamp"].to_pylist()
     asked = [_expand(x.as_buffer().to_pybytes()) for x in table["payload"]]
     keys = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
     every, index = np.unique(np.concatenate(keys), return_inverse=True)
@@ -176,13 +203,15 @@ def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     at = np.cumsum([0, *map(len, keys)])
     out = [_compress(*(t[index[a:b]].astype(np.uint32) if t.max(initial=0) < 1 << 32 else t[index[a:b]] for t in totals)) for a, b in zip(at, at[1:], strict=False)]
     part = key[0].as_py()
-    return pa.table([pa.array([0, *blocks], pa.int64()), pa.array([part] * (len(blocks) + 1), pa.int32()), pa.array([_compress(sums), *out], pa.binary())], names=["block", "part", "payload"])
+    return pa.Table.from_batches([_batch([(0, 0, part, _compress(sums)), *((b, s, part, x) for b, s, x in zip(blocks, stamps, out, strict=True))])])
 
 
 class _Counts:
     """A block's documents with the corpus counts of their n-grams."""
 
     def __init__(self, mine: pa.Table, answers: pa.Table):
+        if mine.num_rows != 1 or not answers.num_rows:
+            raise RuntimeError("the documents were not the same in both passes: score a written table")
         ids, none, self.role, self.sizes, word, index = _expand(mine["payload"][0].as_buffer().to_pybytes())
         self.ids = [None if x else i for i, x in zip(ids.tolist(), none.tolist(), strict=True)]
         order = np.argsort(np.asarray(answers["part"]), kind="stable")
@@ -280,12 +309,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Tokens are words with A-Z lowered, then one end. A null text counts as empty (one token); null ids are kept; repeated rows
     are learned from and scored each. Without training documents only the uniform part is left, and scores are 0 times
     log10(1). An empty table gives no rows.
+
+    ``docs`` is read twice, once for the n-grams and once for the documents to be scored, rather than kept: it should be a
+    table as written, whose tasks see the same rows each time. If they don't, the job fails; it never mixes counts up.
     """
-    spark = docs.sparkSession
-    asked = materialize(_requests(docs.select("doc_id", "text"), _ranges(docs)), "ngrams")
-    answered = materialize(asked.where("part >= 0").groupBy("part").applyInArrow(_answer, "block long, part int, payload binary"), "counts")
-    documents = materialize(asked.where("part < 0"), "tokens")
-    discard(spark, asked)
+    bits, deleted = _ranges(docs), docs.where(_held_out())
+    asked = _blocks(docs, bits, True).unionByName(_blocks(deleted, bits, False))
+    answered = materialize(asked.groupBy("part").applyInArrow(_answer, _ROWS), "counts")
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = sum(_expand(x.as_buffer().to_pybytes())[0] for x in table["payload"])
@@ -295,13 +325,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
     words, tokens, del_words, held = (int(x or 0) for x in sums.agg(*(F.sum(c) for c in ("words", "tokens", "del_words", "held"))).first())
     found = answered.where("block != 0")
 
-    def by_block(blocks: str, run, schema: str) -> DataFrame:
-        return documents.where(blocks).groupBy("block").cogroup(found.where(blocks).groupBy("block")).applyInArrow(run, schema)
+    def by_block(rows: DataFrame, counting: bool, run, schema: str) -> DataFrame:
+        answers = found.where(F.col("block") > 0 if counting else F.col("block") < 0)
+        return _blocks(rows, None, counting).groupBy("block", "stamp").cogroup(answers.groupBy("block", "stamp")).applyInArrow(run, schema)
 
-    histogram = by_block("block < 0", _held_out_histogram(del_words, max(1, tokens - held)), "b int, p2 int, p1 int, n long")
+    histogram = by_block(deleted, False, _held_out_histogram(del_words, max(1, tokens - held)), "b int, p2 int, p1 int, n long")
     rows = histogram.groupBy("b", "p2", "p1").agg(F.sum("n").alias("n")).collect()  # bounded: buckets times bins of two estimates
     table = np.array([(r.b, r.p2, r.p1, r.n) for r in sorted(rows)], float).reshape(-1, 4)
     for i in (1, 2):
         table[:, i] = np.where(table[:, i] == -9999, 0.0, np.exp2(table[:, i] / _BINS))
     weights = expectation_maximisation(table, 1 / (del_words + 1))
-    return by_block("block > 0", _scores(weights, tokens, words), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_block(docs, True, _scores(weights, tokens, words), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
