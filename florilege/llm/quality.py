@@ -153,6 +153,11 @@ def filter_documents(docs: DataFrame, labelled: DataFrame, labels: DataFrame) ->
     earlier stage has removed is what the model needs examples of.
     """
     model = fit(materialize(with_features(labelled, ["doc_id"]), "features"), labels)
-    columns = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*columns).withColumn("text", F.col(columns[docs.columns.index("text")]))
-    return scored(with_features(rows, columns), model).where("predicted = 1").select(*columns).toDF(*docs.columns)
+    at = docs.columns.index("text")
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may repeat
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, f"c{at}"):
+            yield part.filter(pa.array(model.score(features(Words(*utf8(part.column(at))))) >= THRESHOLD))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

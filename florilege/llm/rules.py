@@ -26,6 +26,8 @@ from florilege.llm.storage import materialize
 from florilege.llm.textkernels import Words, sliced, utf8
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
+#: Groups of language and source up to which their fences (about 150 bytes each) are broadcast.
+BROADCAST_GROUPS = 50_000
 SKETCH_ERROR, REACH, MIN_GROUP = 0.02, 4.0, 200
 #: Statistics with fences, each with the least spread that counts: fractions of a text that a clean one keeps small.
 STATS = {"symbols": 0.02, "dup_lines": 0.12, "repeats": 0.07, "upper": 0.12, "marks": 0.02, "word_length": 1.0}
@@ -89,8 +91,10 @@ def fences(sketches: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP
         levels.append(at)
     group, lang, corpus = levels
     lang = lang.withColumnRenamed("lang", "lang_1")
-    out = group.join(lang, group["lang"].eqNullSafe(lang["lang_1"]), "left").crossJoin(F.broadcast(corpus))  # corpus: one row
-    chosen = F.when(F.col("total_0") >= min_group, F.col("fences_0")).when(F.col("total_1") >= min_group, F.col("fences_1")).otherwise(F.col("fences_2"))
+    out = group.join(lang, group["lang"].eqNullSafe(lang["lang_1"]), "left")
+    whole = corpus.first()  # one row of the corpus's fences
+    last = F.array(*map(F.lit, whole["fences_2"])) if whole else F.lit(None).cast("array<double>")
+    chosen = F.when(F.col("total_0") >= min_group, F.col("fences_0")).when(F.col("total_1") >= min_group, F.col("fences_1")).otherwise(last)
     return out.select("lang", "source", chosen.alias("fences"))
 
 
@@ -99,8 +103,13 @@ def base_failed() -> Column:
 
 
 def judged(stats: DataFrame, fence_rows: DataFrame) -> DataFrame:
-    """Add ``base_failed`` and ``kept`` to rows of :func:`with_stats`, by a join with the fences of their group."""
-    f = fence_rows.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), "fences")
+    """Add ``base_failed`` and ``kept`` to rows of :func:`with_stats`, by a join with the fences of their group.
+
+    The fences are broadcast if a count shows them to be few, so that documents stay where they are.
+    """
+    f = materialize(fence_rows, "fences").select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), "fences")
+    if f.count() <= BROADCAST_GROUPS:
+        f = F.broadcast(f)
     joined = stats.join(f, stats["lang"].eqNullSafe(f["fence_lang"]) & stats["source"].eqNullSafe(f["fence_source"]), "left")
     beyond = F.exists(F.arrays_zip(F.col("rule.stats").alias("x"), F.col("fences").alias("f")), lambda p: p["x"] > p["f"])
     failed = base_failed()
