@@ -202,7 +202,7 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"with {_chunk_sql()}, {_POST} select term, df, round(ln(1 + ((select count(*) from tok) - df + 0.5::double) / (df + 0.5::double)), 9) as idf from (select term, count(*) as df from post group by term)")
 def term_idf(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _chunks(spark, d)
+    chunks = _chunks(spark, d).persist()
     both = keyword.document_frequency(chunks).crossJoin(F.broadcast(keyword.corpus_stats(chunks)))
     return both.select("term", "df", F.round(scores.idf(F.col("n"), F.col("df")), 9).alias("idf"))
 
@@ -214,13 +214,13 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"with {_chunk_sql()}, {_POST}, {_QTOK}, {_BM25} select query_id, chunk_id, round(score, 8) as score from bm")
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    found = keyword.bm25_scores(_chunks(spark, d), _questions(spark, d))
+    found = keyword.bm25_scores(_chunks(spark, d).persist(), _questions(spark, d))
     return found.select("query_id", "chunk_id", F.round("score", 8).alias("score"))
 
 
 @_query(f"with {_chunk_sql()}, {_POST}, {_QTOK}, {_BM25} select query_id, chunk_id, rank::integer as rank, round(score, 8) as score from {_top('bm', _K)}")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = keyword.KeywordIndex(_chunks(spark, d)).search(_questions(spark, d), _K)
+    found = keyword.KeywordIndex(_chunks(spark, d).persist()).search(_questions(spark, d), _K)
     return found.select("query_id", "chunk_id", "rank", F.round("score", 8).alias("score"))
 
 
