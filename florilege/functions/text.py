@@ -65,8 +65,8 @@ def unique_tokens(text: Column) -> Column:
 
 def features(toks: Column) -> Column:
     """The tokens and, after them, each neighbouring pair joined by an underscore."""
-    later = F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0)))
-    return F.concat(toks, F.transform(later, lambda x, i: F.concat(F.get(toks, i), F.lit("_"), x)))
+    n = F.greatest(F.size(toks) - 1, F.lit(0))
+    return F.concat(toks, F.zip_with(F.slice(toks, 1, n), F.slice(toks, 2, n), lambda a, b: F.concat(a, F.lit("_"), b)))
 
 
 def fnv1a(token: Column) -> Column:
@@ -85,7 +85,7 @@ def blank_markdown(text: Column) -> Column:
     between = F.split(text, _MARKUP, -1)
     marks = F.regexp_extract_all(text, F.lit(_MARKUP), F.lit(0))
     spaces = F.transform(marks, lambda m: F.repeat(F.lit(" "), F.octet_length(m)))
-    parts = F.transform(between, lambda t, i: F.concat(t, F.coalesce(F.get(spaces, i), F.lit(""))))
+    parts = F.zip_with(between, spaces, lambda t, s: F.concat(t, F.coalesce(s, F.lit(""))))
     return F.translate(F.array_join(parts, ""), "\x00", " ")
 
 

@@ -155,7 +155,9 @@ def page_numbers(spark: SparkSession, d: str) -> DataFrame:
     return chunk_documents(_corpus(spark, d).withColumn("boundaries", bounds)).select(F.col("id").alias("chunk_id"), "page_number")
 
 
-@_query()
+@_query(r"""
+with m as (select doc_id, text, regexp_split_to_array(text, '(?m)^#{1,6}[\t\n\f\r ]|[*_`]{1,3}|!?\[|\]\([^)]*\)') as parts, regexp_extract_all(text, '(?m)^#{1,6}[\t\n\f\r ]|[*_`]{1,3}|!?\[|\]\([^)]*\)') as marks from documents)
+select doc_id, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(repeat(' ', strlen(marks[i])), '')), '') as text, true as same_length from m""")
 def markdown_blanking(spark: SparkSession, d: str) -> DataFrame:
     blank = text.blank_markdown(F.col("text"))
     return _table(spark, d, "documents").select("doc_id", blank.alias("text"), (F.octet_length(blank) == F.octet_length("text")).alias("same_length"))
@@ -282,6 +284,12 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     return _answers(spark, d).select("query_id", F.size("citations").alias("n_citations"), paths.alias("paths"), F.round("confidence", 6).alias("confidence"), "answerable")
 
 
+def _ascii_questions(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Questions whose cited chunks are ASCII alone, where SQL can cut bytes."""
+    cited = found.select("query_id", F.explode("citations.chunk_id").alias("id")).join(chunks.select("id", (F.octet_length("text") == F.length("text")).alias("ascii")), "id")
+    return cited.groupBy("query_id").agg(F.bool_and("ascii").alias("ascii")).where("ascii")
+
+
 _PASSAGE = "case when strlen(text) > 400 then substr(text, 1, 400) || '…' else text end"
 _FOOT = "(Local extractive mode: passages are quoted as they are; set up a generator for written answers.)"
 _ASCII = "mixed as (select query_id from ftop join chunk using (chunk_id) group by query_id having bool_and(strlen(text) = len(text)))"
@@ -294,9 +302,7 @@ def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
     """Of questions whose passages are ASCII alone, where SQL can cut bytes."""
     chunks = _chunks(spark, d).persist()
     found = answer(chunks, _questions(spark, d)).persist()
-    cited = found.select("query_id", F.explode("citations.chunk_id").alias("id")).join(chunks.select("id", (F.octet_length("text") == F.length("text")).alias("ascii")), "id")
-    plain = cited.groupBy("query_id").agg(F.bool_and("ascii").alias("ascii")).where("ascii")
-    return found.join(plain, "query_id", "left_semi").select("query_id", "text")
+    return found.join(_ascii_questions(found, chunks), "query_id", "left_semi").select("query_id", "text")
 
 
 @_query(f"""{_HYBRID}, {_ASCII}
@@ -305,9 +311,7 @@ from ftop join chunk using (chunk_id) where query_id in (select query_id from mi
 def session_sources(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d).persist()
     found = answer(chunks, _questions(spark, d)).persist()
-    cited = found.select("query_id", F.explode("citations.chunk_id").alias("id")).join(chunks.select("id", (F.octet_length("text") == F.length("text")).alias("ascii")), "id")
-    plain = cited.groupBy("query_id").agg(F.bool_and("ascii").alias("ascii")).where("ascii")
-    sections = export.session_sections(found.join(plain, "query_id", "left_semi").withColumn("seq", F.col("query_id")))
+    sections = export.session_sections(found.join(_ascii_questions(found, chunks), "query_id", "left_semi").withColumn("seq", F.col("query_id")))
     return sections.select(F.col("seq").alias("query_id"), F.concat(F.lit("**Sources:**"), F.element_at(F.split("section", r"\*\*Sources:\*\*"), -1)).alias("sources"))
 
 
@@ -316,9 +320,14 @@ def answer_json(spark: SparkSession, d: str) -> DataFrame:
     return export.answer_json(_answers(spark, d))
 
 
-@_query()
+@_query(f"""{_HYBRID}, {_ASCII}
+select query_id, 'Based on ' || count(*) || ' matching passage(s) in your documents:' || chr(10) || chr(10) || string_agg(rank || '. (' || document_path || ') ' || {_PASSAGE} || chr(10) || chr(10), '' order by rank) || '{_FOOT}' || chr(10)
+  || chr(10) || 'Sources:' || chr(10) || string_agg('  - ' || document_path || ' (score ' || printf('%.3f', score) || ')' || chr(10), '' order by rank) as rendered
+from ftop join chunk using (chunk_id) where query_id in (select query_id from mixed) group by query_id""")
 def answer_text(spark: SparkSession, d: str) -> DataFrame:
-    return export.answer_text(_answers(spark, d))
+    chunks = _chunks(spark, d).persist()
+    found = answer(chunks, _questions(spark, d)).persist()
+    return export.answer_text(found.join(_ascii_questions(found, chunks), "query_id", "left_semi"))
 
 
 @_query("""with t as (select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) as reply, lead(role) over (partition by conv_id order by turn) as next_role from conversations)
@@ -375,7 +384,7 @@ def collection_listing(spark: SparkSession, d: str) -> DataFrame:
     return c.select(export.listing_line(F.col("source"), F.col("doc_count"), F.col("chunk_count"), F.lit("documents")).alias("line"))
 
 
-@_query()
+@_query(f"with {_DOC} select path, trim(translate(text, chr(10) || chr(13), '  ')) as text, 0 as n_boundaries, null::varchar as error from doc")
 def pdf_text(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as one-stream PDFs by an expression and read back by the parser."""
     from florilege.sources.files import parse

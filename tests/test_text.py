@@ -63,6 +63,7 @@ def test_markdown_blanking(spark):
     }
     for raw, wanted in cases.items():
         got = one(spark, text.blank_markdown(F.col("t")), t=raw)
+        assert one(spark, F.octet_length(text.blank_markdown(F.col("t"))) == F.octet_length(F.concat(text.blank_markdown(F.col("t")))), t=raw)  # used twice
         assert got == wanted and len(got.encode()) == len(raw.encode())
 
 
