@@ -9,7 +9,9 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,8 +25,8 @@ from florilege.llm.storage import materialize
 WINDOW, END_ID = 4096, 2
 #: Pieces of a shard on average.
 SHARD_PIECES = 4096
-#: Chunks whose ids are kept at a time, and the longest of them in characters.
-CACHED_CHUNKS, CACHED_CHARS = 1_000_000, 48
+#: Chunks of each of two generations whose ids are kept, and the longest of them in characters.
+CACHED_CHUNKS, CACHED_CHARS = 250_000, 48
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -82,6 +84,13 @@ def pack_lengths(lengths: list[int], window: int = WINDOW) -> list[tuple[int, in
 
 
 _MARKS = ",.;:!?"
+#: Letters below this one are their own composed form, and lower-case one by one.
+_LATIN_END = chr(0x130)
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The byte-level alphabet: bytes that print stand for themselves, the others for the characters from 256 on.
+_BYTE_LEVEL = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are packed as little-endian 32-bit numbers")
 
 
 class ChunkTokenizer:
@@ -95,34 +104,50 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._merge = self.tokenizer.model.tokenize
         self._known = _Chunks(self._ids)
+        self._known[""] = b""
 
-    def _ids(self, chunk: str) -> bytes:
-        """Ids of a chunk; trailing marks are pre-tokens of their own, and case makes no difference to ASCII."""
+    def _ids(self, chunk: str) -> tuple[bytes, bool]:
+        """Ids of a chunk, and whether to keep them.
+
+        Trailing marks are pre-tokens of their own, and case makes no difference to ASCII. So a chunk with marks or capitals is
+        made from its plain core, and kept only if the core had come before: most chunks come once.
+        """
         if "<" not in chunk:  # no special token's string
             core = chunk.rstrip(_MARKS)
-            if core and core != chunk and core[-1].isalnum():
-                return self._known[core] + self._known[chunk[len(core) :]]
-            if chunk.isascii() and (low := chunk.lower()) != chunk:
-                return self._known[low]
-        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            marks = chunk[len(core) :] if core and core[-1].isalnum() else ""
+            plain = chunk[: len(chunk) - len(marks)]
+            if plain.isascii() or (plain.isalpha() and max(plain) < _LATIN_END):
+                plain = plain.lower()
+            if plain != chunk:
+                seen = plain in self._known
+                return (self._known[plain] + self._known[marks] if marks else self._known[plain]), seen
+            if plain.isalpha() and max(plain) < _LATIN_END:  # one pre-token that the normalizer leaves alone
+                mapped = plain if plain.isascii() else plain.encode().decode("latin-1").translate(_BYTE_LEVEL)
+                return array("I", [t.id for t in self._merge(mapped)]).tobytes(), len(chunk) <= CACHED_CHARS
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes(), len(chunk) <= CACHED_CHARS
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self._known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 class _Chunks(dict):
-    """A table of bounded size that computes what it lacks."""
+    """A table of bounded size that computes what it lacks; when it is full, what was not used lately goes."""
 
     def __init__(self, compute):
-        self._compute = compute
+        self._compute, self._older = compute, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self._compute(chunk)
-        if len(chunk) <= CACHED_CHARS:
-            if len(self) >= CACHED_CHUNKS:
-                self.clear()
-            self[chunk] = ids
+        ids = self._older.get(chunk)
+        if ids is None:
+            ids, keep = self._compute(chunk)
+            if not keep:
+                return ids
+        if len(self) >= CACHED_CHUNKS:
+            self._older = dict(self)
+            self.clear()
+        self[chunk] = ids
         return ids
 
 
