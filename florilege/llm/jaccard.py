@@ -3,10 +3,11 @@
 1. Every text becomes its set of word n-grams (64-bit hashes; a text of fewer words is one n-gram) and a signature of
    ``bands`` x ``rows`` minimum hashes, with the least numbers that reach the target recall at the threshold.
 2. Documents with equal sets form a class; its least doc_id represents it. Only representatives go on.
-3. Band hashes are shuffled; each bucket links its members to its least one. The components of these links hold every pair
-   that shares a band, so each representative's set is sent to its component once, not once per band.
-4. A component is cut into blocks; each pair of blocks is a task of bounded size that counts common n-grams of all its pairs
-   by sorted postings. Tasks give back link counts and a spanning forest, never the pairs of a group.
+3. Band hashes are shuffled. A bucket is led by its least member; a document's home is the least leader of its buckets, then
+   twice the least home in its buckets, so near copies have one home or a few. Two homes are compared if a bucket has members of both: every pair that shares a band
+   is then verified once, and a set is sent once for each home that its own is compared with, not once per band and pair.
+4. A home is cut into blocks; each pair of blocks is a task of bounded size that counts the common n-grams of its pairs. Tasks
+   give back link counts and a spanning forest, never the pairs of a group.
 5. The forests' components are the near-duplicate classes.
 """
 
@@ -28,6 +29,8 @@ from florilege.llm.textkernels import Words, mix, sliced, utf8
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Representatives of a block; a task compares two blocks at most.
 BLOCK = 256
+#: Times that homes pass to the members of a bucket: large groups of near copies get one home, and chains stay cut in parts.
+HOPS = 2
 _SEED = 7
 
 
@@ -186,17 +189,36 @@ def _compare(threshold: float, n: int):
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
-    """``component, doc_id, weight, grams binary`` of the rows ``component, doc_id, weight, key_a, text`` whose set has that key."""
+    """``home, doc_id, weight, grams binary`` of the rows ``home, doc_id, weight, key_a, text`` whose set has that key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text", 1 << 20):
             h, size = gram_sets(Words(*utf8(part.column(4))), n)
             at = np.concatenate([[0], np.cumsum(size)])
             grams = pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
-            batch = pa.RecordBatch.from_arrays([*part.columns[:3], grams], ["component", "doc_id", "weight", "grams"])
+            batch = pa.RecordBatch.from_arrays([*part.columns[:3], grams], ["home", "doc_id", "weight", "grams"])
             yield batch.filter(pa.array(_keys(h, size)[0] == np.asarray(part.column(3))))
 
-    return texts.select("component", "doc_id", "weight", "key_a", "text").mapInArrow(run, "component long, doc_id long, weight long, grams binary")
+    return texts.select("home", "doc_id", "weight", "key_a", "text").mapInArrow(run, "home long, doc_id long, weight long, grams binary")
+
+
+def _home_pairs(shared: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
+    """What each home is compared with: ``home, low, high, role, own_blocks, other_blocks``.
+
+    Role 0 is the home with itself, 1 the lower and 2 the higher of two homes that have members in one bucket. Members of a
+    bucket nearly all share its leader as home, so a bucket has few homes, however many members.
+    """
+    sizes = candidates.groupBy("home").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    at = shared.join(candidates.select("doc_id", "home"), "doc_id").select("band", "h", "home").distinct()
+    several = at.groupBy("band", "h").agg(F.array_sort(F.collect_list("home")).alias("homes")).where(F.size("homes") > 1)
+    low = several.select("homes", F.posexplode("homes").alias("at", "low"))
+    pairs = low.select("low", F.explode(F.slice("homes", F.col("at") + 2, F.size("homes"))).alias("high")).distinct()
+    named = lambda side: sizes.select(F.col("home").alias(side), F.col("blocks").alias(f"{side}_blocks"))
+    pairs = pairs.join(named("low"), "low").join(named("high"), "high")
+    rows = lambda home, role, own, other: F.struct(F.col(home).alias("home"), "low", "high", F.lit(role).alias("role"), F.col(own).alias("own_blocks"), F.col(other).alias("other_blocks"))
+    both = pairs.select(F.explode(F.array(rows("low", 1, "low_blocks", "high_blocks"), rows("high", 2, "high_blocks", "low_blocks"))).alias("r")).select("r.*")
+    alone = sizes.select("home", F.col("home").alias("low"), F.col("home").alias("high"), F.lit(0).alias("role"), F.col("blocks").alias("own_blocks"), F.col("blocks").alias("other_blocks"))
+    return both.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -218,24 +240,25 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     classes = materialize(by_set, "classes")
     reps = classes.select(F.col("exact_id").alias("doc_id"), "weight", "key_a")
 
-    # buckets: every representative linked to the least one of each bucket
-    band_rows = sketched.join(reps, ["doc_id", "key_a"], "left_semi").select("doc_id", F.posexplode("bands").alias("band", "h")).where("h is not null")
+    # buckets with more than one representative, each led by its least one; a home is the least leader of a representative
+    band_rows = sketched.join(reps, ["doc_id", "key_a"], "left_semi").select("doc_id", F.posexplode("bands").alias("band", "h"))
     least = band_rows.groupBy("band", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    edges = band_rows.join(least, ["band", "h"]).where("doc_id != least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-    groups = connected_components(edges)
-    candidates = materialize(groups.join(reps, F.col("node") == F.col("doc_id")).select("doc_id", "component", "weight", "key_a"), "candidates")
+    shared = materialize(band_rows.join(least, ["band", "h"]), "buckets")
+    homes = shared.groupBy("doc_id").agg(F.min("least").alias("home"))
+    for _ in range(HOPS):
+        lead = shared.join(homes, "doc_id").groupBy("band", "h").agg(F.min("home").alias("lead"))
+        homes = materialize(shared.join(lead, ["band", "h"]).groupBy("doc_id").agg(F.min("lead").alias("home")), "homes")
+    candidates = materialize(homes.join(reps, "doc_id"), "candidates")
+    plan = materialize(_home_pairs(shared, candidates, block), "home-pairs")
 
-    # blocks of each component by hash, and the pairs of blocks
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
-    sizes = sizes.select(F.col("component").alias("c"), "blocks")
     texts = split_by_ids(docs.select("doc_id", "text"), "doc_id", candidates, "doc_id")[0].join(candidates, "doc_id")
     sets = _sets(texts, n).dropDuplicates(["doc_id"]) if repeats.limit(1).count() else _sets(texts, n)
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    placed = sets.join(sizes, F.col("component") == F.col("c")).withColumn("own", own)
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2))
-    tasks = placed.select(F.xxhash64("component", low, high).alias("task"), side.alias("side"), "doc_id", "weight", "grams")
+    placed = sets.join(plan, "home").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("own_blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+    first = F.when(F.col("role") == 0, F.least("own", "other")).when(F.col("role") == 1, F.col("own")).otherwise(F.col("other"))
+    second = F.when(F.col("role") == 0, F.greatest("own", "other")).when(F.col("role") == 1, F.col("other")).otherwise(F.col("own"))
+    side = F.when(F.col("role") > 0, F.col("role")).when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    tasks = placed.select(F.xxhash64("low", "high", first, second).alias("task"), side.cast("int").alias("side"), "doc_id", "weight", "grams")
     tasks = tasks.repartition("task").sortWithinPartitions("task", "doc_id")
     links = materialize(tasks.mapInArrow(_compare(threshold, n), "doc_id long, to long, links long"), "links")
 
