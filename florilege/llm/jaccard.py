@@ -25,6 +25,7 @@ from florilege.llm.components import connected_components
 from florilege.llm.idfilter import split_by_ids
 from florilege.llm.storage import materialize
 from florilege.llm.textkernels import Words, mix, sliced, utf8
+from florilege.llm.worker import begin
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Representatives of a block; a task compares two blocks at most.
@@ -162,6 +163,7 @@ def _compare(threshold: float, n: int):
         return [(ids[i], ids[label[i]], int(links[i])) for i in np.flatnonzero(links)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard")
         task, held, out = None, ([], [], [], []), []
 
         def batch_of(rows):
@@ -237,19 +239,19 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     members = members.where("k is null or (key_a = k.key_a and key_b = k.key_b)").select("doc_id", "n_grams", "key_a", "key_b").distinct()
     lone = members.where("n_grams = 0")
     by_set = members.where("n_grams > 0").groupBy("n_grams", "key_a", "key_b").agg(F.min("doc_id").alias("exact_id"), F.count("*").alias("weight"))
-    classes = materialize(by_set, "classes")
+    classes = materialize(by_set, "classes", lean=True)
     reps = classes.select(F.col("exact_id").alias("doc_id"), "weight", "key_a")
 
     # buckets with more than one representative, each led by its least one; a home is the least leader of a representative
     band_rows = sketched.join(reps, ["doc_id", "key_a"], "left_semi").select("doc_id", F.posexplode("bands").alias("band", "h"))
     least = band_rows.groupBy("band", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    shared = materialize(band_rows.join(least, ["band", "h"]), "buckets")
+    shared = materialize(band_rows.join(least, ["band", "h"]), "buckets", lean=True)
     homes = shared.groupBy("doc_id").agg(F.min("least").alias("home"))
     for _ in range(HOPS):
         lead = shared.join(homes, "doc_id").groupBy("band", "h").agg(F.min("home").alias("lead"))
-        homes = materialize(shared.join(lead, ["band", "h"]).groupBy("doc_id").agg(F.min("lead").alias("home")), "homes")
-    candidates = materialize(homes.join(reps, "doc_id"), "candidates")
-    plan = materialize(_home_pairs(shared, candidates, block), "home-pairs")
+        homes = materialize(shared.join(lead, ["band", "h"]).groupBy("doc_id").agg(F.min("lead").alias("home")), "homes", lean=True)
+    candidates = materialize(homes.join(reps, "doc_id"), "candidates", lean=True)
+    plan = materialize(_home_pairs(shared, candidates, block), "home-pairs", lean=True)
 
     texts = split_by_ids(docs.select("doc_id", "text"), "doc_id", candidates, "doc_id")[0].join(candidates, "doc_id")
     sets = _sets(texts, n).dropDuplicates(["doc_id"]) if repeats.limit(1).count() else _sets(texts, n)
@@ -273,7 +275,7 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without those that a smaller doc_id of their class stands for; rows with a null doc_id stay."""
-    gone = materialize(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone_id")), "gone")
+    gone = materialize(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone_id")), "gone", lean=True)
     columns = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*columns)
     key = columns[docs.columns.index("doc_id")]

@@ -25,10 +25,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/florilege/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, and survives the loss of executors."""
+def materialize(df: DataFrame, label: str, lean: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, and survives the loss of executors.
+
+    ``lean`` is for tables of a few numbers per document that come out of a shuffle: they are written in an eighth as many files
+    as there are shuffle partitions, which are sized for texts.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    if lean:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
