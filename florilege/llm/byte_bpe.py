@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from florilege.llm.worker import begin, keeps
+
 #: Pieces whose ids are kept at a time, and the longest of them in characters.
 CACHED_PIECES, CACHED_CHARS = 1_000_000, 48
 _NONE = 1 << 60
@@ -115,6 +117,9 @@ def _encoder(rank_path: str, pattern: str) -> Encoder:
     return Encoder(load_ranks(rank_path), pattern)
 
 
+keeps("byte_bpe", _encoder.cache_clear)
+
+
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """``doc_id, ids`` for every row of ``docs(doc_id, text)``.
 
@@ -123,6 +128,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("byte_bpe")
         encoder = _encoder(rank_path, pattern)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
@@ -153,6 +159,7 @@ def digest_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("byte_bpe")
         encoder = _encoder(rank_path, pattern)
         names = {rank: str(rank) for rank in encoder.tokens}.__getitem__
         for batch in batches:

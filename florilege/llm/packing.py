@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from florilege.llm.storage import materialize
+from florilege.llm.worker import begin, keeps
 
 WINDOW, END_ID = 4096, 2
 #: Pieces of a shard on average.
@@ -157,6 +158,9 @@ def _tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+keeps("packing", _tokenizer.cache_clear)
+
+
 def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of every row of ``docs(doc_id, text)``: ``doc_id, start, length, ids_crc32, doc_tokens``.
 
@@ -166,6 +170,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, en
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing")
         tokenizer = _tokenizer(tokenizer_path)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []

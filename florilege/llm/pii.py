@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from florilege.llm.worker import begin
+
 KINDS = ("email", "ip", "card", "phone")
 #: Atoms of a segment, and of an island that is decoded at a time.
 MAX_ATOMS, MAX_ISLAND = 16, 4000
@@ -320,6 +322,7 @@ def find_in_documents(docs: DataFrame) -> DataFrame:
     model = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("pii")
         for batch in batches:
             counts, digests, spans = [], [], []
             for text in batch.column(1):
@@ -355,6 +358,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     rows = docs.toDF(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("pii")
         for batch in batches:
             texts = [None if x is None else redact(x, find_spans(x, model)[1]) for x in (v.as_py() for v in batch.column(at))]
             yield batch.set_column(at, columns[at], pa.array(texts, batch.schema.field(at).type))
