@@ -39,9 +39,15 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a file that gives fewer tasks than there are cores, dealt out anew; a larger table stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return _table(spark, d, "documents").select("doc_id", "source", path.alias("path"), "text").withColumn("id", text.short_id(F.col("path")))
+    return _spread(_table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", path.alias("path"), "text").withColumn("id", text.short_id(F.col("path")))
 
 
 def _chunks(spark: SparkSession, d: str, options: ChunkOptions = ChunkOptions()) -> DataFrame:
