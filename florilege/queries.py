@@ -151,10 +151,17 @@ def fnv_hash(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("select doc_id, case when strlen(text) > 220 and strlen(text) = len(text) then substr(text, 1, 220) || '…' else text end as snippet from documents where strlen(text) = len(text) or strlen(text) <= 220")
 def snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Of documents that are ASCII alone or short, where SQL can cut bytes; :func:`snippets_all` has all of them."""
     docs = _table(spark, d, "documents").where((F.octet_length("text") == F.length("text")) | (F.octet_length("text") <= 220))
     return docs.select("doc_id", text.snippet(F.col("text")).alias("snippet"))
 
 
+@_query()
+def snippets_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all documents; without SQL, which cannot cut bytes."""
+    return _table(spark, d, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
+
+
 @_query(f"with {_chunk_sql()} select chunk_id, (1 + (case when 1000 <= start_offset then 1 else 0 end) + (case when 2500 <= start_offset then 1 else 0 end) + (case when 9000 <= start_offset then 1 else 0 end))::integer as page_number from chunk")
 def page_numbers(spark: SparkSession, d: str) -> DataFrame:
     bounds = F.array(*(F.lit(x).cast("long") for x in (1000, 2500, 9000)))
