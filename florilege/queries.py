@@ -312,22 +312,36 @@ _ASCII = "mixed as (select query_id from ftop join chunk using (chunk_id) group
 select query_id, 'Based on ' || count(*) || ' matching passage(s) in your documents:' || chr(10) || chr(10) || string_agg(rank || '. (' || document_path || ') ' || {_PASSAGE} || chr(10) || chr(10), '' order by rank) || '{_FOOT}' as text
 from ftop join chunk using (chunk_id) where query_id in (select query_id from mixed) group by query_id""")
 def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
-    """Of questions whose passages are ASCII alone, where SQL can cut bytes."""
+    """Of questions whose passages are ASCII alone, where SQL can cut bytes; :func:`extractive_answer_all` has all of them."""
     chunks = _chunks(spark, d).persist()
     found = answer(chunks, _questions(spark, d)).persist()
     return found.join(_ascii_questions(found, chunks), "query_id", "left_semi").select("query_id", "text")
 
 
+@_query()
+def extractive_answer_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all questions, refused ones too; without SQL, which cannot cut bytes."""
+    return _answers(spark, d).select("query_id", "text")
+
+
 @_query(f"""{_HYBRID}, {_ASCII}
 select query_id, '**Sources:**' || chr(10) || chr(10) || string_agg('- `' || document_path || '` (score ' || printf('%.3f', score) || '): ' || replace(case when strlen(text) > 220 then substr(text, 1, 220) || '…' else text end, chr(10), ' ') || chr(10), '' order by rank) || chr(10) as sources
 from ftop join chunk using (chunk_id) where query_id in (select query_id from mixed) group by query_id""")
 def session_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Of questions whose passages are ASCII alone; :func:`session_sources_all` has all of them."""
     chunks = _chunks(spark, d).persist()
     found = answer(chunks, _questions(spark, d)).persist()
     sections = export.session_sections(found.join(_ascii_questions(found, chunks), "query_id", "left_semi").withColumn("seq", F.col("query_id")))
     return sections.select(F.col("seq").alias("query_id"), F.concat(F.lit("**Sources:**"), F.element_at(F.split("section", r"\*\*Sources:\*\*"), -1)).alias("sources"))
 
 
+@_query()
+def session_sources_all(spark: SparkSession, d: str) -> DataFrame:
+    """Whole sections of all questions, refused ones too, which have no sources; without SQL, which cannot cut bytes."""
+    sections = export.session_sections(_answers(spark, d).withColumn("seq", F.col("query_id")))
+    return sections.select(F.col("seq").alias("query_id"), "section")
+
+
 @_query()
 def answer_json(spark: SparkSession, d: str) -> DataFrame:
     return export.answer_json(_answers(spark, d))
@@ -338,11 +352,18 @@ select query_id, 'Based on ' || count(*) || ' matching passage(s) in your docume
   || chr(10) || 'Sources:' || chr(10) || string_agg('  - ' || document_path || ' (score ' || printf('%.3f', score) || ')' || chr(10), '' order by rank) as rendered
 from ftop join chunk using (chunk_id) where query_id in (select query_id from mixed) group by query_id""")
 def answer_text(spark: SparkSession, d: str) -> DataFrame:
+    """Of questions whose passages are ASCII alone; :func:`answer_text_all` has all of them."""
     chunks = _chunks(spark, d).persist()
     found = answer(chunks, _questions(spark, d)).persist()
     return export.answer_text(found.join(_ascii_questions(found, chunks), "query_id", "left_semi"))
 
 
+@_query()
+def answer_text_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all questions, refused ones too; without SQL, which cannot cut bytes."""
+    return export.answer_text(_answers(spark, d))
+
+
 @_query("""with t as (select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) as reply, lead(role) over (partition by conv_id order by turn) as next_role from conversations)
 select conv_id, turn, '## Q' || turn || ': ' || text || chr(10) || chr(10) || reply || chr(10) || chr(10) as section from t where role = 'user' and next_role = 'assistant'""")
 def session_markdown(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 
 from florilege import queries
+from florilege.plans.answer import FOOTER, REFUSAL
 
 #: One chunk each; the cuts at 220 and 400 bytes split characters of two, three and four bytes.
 TEXTS = {
@@ -17,12 +18,15 @@ TEXTS = {
     9: "é" * 110,
     10: "",
 }
+#: The last is refused: no document has a word of it.
+ASKED = {1: "When must the greenhouse door be closed?", 2: "Muss die Tür des Gewächshauses nachts geschlossen sein?", 3: "La porte de la serre doit être fermée la nuit?", 4: "zzzqqxx nonsense gibberish"}
 
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame([(i, t, "s") for i, t in TEXTS.items()], "doc_id long, text string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(list(ASKED.items()), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return d
 
 
@@ -36,3 +40,18 @@ def test_snippets_of_all_documents(spark, tables):
     assert got == {i: cut(t, 220) for i, t in TEXTS.items()} and sum("�" in t for t in got.values()) >= 3
     some = {r.doc_id: r.snippet for r in queries.snippets(spark, tables).collect()}
     assert len(some) < len(got) and some.items() <= got.items()
+
+
+def test_answers_to_all_questions(spark, tables):
+    hits, nl = {}, "\n"
+    for r in sorted(queries.hybrid_topk(spark, tables).collect(), key=lambda r: r["rank"]):
+        text = TEXTS[int(r.document_path.removeprefix("documents/").removesuffix(".txt"))].strip()
+        hits.setdefault(r.query_id, []).append((r["rank"], r.document_path, text, f"{r.score:.3f}"))
+    answers = {q: f"Based on {len(h)} matching passage(s) in your documents:\n\n" + "".join(f"{i}. ({p}) {cut(t, 400)}\n\n" for i, p, t, _ in h) + FOOTER for q, h in hits.items()} | {4: REFUSAL}
+    foot = {q: "\nSources:\n" + "".join(f"  - {p} (score {s})\n" for _, p, _, s in h) for q, h in hits.items()} | {4: ""}
+    sources = {q: "**Sources:**\n\n" + "".join(f"- `{p}` (score {s}): {cut(t, 220).replace(nl, ' ')}\n" for _, p, t, s in h) + "\n" for q, h in hits.items()} | {4: ""}
+    run = lambda name: {r.query_id: r[1] for r in queries.QUERIES[name](spark, tables).collect()}
+    assert run("extractive_answer_all") == answers
+    assert run("answer_text_all") == {q: f"{t}\n{foot[q]}" for q, t in answers.items()}
+    assert run("session_sources_all") == {q: f"## Q{q}: {ASKED[q]}\n\n{t}\n\n{sources[q]}" for q, t in answers.items()}
+    assert any("�" in t for t in answers.values()) and run("extractive_answer") == {}
