@@ -6,6 +6,8 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import RDD
+from pyspark.serializers import NoOpSerializer, PairDeserializer, UTF8Deserializer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +69,64 @@ def read_files(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInArrow(run, "path string, content binary, error string")
 
 
+def _store_listing(spark: SparkSession, root: str) -> dict[str, tuple]:
+    """Hadoop path and length of every file under a root, or under what it matches as a pattern, by name."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    tops = [where] if fs.exists(where) else [s.getPath() for s in fs.globStatus(where) or ()]
+    if not tops:
+        raise FileNotFoundError(root)
+    out = {}
+    for top in tops:
+        found = fs.listFiles(top, True)
+        while found.hasNext():
+            status = found.next()
+            out[status.getPath().toString()] = status.getPath(), status.getLen()
+    return out
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark's readers leave out a folder of this name, unless it is a root."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
+def _streams(spark: SparkSession, files: list[tuple], files_per_task: int = 256) -> DataFrame:
+    """``path, content`` of Hadoop paths with lengths, whatever their names; the executors open them."""
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    hadoop, conf = jvm.org.apache.hadoop, jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())
+    for prefix in ("mapreduce.", "yarn."):
+        for key in list(conf.getPropsWithPrefix(prefix)):
+            conf.unset(prefix + key)  # each stream carries the settings; those of file systems are enough
+    context = hadoop.mapreduce.task.TaskAttemptContextImpl(conf, hadoop.mapreduce.TaskAttemptID())
+    pairs = jvm.java.util.ArrayList()
+    for path, length in files:
+        paths, starts, lengths = new_array(hadoop.fs.Path, 1), new_array(jvm.long, 1), new_array(jvm.long, 1)
+        paths[0], starts[0], lengths[0] = path, 0, length
+        split = hadoop.mapreduce.lib.input.CombineFileSplit(paths, starts, lengths, new_array(jvm.String, 0))
+        pairs.add(jvm.scala.Tuple2(path.toString(), jvm.org.apache.spark.input.PortableDataStream(split, context, 0)))
+    rows = RDD(spark._jsc.parallelizePairs(pairs, max(1, len(files) // files_per_task)), spark.sparkContext, PairDeserializer(UTF8Deserializer(), NoOpSerializer()))
+    return spark.createDataFrame(rows.map(lambda r: (r[0], bytearray(r[1]))), "path string, content binary")
+
+
 def read_store_files(spark: SparkSession, root: str) -> DataFrame:
-    """The same columns for a root in any store that Spark reads; names that begin with a dot or underscore are left out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """The same columns for every file under a root in any store that Spark reads; FileNotFoundError if there is none.
+
+    Spark's reader leaves out files and folders whose names begin with a dot or underscore, and empty files. Such folders are
+    given to it as roots, and the files that it still leaves out are opened as streams. Only names are gathered here.
+    """
+    listed = _store_listing(spark, root)
+    load = lambda paths: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    found = load(root)
+    left = listed.keys() - {r.path for r in found.select("path").toLocalIterator()}
+    parents = {p[:i] for p in left for i in range(len(p)) if p[i] == "/"}
+    base = spark._jvm.org.apache.hadoop.fs.Path(root).depth()
+    folders = sorted(p for p in parents if _hidden(p.rpartition("/")[2]) and not set(p) & set("*?[]{}\\") and spark._jvm.org.apache.hadoop.fs.Path(p).depth() > base)
+    if folders:
+        found = found.unionByName(load(folders))
+        left -= {r.path for r in found.select("path").toLocalIterator()}
+    found = found.select("path", "content")
+    if left:
+        found = found.unionByName(_streams(spark, [listed[p] for p in sorted(left)]))
     return found.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content", F.lit(None).cast("string").alias("error"))
 
 
