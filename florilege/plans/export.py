@@ -24,12 +24,12 @@ def answer_text(answers: DataFrame) -> DataFrame:
     return answers.select("query_id", F.concat("text", F.lit("\n"), F.when(_cited(answers), F.concat(F.lit("\nSources:\n"), lines)).otherwise("")).alias("rendered"))
 
 
-def session_sections(answers: DataFrame) -> DataFrame:
-    """``seq, section`` of ``answers(seq, question, text, citations, answerable)``: a Markdown section for each exchange."""
+def session_sections(answers: DataFrame, *keep: str) -> DataFrame:
+    """``seq, section`` of ``answers(seq, question, text, citations, answerable)``, after the columns ``keep``: a Markdown section for each exchange."""
     source = lambda c: F.concat(F.lit("- `"), c["document_path"], F.lit("` (score "), three_digits(c["score"]), F.lit("): "), one_line(c["snippet"]), F.lit("\n"))
     sources = F.concat(F.lit("**Sources:**\n\n"), F.array_join(F.transform("citations", source), ""), F.lit("\n"))
     head = F.concat(F.lit("## Q"), F.col("seq").cast("string"), F.lit(": "), F.col("question"), F.lit("\n\n"), F.col("text"), F.lit("\n\n"))
-    return answers.select("seq", F.concat(head, F.when(_cited(answers), sources).otherwise("")).alias("section"))
+    return answers.select(*keep, "seq", F.concat(head, F.when(_cited(answers), sources).otherwise("")).alias("section"))
 
 
 def session_markdown(answers: DataFrame, collection: str, exported_at: str) -> str:

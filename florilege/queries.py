@@ -372,9 +372,8 @@ def session_markdown(spark: SparkSession, d: str) -> DataFrame:
     turns = _table(spark, d, "conversations").withColumn("reply", F.lead("text").over(by)).withColumn("next_role", F.lead("role").over(by))
     pairs = turns.where("role = 'user' and next_role = 'assistant'")
     none = F.lit(None).cast("array<struct<chunk_id:string,document_path:string,snippet:string,score:double>>")
-    keyed = pairs.select(F.struct("conv_id", "turn").alias("key"), F.col("turn").alias("seq"), F.col("text").alias("question"), F.col("reply").alias("text"), none.alias("citations"), F.lit(True).alias("answerable"))
-    head = F.concat(F.lit("## Q"), F.col("seq").cast("string"), F.lit(": "), F.col("question"), F.lit("\n\n"), F.col("text"), F.lit("\n\n"))
-    return keyed.select("key.conv_id", "key.turn", head.alias("section"))
+    exchanges = pairs.select("conv_id", "turn", F.col("turn").alias("seq"), F.col("text").alias("question"), F.col("reply").alias("text"), none.alias("citations"), F.lit(True).alias("answerable"))
+    return export.session_sections(exchanges, "conv_id", "turn").drop("seq")
 
 
 # --- ingestion -------------------------------------------------------------------------------------------------------------

@@ -55,3 +55,12 @@ def test_answers_to_all_questions(spark, tables):
     assert run("answer_text_all") == {q: f"{t}\n{foot[q]}" for q, t in answers.items()}
     assert run("session_sources_all") == {q: f"## Q{q}: {ASKED[q]}\n\n{t}\n\n{sources[q]}" for q, t in answers.items()}
     assert any("�" in t for t in answers.values()) and run("extractive_answer") == {}
+
+
+def test_session_markdown_goes_through_the_operator(spark, tmp_path, monkeypatch):
+    turns = [(7, 0, "user", "Wie spät?"), (7, 1, "assistant", "Acht."), (8, 0, "assistant", "Hello"), (8, 1, "user", "Bye?"), (8, 2, "assistant", "Bye."), (8, 3, "user", "And?")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    calls, real = [], queries.export.session_sections
+    monkeypatch.setattr(queries.export, "session_sections", lambda *a: calls.append(a) or real(*a))
+    got = sorted(map(tuple, queries.session_markdown(spark, str(tmp_path)).collect()))
+    assert got == [(7, 0, "## Q0: Wie spät?\n\nAcht.\n\n"), (8, 1, "## Q1: Bye?\n\nBye.\n\n")] and len(calls) == 1
