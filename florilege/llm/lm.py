@@ -308,7 +308,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Tokens are words with A-Z lowered, then one end. A null text counts as empty (one token); null ids are kept; repeated rows
     are learned from and scored each. Without training documents only the uniform part is left, and scores are 0 times
-    log10(1). An empty table gives no rows.
+    log10(1). An empty table gives no rows. Where no training document is in the deleted share, as in small tables, no weights
+    are learned: every bucket takes 0, 0.9 and 0.1 for bigram, unigram and uniform part, so that bigrams don't count.
 
     ``docs`` is read twice, once for the n-grams and once for the documents to be scored, rather than kept: it should be a
     table as written, whose tasks see the same rows each time. If they don't, the job fails; it never mixes counts up.
