@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from florilege.llm.worker import begin
 
 KINDS = ("email", "ip", "card", "phone")
-#: Atoms of a segment, and of an island that is decoded at a time.
-MAX_ATOMS, MAX_ISLAND = 16, 4000
+#: Atoms of a segment, and those whose candidates are scored at a time; islands may be of any length.
+MAX_ATOMS, SCORED_ATOMS = 16, 1000
 #: Sentences and rounds of the training; both bound its cost.
 TRAIN_SENTENCES, TRAIN_ROUNDS = 160, 40
 
@@ -94,7 +94,7 @@ def islands(text: str) -> Iterator[tuple[int, int]]:
             low -= 1
         stop = _BLANK.search(text, m.end())
         high = stop.start() if stop else len(text)
-        if low - end == 1 and start >= 0 and high - start < MAX_ISLAND:
+        if low - end == 1 and start >= 0:
             end = high
         else:
             if start >= 0:
@@ -133,21 +133,33 @@ def span_features(text: str, start: int, end: int) -> np.ndarray:
     ], dtype=float)
 
 
-def candidates(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Atom bounds of an island, and candidate segments as atom ranges: those that hold an @ or seven digits, without blanks at
-    the sides and with no mark there that no kind can have."""
+def _atoms(text: str, start: int, end: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Atom bounds of an island, and the digits and @ before each bound."""
     bounds = [start, *(m.end() for m in _ATOM.finditer(text, start, end))]
-    n, out = len(bounds) - 1, []
+    n = len(bounds) - 1
     digits = np.concatenate([[0], np.cumsum([bounds[i + 1] - bounds[i] if "0" <= text[bounds[i]] <= "9" else 0 for i in range(n)])])
     marks = np.concatenate([[0], np.cumsum([text[bounds[i]] == "@" for i in range(n)])])
-    for i in range(n):
+    return bounds, digits, marks
+
+
+def _segments(text: str, bounds: list[int], digits: np.ndarray, marks: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
+    """Candidates that begin at the atoms from low to high."""
+    n, out = len(bounds) - 1, []
+    for i in range(low, min(n, high)):
         first = text[bounds[i]]
         if not (first.isalnum() or first in "+("):
             continue
         for j in range(i + 1, min(n, i + MAX_ATOMS) + 1):
             if text[bounds[j] - 1].isalnum() and (marks[j] - marks[i] == 1 or (marks[j] == marks[i] and digits[j] - digits[i] >= 7)):
                 out.append((i, j))
-    return bounds, out
+    return out
+
+
+def candidates(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Atom bounds of an island, and candidate segments as atom ranges: those that hold an @ or seven digits, without blanks at
+    the sides and with no mark there that no kind can have."""
+    bounds, digits, marks = _atoms(text, start, end)
+    return bounds, _segments(text, bounds, digits, marks, 0, len(bounds) - 1)
 
 
 class SemiMarkov:
@@ -157,34 +169,40 @@ class SemiMarkov:
         self.weights, self.follow = weights, follow
 
     def decode(self, text: str, start: int, end: int) -> list[Span]:
-        """The best segmentation of an island: its segments that are not outside."""
-        bounds, found = candidates(text, start, end)
-        if not found:
-            return []
-        scores = np.stack([span_features(text, bounds[i], bounds[j]) for i, j in found]) @ self.weights.T
+        """The best segmentation of an island: its segments that are not outside.
+
+        Candidates are scored a part at a time; the state of the search goes on from part to part.
+        """
+        bounds, digits, marks = _atoms(text, start, end)
         n, states = len(bounds) - 1, len(KINDS) + 1
+        found = _segments(text, bounds, digits, marks, 0, SCORED_ATOMS)
+        if not found and n <= SCORED_ATOMS:
+            return []
         best = np.full((n + 1, states), -np.inf)
-        back: list[list[tuple[int, int] | None]] = [[None] * states for _ in range(n + 1)]
+        back = np.zeros((n + 1, states, 2), np.int8)  # atoms of the segment, and the state before it
         best[0, 0] = 0
-        ending: dict[int, list[int]] = {}
-        for c, (_, j) in enumerate(found):
-            ending.setdefault(j, []).append(c)
-        for j in range(1, n + 1):
-            y = int(np.argmax(best[j - 1]))
-            best[j, 0], back[j][0] = best[j - 1, y], (j - 1, y)
-            for c in ending.get(j, ()):
-                i = found[c][0]
-                for k in range(len(KINDS)):
-                    by = best[i] + self.follow[:, k]
-                    y = int(np.argmax(by))
-                    if by[y] + scores[c, k] > best[j, k + 1]:
-                        best[j, k + 1], back[j][k + 1] = by[y] + scores[c, k], (i, y)
+        for low in range(0, n, SCORED_ATOMS):
+            if low:
+                found = _segments(text, bounds, digits, marks, low, low + SCORED_ATOMS)
+            scores = np.stack([span_features(text, bounds[i], bounds[j]) for i, j in found]) @ self.weights.T if found else None
+            c = 0
+            for i in range(low, min(n, low + SCORED_ATOMS)):
+                y = int(np.argmax(best[i]))
+                best[i + 1, 0], back[i + 1, 0] = best[i, y], (1, y)
+                while c < len(found) and found[c][0] == i:
+                    j = found[c][1]
+                    for k in range(len(KINDS)):
+                        by = best[i] + self.follow[:, k]
+                        y = int(np.argmax(by))
+                        if by[y] + scores[c, k] > best[j, k + 1]:
+                            best[j, k + 1], back[j, k + 1] = by[y] + scores[c, k], (j - i, y)
+                    c += 1
         out, j, y = [], n, int(np.argmax(best[n]))
         while j:
-            i, before = back[j][y]
+            atoms, before = map(int, back[j, y])
             if y:
-                out.append((KINDS[y - 1], bounds[i], bounds[j]))
-            j, y = i, before
+                out.append((KINDS[y - 1], bounds[j - atoms], bounds[j]))
+            j, y = j - atoms, before
         return out[::-1]
 
 
