@@ -3,17 +3,24 @@
 The sketch of a statistic is a histogram over logarithmic bins (relative error ``SKETCH_ERROR``), kept as rows of
 ``(lang, source, stat, bin, n)``. Two sketches merge by adding counts, so Spark builds them with partial sums before the
 shuffle, in any order, and the result does not depend on the partitioning; a source with a third of all rows is no hot key.
-The sketches of a language, and of the whole corpus, are sums of those of its groups.
+The sketches of a language, and of the whole corpus, are sums of those of its groups. Documents that fail the base rules are
+in no sketch.
 
-A document is rejected if a statistic lies beyond its group's upper fence, ``q75 + reach * max(q75 - q50, slack)``. Groups of
-fewer than ``min_group`` documents take the fences of their language, and such languages those of the corpus.
+Every group's sketch is joined by ``PRIOR`` documents' worth of its language's, which has as many of the corpus's: a group of
+few documents is judged nearly as its language, a large one by its own, without a size at which this changes.
+
+A document is rejected if a statistic lies beyond its group's upper fence. All fences are read off the sketch, on its own
+(logarithmic) scale; no statistic has a constant of its own:
+
+* of statistics of the whole text (``BULK``), ``q75 * (q75 / q50) ** REACH``: with the quartile and median of a bell curve that
+  is about six standard deviations. Up to a quarter of a group may be junk without moving its fence much;
+* of statistics that most documents lack (``RARE``), so that quartiles say nothing, the quantile ``TAIL``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +35,17 @@ from florilege.llm.textkernels import Words, sliced, utf8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Groups of language and source up to which their fences (about 150 bytes each) are broadcast.
 BROADCAST_GROUPS = 50_000
-SKETCH_ERROR, REACH, MIN_GROUP = 0.02, 4.0, 200
-#: Statistics with fences, each with the least spread that counts: fractions of a text that a clean one keeps small.
-STATS = {"symbols": 0.02, "dup_lines": 0.12, "repeats": 0.07, "upper": 0.12, "marks": 0.02, "word_length": 1.0}
+SKETCH_ERROR = 0.01
+#: Spreads of the upper half's quartile beyond which a text is no part of the bulk; the quantile kept of rare statistics.
+REACH, TAIL = 8.0, 0.998
+#: Documents for which the parent's sketch counts in that of a group.
+PRIOR = 200
+BULK, RARE = ("symbols", "upper", "word_length"), ("dup_lines", "repeats", "marks")
+STATS = (*BULK, *RARE)
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _GAMMA = (1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)
-#: Values at or below this share the sketch's zero bin.
-_ZERO = 1e-4
+#: Values at or below this share the sketch's zero bin: one character, line or word in a thousand.
+_ZERO = 1e-3
 
 
 def _measure(words: Words) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -67,35 +78,67 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def sketch(stats: DataFrame) -> DataFrame:
-    """Sketches by ``lang, source, stat`` of rows of :func:`with_stats`: ``lang, source, stat, bin, n``."""
+    """Sketches by ``lang, source, stat`` of the rows of :func:`with_stats` that pass the base rules: ``lang, source, stat, bin, n``."""
     bins = F.transform("rule.stats", lambda x: F.when(x > _ZERO, F.ceil(F.log(x / _ZERO) / math.log(_GAMMA))).otherwise(0).cast("int"))
-    return stats.select("lang", "source", F.posexplode(bins).alias("stat", "bin")).groupBy("lang", "source", "stat", "bin").agg(F.count("*").alias("n"))
+    rows = stats.where(~base_failed()).select("lang", "source", F.posexplode(bins).alias("stat", "bin"))
+    return rows.groupBy("lang", "source", "stat", "bin").agg(F.count("*").alias("n"))
+
+
+def place(bins: np.ndarray, weight: np.ndarray, p: float) -> float:
+    """The quantile p of a sketch, in bins above the zero bin, as if a bin's values were spread evenly over it."""
+    order = np.argsort(bins, kind="stable")
+    bins, total = bins[order], np.cumsum(weight[order])
+    k = int(np.searchsorted(total, p * total[-1]))
+    k = min(k, len(bins) - 1)
+    if not bins[k]:
+        return 0.0
+    low = int(np.searchsorted(bins, bins[k]))  # a bin may be there more than once
+    high = int(np.searchsorted(bins, bins[k], "right")) - 1
+    below = total[low - 1] if low else 0.0
+    return float(bins[k] - 1 + min(1.0, (p * total[-1] - below) / (total[high] - below)))
+
+
+def fence(stat: int, bins: np.ndarray, weight: np.ndarray) -> float:
+    """The upper fence of the statistic of this number, from a sketch."""
+    if STATS[stat] in RARE:
+        return _ZERO * _GAMMA ** place(bins, weight, TAIL)
+    q50, q75 = place(bins, weight, 0.5), place(bins, weight, 0.75)
+    return _ZERO * _GAMMA ** min(q75 + REACH * (q75 - q50), 100_000.0)
 
 
-def fences(sketches: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP) -> DataFrame:
+def blended(own: tuple[np.ndarray, np.ndarray], parent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and weights of a sketch together with ``PRIOR`` documents' worth of its parent's."""
+    share = parent[1] * (PRIOR / parent[1].sum())
+    return np.concatenate([own[0], parent[0]]), np.concatenate([own[1], share])
+
+
+def fences(sketches: DataFrame) -> DataFrame:
     """One row per ``lang, source`` with ``fences array<double>`` in the order of ``STATS``.
 
-    Nulls are groups of their own. The windows run over bins, of which a group has at most a few hundred.
+    Nulls are groups of their own. A group's sketch is one row of at most some thousand bins, whatever its documents. The
+    corpus's sketch, as small, goes through the driver. ``sketches`` is read more than once: pass a written table.
     """
-    levels = []
-    for level, by in enumerate((["lang", "source"], ["lang"], [])):
-        at = sketches.groupBy(*by, "stat", "bin").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy(*by, "stat")
-        at = at.withColumn("total", F.sum("n").over(w)).withColumn("below", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-        value = F.when(F.col("bin") > 0, F.lit(_ZERO) * F.pow(F.lit(_GAMMA), F.col("bin") - 0.5)).otherwise(F.lit(0.0))
-        q = lambda p, value=value: F.min(F.when(F.col("below") >= F.lit(p) * F.col("total"), value))
-        at = at.groupBy(*by, "stat").agg(F.max("total").alias("total"), q(0.5).alias("q50"), q(0.75).alias("q75"))
-        slack = reduce(lambda c, i: c.when(F.col("stat") == i[0], F.lit(i[1])), enumerate(STATS.values()), F.when(F.lit(False), F.lit(0.0)))
-        fence = F.col("q75") + F.lit(reach) * F.greatest(F.col("q75") - F.col("q50"), slack)
-        at = at.groupBy(*by).agg(F.max("total").alias(f"total_{level}"), F.transform(F.array_sort(F.collect_list(F.struct("stat", fence.alias("fence")))), lambda s: s["fence"]).alias(f"fences_{level}"))
-        levels.append(at)
-    group, lang, corpus = levels
-    lang = lang.withColumnRenamed("lang", "lang_1")
-    out = group.join(lang, group["lang"].eqNullSafe(lang["lang_1"]), "left")
-    whole = corpus.first()  # one row of the corpus's fences
-    last = F.array(*map(F.lit, whole["fences_2"])) if whole else F.lit(None).cast("array<double>")
-    chosen = F.when(F.col("total_0") >= min_group, F.col("fences_0")).when(F.col("total_1") >= min_group, F.col("fences_1")).otherwise(last)
-    return out.select("lang", "source", chosen.alias("fences"))
+    bins = F.collect_list(F.struct("stat", "bin", "n"))
+    group = sketches.groupBy("lang", "source").agg(bins.alias("own"))
+    lang = sketches.groupBy("lang", "stat", "bin").agg(F.sum("n").alias("n")).groupBy(F.col("lang").alias("of")).agg(bins.alias("parent"))
+    whole = np.array([tuple(r) for r in sketches.groupBy("stat", "bin").agg(F.sum("n").alias("n")).collect()], float).reshape(-1, 3)  # bounded: bins of a few statistics
+
+    def of(table: np.ndarray, stat: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = table[table[:, 0] == stat]
+        return rows[:, 1], rows[:, 2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda value: np.stack([np.asarray(value.values.field(c), float) for c in ("stat", "bin", "n")], axis=1)
+        for batch in batches:
+            out = []
+            for own, parent in zip(batch.column(2), batch.column(3), strict=True):
+                own, parent = read(own), read(parent)
+                out.append([fence(k, *blended(of(own, k), blended(of(parent, k), of(whole, k)))) for k in range(len(STATS))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.float64()))], ["lang", "source", "fences"])
+
+    both = group.join(lang, group["lang"].eqNullSafe(lang["of"])).select("lang", "source", "own", "parent")
+    schema = T.StructType([sketches.schema["lang"], sketches.schema["source"], T.StructField("fences", T.ArrayType(T.DoubleType()))])
+    return both.mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
@@ -105,13 +148,14 @@ def base_failed() -> Column:
 def judged(stats: DataFrame, fence_rows: DataFrame) -> DataFrame:
     """Add ``base_failed`` and ``kept`` to rows of :func:`with_stats`, by a join with the fences of their group.
 
-    The fences are broadcast if a count shows them to be few, so that documents stay where they are.
+    The fences are broadcast if a count shows them to be few, so that documents stay where they are. A group without fences has
+    no document that passes the base rules.
     """
     f = materialize(fence_rows, "fences", lean=True).select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), "fences")
     if f.count() <= BROADCAST_GROUPS:
         f = F.broadcast(f)
     joined = stats.join(f, stats["lang"].eqNullSafe(f["fence_lang"]) & stats["source"].eqNullSafe(f["fence_source"]), "left")
-    beyond = F.exists(F.arrays_zip(F.col("rule.stats").alias("x"), F.col("fences").alias("f")), lambda p: p["x"] > p["f"])
+    beyond = F.coalesce(F.exists(F.arrays_zip(F.col("rule.stats").alias("x"), F.col("fences").alias("f")), lambda p: p["x"] > p["f"]), F.lit(False))
     failed = base_failed()
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~beyond).drop("fence_lang", "fence_source", "fences")
 
@@ -123,7 +167,7 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     Repeated rows are judged each; an empty table gives no rows; other columns are ignored.
     """
     stats = materialize(with_stats(docs, ["doc_id", "lang", "source"]), "rules")
-    return judged(stats, fences(sketch(stats))).select("doc_id", *(F.col(f"rule.{c}").alias(c) for c in BASE), "base_failed", "kept")
+    return judged(stats, fences(materialize(sketch(stats), "sketch", lean=True))).select("doc_id", *(F.col(f"rule.{c}").alias(c) for c in BASE), "base_failed", "kept")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:

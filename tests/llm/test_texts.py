@@ -167,10 +167,80 @@ def test_sketches_merge_and_bound_the_error(spark):
         for r in rules.sketch(part).collect():
             halves[tuple(r)[:4]] += r.n
     assert whole == dict(halves)
-    lengths = sorted(r.rule.stats[-1] for r in stats.collect())
-    fence = rules.fences(rules.sketch(stats), min_group=1).first().fences[-1]
+    k = rules.STATS.index("word_length")
+    lengths = sorted(r.rule.stats[k] for r in stats.collect())
+    fence = rules.fences(rules.sketch(stats)).first().fences[k]
     q50, q75 = lengths[149], lengths[224]
-    assert abs(fence - (q75 + rules.REACH * max(q75 - q50, 1.0))) < 0.03 * fence + 0.5
+    assert abs(math.log(fence) - math.log(q75 * (q75 / q50) ** rules.REACH)) < rules.REACH * 2 * rules.SKETCH_ERROR
+
+
+def _plain_stats(text):
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = collections.Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+    covered = {k + j for k in range(len(words) - 7) if windows[tuple(words[k : k + 8])] > 1 for j in range(8)}
+    n, chars = max(1, len(words)), max(1, sum(map(len, words)))
+    share = {
+        "symbols": sum(c in "#*$%&|<>" for c in text) / chars, "upper": sum("A" <= c <= "Z" for c in text) / chars, "word_length": sum(map(len, words)) / n,
+        "dup_lines": (len(lines) - len(set(lines))) / max(1, len(lines)), "repeats": len(covered) / n, "marks": sum(c in "!?" for c in text) / chars,
+    }
+    return len(words) < 20 or 100 * len(covered) > 30 * len(words), share
+
+
+def _plain_fence(name, samples):
+    """Fence of (weight, values) samples, each of weight documents in all, by walking over the bins."""
+    gamma, mass = (1 + rules.SKETCH_ERROR) / (1 - rules.SKETCH_ERROR), collections.Counter()
+    for weight, values in samples:
+        for v in values:
+            mass[max(0, math.ceil(math.log(v / 1e-3) / math.log(gamma))) if v > 1e-3 else 0] += weight / len(values)
+
+    def at(p):
+        seen, goal = 0.0, p * sum(mass.values())
+        for b in sorted(mass):
+            if seen + mass[b] >= goal - 1e-9:
+                return b - 1 + (goal - seen) / mass[b] if b else 0.0
+            seen += mass[b]
+
+    place = at(rules.TAIL) if name in ("dup_lines", "repeats", "marks") else at(0.75) + rules.REACH * (at(0.75) - at(0.5))
+    return 1e-3 * gamma**place
+
+
+def test_verdicts_against_plain_sketches_of_unlike_groups(spark):
+    rng = random.Random(8)
+    words, _ = _corpus(1)
+
+    def text(symbols, upper, repeat):
+        w = [rng.choice(words) for _ in range(rng.randint(30, 60))]
+        w = [x.capitalize() if rng.random() < upper else x for x in w]
+        w = [x + "#" if rng.random() < symbols else x for x in w]
+        lines = [" ".join(w[i : i + 6]) for i in range(0, len(w), 6)]
+        return "\n".join(lines + lines[:1] * (rng.random() < repeat))
+
+    like = {("en", "prose"): (0, 0.05, 0.02), ("en", "code"): (0.3, 0.1, 0.3), ("de", "prose"): (0, 0.4, 0.02), (None, "few"): (0, 0.05, 0), ("de", None): (0.1, 0.4, 0)}
+    rows = []
+    for (lang, source), (symbols, upper, repeat) in like.items():
+        for i in range(12 if source == "few" else 260):
+            odd = i % 20 == 0
+            rows.append((len(rows), text(rng.random() if odd else symbols * rng.random(), rng.random() if odd else upper * rng.random(), repeat), lang, source))
+    rows += [(len(rows), "too few words", "en", "code"), (len(rows) + 1, "x " * 50, "xx", "junk"), (len(rows) + 2, None, "en", "prose")]
+    got = {r.doc_id: r for r in rules.judge_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
+    plain = {i: (lang, source, *_plain_stats(t or "")) for i, t, lang, source in rows}
+    good = [(lang, source, x) for lang, source, failed, x in plain.values() if not failed]
+    fences = {}
+    for lang, source in like:
+        for name in rules.STATS:
+            own, tongue, whole = ([x[name] for a, b, x in good if by(a, b)] for by in (lambda a, b: (a, b) == (lang, source), lambda a, b: a == lang, lambda a, b: True))  # noqa: B023
+            parent = rules.PRIOR / (len(tongue) + rules.PRIOR)
+            fences[lang, source, name] = _plain_fence(name, [(len(own), own), (parent * len(tongue), tongue), (parent * rules.PRIOR, whole)])
+    verdicts = {}
+    for i, (lang, source, failed, x) in plain.items():
+        near = not failed and any(abs(x[n] - fences[lang, source, n]) < 1e-9 for n in rules.STATS)
+        verdicts[i] = not failed and not any(x[n] > fences[lang, source, n] for n in rules.STATS)
+        assert got[i].base_failed == failed and (near or got[i].kept == verdicts[i])
+    # no single set of fences gives these verdicts: what one group keeps is beyond the fence of another
+    worst = {n: max(x[n] for i, (_, _, _, x) in plain.items() if verdicts[i]) for n in rules.STATS}
+    assert sum(not verdicts[i] and all(x[n] <= worst[n] for n in rules.STATS) for i, (_, _, failed, x) in plain.items() if not failed) >= 20
+    assert len({round(f, 4) for (_, _, n), f in fences.items() if n == "upper"}) == len(like)
 
 
 # --- classifier --------------------------------------------------------------------------------------------------------------
