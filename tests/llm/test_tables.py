@@ -220,10 +220,35 @@ def test_sharding_odd_rows(spark, tmp_path):
     got = sharding.shard_documents(docs, 200).collect()
     assert len(got) == 45 and all(r.shard_bytes <= 200 for r in got)  # repeated ids are told apart by their place
     assert sharding.shard_documents(docs.limit(0)).count() == 0
-    few = spark.createDataFrame([(i, "z" * 30) for i in range(60)], "doc_id long, text string")
-    sharding.write_shards(few, str(tmp_path / "s"), 300)
-    back = spark.read.option("basePath", str(tmp_path / "s")).schema("doc_id long, text string, shard string").parquet(str(tmp_path / "s"))
-    assert back.count() == 60 and max(r["count"] for r in back.groupBy("shard").count().collect()) <= 10
+    rows = [(i, "z" * 30, 1) for i in range(60)] + [(7, "x" * 50, 2)] * 40 + [(None, "y" * 50, 3)] * 5 + [(1, None, 4), (1, "", 5)]
+    few = spark.createDataFrame(rows, "doc_id long, text string, Shard int").repartition(3)
+    for most in (1 << 16, 0):  # a directory that is broadcast, and one that is joined
+        path = str(tmp_path / f"s{most}")
+        assert sharding.write_shards(few, path, 300, most) == "shard_"
+        back = spark.read.option("basePath", path).schema("doc_id long, text string, Shard int, shard_ string").parquet(path).collect()
+        assert collections.Counter(r[:3] for r in back) == collections.Counter(rows)
+        sizes = collections.Counter()
+        for r in back:
+            sizes[r[3]] += len((r.text or "").encode())
+        assert max(sizes.values()) <= 300 and len(list((tmp_path / f"s{most}").rglob("*.parquet"))) == len(sizes)
+    sharding.write_shards(few.limit(0), str(tmp_path / "none"))
+
+
+def test_sharding_beyond_the_first_count(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 3, 4, i]), "x" * rng.randint(0, 90)) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(sharding, "MORE_BITS", 3)
+    for most in (1 << 16, 0):
+        got = sharding.shard_documents(docs, 400, most).collect()
+        sizes, docs_of = collections.Counter(), collections.Counter(r.shard for r in got)
+        for r in got:
+            sizes[r.shard] += r.n_bytes
+        assert sorted((r.doc_id or -1, r.n_bytes) for r in got) == sorted((i or -1, len(t)) for i, t in rows)
+        assert all(r.depth == len(r.shard) and r.shard_bytes == sizes[r.shard] and r.shard_docs == docs_of[r.shard] for r in got)
+        assert all(sizes[s] <= 400 or docs_of[s] == 1 for s in sizes) and max(map(len, sizes)) > 32
+        # no shard could be joined with what lies beside it: each parent is over the limit
+        assert all(sum(n for t, n in sizes.items() if t.startswith(s[:-1])) > 400 for s in sizes)
 
 
 # --- archives -----------------------------------------------------------------------------------------------------------------
