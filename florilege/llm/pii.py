@@ -7,15 +7,21 @@ what stands at its sides). Viterbi over segments and types picks boundaries and
 of one atom. The weights are trained by maximum likelihood (forward-backward over segmentations) on sentences made from a
 seeded generator, so the model is the same on every run and at every size.
 
+An island of any length is searched as a whole, in parts of bounded memory: a part looks ahead by one segment's atoms, features
+of all its candidates are sums over atoms, and the search carries its state from part to part. Candidates that no
+segmentation could gain by are not searched.
+
 Base spans are always kept; the field adds spans that overlap none of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import random
 import re
 from collections.abc import Iterator
+from itertools import islice
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +34,7 @@ from florilege.llm.worker import begin
 
 KINDS = ("email", "ip", "card", "phone")
 #: Atoms of a segment, and those whose candidates are scored at a time; islands may be of any length.
-MAX_ATOMS, SCORED_ATOMS = 16, 1000
+MAX_ATOMS, SCORED_ATOMS = 16, 4096
 #: Sentences and rounds of the training; both bound its cost.
 TRAIN_SENTENCES, TRAIN_ROUNDS = 160, 40
 
@@ -40,7 +46,8 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_ATOM = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
+_ATOM = re.compile(r"([^\W\d_]+)|([0-9]+)|(\s+)|.", re.S)
+_LETTERS, _DIGITS, _BLANKS = 1, 2, 3
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
 Span = tuple[str, int, int]
 
@@ -115,51 +122,103 @@ _EMAIL_SHAPE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\
 _CARD_GROUPS = re.compile(r"[0-9]{4}(?:[\x20-][0-9]{4}){2}[\x20-][0-9]{2,4}(?:[\x20-][0-9]{1,3})?|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}")
 _PHONE_GROUPS = re.compile(r"(?:\+?[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{2,4})?")
 _PARTS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def span_features(text: str, start: int, end: int) -> np.ndarray:
-    """The features of text[start:end] as a candidate."""
-    s = text[start:end]
-    digits = _NOT_DIGIT.sub("", s)
-    n, at = len(digits), s.count("@")
-    before, after = text[start - 1 : start], text[end : end + 1]
-    four = bool(_PARTS.fullmatch(s))
-    return np.array([
-        1, n < 7, 7 <= n <= 9, 10 <= n <= 13, 14 <= n <= 19, n > 19, at == 1, at == 1 and bool(_EMAIL_SHAPE.fullmatch(s)), at == 0 and bool(_LETTER.search(s)), four, four and _small_parts(s),
-        13 <= n <= 19 and luhn(digits), bool(_CARD_GROUPS.fullmatch(s)), not s.strip("0123456789 -"), s[0] == "+", s[0] == "(", not s.lstrip("+").strip("0123456789 ().-"),
-        bool(_PHONE_GROUPS.fullmatch(s)), s.isdigit(), s.count("(") != s.count(")"), before.isalnum() or before in ("_", "+", "(", "@") and before != "",
-        after.isalnum() or after in ("_", "@") and after != "", before in tuple("=\"'#$/.-,:"), after in tuple("=\"'%/-:"), s[-1].isdigit(),
-    ], dtype=float)
-
-
-def _atoms(text: str, start: int, end: int) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Atom bounds of an island, and the digits and @ before each bound."""
-    bounds = [start, *(m.end() for m in _ATOM.finditer(text, start, end))]
-    n = len(bounds) - 1
-    digits = np.concatenate([[0], np.cumsum([bounds[i + 1] - bounds[i] if "0" <= text[bounds[i]] <= "9" else 0 for i in range(n)])])
-    marks = np.concatenate([[0], np.cumsum([text[bounds[i]] == "@" for i in range(n)])])
-    return bounds, digits, marks
-
-
-def _segments(text: str, bounds: list[int], digits: np.ndarray, marks: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
-    """Candidates that begin at the atoms from low to high."""
-    n, out = len(bounds) - 1, []
-    for i in range(low, min(n, high)):
-        first = text[bounds[i]]
-        if not (first.isalnum() or first in "+("):
-            continue
-        for j in range(i + 1, min(n, i + MAX_ATOMS) + 1):
-            if text[bounds[j] - 1].isalnum() and (marks[j] - marks[i] == 1 or (marks[j] == marks[i] and digits[j] - digits[i] >= 7)):
-                out.append((i, j))
+#: Other marks that a card, an address and a phone may have within, and characters beside a span that speak against or for it.
+_CARD_MARKS, _PARTS_MARKS, _PHONE_MARKS = "-", ".", "().-"
+_CUT_LEFT, _CUT_RIGHT, _MARK_LEFT, _MARK_RIGHT = "_+(@", "_@", "=\"'#$/.-,:", "=\"'%/-:"
+_DOUBLED = np.array([2 * d - 9 * (d > 4) for d in range(10)])
+
+
+def _sums(flags) -> np.ndarray:
+    """The sum of the flags before each bound."""
+    out = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=out[1:])
     return out
 
 
-def candidates(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Atom bounds of an island, and candidate segments as atom ranges: those that hold an @ or seven digits, without blanks at
-    the sides and with no mark there that no kind can have."""
-    bounds, digits, marks = _atoms(text, start, end)
-    return bounds, _segments(text, bounds, digits, marks, 0, len(bounds) - 1)
+class Atoms:
+    """A run of atoms: bounds, and what the features of any range of them are summed up from."""
+
+    def __init__(self, text: str, bounds: list[int], kinds: list[int]):
+        self.text, self.bounds = text, bounds
+        kind, at = np.array(kinds, np.int8), np.array(bounds)
+        first = [text[b] for b in bounds[:-1]]
+        last = [text[b - 1] for b in bounds[1:]]
+        letters, digit, mark = kind == _LETTERS, kind == _DIGITS, kind == 0
+        odd_blank = np.zeros(len(kinds), bool)
+        for k in np.flatnonzero(kind == _BLANKS):
+            odd_blank[k] = bool(text[bounds[k] : bounds[k + 1]].strip(" "))
+        is_ = lambda marks: np.array([c in marks for c in first]) & mark
+        self.digits, self.ats, self.letters = _sums(np.diff(at) * digit), _sums(is_("@")), _sums(letters)
+        self.brackets = _sums(is_("(").astype(np.int64) - is_(")"))
+        beyond = letters | odd_blank
+        self.no_card, self.no_phone = _sums(beyond | (mark & ~is_(_CARD_MARKS))), _sums(beyond | (mark & ~is_(_PHONE_MARKS)))
+        self.no_parts = _sums(letters | (kind == _BLANKS) | (mark & ~is_(_PARTS_MARKS)))
+        self.no_digit = _sums([not d and not text[a:b].isdigit() for d, a, b in zip(digit.tolist(), bounds, bounds[1:], strict=False)])
+        plus = is_("+")
+        self.plus, self.round = plus, is_("(")
+        after = np.where(plus, len(kinds), np.arange(len(kinds)))
+        self.after_plus = np.minimum.accumulate(after[::-1])[::-1]  # the first atom from each on that is no +
+        self.opens = np.array([c.isalnum() for c in first]) | plus | self.round
+        self.closes = np.array([c.isalnum() for c in last])
+        self.ends_in_digit = np.array([c.isdigit() for c in last])
+        before, behind = [text[b - 1 : b] for b in bounds[:-1]], [text[b : b + 1] for b in bounds[1:]]
+        beside = lambda chars, marks: np.array([c != "" and (c.isalnum() or c in marks) for c in chars])
+        marked = lambda chars, marks: np.array([c != "" and c in marks for c in chars])
+        self.cut_left, self.cut_right = beside(before, _CUT_LEFT), beside(behind, _CUT_RIGHT)
+        self.mark_left, self.mark_right = marked(before, _MARK_LEFT), marked(behind, _MARK_RIGHT)
+        d = np.frombuffer("".join(text[bounds[k] : bounds[k + 1]] for k in np.flatnonzero(digit)).encode(), np.uint8) - 48
+        even = np.arange(len(d)) % 2 == 0
+        # sums for the checksum, by the place of the digit that is last: a digit is doubled at every other place before it
+        self.check = [_sums(np.where(even == (p == 0), d, _DOUBLED[d])) for p in (0, 1)]
+
+    def segments(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates that begin at the atoms from low to high, as atom ranges: those that hold an @ or seven digits, without
+        blanks at the sides and with no mark there that no kind can have."""
+        n = len(self.bounds) - 1
+        i = np.flatnonzero(self.opens[low:high]) + low
+        j = i[:, None] + np.arange(1, MAX_ATOMS + 1)
+        inside, j = j <= n, np.minimum(j, n)
+        ats, digits = self.ats[j] - self.ats[i][:, None], self.digits[j] - self.digits[i][:, None]
+        row, column = np.nonzero(inside & self.closes[j - 1] & ((ats == 1) | ((ats == 0) & (digits >= 7))))
+        return i[row], j[row, column]
+
+    def features(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The features of the candidates, one row each."""
+        over = lambda sums: sums[j] - sums[i]
+        n, at, last = over(self.digits), over(self.ats), j - 1
+        card, parts = over(self.no_card) == 0, over(self.no_parts) == 0
+        phone = self.no_phone[j] == self.no_phone[np.minimum(self.after_plus[i], j)]
+        a, b = self.digits[i], self.digits[j]
+        check = np.where((b - 1) % 2 == 0, self.check[0][b] - self.check[0][a], self.check[1][b] - self.check[1][a]) % 10 == 0
+        x = np.zeros((len(i), len(FEATURES)))
+        x[:, 0], x[:, 1], x[:, 2], x[:, 3], x[:, 4], x[:, 5] = 1, n < 7, (n >= 7) & (n <= 9), (n >= 10) & (n <= 13), (n >= 14) & (n <= 19), n > 19
+        x[:, 6], x[:, 8] = at == 1, (at == 0) & (over(self.letters) > 0)
+        x[:, 11], x[:, 13] = (n >= 13) & (n <= 19) & check, card
+        x[:, 14], x[:, 15], x[:, 16] = self.plus[i], self.round[i], phone
+        x[:, 18], x[:, 19] = over(self.no_digit) == 0, over(self.brackets) != 0
+        x[:, 20], x[:, 21], x[:, 22], x[:, 23], x[:, 24] = self.cut_left[i], self.cut_right[last], self.mark_left[i], self.mark_right[last], self.ends_in_digit[last]
+        # shapes, of those alone that have no other characters than the shape
+        for column, shape, some in ((7, _EMAIL_SHAPE, at == 1), (9, _PARTS, parts), (12, _CARD_GROUPS, card & (n >= 13) & (n <= 19)), (17, _PHONE_GROUPS, phone & (n >= 7) & (n <= 19))):
+            for c in np.flatnonzero(some):
+                x[c, column] = shape.fullmatch(self.text, self.bounds[i[c]], self.bounds[j[c]]) is not None
+        for c in np.flatnonzero(x[:, 9]):
+            x[c, 10] = _small_parts(self.text[self.bounds[i[c]] : self.bounds[j[c]]])
+        return x
+
+
+def atoms(text: str, start: int, end: int, most: int | None = None) -> Iterator[tuple[Atoms, int]]:
+    """The atoms of an island in parts: each with how many of them are its own, and with those of one segment beyond."""
+    most = most or SCORED_ATOMS
+    found, bounds, kinds = _ATOM.finditer(text, start, end), [start], []
+    while True:
+        for m in islice(found, most + MAX_ATOMS - len(kinds)):
+            bounds.append(m.end())
+            kinds.append(m.lastindex or 0)
+        if not kinds:
+            return
+        own = min(most, len(kinds)) if len(kinds) == most + MAX_ATOMS else len(kinds)
+        yield Atoms(text, bounds, kinds), own
+        bounds, kinds = bounds[own:], kinds[own:]
 
 
 class SemiMarkov:
@@ -167,42 +226,55 @@ class SemiMarkov:
 
     def __init__(self, weights: np.ndarray, follow: np.ndarray):
         self.weights, self.follow = weights, follow
+        # the most that a segment of each kind can gain by what stands before and after it, against atoms outside
+        self.most = follow.max(0) + np.maximum(0, (follow[1:] - follow[0]).max(1))
+
+    def _scored(self, text: str, start: int, end: int) -> Iterator[tuple[int, int, int, float]]:
+        """Start, end, kind and score of the candidates that may be gained by, ordered by these."""
+        for part, own in atoms(text, start, end):
+            if not part.ats[-1] and part.digits[-1] < 7:
+                continue
+            i, j = part.segments(0, own)
+            if not len(i):
+                continue
+            scores = part.features(i, j) @ self.weights.T
+            for c, k in zip(*np.nonzero(scores + self.most > 0), strict=True):
+                yield part.bounds[i[c]], part.bounds[j[c]], int(k), float(scores[c, k])
 
     def decode(self, text: str, start: int, end: int) -> list[Span]:
         """The best segmentation of an island: its segments that are not outside.
 
-        Candidates are scored a part at a time; the state of the search goes on from part to part.
+        States change only where segments begin and end; between, what is best so far is carried on. Of equal segmentations
+        that with more outside is taken.
         """
-        bounds, digits, marks = _atoms(text, start, end)
-        n, states = len(bounds) - 1, len(KINDS) + 1
-        found = _segments(text, bounds, digits, marks, 0, SCORED_ATOMS)
-        if not found and n <= SCORED_ATOMS:
-            return []
-        best = np.full((n + 1, states), -np.inf)
-        back = np.zeros((n + 1, states, 2), np.int8)  # atoms of the segment, and the state before it
-        best[0, 0] = 0
-        for low in range(0, n, SCORED_ATOMS):
-            if low:
-                found = _segments(text, bounds, digits, marks, low, low + SCORED_ATOMS)
-            scores = np.stack([span_features(text, bounds[i], bounds[j]) for i, j in found]) @ self.weights.T if found else None
-            c = 0
-            for i in range(low, min(n, low + SCORED_ATOMS)):
-                y = int(np.argmax(best[i]))
-                best[i + 1, 0], back[i + 1, 0] = best[i, y], (1, y)
-                while c < len(found) and found[c][0] == i:
-                    j = found[c][1]
-                    for k in range(len(KINDS)):
-                        by = best[i] + self.follow[:, k]
-                        y = int(np.argmax(by))
-                        if by[y] + scores[c, k] > best[j, k + 1]:
-                            best[j, k + 1], back[j, k + 1] = by[y] + scores[c, k], (j - i, y)
-                    c += 1
-        out, j, y = [], n, int(np.argmax(best[n]))
-        while j:
-            atoms, before = map(int, back[j, y])
-            if y:
-                out.append((KINDS[y - 1], bounds[j - atoms], bounds[j]))
-            j, y = j - atoms, before
+        follow = self.follow.tolist()
+        value, path = 0.0, None  # of the best segmentation so far that ends outside
+        ends: list[int] = []
+        ended: dict[int, dict[int, tuple[float, tuple]]] = {}  # by end and kind, those that end in a segment
+
+        def leave(before: float) -> None:
+            nonlocal value, path
+            while ends and ends[0] < before:
+                for _, (v, p) in sorted(ended.pop(heapq.heappop(ends)).items()):
+                    if v > value:
+                        value, path = v, p
+
+        for s, e, k, score in self._scored(text, start, end):
+            leave(s)
+            best, via = value + follow[0][k], path
+            for before, (v, p) in sorted(ended.get(s, {}).items()):
+                if v + follow[before + 1][k] > best:
+                    best, via = v + follow[before + 1][k], p
+            if e not in ended:
+                ended[e] = {}
+                heapq.heappush(ends, e)
+            if k not in ended[e] or best + score > ended[e][k][0]:
+                ended[e][k] = (best + score, (via, k, s, e))
+        leave(float("inf"))
+        out = []
+        while path:
+            path, k, s, e = path
+            out.append((KINDS[k], s, e))
         return out[::-1]
 
 
@@ -254,10 +326,11 @@ def train(sentences: int = TRAIN_SENTENCES, rounds: int = TRAIN_ROUNDS, seed: in
         text, spans = _sentence(rng)
         gold = {(s, e): KINDS.index(k) for k, s, e in spans}
         for start, end in islands(text):
-            bounds, found = candidates(text, start, end)
-            if found:
-                x = np.stack([span_features(text, bounds[i], bounds[j]) for i, j in found])
-                data.append((len(bounds) - 1, found, x, [gold.get((bounds[i], bounds[j])) for i, j in found]))
+            for part, n in atoms(text, start, end):  # a sentence's islands have one part
+                i, j = part.segments(0, n)
+                if len(i):
+                    found = list(zip(i.tolist(), j.tolist(), strict=True))
+                    data.append((n, found, part.features(i, j), [gold.get((part.bounds[a], part.bounds[b])) for a, b in found]))
     weights, follow = np.zeros((len(KINDS), len(FEATURES))), np.zeros((len(KINDS) + 1, len(KINDS)))
     size = [np.full_like(weights, 1e-6), np.full_like(follow, 1e-6)]
     for _ in range(rounds):

@@ -1,10 +1,13 @@
 """Text kernels, byte BPE, packing, rules, classifier, personal data and language model against plain versions."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -321,12 +324,48 @@ def test_field_on_held_out_sentences():
     assert hit > 0.85 * gold and extra < 0.15 * gold
 
 
-def test_decoding_finds_the_best_segmentation():
-    model, text = pii.trained(), "x 4111111111111111 555-123-4567 a@b.de"
+def _span_features(text, start, end):
+    """The features of one candidate, from its characters."""
+    s, before, after = text[start:end], text[start - 1 : start], text[end : end + 1]
+    digits = re.sub("[^0-9]", "", s)
+    n, at, four = len(digits), s.count("@"), bool(pii._PARTS.fullmatch(s))
+    small = four and all(int(p) <= 255 for p in s.split("."))
+    return [
+        1, n < 7, 7 <= n <= 9, 10 <= n <= 13, 14 <= n <= 19, n > 19, at == 1, at == 1 and bool(pii._EMAIL_SHAPE.fullmatch(s)), at == 0 and bool(re.search(r"[^\W\d_]", s)), four, small,
+        13 <= n <= 19 and pii.luhn(digits), bool(pii._CARD_GROUPS.fullmatch(s)), not s.strip("0123456789 -"), s[0] == "+", s[0] == "(", not s.lstrip("+").strip("0123456789 ().-"),
+        bool(pii._PHONE_GROUPS.fullmatch(s)), s.isdigit(), s.count("(") != s.count(")"), before != "" and (before.isalnum() or before in "_+(@"),
+        after != "" and (after.isalnum() or after in "_@"), before != "" and before in "=\"'#$/.-,:", after != "" and after in "=\"'%/-:", s[-1].isdigit(),
+    ]
+
+
+def _candidates(text, low, high):
+    (part, n), *more = pii.atoms(text, low, high, 10_000)
+    i, j = part.segments(0, n)
+    assert not more
+    return part, i, j, list(zip(i.tolist(), j.tolist(), strict=True))
+
+
+@given(st.lists(st.sampled_from(["1", "255", "4111111111111111", "12 34", "@", "a", "b.de", ".", "-", "+", "(", ")", "²", "２", "é", "_", "=", "'", " ", "\xa0", "1234567", "555-123-4567", "10.2.3.4", "\t"]), min_size=1, max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_features_against_characters(parts):
+    text = "".join(parts)
+    for low, high in pii.islands(text):
+        part, i, j, found = _candidates(text, low, high)
+        bounds = part.bounds
+        want = [(a, b) for a in range(len(bounds) - 1) for b in range(a + 1, min(len(bounds) - 1, a + pii.MAX_ATOMS) + 1) if (text[bounds[a]].isalnum() or text[bounds[a]] in "+(") and text[bounds[b] - 1].isalnum() and ((t := text[bounds[a] : bounds[b]]).count("@") == 1 or ("@" not in t and len(re.sub("[^0-9]", "", t)) >= 7))]
+        assert found == want
+        if found:
+            assert part.features(i, j).tolist() == [[float(x) for x in _span_features(text, bounds[a], bounds[b])] for a, b in found]
+
+
+@pytest.mark.parametrize("text", ["x 4111111111111111 555-123-4567 a@b.de", "c@d.org,4111-1111-1111-1111", "+1 (212) 555-0147 10.1.2.3 9"])
+def test_decoding_finds_the_best_segmentation(text):
+    model = pii.trained()
     (low, high), *_ = list(pii.islands(text))
-    bounds, found = pii.candidates(text, low, high)
-    scores = np.stack([pii.span_features(text, bounds[i], bounds[j]) for i, j in found]) @ model.weights.T
+    part, i, j, found = _candidates(text, low, high)
+    bounds, scores = part.bounds, part.features(i, j) @ model.weights.T
 
+    @functools.cache
     def best(at, before):
         if at == len(bounds) - 1:
             return 0.0
@@ -342,6 +381,58 @@ def test_decoding_finds_the_best_segmentation():
     assert abs(total - best(0, 0)) < 1e-9
 
 
+def test_gradient_against_finite_differences():
+    rng, text = np.random.default_rng(3), "tel 555-123-4567 a@b.de,c@d.org 10.0.0.1"
+    gold = {(4, 16): 3, (17, 23): 0, (24, 31): 0}
+    (low, high), *_ = [x for x in pii.islands(text)]
+    part, i, j, found = _candidates(text, low, high)
+    names = [gold.get((part.bounds[a], part.bounds[b])) for a, b in found]
+    assert sum(k is not None for k in names) == 3
+    x, n = part.features(i, j), len(part.bounds) - 1
+    weights, follow = rng.normal(size=(4, len(pii.FEATURES))) * 0.1, rng.normal(size=(5, 4)) * 0.3
+
+    def likelihood(weights, follow):
+        scores = x @ weights.T
+
+        @functools.cache
+        def z(at, before):
+            if at == n:
+                return 0.0
+            return np.logaddexp.reduce([z(at + 1, 0)] + [scores[c, k] + follow[before, k] + z(b, k + 1) for c, (a, b) in enumerate(found) if a == at for k in range(4)])
+
+        total, before, end = -z(0, 0), 0, -1
+        for c, (a, b) in enumerate(found):
+            if names[c] is not None:
+                total += scores[c, names[c]] + follow[before if a == end else 0, names[c]]
+                before, end = names[c] + 1, b
+        return total
+
+    grad = [np.zeros_like(weights), np.zeros_like(follow)]
+    pii._gradient(n, found, x, names, x @ weights.T, follow, grad)
+    for p, g in zip((weights, follow), grad, strict=True):
+        for at in rng.permutation(p.size)[:25]:
+            at = np.unravel_index(at, p.shape)
+            was, ends = p[at], []
+            for step in (1e-5, -1e-5):
+                p[at] = was + step
+                ends.append(likelihood(weights, follow))
+            p[at] = was
+            assert abs((ends[0] - ends[1]) / 2e-5 - g[at]) < 1e-5
+
+
+def test_long_texts_take_linear_time_and_little_memory():
+    model, rng = pii.trained(), random.Random(1)
+    word = "".join(rng.choice("0123456789abcdef") for _ in range(200_000))
+    tracemalloc.start()
+    began = time.process_time()
+    model.decode(word, 0, len(word))
+    took, (_, peak) = time.process_time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 60 << 20 and took < 60
+    phones = "(212) 555-0147 " * 2000
+    assert [x[1:] for x in pii.find_spans(phones, model)[1]] == [(15 * k, 15 * k + 14) for k in range(2000)]
+
+
 def test_personal_data_tables(spark):
     rows = pii.find_in_documents(odd(spark)).collect()
     assert len(rows) == len(ODD) + 3 and {r.base_sha256 for r in rows if not r.spans} == {hashlib.sha256(b"").hexdigest()}
