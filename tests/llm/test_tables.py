@@ -175,6 +175,21 @@ def test_error_bound_holds(seed, dim):
     assert (np.abs(about - x @ x.T) <= (1 + loss[:, None]) * loss[None, :] + loss[:, None] + 1e-12).all()
 
 
+@given(st.integers(0, 10_000), st.sampled_from([3, 16, 64]))
+@settings(max_examples=60, deadline=None)
+def test_int8_values_decide_rightly_or_not_at_all(seed, dim):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(1, dim)) + rng.normal(size=(40, dim)) * rng.choice([0.05, 0.2, 0.4], size=(40, 1))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows, cos = neardup.quantise(x), x @ x.T
+    u, v, sure = neardup.decide(rows, rows, 0.95)
+    maybe = np.zeros(cos.shape, bool)
+    maybe[u, v] = True
+    assert (cos[u[sure], v[sure]] >= 0.95).all() and (cos[~maybe] < 0.95).all()
+    part = neardup.decide(tuple(m[5:9] for m in rows), tuple(m[20:] for m in rows), 0.95)  # the same in any tile
+    assert {(a + 5, b + 20, c) for a, b, c in zip(*(m.tolist() for m in part), strict=True)} == {(a, b, c) for a, b, c in zip(u.tolist(), v.tolist(), sure.tolist(), strict=True) if 5 <= a < 9 and b >= 20}
+
+
 def test_long_vectors_stay_exact():
     q = np.full((3, 5000), 127, np.int8)
     assert (neardup.tile_product(q, q) == 127 * 127 * 5000).all()
