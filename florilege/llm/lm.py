@@ -1,13 +1,17 @@
 """Language-model scoring by deleted interpolation of n-gram maximum-likelihood estimates.
 
-P(w | h) = a(b) c(h, w) / c(h) + u(b) c(w) / N + z(b) / (V + 1), where b is the bucket of the context's frequency c(h) (its
-power of two; unseen contexts have their own) and the weights a, u, z of each bucket are learned by expectation-maximisation
-on held-out counts: a fixed share of the training documents is deleted from the counts that predict it.
+P1(w) = l1 c(w) / N + (1 - l1) / (V + 1), and for each higher order P(w | h) = l(b) c(h, w) / c(h) + (1 - l(b)) P(w | h'), where h'
+is the shorter context and b the bucket of the context's frequency c(h) (its power of two). An unseen context leaves all to
+the lower order. The weights l of each order's buckets are learned by expectation-maximisation on held-out counts, order by order:
+a fixed share of the training documents is deleted from the counts that predict it. In a table where that share holds no
+document, each token of the training documents is deleted alone (leaving one out).
 
 Counts are not joined row by row. Documents are read in blocks of bounded size; a block asks once for each of its different
-n-grams, in sorted arrays dealt by hash range. Each range adds up the counts of all blocks and answers every block in the order
-asked. So what is shuffled are the blocks' distinct n-grams, pre-aggregated and packed, and no word is a hot key however
-frequent. Counts are exact but for collisions of 63-bit hashes.
+n-grams, in sorted arrays by the first bits of their hash, as rows of thousands of n-grams. Where so many blocks ask for one
+range of hashes that a task could not hold them, groups of blocks are added up to larger blocks first, which ask anew with more
+bits, and their answers are handed back: so the rows of a gigabyte stay as many and as full at any size of the input. What is
+shuffled are distinct n-grams, pre-aggregated and packed, and no word is a hot key however frequent. Counts are exact but for
+collisions of 62-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from florilege.llm.storage import materialize
+from florilege.llm.storage import discard, materialize
 from florilege.llm.textkernels import Words, mix, sliced, utf8
 
 #: Tokens of a block at most, but for the last document.
@@ -29,10 +33,12 @@ BLOCK_TOKENS = 1_250_000
 #: Documents with crc32 mod TEST_MOD = TEST_REST are never learned from; of the others, one in DELETED is held out for the weights.
 TEST_MOD, TEST_REST, DELETED = 7, 2, 89
 EM_ROUNDS, FLOOR = 60, 1e-6
-#: Bins per octave of the estimates in the held-out histogram.
+#: Tokens of the longest n-gram.
+ORDER = 3
+#: Bins per octave of the estimates in the held-out histogram, which holds the exact sum of what falls into a bin.
 _BINS = 4
-#: Bytes of input per hash range, and the number of ranges.
-_RANGE_BYTES, _LEAST_RANGES, _MOST_RANGES = 4 << 20, 128, 1 << 20
+#: Bits by which each step of asking deals out hashes, and n-grams that a task answers at most.
+FAN_BITS, TASK_GRAMS = 8, 3_000_000
 _END, _START = np.uint64(0x6C62272E07BB0142), np.uint64(0x27D4EB2F165667C5)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,12 +69,18 @@ def _expand(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def _unigram(h: np.ndarray) -> np.ndarray:
-    return h & ~np.uint64(1)
-
-
-def _bigram(before: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return mix(before * _BASE + h) | np.uint64(1)
+def _grams(tokens: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the n-grams of each order that end at each token; a document begins after start marks."""
+    first = np.cumsum(sizes) - sizes
+    out, ending = [], tokens
+    for order in range(1, ORDER + 1):
+        if order > 1:
+            before = np.empty_like(ending)
+            before[1:] = ending[:-1]
+            before[first] = _START + np.uint64(order)
+            ending = mix(before * _BASE + tokens)
+        out.append((ending & ~np.uint64(3)) | np.uint64(order - 1))
+    return out
 
 
 class _Block:
@@ -94,14 +106,6 @@ def roles(ids: list[int | None]) -> np.ndarray:
     return np.where(crc % TEST_MOD == TEST_REST, 2, np.where(crc // TEST_MOD % DELETED == 0, 1, 0))
 
 
-def _sequence(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The token before each token; a document begins after a start mark."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(sizes) - sizes] = _START
-    return before
-
-
 def _stamp(tokens: np.ndarray) -> int:
     """A fingerprint of a block's tokens in order."""
     return int(np.bitwise_xor.reduce(mix(tokens + np.arange(len(tokens), dtype=np.uint64) * _BASE)).view(np.int64)) if len(tokens) else 0
@@ -117,29 +121,34 @@ def _pack_documents(ids: list[int | None], role: np.ndarray, sizes: np.ndarray,
     return _compress(np.array([i or 0 for i in ids], np.int64), none.astype(np.uint8), role.astype(np.uint8), sizes.astype(np.int64), word[order], place[index])
 
 
-def _pack_requests(role: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, bits: int, counting: bool) -> Iterator[tuple[int, bytes]]:
+def _dealt(key: np.ndarray, n: np.ndarray, k: np.ndarray, prefix: int, bits: int, fan: int) -> Iterator[tuple[int, bytes]]:
+    """Sorted n-grams with counts, dealt by the first ``bits`` of the hash; all share those but the last ``fan``, the prefix."""
+    parts = (prefix << fan) + np.arange(1 << fan)
+    cut = np.searchsorted(key, parts[1:].astype(np.uint64) << np.uint64(64 - bits))
+    for part, a, b in zip(parts.tolist(), [0, *cut], [*cut, len(key)], strict=True):
+        if b > a:
+            yield part, _compress(np.diff(key[a:b], prepend=np.uint64(0)), n[a:b], k[a:b])
+
+
+def _pack_requests(role: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, fan: int, counting: bool) -> Iterator[tuple[int, bytes]]:
     """Hash range, and its different n-grams with the block's counts: in training documents, and in those held out."""
     weight, held = (np.repeat(role != 2, sizes), np.repeat(role == 1, sizes)) if counting else (np.zeros(len(tokens), bool),) * 2
     keys, n, k = [], [], []
-    for h in (_unigram(tokens), _bigram(_sequence(tokens, sizes), tokens)):
+    for h in _grams(tokens, sizes):
         key, inverse = np.unique(h, return_inverse=True)
         keys.append(key)
         n.append(np.bincount(inverse[weight], minlength=len(key)).astype(np.uint32))
         k.append(np.bincount(inverse[held], minlength=len(key)).astype(np.uint32))
     key, n, k = (np.concatenate(x) for x in (keys, n, k))
     order = np.argsort(key)
-    key, n, k = key[order], n[order], k[order]
-    cut = np.searchsorted(key, np.arange(1, 1 << bits).astype(np.uint64) << np.uint64(64 - bits))
-    for part, (a, b) in enumerate(zip([0, *cut], [*cut, len(key)], strict=True)):
-        if b > a:
-            yield part, _compress(np.diff(key[a:b], prepend=np.uint64(0)), n[a:b], k[a:b])
+    yield from _dealt(key[order], n[order], k[order], 0, fan, fan)
 
 
-_ROWS = "block long, stamp long, part int, payload binary"
+_ROWS = "block long, stamp long, part long, payload binary"
 
 
 def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "stamp", "part", "payload"])
 
 
@@ -149,8 +158,8 @@ def _held_out() -> Column:
     return (crc % TEST_MOD != TEST_REST) & (F.floor(crc / TEST_MOD) % DELETED == 0)
 
 
-def _blocks(docs: DataFrame, bits: int | None, counting: bool) -> DataFrame:
-    """Rows ``block, stamp, part, payload`` of blocks: their requests by hash range, or without ``bits`` their documents.
+def _blocks(docs: DataFrame, asking: bool, counting: bool) -> DataFrame:
+    """Rows ``block, stamp, part, payload`` of blocks: if ``asking`` their requests by hash range, or else their documents.
 
     Blocks that ask without counting have negative numbers. A block is told by its task and number; the stamp makes sure that
     both passes saw the same documents in it.
@@ -159,10 +168,10 @@ def _blocks(docs: DataFrame, bits: int | None, counting: bool) -> DataFrame:
     def rows_of(number: int, held: _Block) -> Iterator[tuple[int, int, int, bytes]]:
         tokens, sizes, role = np.concatenate(held.tokens), np.concatenate(held.sizes), roles(held.ids)
         stamp, block = _stamp(tokens), number if counting else -number
-        if bits is None:
-            yield block, stamp, -1, _pack_documents(held.ids, role, sizes, tokens)
+        if asking:
+            yield from ((block, stamp, part, payload) for part, payload in _pack_requests(role, sizes, tokens, FAN_BITS, counting))
         else:
-            yield from ((block, stamp, part, payload) for part, payload in _pack_requests(role, sizes, tokens, bits, counting))
+            yield block, stamp, -1, _pack_documents(held.ids, role, sizes, tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = 0, _Block()
@@ -191,23 +200,76 @@ def _blocks(docs: DataFrame, bits: int | None, counting: bool) -> DataFrame:
     return docs.select("doc_id", "text", F.spark_partition_id().alias("task")).mapInArrow(run, _ROWS)
 
 
-def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Counts over all blocks of a hash range, for each block in the order asked; and the range's totals as block 0."""
-    blocks, stamps = table["block"].to_pylist(), table["stamp"].to_pylist()
+def _read(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """The different n-grams of all rows, their places in each row, and the sums of both counts."""
     asked = [_expand(x.as_buffer().to_pybytes()) for x in table["payload"]]
     keys = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
     every, index = np.unique(np.concatenate(keys), return_inverse=True)
     totals = [np.bincount(index, np.concatenate([a[i] for a in asked]), minlength=len(every)).astype(np.int64) for i in (1, 2)]
-    single = (every & np.uint64(1)) == 0
-    sums = np.array([(totals[0][single] > 0).sum(), totals[0][single].sum(), (totals[0] > totals[1])[single].sum(), totals[1][single].sum()], np.int64)
     at = np.cumsum([0, *map(len, keys)])
-    out = [_compress(*(t[index[a:b]].astype(np.uint32) if t.max(initial=0) < 1 << 32 else t[index[a:b]] for t in totals)) for a, b in zip(at, at[1:], strict=False)]
-    part = key[0].as_py()
-    return pa.Table.from_batches([_batch([(0, 0, part, _compress(sums)), *((b, s, part, x) for b, s, x in zip(blocks, stamps, out, strict=True))])])
+    return every, [index[a:b] for a, b in zip(at, at[1:], strict=False)], *totals
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x
+
+
+def _answers(table: pa.Table, places: list[np.ndarray], totals: list[np.ndarray]) -> list[tuple[int, int, int, bytes]]:
+    """A row for each row of ``table``, with the totals of its n-grams in the order asked."""
+    names = zip(*(table[c].to_pylist() for c in ("block", "stamp", "part")), strict=True)
+    return [(*name, _compress(*(_narrow(t[place]) for t in totals))) for name, place in zip(names, places, strict=True)]
+
+
+def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Counts over all blocks of a hash range, for each block in the order asked; and the range's totals as block 0."""
+    every, places, n, k = _read(table)
+    single = (every & np.uint64(3)) == 0
+    sums = np.array([(n[single] > 0).sum(), n[single].sum(), (n > k)[single].sum(), k[single].sum()], np.int64)
+    return pa.Table.from_batches([_batch([(0, 0, key[0].as_py(), _compress(sums)), *_answers(table, places, [n, k])])])
+
+
+def _merge(groups: int, bits: int):
+    """A larger block out of the rows of a hash range and group: it asks for all their n-grams with their sums."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        part, group = (x.as_py() for x in key)
+        every, _, n, k = _read(table)
+        return pa.Table.from_batches([_batch([(1 + part * groups + group, 0, to, payload) for to, payload in _dealt(every, _narrow(n), _narrow(k), part, bits, FAN_BITS)])])
+
+    return run
+
+
+def _hand_back(key: tuple[pa.Scalar, ...], asked: pa.Table, found: pa.Table) -> pa.Table:
+    """The answers of a larger block, for each of the rows that it was made from."""
+    if not asked.num_rows or not found.num_rows:
+        raise RuntimeError("a range of hashes was asked and not answered, or the reverse")
+    _, places, _, _ = _read(asked)
+    order = np.argsort(np.asarray(found["part"]), kind="stable")
+    got = [_expand(found["payload"][int(i)].as_buffer().to_pybytes()) for i in order]
+    return pa.Table.from_batches([_batch(_answers(asked, places, [np.concatenate([g[i].astype(np.int64) for g in got]) for i in (0, 1)]))])
+
+
+def exchange(asked: DataFrame, grams: int, bits: int | None = None) -> DataFrame:
+    """Answers to rows ``block, stamp, part, payload`` of requests for at most ``grams`` n-grams in all, by ``bits`` of their hash.
+
+    The answers have the same columns; block 0 has totals. Where a range would be asked for more than ``TASK_GRAMS``, groups of
+    its rows that are not become blocks of their own, whose requests are dealt by more bits.
+    """
+    bits = bits or FAN_BITS
+    groups = -(-grams // (TASK_GRAMS << bits))
+    if groups <= 1:
+        return materialize(asked.groupBy("part").applyInArrow(_answer, _ROWS), "counts")
+    asked = materialize(asked, "asked")
+    by = lambda rows: rows.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    larger = by(asked).groupBy("part", "group").applyInArrow(_merge(groups, bits + FAN_BITS), _ROWS)
+    found = exchange(larger, grams, bits + FAN_BITS)
+    named = found.where("block > 0").withColumn("of", F.expr(f"(block - 1) div {groups}")).withColumn("group", F.col("block") - 1 - F.col("of") * groups)
+    back = by(asked).groupBy("part", "group").cogroup(named.groupBy("of", "group")).applyInArrow(_hand_back, _ROWS)
+    return materialize(back.unionByName(found.where("block = 0")), "counts")
 
 
 class _Counts:
-    """A block's documents with the corpus counts of their n-grams."""
+    """A block's documents with the corpus counts of their n-grams: ``c`` in training documents, ``k`` in those held out, by order."""
 
     def __init__(self, mine: pa.Table, answers: pa.Table):
         if mine.num_rows != 1 or not answers.num_rows:
@@ -218,25 +280,29 @@ class _Counts:
         got = [_expand(answers["payload"][int(i)].as_buffer().to_pybytes()) for i in order]
         total, held = (np.concatenate([g[i].astype(np.int64) for g in got]) for i in (0, 1))
         tokens = word[index]
-        before = _sequence(tokens, self.sizes)
-        one, two = _unigram(word), _bigram(before, tokens)
-        pairs, pair_index = np.unique(two, return_inverse=True)
-        singles = np.unique(one)
-        order = np.argsort(np.concatenate([singles, pairs]))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        w = place[np.searchsorted(singles, one)][index]
-        p = place[len(singles) :][pair_index]
-        self.c_word, self.k_word = total[w], held[w]
-        self.c_pair, self.k_pair = total[p], held[p]
-        # what precedes: the word before, or the start mark, which is as frequent as the end
-        end = place[np.searchsorted(singles, _unigram(np.array([_END])))[0]]
-        first = np.cumsum(self.sizes) - self.sizes
-        previous = np.empty_like(w)
-        previous[1:] = w[:-1]
-        previous[first] = end
-        self.c_before, self.k_before = total[previous], held[previous]
-        self.first = first
+        keys, places = zip(*(np.unique(h, return_inverse=True) for h in _grams(tokens, self.sizes)), strict=True)
+        sort = np.argsort(np.concatenate(keys))
+        at = np.empty(len(sort), np.int64)
+        at[sort] = np.arange(len(sort))
+        starts = np.cumsum([0, *map(len, keys)])
+        where = [at[start : start + len(key)][place] for start, key, place in zip(starts, keys, places, strict=False)]
+        self.c, self.k = ([x[w] for w in where] for x in (total, held))
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.end = np.repeat(np.cumsum(self.sizes) - 1, self.sizes)  # of each token's document
+
+    def estimates(self, tokens: int, less: list[np.ndarray] | int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each order the buckets of the contexts and the maximum-likelihood estimates, with counts less those of ``less``.
+
+        ``tokens`` is the number of all tokens so counted. What stands before a document is as frequent as its end mark.
+        """
+        c = [x - (less[o] if isinstance(less, list) else less) for o, x in enumerate(self.c)]
+        out = [(np.zeros(len(c[0]), np.int64), c[0] / max(tokens, 1))]
+        for o in range(1, ORDER):
+            before = np.empty_like(c[0])
+            before[1:] = c[o - 1][:-1]
+            before[self.first] = c[0][self.end[self.first]]
+            out.append((bucket(before), np.where(before > 0, c[o] / np.maximum(before, 1), 0.0)))
+        return out
 
 
 def bucket(c: np.ndarray) -> np.ndarray:
@@ -244,63 +310,92 @@ def bucket(c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, np.frexp(c.astype(float))[1], 0)
 
 
-def expectation_maximisation(rows: np.ndarray, uniform: float, rounds: int = EM_ROUNDS) -> dict[int, np.ndarray]:
-    """Weights (bigram, unigram, uniform) by bucket from rows (bucket, p2, p1, n) of held-out tokens."""
-    out = {}
-    for b in np.unique(rows[:, 0]).astype(int):
+def mixed(estimates: list[tuple[np.ndarray, np.ndarray]], weights: list[np.ndarray], uniform: float) -> np.ndarray:
+    """Probabilities by as many orders as have weights."""
+    p = np.full(len(estimates[0][1]), uniform)
+    for (b, ml), weight in zip(estimates, weights, strict=False):
+        p = weight[b] * ml + (1 - weight[b]) * p
+    return p
+
+
+def expectation_maximisation(rows: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
+    """An order's weight by bucket (0 to 64) from rows (bucket, estimate, lower order's probability, n) of held-out tokens.
+
+    Weights stay a little below 1, so that nothing has no probability. A bucket that no held-out token showed takes the weight
+    of the next lower one that some did, or 0; so does that of unseen contexts, whose estimates are all 0.
+    """
+    out, last = np.zeros(65), 0.0
+    for b in range(65):
         own = rows[rows[:, 0] == b]
-        p, n = np.stack([own[:, 1], own[:, 2], np.full(len(own), uniform)], axis=1), own[:, 3]
-        w = np.full(3, 1 / 3)
-        for _ in range(rounds):
-            share = p * w
-            share /= share.sum(1, keepdims=True)
-            w = (share * n[:, None]).sum(0) / n.sum()
-        w = np.maximum(w, FLOOR)
-        out[b] = w / w.sum()
+        if len(own):
+            p, q, n = own[:, 1], own[:, 2], own[:, 3]
+            w = 0.5
+            for _ in range(rounds):
+                w = (n * w * p / (w * p + (1 - w) * q)).sum() / n.sum()
+            last = min(w, 1 - FLOOR)
+        out[b] = last
     return out
 
 
-def _held_out_histogram(words: int, deleted_tokens: int):
-    """Counts of held-out tokens by bucket and by the binned estimates of the counts without them."""
+def _deleted(tokens: int, held: int):
+    """Packed buckets and estimates of the held-out tokens of a block, by counts without them; if ``held`` is 0, of all training tokens, by counts without each."""
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         c = _Counts(left, right)
-        before = c.c_before - c.k_before
-        with np.errstate(all="ignore"):
-            p2 = (c.c_pair - c.k_pair) / before
-            p1 = (c.c_word - c.k_word) / deleted_tokens
-            bins = [np.where((p > 0) & np.isfinite(p), np.rint(np.log2(np.maximum(p, 1e-300)) * _BINS), -9999).astype(np.int64) for p in (p2, p1)]
-        keys, n = np.unique(np.stack([bucket(before), *bins], axis=1), axis=0, return_counts=True)
-        return pa.table([pa.array(keys[:, i], pa.int32()) for i in range(3)] + [pa.array(n, pa.int64())], names=["b", "p2", "p1", "n"])
+        own = np.repeat(c.role == 1 if held else c.role == 0, c.sizes)
+        made = c.estimates(tokens - held, c.k) if held else c.estimates(tokens - 1, 1)
+        return pa.table([pa.array([_compress(*(x[own] for b, ml in made for x in (b.astype(np.uint8), ml)))])], names=["payload"])
 
     return run
 
 
-def _scores(weights: dict[int, np.ndarray], tokens: int, words: int):
-    top = max(weights, default=0)
-    # a bucket that no held-out token showed takes the weights of the next lower one that some did
-    table, last = np.zeros((65, 3)), np.array([0.0, 0.9, 0.1])
-    for b in range(65):
-        last = weights.get(b, last) if b <= top else last
-        table[b] = last
-    if 0 not in weights:
-        table[0] = [0.0, 0.9, 0.1]
+def _binned(p: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of an octave's parts, 0 for no probability, and what the logarithms have beyond their bins, in parts of 2^-20 octaves."""
+    some = p > 0
+    log = np.log2(np.where(some, p, 1.0))
+    at = np.rint(log * bins)
+    return np.where(some, at + (1 << 14), 0).astype(np.int64), np.where(some, np.rint((log - at / bins) * (1 << 20)), 0).astype(np.int64)
+
 
+def _learned(deleted: DataFrame, order: int, weights: list[np.ndarray], uniform: float) -> np.ndarray:
+    """Weights of an order, those of the lower ones being given, from rows of :func:`_deleted`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                flat = _expand(payload.as_buffer().to_pybytes())
+                made = [(b.astype(np.int64), ml) for b, ml in zip(flat[::2], flat[1::2], strict=True)]
+                (p, p_off), (q, q_off) = _binned(made[order][1], _BINS), _binned(mixed(made, weights, uniform), _BINS)
+                keys, index, n = np.unique(made[order][0] << 32 | p << 16 | q, return_inverse=True, return_counts=True)
+                sums = [np.zeros(len(keys), np.int64) for _ in range(2)]
+                for total, off in zip(sums, (p_off, q_off), strict=True):
+                    np.add.at(total, index, off)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, n, *sums)], ["key", "n", "p", "q"])
+
+    rows = deleted.mapInArrow(run, "key long, n long, p long, q long")
+    rows = rows.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", "p", "q"))).collect()  # bounded: buckets times bins of two probabilities
+    table = np.array(sorted(tuple(r) for r in rows), np.int64).reshape(-1, 4)
+    value = lambda at, off: np.where(at > 0, np.exp2((at - (1 << 14)) / _BINS + off / (table[:, 1] * (1 << 20))), 0.0)
+    key = table[:, 0]
+    return expectation_maximisation(np.stack([key >> 32, value(key >> 16 & 0xFFFF, table[:, 2]), value(key & 0xFFFF, table[:, 3]), table[:, 1]], axis=1).astype(float))
+
+
+def _scores(weights: list[np.ndarray], tokens: int, words: int):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         c = _Counts(left, right)
-        w = table[bucket(c.c_before)]
-        p = w[:, 0] * (c.c_pair / np.maximum(c.c_before, 1)) + w[:, 1] * (c.c_word / max(tokens, 1)) + w[:, 2] / (words + 1)
-        base = np.log10((c.c_word + 1) / (tokens + words + 1))
-        sums = [np.add.reduceat(x, c.first) for x in (np.log10(p), base, (c.c_word > 0).astype(np.int64))]
+        p = mixed(c.estimates(tokens), weights, 1 / (words + 1))
+        base = np.log10((c.c[0] + 1) / (tokens + words + 1))
+        sums = [np.add.reduceat(x, c.first) for x in (np.log10(p), base, (c.c[0] > 0).astype(np.int64))]
         return pa.table([pa.array(c.ids, pa.int64()), pa.array(c.role == 2), pa.array(c.sizes, pa.int64()), pa.array(sums[2], pa.int64()), pa.array(np.full(len(c.ids), tokens), pa.int64()), pa.array(sums[1]), pa.array(sums[0])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def _ranges(docs: DataFrame) -> int:
-    """Bits of the hash ranges, by the optimizer's estimate of the input's size."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(_MOST_RANGES, max(_LEAST_RANGES, size // _RANGE_BYTES)).bit_length() - 1
+def _most_grams(docs: DataFrame) -> int:
+    """A bound of the n-grams that blocks can ask for: white space is counted, of which there is one less than words at least."""
+    text = F.coalesce("text", F.lit(""))
+    tokens = F.length(text) - F.length(F.translate(text, "\x20\t\n\x0b\x0c\r", "")) + 2
+    return ORDER * (docs.agg(F.sum(tokens * F.when(_held_out(), 2).otherwise(1))).first()[0] or 0)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -308,15 +403,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Tokens are words with A-Z lowered, then one end. A null text counts as empty (one token); null ids are kept; repeated rows
     are learned from and scored each. Without training documents only the uniform part is left, and scores are 0 times
-    log10(1). An empty table gives no rows. Where no training document is in the deleted share, as in small tables, no weights
-    are learned: every bucket takes 0, 0.9 and 0.1 for bigram, unigram and uniform part, so that bigrams don't count.
+    log10(1). An empty table gives no rows. Where no training document is in the deleted share, as in tables of few
+    documents, the weights are learned from all training tokens, each by the counts without itself.
 
     ``docs`` is read twice, once for the n-grams and once for the documents to be scored, rather than kept: it should be a
     table as written, whose tasks see the same rows each time. If they don't, the job fails; it never mixes counts up.
     """
-    bits, deleted = _ranges(docs), docs.where(_held_out())
-    asked = _blocks(docs, bits, True).unionByName(_blocks(deleted, bits, False))
-    answered = materialize(asked.groupBy("part").applyInArrow(_answer, _ROWS), "counts")
+    deleted = docs.where(_held_out())
+    asked = _blocks(docs, True, True).unionByName(_blocks(deleted, True, False))
+    answered = exchange(asked, _most_grams(docs))
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = sum(_expand(x.as_buffer().to_pybytes())[0] for x in table["payload"])
@@ -328,12 +423,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def by_block(rows: DataFrame, counting: bool, run, schema: str) -> DataFrame:
         answers = found.where(F.col("block") > 0 if counting else F.col("block") < 0)
-        return _blocks(rows, None, counting).groupBy("block", "stamp").cogroup(answers.groupBy("block", "stamp")).applyInArrow(run, schema)
-
-    histogram = by_block(deleted, False, _held_out_histogram(del_words, max(1, tokens - held)), "b int, p2 int, p1 int, n long")
-    rows = histogram.groupBy("b", "p2", "p1").agg(F.sum("n").alias("n")).collect()  # bounded: buckets times bins of two estimates
-    table = np.array([(r.b, r.p2, r.p1, r.n) for r in sorted(rows)], float).reshape(-1, 4)
-    for i in (1, 2):
-        table[:, i] = np.where(table[:, i] == -9999, 0.0, np.exp2(table[:, i] / _BINS))
-    weights = expectation_maximisation(table, 1 / (del_words + 1))
+        return _blocks(rows, False, counting).groupBy("block", "stamp").cogroup(answers.groupBy("block", "stamp")).applyInArrow(run, schema)
+
+    weights: list[np.ndarray] = []
+    if tokens:
+        sample = by_block(deleted, False, _deleted(tokens, held), "payload binary") if held else by_block(docs, True, _deleted(tokens, 0), "payload binary")
+        sample = materialize(sample, "held-out")
+        for order in range(ORDER):
+            weights.append(_learned(sample, order, weights, 1 / ((del_words if held else words) + 1)))
+        discard(sample.sparkSession, sample)
     return by_block(docs, True, _scores(weights, tokens, words), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from florilege.llm import byte_bpe, lm, packing, pii, quality, rules
 from florilege.llm.docstats import extra_counts, rule_counts
+from florilege.llm.storage import materialize
 from florilege.llm.textkernels import Words, sliced, utf8
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -444,49 +445,95 @@ def test_personal_data_tables(spark):
 
 
 # --- language model ----------------------------------------------------------------------------------------------------------
-def test_language_model_against_plain_counts(spark, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK_TOKENS", 700)
-    words, texts = _corpus(260, 9)
-    texts = [t.title() if i % 3 else t for i, t in enumerate(texts)] + [t for t in ODD if t is None or len(t) < 500]
-    docs = table(spark, texts).repartition(3)
-    got = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+def _plain_scores(texts, order=3):
+    """Scores by plain counts, and whether any document was held out."""
     toks = {i: WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) + ["</s>"] for i, t in enumerate(texts)}
-    role = dict(zip(toks, lm.roles(list(toks)), strict=True))
-    c, k, c2, k2 = (collections.Counter() for _ in range(4))
-    pairs = lambda w: list(zip(["</s>", *w], w, strict=False))
-    for i, w in toks.items():
-        if role[i] != 2:
-            c.update(w)
-            c2.update(pairs(w))
-        if role[i] == 1:
-            k.update(w)
-            k2.update(pairs(w))
-    n, v, held, left = sum(c.values()), len(c), sum(k.values()), sum(c[x] > k[x] for x in c)
-    assert held
-    binned = lambda p: 2.0 ** (np.rint(math.log2(p) * 4) / 4) if p > 0 else 0.0
-    one = lambda x: int(lm.bucket(np.array([x]))[0])
-    rows = collections.Counter()
+    role = dict(zip(toks, lm.roles(list(toks)).tolist(), strict=True))
+    c, k = collections.Counter(), collections.Counter()
+    grams = lambda w, j, o: tuple((["<s>"] * order + w)[order + j - o + 1 : order + j + 1])
     for i, w in toks.items():
-        if role[i] == 1:
-            for h, x in pairs(w):
-                b = c[h] - k[h]
-                rows[one(b), binned((c2[h, x] - k2[h, x]) / b if b else 0), binned((c[x] - k[x]) / (n - held))] += 1
-    weights = lm.expectation_maximisation(np.array([(*key, m) for key, m in rows.items()], float), 1 / (left + 1))
-    last, table_ = np.array([0.0, 0.9, 0.1]), {}
-    for b in range(65):
-        last = weights.get(b, last) if b <= max(weights) else last
-        table_[b] = last
-    if 0 not in weights:
-        table_[0] = np.array([0.0, 0.9, 0.1])
+        for j in range(len(w)):
+            for o in range(order + 1):  # of order 0 is the empty one, which is as frequent as all tokens
+                if role[i] != 2:
+                    c[o, grams(w, j, o)] += 1
+                if role[i] == 1:
+                    k[o, grams(w, j, o)] += 1
+        for n in (c,) * (role[i] != 2) + (k,) * (role[i] == 1):
+            for o in range(1, order):
+                n[o, ("<s>",) * o] += 1
+    held = any(r == 1 for r in role.values())
+    v = sum(o == 1 and g != ("<s>",) for o, g in c)
+    left = sum(o == 1 and g != ("<s>",) and c[o, g] > k[o, g] for o, g in c)
+
+    def estimates(w, j, less):
+        out = []
+        for o in range(1, order + 1):
+            g = grams(w, j, o)
+            h = c[o - 1, g[:-1]] - less(o - 1, g[:-1])
+            out.append((h.bit_length() if o > 1 else 0, (c[o, g] - less(o, g)) / h if h > 0 else 0.0))
+        return out
+
+    rows = [estimates(w, j, (lambda o, g: k[o, g]) if held else (lambda o, g: 1)) for i, w in toks.items() for j in range(len(w)) if role[i] == (1 if held else 0)]
+    weights, below = [], [1 / ((left if held else v) + 1)] * len(rows)
+    for o in range(order):
+        weights.append(lm.expectation_maximisation(np.array([(r[o][0], r[o][1], q, 1) for r, q in zip(rows, below, strict=True)], float).reshape(-1, 4)))
+        below = [weights[o][r[o][0]] * r[o][1] + (1 - weights[o][r[o][0]]) * q for r, q in zip(rows, below, strict=True)]
+    out, n = {}, c[0, ()]
     for i, w in toks.items():
-        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
         score = 0.0
-        for h, x in pairs(w):
-            a = table_[one(c[h])]
-            score += math.log10(a[0] * (c2[h, x] / c[h] if c[h] else 0) + a[1] * c[x] / n + a[2] / (v + 1))
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[x] > 0 for x in w), n, role[i] == 2)
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-6)
+        for j in range(len(w)):
+            p = 1 / (v + 1)
+            for weight, (b, ml) in zip(weights, estimates(w, j, lambda o, g: 0), strict=True):
+                p = weight[b] * ml + (1 - weight[b]) * p
+            score += math.log10(p)
+        base = sum(math.log10((c[1, (x,)] + 1) / (n + v + 1)) for x in w)
+        out[i] = len(w), sum(c[1, (x,)] > 0 for x in w), n, role[i] == 2, base, score
+    return out, held
+
+
+@pytest.mark.parametrize(("docs", "task_grams"), [(260, 3_000_000), (260, 40), (60, 3_000_000)])
+def test_language_model_against_plain_counts(spark, monkeypatch, docs, task_grams):
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 700)
+    monkeypatch.setattr(lm, "TASK_GRAMS", task_grams)
+    monkeypatch.setattr(lm, "FAN_BITS", 3)
+    words, texts = _corpus(docs, 9)
+    texts = [t.title() if i % 3 else t for i, t in enumerate(texts)] + texts[:9] + [t for t in ODD if t is None or len(t) < 500]
+    monkeypatch.setattr(lm, "_BINS", 256)
+    want, held = _plain_scores(texts)
+    assert held == (docs > 100)  # of few documents none is held out
+    got = lm.score_documents(table(spark, texts).repartition(3)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == want[r.doc_id][:4]
+        assert r.base_score == pytest.approx(want[r.doc_id][4], rel=1e-9) and r.score == pytest.approx(want[r.doc_id][5], rel=1e-5)
+
+
+def test_bins_move_scores_little(spark, monkeypatch):
+    _, texts = _corpus(200, 4)
+    coarse = {r.doc_id: r.score for r in lm.score_documents(table(spark, texts)).collect()}
+    monkeypatch.setattr(lm, "_BINS", 256)
+    assert all(r.score == pytest.approx(coarse[r.doc_id], rel=2e-3) for r in lm.score_documents(table(spark, texts)).collect())
+
+
+def test_rows_do_not_grow_with_the_ranges(spark, monkeypatch):
+    """Whatever the input, and however many steps of asking it takes, rows are as full: their number follows that of the n-grams."""
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(lm, "FAN_BITS", 3)
+    monkeypatch.setattr(lm, "TASK_GRAMS", 500)
+    seen = []
+    monkeypatch.setattr(lm, "materialize", lambda df, label: (lambda t: (seen.append((label, t.count())), t)[1])(materialize(df, label)))
+    steps = {}
+    for n in (10, 100, 400):
+        docs = table(spark, _corpus(n, 3)[1]).repartition(4)
+        grams = lm._most_grams(docs)
+        asked = lm._blocks(docs, True, True)
+        seen.clear()
+        lm.exchange(asked, grams)
+        steps[n] = [asked.count(), *(rows for label, rows in seen if label == "asked")]
+        assert all(rows <= 2 * grams * 8 / 500 + 32 for rows in steps[n])
+    assert [len(steps[n]) for n in (10, 100, 400)] == [1, 2, 3]  # the first, and those that were written
+    lone = lm._blocks(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), True, True)
+    assert lone.count() <= 8
 
 
 def test_language_model_on_odd_rows(spark):
@@ -497,9 +544,9 @@ def test_language_model_on_odd_rows(spark):
 
 def test_em_recovers_mixture_weights():
     rng = np.random.default_rng(0)
-    p, true = rng.random((4000, 2)), np.array([0.6, 0.3, 0.1])
-    n = (np.column_stack([p, np.full(4000, 0.2)]) @ true) * 1000  # expected counts under the mixture
-    w = lm.expectation_maximisation(np.column_stack([np.ones(4000), p, n]), 0.2)[1]
-    q = np.column_stack([p, np.full(4000, 0.2)])
-    even = (n * np.log(q @ np.full(3, 1 / 3))).sum()
-    assert (n * np.log(q @ w)).sum() >= even and w.sum() == pytest.approx(1)
+    p, q = rng.random((2, 4000))
+    for true in (0.2, 0.7):
+        n = (true * p + (1 - true) * q) * 1000  # expected counts under the mixture
+        w = lm.expectation_maximisation(np.column_stack([np.ones(4000), p, q, n]))
+        value = lambda x: (n * np.log(x * p + (1 - x) * q)).sum()  # noqa: B023, E731
+        assert w[0] == 0 and w[1] == w[64] and value(w[1]) >= max(value(x) for x in np.linspace(0, 0.999, 50)) - 0.5
