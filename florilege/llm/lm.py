@@ -29,7 +29,7 @@ from florilege.llm.storage import discard, materialize
 from florilege.llm.textkernels import Words, mix, sliced, utf8
 
 #: Tokens of a block at most, but for the last document.
-BLOCK_TOKENS = 1_250_000
+BLOCK_TOKENS = 1_000_000
 #: Documents with crc32 mod TEST_MOD = TEST_REST are never learned from; of the others, one in DELETED is held out for the weights.
 TEST_MOD, TEST_REST, DELETED = 7, 2, 89
 EM_ROUNDS, FLOOR = 60, 1e-6
@@ -37,8 +37,9 @@ EM_ROUNDS, FLOOR = 60, 1e-6
 ORDER = 3
 #: Bins per octave of the estimates in the held-out histogram, which holds the exact sum of what falls into a bin.
 _BINS = 4
-#: Bits by which each step of asking deals out hashes, and n-grams that a task answers at most.
-FAN_BITS, TASK_GRAMS = 8, 3_000_000
+#: N-grams that a task answers at most. Bits by which hashes are dealt out at least, for the sake of parallel tasks, and by
+#: which a step of asking deals them out at most: so many that a row of a whole block still has some hundred n-grams.
+TASK_GRAMS, LEAST_BITS, STEP_BITS = 3_000_000, 6, 13
 _END, _START = np.uint64(0x6C62272E07BB0142), np.uint64(0x27D4EB2F165667C5)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -158,8 +159,8 @@ def _held_out() -> Column:
     return (crc % TEST_MOD != TEST_REST) & (F.floor(crc / TEST_MOD) % DELETED == 0)
 
 
-def _blocks(docs: DataFrame, asking: bool, counting: bool) -> DataFrame:
-    """Rows ``block, stamp, part, payload`` of blocks: if ``asking`` their requests by hash range, or else their documents.
+def _blocks(docs: DataFrame, bits: int | None, counting: bool) -> DataFrame:
+    """Rows ``block, stamp, part, payload`` of blocks: their requests by so many bits of the hash, or with None their documents.
 
     Blocks that ask without counting have negative numbers. A block is told by its task and number; the stamp makes sure that
     both passes saw the same documents in it.
@@ -168,8 +169,8 @@ def _blocks(docs: DataFrame, asking: bool, counting: bool) -> DataFrame:
     def rows_of(number: int, held: _Block) -> Iterator[tuple[int, int, int, bytes]]:
         tokens, sizes, role = np.concatenate(held.tokens), np.concatenate(held.sizes), roles(held.ids)
         stamp, block = _stamp(tokens), number if counting else -number
-        if asking:
-            yield from ((block, stamp, part, payload) for part, payload in _pack_requests(role, sizes, tokens, FAN_BITS, counting))
+        if bits is not None:
+            yield from ((block, stamp, part, payload) for part, payload in _pack_requests(role, sizes, tokens, bits, counting))
         else:
             yield block, stamp, -1, _pack_documents(held.ids, role, sizes, tokens)
 
@@ -228,13 +229,13 @@ def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch([(0, 0, key[0].as_py(), _compress(sums)), *_answers(table, places, [n, k])])])
 
 
-def _merge(groups: int, bits: int):
+def _merge(groups: int, bits: int, fan: int):
     """A larger block out of the rows of a hash range and group: it asks for all their n-grams with their sums."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         part, group = (x.as_py() for x in key)
         every, _, n, k = _read(table)
-        return pa.Table.from_batches([_batch([(1 + part * groups + group, 0, to, payload) for to, payload in _dealt(every, _narrow(n), _narrow(k), part, bits, FAN_BITS)])])
+        return pa.Table.from_batches([_batch([(1 + part * groups + group, 0, to, payload) for to, payload in _dealt(every, _narrow(n), _narrow(k), part, bits, fan)])])
 
     return run
 
@@ -249,20 +250,25 @@ def _hand_back(key: tuple[pa.Scalar, ...], asked: pa.Table, found: pa.Table) ->
     return pa.Table.from_batches([_batch(_answers(asked, places, [np.concatenate([g[i].astype(np.int64) for g in got]) for i in (0, 1)]))])
 
 
-def exchange(asked: DataFrame, grams: int, bits: int | None = None) -> DataFrame:
+def _bits(grams: int) -> int:
+    """Bits of the hash ranges of which none is asked for more than ``TASK_GRAMS``."""
+    return max(LEAST_BITS, (max(1, -(-grams // TASK_GRAMS)) - 1).bit_length())
+
+
+def exchange(asked: DataFrame, grams: int, bits: int) -> DataFrame:
     """Answers to rows ``block, stamp, part, payload`` of requests for at most ``grams`` n-grams in all, by ``bits`` of their hash.
 
     The answers have the same columns; block 0 has totals. Where a range would be asked for more than ``TASK_GRAMS``, groups of
     its rows that are not become blocks of their own, whose requests are dealt by more bits.
     """
-    bits = bits or FAN_BITS
-    groups = -(-grams // (TASK_GRAMS << bits))
-    if groups <= 1:
+    last = _bits(grams)
+    if bits >= last:
         return materialize(asked.groupBy("part").applyInArrow(_answer, _ROWS), "counts")
+    groups, more = -(-grams // (TASK_GRAMS << bits)), min(last, bits + STEP_BITS)
     asked = materialize(asked, "asked")
     by = lambda rows: rows.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    larger = by(asked).groupBy("part", "group").applyInArrow(_merge(groups, bits + FAN_BITS), _ROWS)
-    found = exchange(larger, grams, bits + FAN_BITS)
+    larger = by(asked).groupBy("part", "group").applyInArrow(_merge(groups, more, more - bits), _ROWS)
+    found = exchange(larger, grams, more)
     named = found.where("block > 0").withColumn("of", F.expr(f"(block - 1) div {groups}")).withColumn("group", F.col("block") - 1 - F.col("of") * groups)
     back = by(asked).groupBy("part", "group").cogroup(named.groupBy("of", "group")).applyInArrow(_hand_back, _ROWS)
     return materialize(back.unionByName(found.where("block = 0")), "counts")
@@ -281,6 +287,7 @@ class _Counts:
         total, held = (np.concatenate([g[i].astype(np.int64) for g in got]) for i in (0, 1))
         tokens = word[index]
         keys, places = zip(*(np.unique(h, return_inverse=True) for h in _grams(tokens, self.sizes)), strict=True)
+        del got, tokens, word, index
         sort = np.argsort(np.concatenate(keys))
         at = np.empty(len(sort), np.int64)
         at[sort] = np.arange(len(sort))
@@ -410,8 +417,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     table as written, whose tasks see the same rows each time. If they don't, the job fails; it never mixes counts up.
     """
     deleted = docs.where(_held_out())
-    asked = _blocks(docs, True, True).unionByName(_blocks(deleted, True, False))
-    answered = exchange(asked, _most_grams(docs))
+    grams = _most_grams(docs)
+    bits = min(STEP_BITS, _bits(grams))
+    asked = _blocks(docs, bits, True).unionByName(_blocks(deleted, bits, False))
+    answered = exchange(asked, grams, bits)
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = sum(_expand(x.as_buffer().to_pybytes())[0] for x in table["payload"])
@@ -423,7 +432,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def by_block(rows: DataFrame, counting: bool, run, schema: str) -> DataFrame:
         answers = found.where(F.col("block") > 0 if counting else F.col("block") < 0)
-        return _blocks(rows, False, counting).groupBy("block", "stamp").cogroup(answers.groupBy("block", "stamp")).applyInArrow(run, schema)
+        return _blocks(rows, None, counting).groupBy("block", "stamp").cogroup(answers.groupBy("block", "stamp")).applyInArrow(run, schema)
 
     weights: list[np.ndarray] = []
     if tokens:

@@ -495,7 +495,8 @@ def _plain_scores(texts, order=3):
 def test_language_model_against_plain_counts(spark, monkeypatch, docs, task_grams):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 700)
     monkeypatch.setattr(lm, "TASK_GRAMS", task_grams)
-    monkeypatch.setattr(lm, "FAN_BITS", 3)
+    monkeypatch.setattr(lm, "LEAST_BITS", 2)
+    monkeypatch.setattr(lm, "STEP_BITS", 3)
     words, texts = _corpus(docs, 9)
     texts = [t.title() if i % 3 else t for i, t in enumerate(texts)] + texts[:9] + [t for t in ODD if t is None or len(t) < 500]
     monkeypatch.setattr(lm, "_BINS", 256)
@@ -518,7 +519,8 @@ def test_bins_move_scores_little(spark, monkeypatch):
 def test_rows_do_not_grow_with_the_ranges(spark, monkeypatch):
     """Whatever the input, and however many steps of asking it takes, rows are as full: their number follows that of the n-grams."""
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 300)
-    monkeypatch.setattr(lm, "FAN_BITS", 3)
+    monkeypatch.setattr(lm, "LEAST_BITS", 2)
+    monkeypatch.setattr(lm, "STEP_BITS", 3)
     monkeypatch.setattr(lm, "TASK_GRAMS", 500)
     seen = []
     monkeypatch.setattr(lm, "materialize", lambda df, label: (lambda t: (seen.append((label, t.count())), t)[1])(materialize(df, label)))
@@ -526,14 +528,15 @@ def test_rows_do_not_grow_with_the_ranges(spark, monkeypatch):
     for n in (10, 100, 400):
         docs = table(spark, _corpus(n, 3)[1]).repartition(4)
         grams = lm._most_grams(docs)
-        asked = lm._blocks(docs, True, True)
+        bits = min(3, lm._bits(grams))
+        asked = lm._blocks(docs, bits, True)
         seen.clear()
-        lm.exchange(asked, grams)
+        lm.exchange(asked, grams, bits)
         steps[n] = [asked.count(), *(rows for label, rows in seen if label == "asked")]
         assert all(rows <= 2 * grams * 8 / 500 + 32 for rows in steps[n])
     assert [len(steps[n]) for n in (10, 100, 400)] == [1, 2, 3]  # the first, and those that were written
-    lone = lm._blocks(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), True, True)
-    assert lone.count() <= 8
+    lone = lm._blocks(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), lm._bits(12), True)
+    assert lone.count() <= 4
 
 
 def test_language_model_on_odd_rows(spark):
