@@ -294,21 +294,75 @@ def test_archive_round_trip(spark):
 def test_reader_takes_members_and_any_parts():
     one = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 4\r\n\r\nab\r\n\r\n\r\n"
     both = gzip.compress(one) + gzip.compress(one)
-    assert [b for _, b in warc.parse(warc.inflate(both))] == [b"ab\r\n"] * 2
+    assert [(b, e) for _, b, e in warc.parse(warc.inflate(both))] == [(b"ab\r\n", None)] * 2
     for n in (1, 3, 1000):
         parts = (one[i : i + n] for i in range(0, len(one), n))
-        assert [(f["warc-type"], b) for f, b in warc.parse(parts)] == [("metadata", b"ab\r\n")]
-    with pytest.raises(ValueError):
-        list(warc.parse(iter([one[:-10]])))
+        assert [(f["warc-type"], b, e) for f, b, e in warc.parse(parts)] == [(["metadata"], b"ab\r\n", None)]
+
+
+def test_reader_makes_rows_of_what_it_cannot_read(spark, tmp_path):
+    one = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <a>\r\nWARC-Concurrent-To: <x>\r\nwarc-concurrent-to:\r\n <y>\r\nContent-Length: 4\r\n\r\nab\r\n\r\n\r\n"
+    bad = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <b>\r\nContent-Length: 4x\r\n\r\nab\r\nWARC/ in it\r\n\r\n"
+    none = b"WARC/1.1\r\nWARC-Type: request\r\n\r\n\r\n\r\n"
+    page = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Page-ID: seven\r\nContent-Length: 1\r\n\r\nz\r\n\r\n"
+    whole = one + bad + none + one + page + one[:-9]
+    for n in (1, 7, 10_000):
+        got = list(warc.parse(whole[i : i + n] for i in range(0, len(whole), n)))
+        assert [e is None for _, _, e in got] == [True, False, False, True, True, False]
+    folder = tmp_path / "w"
+    folder.mkdir()
+    (folder / "a.warc").write_bytes(whole)
+    (folder / "b.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(one * 50)[:60])
+    rows = warc.read_archives(spark, str(folder)).collect()
+    assert sum(r.error is None for r in rows) == 3 and sum(r.error is not None for r in rows) == 5
+    assert all(r.concurrent_to == ["<x>", "<y>"] for r in rows if r.error is None)
+    assert warc.assemble(warc.read_archives(spark, str(folder))).count() == 0
+
+
+def test_files_are_filled_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    pages = spark.createDataFrame([(i, "u", f"{i:04d}" * (1500 if i % 7 == 0 else 100)) for i in range(60)] + [(60, "u", "z" * 90_000)], "page_id long, url string, html string").repartition(2)
+    path = fresh_path(spark, "warc")
+    warc.write_archives(warc.with_revisits(pages), path)
+    files = [f.content for f in spark.read.format("binaryFile").load(path).select("content").collect()]
+    sizes = sorted(len(gzip.decompress(f)) for f in files)
+    assert sizes[-1] > 90_000 and sizes[-2] <= 20_004 and len(sizes) < 14 and warc.read_archives(spark, path).count() == 183
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_revisits_against_plain_groups(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)
+    monkeypatch.setattr(idfilter, "LEAST_WORDS", 1)
+    monkeypatch.setattr(idfilter, "MOST_WORDS", 1)  # a bitmap that nearly everything matches
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(300)]), str(i), rng.choice(["x" * 99, None, *(f"{k}" * 120 for k in range(100, 160)), f"{i:05d}" * 40])) for i in range(400)] + [(None, "a", "n" * 200), (None, "b", "n" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.url: r for r in warc.with_revisits(pages).collect()}
+    first = {}
+    for i, _, html in rows:
+        if html and len(html) >= 100 and i is not None:
+            first[html] = min(first.get(html, i), i)
+    assert len(got) == len(rows)
+    for i, url, html in rows:
+        of = first.get(html)
+        assert got[url].refers_to == (of if of is not None and of != i else None)
+        assert got[url].html == (None if got[url].refers_to is not None else html or "")
 
 
 def test_transactions_are_joined_by_concurrent_to(spark):
     schema = warc.RECORDS
     names = [x.split(" ")[0] for x in schema.split(", ")]
     make = lambda **k: tuple(k.get(n) for n in names)
-    rows = [make(warc_type="response", record_id="r1", page_id=1), make(warc_type="metadata", record_id="m2", concurrent_to="r1"), make(warc_type="metadata", record_id="m1", concurrent_to="r1"), make(warc_type="request", record_id="q9", concurrent_to="gone"), make(warc_type="response", record_id="r2", page_id=2), make(warc_type="warcinfo", record_id="w"), make(warc_type="request", record_id="q0", concurrent_to=None)]
-    got = {r.page_id: r for r in warc.assemble(spark.createDataFrame(rows, schema)).collect()}
-    assert set(got) == {1, 2} and [m.record_id for m in got[1].metadata] == ["m1", "m2"] and got[1].request is None and got[2].metadata == []
+    rows = [
+        make(warc_type="response", record_id="r1", page_id=1), make(warc_type="metadata", record_id="m2", concurrent_to=["r1"]), make(warc_type="metadata", record_id="m1", concurrent_to=["gone", "r1"]),
+        make(warc_type="request", record_id="q9", concurrent_to=["gone"]), make(warc_type="response", record_id="r2", page_id=2), make(warc_type="warcinfo", record_id="w"), make(warc_type="request", record_id="q0"),
+        make(warc_type="response", record_id="r3", page_id=3, concurrent_to=["q3", "m3"]), make(warc_type="request", record_id="q3"), make(warc_type="metadata", record_id="m3"),  # the response names them
+        make(warc_type="metadata", record_id="m4", concurrent_to=["q3"]),  # names the request
+        make(warc_type="metadata", record_id="m5", concurrent_to=["q3", "r2"]),  # names another response too, which it belongs to
+        make(warc_type="response", record_id=None, page_id=4), make(warc_type="response", record_id="r5", page_id=5, error="broken"),
+    ]
+    got = {r.page_id: (r.request and r.request.record_id, [m.record_id for m in r.metadata]) for r in warc.assemble(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: (None, ["m1", "m2"]), 2: (None, ["m5"]), 3: ("q3", ["m3", "m4"]), 4: (None, [])}
 
 
 # --- pipeline -----------------------------------------------------------------------------------------------------------------
