@@ -6,8 +6,10 @@
 3. Band hashes are shuffled. A bucket is led by its least member; a document's home is the least leader of its buckets, then
    twice the least home in its buckets, so near copies have one home or a few. Two homes are compared if a bucket has members of both: every pair that shares a band
    is then verified once, and a set is sent once for each home that its own is compared with, not once per band and pair.
-4. A home is cut into blocks; each pair of blocks is a task of bounded size that counts the common n-grams of its pairs. Tasks
-   give back link counts and a spanning forest, never the pairs of a group.
+   Homes are cut by the size of sets, into cells so wide that similar sets are in one or in two adjacent cells; only such are compared.
+4. A cell is cut into blocks of bounded numbers of sets and of n-grams; each pair of blocks is a task that counts the common
+   n-grams of its pairs. Tasks give back link counts and a spanning forest, never the pairs of a group. A cell of m different
+   sets takes m^2 comparisons and m^2 / BLOCK copies of sets.
 5. The forests' components are the near-duplicate classes.
 """
 
@@ -23,13 +25,15 @@ from pyspark.sql import functions as F
 
 from florilege.llm.components import connected_components
 from florilege.llm.idfilter import split_by_ids
-from florilege.llm.storage import materialize
+from florilege.llm.storage import discard, materialize
 from florilege.llm.textkernels import Words, mix, sliced, utf8
 from florilege.llm.worker import begin
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
-#: Representatives of a block; a task compares two blocks at most.
-BLOCK = 256
+#: Representatives of a block, and their n-grams on average; a task compares two blocks at most.
+BLOCK, BLOCK_GRAMS = 256, 500_000
+#: Cells of a bucket that one row lists; longer lists are cut and joined with each other.
+LISTED = 500
 #: Times that homes pass to the members of a bucket: large groups of near copies get one home, and chains stay cut in parts.
 HOPS = 2
 _SEED = 7
@@ -191,35 +195,48 @@ def _compare(threshold: float, n: int):
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
-    """``home, doc_id, weight, grams binary`` of the rows ``home, doc_id, weight, key_a, text`` whose set has that key."""
+    """``home, size, doc_id, weight, grams binary`` of the rows ``home, size, doc_id, weight, key_a, text`` whose set has that key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text", 1 << 20):
-            h, size = gram_sets(Words(*utf8(part.column(4))), n)
+            h, size = gram_sets(Words(*utf8(part.column(5))), n)
             at = np.concatenate([[0], np.cumsum(size)])
             grams = pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
-            batch = pa.RecordBatch.from_arrays([*part.columns[:3], grams], ["home", "doc_id", "weight", "grams"])
-            yield batch.filter(pa.array(_keys(h, size)[0] == np.asarray(part.column(3))))
+            batch = pa.RecordBatch.from_arrays([*part.columns[:4], grams], ["home", "size", "doc_id", "weight", "grams"])
+            yield batch.filter(pa.array(_keys(h, size)[0] == np.asarray(part.column(4))))
 
-    return texts.select("home", "doc_id", "weight", "key_a", "text").mapInArrow(run, "home long, doc_id long, weight long, grams binary")
+    return texts.select("home", "size", "doc_id", "weight", "key_a", "text").mapInArrow(run, "home long, size long, doc_id long, weight long, grams binary")
 
 
-def _home_pairs(shared: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
-    """What each home is compared with: ``home, low, high, role, own_blocks, other_blocks``.
+def _cell_pairs(shared: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
+    """What each cell is compared with: ``home, size, low, high, role, own_blocks, other_blocks``, where low and high are cells.
 
-    Role 0 is the home with itself, 1 the lower and 2 the higher of two homes that have members in one bucket. Members of a
-    bucket nearly all share its leader as home, so a bucket has few homes, however many members.
+    Role 0 is the cell with itself, 1 the lower and 2 the higher of two cells of like sizes that have members in one bucket, or
+    are of one home. Members of a bucket nearly all share its leader as home, so a bucket has few cells, however many members;
+    where it has more than ``LISTED``, no task holds them all.
     """
-    sizes = candidates.groupBy("home").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    at = shared.join(candidates.select("doc_id", "home"), "doc_id").select("band", "h", "home").distinct()
-    several = at.groupBy("band", "h").agg(F.array_sort(F.collect_list("home")).alias("homes")).where(F.size("homes") > 1)
-    low = several.select("homes", F.posexplode("homes").alias("at", "low"))
-    pairs = low.select("low", F.explode(F.slice("homes", F.col("at") + 2, F.size("homes"))).alias("high")).distinct()
-    named = lambda side: sizes.select(F.col("home").alias(side), F.col("blocks").alias(f"{side}_blocks"))
+    cell = F.struct("home", "size")
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n_grams") / F.lit(BLOCK_GRAMS))).cast("int")
+    sizes = materialize(candidates.groupBy("home", "size").agg(blocks.alias("blocks")).select(cell.alias("cell"), "blocks"), "cells")
+    at = materialize(shared.join(candidates.select("doc_id", cell.alias("cell")), "doc_id").select("band", "h", "cell").distinct(), "bucket-cells")
+    several = at.groupBy("band", "h").agg(F.ceil(F.count("*") / F.lit(LISTED)).alias("lists"), F.count("*").alias("n")).where("n > 1").drop("n")
+    lists = at.join(several, ["band", "h"]).withColumn("list", F.pmod(F.xxhash64("cell"), F.col("lists")))
+    lists = lists.groupBy("band", "h", "list").agg(F.first("lists").alias("lists"), F.array_sort(F.collect_list("cell")).alias("cells"))
+    lists = materialize(lists, "cell-lists")
+    alike = F.abs(F.col("low.size") - F.col("high.size")) <= 1
+    inner = lists.select("cells", F.posexplode("cells").alias("at", "low"))
+    inner = inner.select("low", F.explode(F.slice("cells", F.col("at") + 2, F.size("cells"))).alias("high"))
+    long = lists.where("lists > 1")
+    outer = long.select("band", "h", "list", F.explode("cells").alias("a")).join(long.select("band", "h", F.col("list").alias("other"), F.col("cells").alias("others")), ["band", "h"])
+    outer = outer.where("list < other").select("a", F.explode("others").alias("b")).select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    same = sizes.select(F.col("cell").alias("low"), F.struct(F.col("cell.home").alias("home"), (F.col("cell.size") + 1).alias("size")).alias("high"))
+    same = same.join(sizes.select(F.col("cell").alias("high")), "high", "left_semi").select("low", "high")
+    pairs = inner.unionByName(outer).where(alike).unionByName(same).distinct()
+    named = lambda side: sizes.select(F.col("cell").alias(side), F.col("blocks").alias(f"{side}_blocks"))
     pairs = pairs.join(named("low"), "low").join(named("high"), "high")
-    rows = lambda home, role, own, other: F.struct(F.col(home).alias("home"), "low", "high", F.lit(role).alias("role"), F.col(own).alias("own_blocks"), F.col(other).alias("other_blocks"))
+    rows = lambda own, role, mine, other: F.struct(F.col(f"{own}.home").alias("home"), F.col(f"{own}.size").alias("size"), "low", "high", F.lit(role).alias("role"), F.col(mine).alias("own_blocks"), F.col(other).alias("other_blocks"))
     both = pairs.select(F.explode(F.array(rows("low", 1, "low_blocks", "high_blocks"), rows("high", 2, "high_blocks", "low_blocks"))).alias("r")).select("r.*")
-    alone = sizes.select("home", F.col("home").alias("low"), F.col("home").alias("high"), F.lit(0).alias("role"), F.col("blocks").alias("own_blocks"), F.col("blocks").alias("other_blocks"))
+    alone = sizes.select("cell.home", "cell.size", F.col("cell").alias("low"), F.col("cell").alias("high"), F.lit(0).alias("role"), F.col("blocks").alias("own_blocks"), F.col("blocks").alias("other_blocks"))
     return both.unionByName(alone)
 
 
@@ -239,23 +256,26 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     members = members.where("k is null or (key_a = k.key_a and key_b = k.key_b)").select("doc_id", "n_grams", "key_a", "key_b").distinct()
     lone = members.where("n_grams = 0")
     by_set = members.where("n_grams > 0").groupBy("n_grams", "key_a", "key_b").agg(F.min("doc_id").alias("exact_id"), F.count("*").alias("weight"))
-    classes = materialize(by_set, "classes", lean=True)
-    reps = classes.select(F.col("exact_id").alias("doc_id"), "weight", "key_a")
+    classes = materialize(by_set, "classes")
+    reps = classes.select(F.col("exact_id").alias("doc_id"), "weight", "key_a", "n_grams")
 
     # buckets with more than one representative, each led by its least one; a home is the least leader of a representative
-    band_rows = sketched.join(reps, ["doc_id", "key_a"], "left_semi").select("doc_id", F.posexplode("bands").alias("band", "h"))
+    band_rows = sketched.join(reps, ["doc_id", "key_a", "n_grams"], "left_semi").select("doc_id", F.posexplode("bands").alias("band", "h"))
     least = band_rows.groupBy("band", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    shared = materialize(band_rows.join(least, ["band", "h"]), "buckets", lean=True)
-    homes = shared.groupBy("doc_id").agg(F.min("least").alias("home"))
+    shared = materialize(band_rows.join(least, ["band", "h"]), "buckets")
+    done, homes = [shared], shared.groupBy("doc_id").agg(F.min("least").alias("home"))
     for _ in range(HOPS):
         lead = shared.join(homes, "doc_id").groupBy("band", "h").agg(F.min("home").alias("lead"))
-        homes = materialize(shared.join(lead, ["band", "h"]).groupBy("doc_id").agg(F.min("lead").alias("home")), "homes", lean=True)
-    candidates = materialize(homes.join(reps, "doc_id"), "candidates", lean=True)
-    plan = materialize(_home_pairs(shared, candidates, block), "home-pairs", lean=True)
+        homes = materialize(shared.join(lead, ["band", "h"]).groupBy("doc_id").agg(F.min("lead").alias("home")), "homes")
+        done.append(homes)
+    # sizes that differ by more than the threshold's share cannot link; a hair wider, for the rounding of logarithms
+    size = F.floor(F.log("n_grams") / F.lit(max(1e-9, -math.log(min(1.0, threshold)) * (1 + 1e-9)))).cast("long")
+    candidates = materialize(homes.join(reps, "doc_id").withColumn("size", size), "candidates")
+    plan = materialize(_cell_pairs(shared, candidates, block), "cell-pairs")
 
     texts = split_by_ids(docs.select("doc_id", "text"), "doc_id", candidates, "doc_id")[0].join(candidates, "doc_id")
     sets = _sets(texts, n).dropDuplicates(["doc_id"]) if repeats.limit(1).count() else _sets(texts, n)
-    placed = sets.join(plan, "home").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("own_blocks")).cast("int"))
+    placed = sets.join(plan, ["home", "size"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("own_blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
     first = F.when(F.col("role") == 0, F.least("own", "other")).when(F.col("role") == 1, F.col("own")).otherwise(F.col("other"))
     second = F.when(F.col("role") == 0, F.greatest("own", "other")).when(F.col("role") == 1, F.col("other")).otherwise(F.col("own"))
@@ -263,6 +283,8 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     tasks = placed.select(F.xxhash64("low", "high", first, second).alias("task"), side.cast("int").alias("side"), "doc_id", "weight", "grams")
     tasks = tasks.repartition("task").sortWithinPartitions("task", "doc_id")
     links = materialize(tasks.mapInArrow(_compare(threshold, n), "doc_id long, to long, links long"), "links")
+    for table in (*done, candidates, plan):
+        discard(docs.sparkSession, table)
 
     found_links = links.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
     near = connected_components(links.select(F.col("doc_id").alias("u"), F.col("to").alias("v")))
@@ -275,7 +297,7 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without those that a smaller doc_id of their class stands for; rows with a null doc_id stay."""
-    gone = materialize(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone_id")), "gone", lean=True)
+    gone = materialize(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone_id")), "gone")
     columns = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*columns)
     key = columns[docs.columns.index("doc_id")]

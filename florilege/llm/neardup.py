@@ -148,7 +148,7 @@ def _tiles(threshold: float, exact: bool):
 def _unique(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The ids, each once, and one vector of each: of ids that repeat the least. Vectors of other ids are not moved."""
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    ids = materialize(rows.groupBy("vec_id").agg(F.count("*").alias("n")), "vector-ids", lean=True)
+    ids = materialize(rows.groupBy("vec_id").agg(F.count("*").alias("n")), "vector-ids")
     repeated = ids.where("n > 1").select("vec_id")
     n = repeated.count()
     if n:

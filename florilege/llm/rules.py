@@ -151,7 +151,7 @@ def judged(stats: DataFrame, fence_rows: DataFrame) -> DataFrame:
     The fences are broadcast if a count shows them to be few, so that documents stay where they are. A group without fences has
     no document that passes the base rules.
     """
-    f = materialize(fence_rows, "fences", lean=True).select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), "fences")
+    f = materialize(fence_rows, "fences").select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), "fences")
     if f.count() <= BROADCAST_GROUPS:
         f = F.broadcast(f)
     joined = stats.join(f, stats["lang"].eqNullSafe(f["fence_lang"]) & stats["source"].eqNullSafe(f["fence_source"]), "left")
@@ -167,7 +167,7 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     Repeated rows are judged each; an empty table gives no rows; other columns are ignored.
     """
     stats = materialize(with_stats(docs, ["doc_id", "lang", "source"]), "rules")
-    return judged(stats, fences(materialize(sketch(stats), "sketch", lean=True))).select("doc_id", *(F.col(f"rule.{c}").alias(c) for c in BASE), "base_failed", "kept")
+    return judged(stats, fences(materialize(sketch(stats), "sketch"))).select("doc_id", *(F.col(f"rule.{c}").alias(c) for c in BASE), "base_failed", "kept")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 
     Texts are measured twice, once for the sketches and once beside the text, rather than shuffled.
     """
-    lean = materialize(sketch(with_stats(docs, ["lang", "source"])), "sketch", lean=True)
+    lean = materialize(sketch(with_stats(docs, ["lang", "source"])), "sketch")
     columns = [f"c{i}" for i in range(len(docs.columns))]  # names of our own cannot clash
     renamed = docs.toDF(*columns)
     at = dict(zip(docs.columns, columns, strict=True))

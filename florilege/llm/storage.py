@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,16 +27,29 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/florilege/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, lean: bool = False) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving all tables that were written within, but for those that :func:`materialize` was told to keep."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            discard(spark, path)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, and survives the loss of executors.
 
-    ``lean`` is for tables of a few numbers per document that come out of a shuffle: they are written in an eighth as many files
-    as there are shuffle partitions, which are sized for texts.
+    Adaptive execution fits the number of files to their size. ``keep`` holds the table beyond :func:`scratch`.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    if lean:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -264,7 +264,7 @@ def assemble(records: DataFrame) -> DataFrame:
     names = records.where(F.col("concurrent_to").isNotNull()).select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
     links = names.unionByName(names.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     ends = records.where(response | (F.col("warc_type") == "request")).select(F.col("record_id").alias("b"), response.alias("is_capture")).distinct()
-    named = materialize(links.join(ends, "b"), "links", lean=True)
+    named = materialize(links.join(ends, "b"), "links")
     direct = named.where("is_capture").select("a", F.col("b").alias("of"))
     through = named.where("not is_capture").select("a", F.col("b").alias("via")).join(direct.select(F.col("a").alias("via"), "of"), "via")
     member = direct.unionByName(through.join(direct, "a", "left_anti").select("a", "of")).distinct()

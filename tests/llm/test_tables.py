@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from florilege.llm import idfilter, jaccard, neardup, sharding, warc
 from florilege.llm.components import connected_components
-from florilege.llm.storage import discard, fresh_path, materialize, shared_dir
+from florilege.llm.storage import discard, fresh_path, materialize, scratch, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -131,6 +131,35 @@ def test_join_on_odd_rows(spark):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0 and jaccard.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_long_lists_of_cells_and_large_sets(spark, monkeypatch):
+    rows = near_corpus(4)
+    want = plain_join(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard, "LISTED", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 300)
+    monkeypatch.setattr(jaccard, "HOPS", 0)  # many homes to a bucket
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(docs).collect()} == want
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_sizes_that_are_not_compared_cannot_link(spark, threshold):
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[: 30 + k])) for k in range(120)] + [(500 + k, " ".join(words[:60])) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(docs, threshold=threshold).collect()}
+    assert got == plain_join(rows, threshold)
+
+
+def test_scratch_removes_what_is_not_kept(spark):
+    with scratch(spark):
+        a, b = materialize(spark.range(3), "t"), materialize(spark.range(4), "t", keep=True)
+        assert a.count() == 3
+    assert b.count() == 4
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound|FILE_NOT_EXIST"):
+        materialize(a, "t")
+    discard(spark, b)
+
+
 def test_banding_reaches_the_recall():
     for threshold in (0.5, 0.8, 0.95):
         bands, rows = jaccard.choose_bands(threshold, 0.999)
