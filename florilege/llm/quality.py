@@ -1,8 +1,8 @@
 """Quality classifier: regularised quadratic discriminant analysis over transformed document statistics.
 
 Each class has a Gaussian with its mean and a covariance shrunk towards the pooled one and a scaled identity. The score is
-the logistic of the difference of the two log densities, by Mahalanobis distances with Cholesky factors that are computed
-once, and of the log prior odds. Moments are exact sums over all training rows, added up per task before the shuffle.
+the logistic of the difference of the two log densities, by Mahalanobis distances with Cholesky factors that are computed and
+inverted once, and of the log prior odds. Moments are exact sums over all training rows, added up per task before the shuffle.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from florilege.llm.docstats import extra_counts, rule_counts
+from florilege.llm.idfilter import split_by_ids
 from florilege.llm.storage import materialize
 from florilege.llm.textkernels import Words, sliced, utf8
 
 THRESHOLD = 0.3
 #: Shares of the pooled covariance and of the scaled identity in each class covariance.
 POOLED, IDENTITY = 0.05, 0.01
+#: Labels of 12 bytes up to which they are broadcast.
+BROADCAST_LABELS = 500_000
 FEATURES = ["log_words", "word_length", "symbols", "dup_lines", "repeats", "upper", "marks", "stops", "digits", "distinct", "line_words", "word_spread"]
 
 
@@ -65,11 +68,15 @@ def with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 @dataclass
 class Discriminant:
-    """Two Gaussians with cached Cholesky factors; without training rows of both classes every score is the prior's."""
+    """Two Gaussians: means, inverses of the Cholesky factors and half the logarithms of the determinants.
+
+    Without two training rows of each class every score is the prior's.
+    """
 
     prior: float
     means: list[np.ndarray]
-    factors: list[np.ndarray]
+    inverses: list[np.ndarray]
+    halves: list[float]
 
     @classmethod
     def fit(cls, moments: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Discriminant:
@@ -78,19 +85,19 @@ class Discriminant:
         total = sum(counts)
         prior = (counts[1] + 1) / (total + 2)
         if min(counts) < 2:
-            return cls(prior, [], [])
+            return cls(prior, [], [], [])
         means = [moments[k][1] / counts[k] for k in (0, 1)]
         scatter = [moments[k][2] - counts[k] * np.outer(means[k], means[k]) for k in (0, 1)]
         pooled = (scatter[0] + scatter[1]) / total
         unit = np.diag(np.maximum(np.diag(pooled), 1e-6))  # an identity on the scale of each feature
         factors = [np.linalg.cholesky((1 - POOLED - IDENTITY) * scatter[k] / counts[k] + POOLED * pooled + IDENTITY * unit) for k in (0, 1)]
-        return cls(prior, means, factors)
+        return cls(prior, means, [np.linalg.inv(f) for f in factors], [float(np.log(np.diag(f)).sum()) for f in factors])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         odds = np.full(len(x), np.log(self.prior / (1 - self.prior)))
-        for sign, mean, factor in zip((-1, 1), self.means, self.factors, strict=False):
-            z = np.linalg.solve(factor, (x - mean).T)
-            odds += sign * (-0.5 * (z * z).sum(0) - np.log(np.diag(factor)).sum())
+        for sign, mean, inverse, half in zip((-1, 1), self.means, self.inverses, self.halves, strict=False):
+            z = (x - mean) @ inverse.T
+            odds += sign * (-0.5 * (z * z).sum(1) - half)
         return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
 
@@ -101,10 +108,15 @@ def held_out() -> Column:
 def fit(rows: DataFrame, labels: DataFrame) -> Discriminant:
     """Fit on all rows of ``rows(doc_id, qf)`` with a label 0 or 1 that are not held out.
 
-    Only the moments of two classes reach the driver. Null labels and ids do not train; repeated rows count each.
+    Only the moments of two classes reach the driver. Null labels and ids, and labels other than 0 and 1, do not train; repeated
+    rows count each. Up to ``BROADCAST_LABELS`` labels are broadcast; with more, a bitmap of their ids picks the rows that
+    are joined. ``labels`` is read more than once.
     """
     d = len(FEATURES)
-    label = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out())
+    known = labels.where(F.col("quality").cast("double").isin(0.0, 1.0) & F.col("doc_id").isNotNull() & ~held_out())
+    label = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    few = label.count() <= BROADCAST_LABELS
+    rows = rows if few else split_by_ids(rows, "doc_id", label.withColumnRenamed("doc_id", "labelled_id"), "labelled_id")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {k: np.zeros(1 + d + d * d) for k in (0, 1)}
@@ -116,7 +128,7 @@ def fit(rows: DataFrame, labels: DataFrame) -> Discriminant:
         n = 1 + d + d * d
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], n), pa.int32()), pa.array(np.tile(np.arange(n), 2), pa.int32()), pa.array(np.concatenate([sums[0], sums[1]]))], ["k", "i", "v"])
 
-    train = rows.select("doc_id", "qf").join(label, "doc_id").select("quality", "qf")
+    train = rows.select("doc_id", "qf").join(F.broadcast(label) if few else label, "doc_id").select("quality", "qf")
     found = train.mapInArrow(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()  # 2 * (1 + d + d^2) rows
     by = {k: np.zeros(1 + d + d * d) for k in (0, 1)}
     for k, i, v in found:
@@ -140,7 +152,8 @@ def scored(rows: DataFrame, model: Discriminant) -> DataFrame:
 def classify_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``; null and empty texts are scored too.
 
-    Labels are learned from rows that are not held out alone; lang, source, doc_id and labels are no inputs of a score.
+    Labels are learned from rows that are not held out alone; lang, source, doc_id and labels are no inputs of a score. Repeated
+    rows are scored each; a null doc_id hashes as an empty name; an empty table gives no rows; other columns are ignored.
     """
     rows = materialize(with_features(docs, ["doc_id"]), "features")
     return scored(rows, fit(rows, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
@@ -150,7 +163,8 @@ def filter_documents(docs: DataFrame, labelled: DataFrame, labels: DataFrame) ->
     """The rows of ``docs`` predicted to be of quality 1, with all their columns; texts are never shuffled.
 
     The classes are learned from the documents of ``labelled``, which should be the corpus before any other filter: what an
-    earlier stage has removed is what the model needs examples of.
+    earlier stage has removed is what the model needs examples of. Null and empty texts are scored as any other; repeated rows
+    stay or go together; an empty table stays empty, and columns may have any names.
     """
     model = fit(materialize(with_features(labelled, ["doc_id"]), "features"), labels)
     at = docs.columns.index("text")

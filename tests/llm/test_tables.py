@@ -431,6 +431,24 @@ def test_pipeline_stages_and_columns(spark, tmp_path):
     assert key(whole) == key(now)
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rule string"
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(60))
+    rows = [(1, text, "en", None, 3, "x"), (1, text, "en", None, 3, "x"), (None, text, None, "s", 1, "y"), (2, None, "en", "s", None, None), (3, "", None, None, 0, "z"), (4, text + " tail", "en", "s", 9, "q")]
+    for name, table in (("odd", rows), ("none", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(table, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        got = collections.Counter(r.doc_id for r in corpus_pipeline.run(spark, d).collect())
+        assert got == ({1: 2, None: 1} if table else {})
+        now = spark.read.parquet(f"{d}/documents.parquet")
+        for stage in (f for n, f in corpus_pipeline.STAGES if n != "packing"):
+            now = stage(spark, now, d)
+            assert now.columns == [c.split(" ")[0] for c in schema.split(", ")]
+
+
 def test_library_does_not_need_the_subpackage():
     import pathlib
 

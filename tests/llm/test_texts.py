@@ -262,6 +262,29 @@ def test_classifier_on_held_out_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.predicted} and kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_scores_against_a_direct_discriminant(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_LABELS", most)
+    words, texts = _corpus(150, 6)
+    rng = random.Random(7)
+    texts += [" ".join(rng.choice(words) + rng.choice(("", "%", "7")) for _ in range(rng.randint(5, 60))) + "\n" * rng.randint(0, 9) for _ in range(90)] + ["", None]
+    labels = [(i, float(i < 140), 0) for i in range(len(texts) - 20)] + [(0, 0.7, 0), (1, None, 0), (None, 1.0, 0), (3, 2.0, 0)]
+    got = {r.doc_id: r for r in quality.classify_documents(table(spark, texts), spark.createDataFrame(labels, "doc_id long, quality double, toxic int")).collect()}
+    x = quality.features(Words(*utf8(pa.array(texts, pa.string()))))
+    train = [(i, int(y)) for i, y, _ in labels if i is not None and y in (0.0, 1.0) and zlib.crc32(str(i).encode()) % 5]
+    groups = [x[[i for i, y in train if y == k]] for k in (0, 1)]
+    cov = [np.cov(g.T, bias=True) for g in groups]
+    pooled = sum(len(g) * c for g, c in zip(groups, cov, strict=True)) / len(train)
+    logs = []
+    for g, c in zip(groups, cov, strict=True):
+        shrunk = 0.94 * c + 0.05 * pooled + 0.01 * np.diag(np.maximum(np.diag(pooled), 1e-6))
+        d = x - g.mean(0)
+        logs.append(-0.5 * np.einsum("ij,ij->i", d, np.linalg.solve(shrunk, d.T).T) - 0.5 * np.linalg.slogdet(shrunk)[1] + np.log(len(g) + 1))
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+    far = [(i, got[i].score, w) for i, w in enumerate(want) if got[i].score != pytest.approx(w, rel=1e-5, abs=1e-12) or got[i].predicted != (w >= 0.3)]
+    assert len(got) == len(texts) and not far
+
+
 def test_held_out_labels_make_no_difference(spark):
     words, texts = _corpus(120, 7)
     docs = table(spark, texts)
