@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from florilege.llm import jaccard, packing, pii, quality, rules
 from florilege.llm.queries import VOCABULARY
-from florilege.llm.storage import materialize
+from florilege.llm.storage import discard, materialize, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; all but the last are written as Parquet to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``; all but the last are written as Parquet to the shared folder.
+
+    Null and empty texts and documents of few words go in the first stage. Rows that repeat a doc_id with equal texts all stay
+    or go together; rows with a null doc_id are no copies of any. An empty table gives no rows. What a stage writes for itself
+    is deleted at its end, and its result once the next one is written; the pieces that the last result reads stay.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
+        if before is not None:
+            discard(spark, before)
+        before = docs
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    discard(spark, docs)  # the pieces have been written
+    return out
