@@ -37,7 +37,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 BROADCAST_GROUPS = 50_000
 SKETCH_ERROR = 0.01
 #: Spreads of the upper half's quartile beyond which a text is no part of the bulk; the quantile kept of rare statistics.
-REACH, TAIL = 8.0, 0.998
+REACH, TAIL = 8.0, 0.999
 #: Documents for which the parent's sketch counts in that of a group.
 PRIOR = 200
 BULK, RARE = ("symbols", "upper", "word_length"), ("dup_lines", "repeats", "marks")
