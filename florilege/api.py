@@ -15,7 +15,7 @@ from florilege.operators.ingest import IngestResult, ingest
 from florilege.plans.answer import Generator, answer, generator_from_env
 from florilege.plans.export import listing_line, session_markdown
 from florilege.schema import QUESTIONS, AnswerOptions, ChunkOptions
-from florilege.sources.files import read_files, read_store_files, scan_folder
+from florilege.sources.files import Folder, Store
 from florilege.sources.pdf import OcrEngine
 from florilege.sources.store import Collection, CollectionStore, CorruptCollection, collection_id
 from florilege.streaming.watch import DEFAULT_INTERVAL, watch
@@ -52,17 +52,21 @@ class Engine:
         An existing collection keeps its first root path. All or nothing: an error leaves the saved version as it was.
         """
         cid = collection_id(name)
-        now = self.store.load(cid) if self.store.exists(cid) else Collection.new(self.spark, name, root)
-        files = read_store_files(self.spark, root) if "://" in root else read_files(scan_folder(self.spark, root))
-        result = ingest(now, files.persist(), self.chunking, self.dim, self.ocr, root if prune_root_only else None)
-        result.report = result.report.persist()  # read now, while the superseded version is there
-        changed = result.report.where(F.col("status").isin("added", "updated", "removed")).limit(1).count()
-        if changed or not self.store.exists(cid):
-            result.collection = self.store.save(result.collection)
-            self._forget(cid)
-        else:
-            result.collection = now
-        files.unpersist()
+        known = self.store.exists(cid)
+        now = self.store.load(cid) if known else Collection.new(self.spark, name, root)
+        source = Store(self.spark, root) if "://" in root else Folder(self.spark, root)
+        try:
+            result = ingest(now, source, self.chunking, self.dim, self.ocr, root if prune_root_only else None, lambda rows, label: self.store.staging(cid, label, rows))
+            result.report = result.report.persist()  # paths and words, read now, while the staged tables are there
+            changed = result.report.where(F.col("status").isin("added", "updated", "removed")).limit(1).count()
+            result.report.count()
+            if changed or not known:
+                result.collection = self.store.append(cid, result.delta) if known else self.store.save(result.collection)
+                self._forget(cid)
+            else:
+                result.collection = now
+        finally:
+            self.store.clear()
         return result
 
     def questions(self, texts: Iterable[str], top_k: int = 0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from florilege.functions.text import mime_type, short_id
 from florilege.operators.chunk import DIM, chunk_documents
 from florilege.schema import CHUNKS, DOCUMENTS, ChunkOptions
-from florilege.sources.files import parse, parser_of
+from florilege.sources.files import BINARY_PARSERS, Files, Folder, parse_binary, parse_text, parser_of
 from florilege.sources.pdf import OcrEngine
-from florilege.sources.store import Collection
+from florilege.sources.store import Collection, Delta
 
 STATUSES = ("added", "updated", "unchanged", "skipped", "error", "removed")
 
@@ -33,43 +34,53 @@ def snapshot_diff(disk: DataFrame, stored: DataFrame, keep_outside: str | None =
 
 @dataclass
 class IngestResult:
-    """The new state, and a report of ``path, status, error`` with one row per file or removed document."""
+    """The new state, a report of ``path, status, error`` with one row per file or removed document in path order, and what is new."""
 
     collection: Collection
     report: DataFrame
+    delta: Delta
 
     def counts(self) -> dict[str, int]:
         found = {r["status"]: r["count"] for r in self.report.groupBy("status").count().collect()}
         return {s: found.get(s, 0) for s in STATUSES}
 
 
-def ingest(collection: Collection, files: DataFrame, options: ChunkOptions = ChunkOptions(), dim: int = DIM, ocr: OcrEngine | None = None, prune_root: str | None = None) -> IngestResult:
-    """Bring a collection up to date with ``files(path, content, error)``.
+def _cached(rows: DataFrame, label: str) -> DataFrame:
+    return rows.persist()
+
+
+def ingest(collection: Collection, files: DataFrame | Folder | Files, options: ChunkOptions = ChunkOptions(), dim: int = DIM, ocr: OcrEngine | None = None, prune_root: str | None = None, stage: Callable[[DataFrame, str], DataFrame] = _cached) -> IngestResult:
+    """Bring a collection up to date with files: a table ``path, content, error``, or a folder or store of them.
 
     Files that no parser claims are skipped; unchanged ones are not parsed. A document that fails to parse keeps its old
     version and is tried again next time. Stored documents that are not among the files, or could not be read, or are no
     longer claimed, are removed: all of them, or with ``prune_root`` those under that root only. The result is a plan; nothing
-    is written until it is saved.
+    is written to the collection until it is saved.
+
+    Hashes are compared first, of which no more than ids, paths and hashes is moved. Then added and updated files alone are read
+    again and parsed, once; their hashes are those of what was parsed. ``stage`` keeps the two tables, of hashes and of parsed
+    files, so that all that follows sees the same rows; by default they are cached.
     """
-    claimed = files.withColumn("parser", parser_of(F.col("path"), ocr is not None))
+    source = Files(files) if isinstance(files, DataFrame) else files
+    claimed = source.paths().withColumn("parser", parser_of(F.col("path"), ocr is not None))
     skipped = claimed.where("parser is null").select("path", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"))
-    claimed = claimed.where("parser is not null")
-    unread = claimed.where("content is null").select("path", F.lit("error").alias("status"), "error")
-    readable = claimed.where("content is not null").select(short_id(F.col("path")).alias("id"), "path", F.sha2("content", 256).alias("hash"), "parser", "content")
-    diff = snapshot_diff(readable, collection.documents, prune_root)
-    fresh = diff.where(F.col("status").isin("added", "updated")).select(F.col("id").alias("fresh_id"), F.col("status").alias("fresh_status"))
-    todo = readable.join(fresh, F.col("id") == F.col("fresh_id"))
-    parsed = parse(todo, ocr).withColumnRenamed("path", "parsed_path")
-    parsed = todo.drop("content").join(parsed, F.col("path") == F.col("parsed_path"))
+    hashed = stage(source.hashes(claimed.where("parser is not null")).select(short_id(F.col("path")).alias("id"), "path", "hash", "error"), "hashes")
+    unread = hashed.where("hash is null").select("path", F.lit("error").alias("status"), "error")
+    diff = snapshot_diff(hashed.where("hash is not null"), collection.documents, prune_root)
+    todo = diff.where(F.col("status").isin("added", "updated")).select("id", "path", F.col("status").alias("fresh_status"), parser_of(F.col("path"), ocr is not None).alias("parser"))
+    binary = F.col("parser").isin(BINARY_PARSERS)
+    fresh = lambda some: source.read(todo.where(some)).withColumn("hash", F.sha2("content", 256))
+    parsed = parse_text(fresh(~binary)).unionByName(parse_binary(fresh(binary), ocr))
+    parsed = stage(parsed.drop("parser"), "parsed")
     failed = parsed.where("error is not null").select("path", F.lit("error").alias("status"), "error")
     good = parsed.where("error is null")
     documents = good.select("id", "path", "hash", mime_type(F.col("path")).alias("mime_type"), F.current_timestamp().alias("indexed_at"))
-    gone = diff.where("status = 'removed'").select("id").unionByName(good.select("id"))
+    gone = diff.where("status = 'removed'").select("id").unionByName(good.where("fresh_status = 'updated'").select("id"))
     kept_documents = collection.documents.join(gone, "id", "left_anti")
     kept_chunks = collection.chunks.join(gone.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
     chunks = chunk_documents(good.select("id", "path", "text", "boundaries"), options, dim)
     done = good.select("path", F.col("fresh_status").alias("status"), F.lit(None).cast("string").alias("error"))
     same = diff.where(F.col("status").isin("unchanged", "removed")).select("path", "status", F.lit(None).cast("string").alias("error"))
-    report = done.unionByName(same).unionByName(skipped).unionByName(unread).unionByName(failed)
+    report = done.unionByName(same).unionByName(skipped).unionByName(unread).unionByName(failed).orderBy("path", "status")
     new = Collection(collection.id, collection.name, collection.root_path, kept_documents.select(*DOCUMENTS.names).unionByName(documents), kept_chunks.select(*CHUNKS.names).unionByName(chunks))
-    return IngestResult(new, report)
+    return IngestResult(new, report, Delta(documents, chunks, gone))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark import RDD
 from pyspark.serializers import NoOpSerializer, PairDeserializer, UTF8Deserializer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from florilege.functions.text import blank_markdown, extension
 from florilege.sources.pdf import OcrEngine, image_text, pdf_text
@@ -19,6 +22,11 @@ MARKDOWN = [".md", ".markdown"]
 PDF = [".pdf"]
 CODE = [".go", ".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".c", ".h", ".cpp", ".hpp", ".rs", ".rb", ".php", ".cs", ".sh", ".sql", ".yaml", ".yml", ".json", ".toml", ".proto"]
 TEXT = [".txt"]
+#: Parsers that work on bytes in Python.
+BINARY_PARSERS = ["pdf", "image"]
+#: Files of a store that are opened one by one.
+FEW_FILES = 10_000
+_LOCAL = re.compile("^file:/*")
 IMAGE = [".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp"]
 
 
@@ -53,20 +61,76 @@ def scan_folder(spark: SparkSession, root: str, files_per_task: int = 256) -> Da
 
 
 def read_files(paths: DataFrame) -> DataFrame:
-    """``path, content, error`` of files on a path that executors see; an unreadable file has an error and no content."""
+    """The columns of ``paths(path, ...)`` with ``content`` and ``error`` of files on a path that executors see; an unreadable file has an error and no content."""
+    names = paths.columns
+    at = names.index("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for k, path in enumerate(batch.column(at).to_pylist()):
                 content = error = None
                 try:
                     with open(path, "rb") as f:
                         content = f.read()
                 except OSError as e:
                     error = f"{type(e).__name__}: {e.strerror}"
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["path", "content", "error"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([content], pa.binary()), pa.array([error], pa.string())], [*names, "content", "error"])
 
-    return paths.select("path").mapInArrow(run, "path string, content binary, error string")
+    return paths.mapInArrow(run, T.StructType([*paths.schema, T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]))
+
+
+def hash_files(paths: DataFrame) -> DataFrame:
+    """The columns of ``paths(path, ...)`` with ``hash`` and ``error``; contents are hashed piece by piece and go nowhere."""
+    names = paths.columns
+    at = names.index("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes: list[str | None] = []
+            errors: list[str | None] = []
+            for path in batch.column(at).to_pylist():
+                try:
+                    with open(path, "rb") as f:
+                        hashes.append(hashlib.file_digest(f, "sha256").hexdigest())
+                    errors.append(None)
+                except OSError as e:
+                    hashes.append(None)
+                    errors.append(f"{type(e).__name__}: {e.strerror}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.string()), pa.array(errors, pa.string())], [*names, "hash", "error"])
+
+    return paths.mapInArrow(run, T.StructType([*paths.schema, T.StructField("hash", T.StringType()), T.StructField("error", T.StringType())]))
+
+
+class Folder:
+    """Files of a folder that the driver and the executors see."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def paths(self) -> DataFrame:
+        return scan_folder(self.spark, self.root)
+
+    def hashes(self, paths: DataFrame) -> DataFrame:
+        return hash_files(paths)
+
+    def read(self, paths: DataFrame) -> DataFrame:
+        return read_files(paths)
+
+
+class Files:
+    """Files as a table ``path, content, error``."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def paths(self) -> DataFrame:
+        return self.rows.select("path")
+
+    def hashes(self, paths: DataFrame) -> DataFrame:
+        return paths.join(self.rows.select("path", F.sha2("content", 256).alias("hash"), "error"), "path")
+
+    def read(self, paths: DataFrame) -> DataFrame:
+        return paths.join(self.rows.select("path", "content", "error"), "path")
 
 
 def _store_listing(spark: SparkSession, root: str) -> dict[str, tuple]:
@@ -130,26 +194,62 @@ def read_store_files(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content", F.lit(None).cast("string").alias("error"))
 
 
+class Store(Files):
+    """Files under a root in any store that Spark reads; a few are opened one by one, without reading the others again."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        super().__init__(read_store_files(spark, root))
+        self.spark, self.root = spark, root
+
+    def read(self, paths: DataFrame) -> DataFrame:
+        names = [r.path for r in paths.select("path").limit(FEW_FILES + 1).collect()]
+        if len(names) > FEW_FILES:
+            return super().read(paths)
+        listed = {_LOCAL.sub("/", k): v for k, v in _store_listing(self.spark, self.root).items()}
+        found = [listed[n] for n in sorted(set(names) & set(listed))]
+        if not found:
+            return paths.withColumns({"content": F.lit(None).cast("binary"), "error": F.lit("the file is gone")})
+        contents = _streams(self.spark, found).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+        gone = F.when(F.col("content").isNull(), F.lit("the file is gone"))
+        return paths.join(contents, "path", "left").withColumn("error", gone)
+
+
 def parse(files: DataFrame, ocr: OcrEngine | None = None) -> DataFrame:
-    """``path, text, boundaries, error`` of ``files(path, content, parser)``.
+    """The columns of ``files(path, content, parser, ...)`` but ``content``, with ``text, boundaries, error``.
 
     Markdown, text and code are decoded in the JVM, invalid bytes becoming U+FFFD; PDFs and images go through Python.
     """
-    none = F.lit(None).cast("array<long>")
-    plain = files.where(F.col("parser").isin("markdown", "text", "code"))
+    binary = F.col("parser").isin(BINARY_PARSERS)
+    return parse_text(files.where(~binary)).unionByName(parse_binary(files.where(binary), ocr))
+
+
+def parse_text(files: DataFrame) -> DataFrame:
+    """:func:`parse` for Markdown, text and code."""
+    keep = [c for c in files.columns if c not in ("content", "error")]
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    plain = plain.select("path", F.when(F.col("parser") == "markdown", blank_markdown(text)).otherwise(text).alias("text"), none.alias("boundaries"), F.lit(None).cast("string").alias("error"))
+    text = F.when(F.col("parser") == "markdown", blank_markdown(text)).otherwise(text)
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    return files.select(*keep, text.alias("text"), F.lit(None).cast("array<long>").alias("boundaries"), error.alias("error"))
+
+
+def parse_binary(files: DataFrame, ocr: OcrEngine | None = None) -> DataFrame:
+    """:func:`parse` for PDFs and images; a file that cannot be parsed has an error, and so has one that came with one."""
+    keep = [c for c in files.columns if c not in ("content", "error")]
+    given = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    at, n = {c: k for k, c in enumerate(keep)}, len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, contents, parsers = (batch.column(i).to_pylist() for i in range(3))
-            for path, content, parser in zip(paths, contents, parsers, strict=True):
-                out, pages, error = None, None, None
-                try:
-                    out, pages = pdf_text(content, ocr) if parser == "pdf" else (image_text(content, os.path.splitext(path)[1], ocr), None)
-                except Exception as e:  # noqa: BLE001  a broken file is a row of the report, not the end of the run
-                    error = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([out], pa.string()), pa.array([pages], pa.list_(pa.int64())), pa.array([error], pa.string())], ["path", "text", "boundaries", "error"])
-
-    binary = files.where(F.col("parser").isin("pdf", "image")).select("path", "content", "parser")
-    return plain.unionByName(binary.mapInArrow(run, "path string, text string, boundaries array<long>, error string"))
+            for k in range(batch.num_rows):
+                path, parser, content, error = (batch.column(i)[k].as_py() for i in (at["path"], at["parser"], n, n + 1))
+                out, pages = None, None
+                if error is None:
+                    try:
+                        out, pages = pdf_text(content, ocr) if parser == "pdf" else (image_text(content, os.path.splitext(path)[1], ocr), None)
+                    except Exception as e:  # noqa: BLE001  a broken file is a row of the report, not the end of the run
+                        error = f"{type(e).__name__}: {e}"
+                made = [pa.array([out], pa.string()), pa.array([pages], pa.list_(pa.int64())), pa.array([error], pa.string())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns[:n], *made], [*keep, "text", "boundaries", "error"])
+
+    more = [T.StructField("text", T.StringType()), T.StructField("boundaries", T.ArrayType(T.LongType())), T.StructField("error", T.StringType())]
+    return files.select(*keep, "content", given.alias("error")).mapInArrow(run, T.StructType([*(files.schema[c] for c in keep), *more]))

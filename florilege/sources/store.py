@@ -1,12 +1,17 @@
-"""Collections on disk: versioned Parquet tables behind a pointer that is switched atomically.
-
-``<base>/<id>/v<n>/{collection,documents,chunks}`` holds a version; ``<base>/<id>/CURRENT`` names the one in force. A writer
-makes a new version and then replaces the pointer, so readers never see half a version, and a plan may read the version that
-it is about to supersede. All goes through Hadoop's file systems, so the base may be in any store.
+"""Collections on disk: segments of Parquet tables behind a manifest that is switched atomically.
+
+``<base>/<id>/CURRENT`` is the manifest: the collection's names and its segments, from the oldest to the latest.
+``<base>/<id>/<segment>/{documents,chunks,gone}`` holds what an ingestion added and the ids that it took from all earlier
+segments. So a small change writes little; a reader leaves out what later segments took. Once there are many segments, or
+many ids in them, all are written anew as one. A writer adds its segment and then replaces the manifest, so readers never see
+half a change, and a plan may read what it is about to supersede. Folders go when the second manifest after the last that
+named them is written; those that no manifest has named are let alone, since a writer may be at work. All goes through
+Hadoop's file systems, so the base may be in any store.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 from hashlib import sha256
@@ -14,11 +19,16 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.schema import CHUNKS, COLLECTION, DOCUMENTS
+from florilege.schema import CHUNKS, DOCUMENTS
+
+
+#: Segments of a collection, and ids gone from them, beyond which they are written anew as one; so the ids can be broadcast.
+MOST_SEGMENTS, MOST_GONE = 16, 200_000
+_GONE = "id string"
 
 
 class CorruptCollection(ValueError):
-    """A collection's pointer names no readable version."""
+    """A collection's manifest cannot be read, or names a segment that is not there."""
 
 
 def collection_id(name: str) -> str:
@@ -41,9 +51,19 @@ class Collection:
         return cls(collection_id(name), name, root_path, spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], CHUNKS))
 
 
+@dataclass
+class Delta:
+    """Documents and chunks to add, and ``gone(id)``: the documents that they replace, or that are removed."""
+
+    documents: DataFrame
+    chunks: DataFrame
+    gone: DataFrame
+
+
 class CollectionStore:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
+        self._staged: list[str] = []
 
     def _fs(self, path: str):
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -63,39 +83,67 @@ class CollectionStore:
             return []
         return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()) if self.exists(n))
 
-    def _version(self, cid: str) -> str:
+    def _manifest(self, cid: str) -> dict:
+        if not self.exists(cid):
+            raise FileNotFoundError(f"no collection {cid}")
         fs, where = self._fs(self._pointer(cid))
         stream = fs.open(where)
         try:
-            return bytes(stream.readAllBytes()).decode()
+            found = json.loads(bytes(stream.readAllBytes()).decode())
+            if not isinstance(found["segments"], list) or not all(isinstance(found[k], str) for k in ("name", "root_path")):
+                raise ValueError("not a manifest")
+            return found
+        except (ValueError, KeyError, TypeError) as e:
+            raise CorruptCollection(f"corrupt collection store {cid}: {e}") from e
         finally:
             stream.close()
 
-    def load(self, cid: str) -> Collection:
-        """The version in force."""
-        if not self.exists(cid):
-            raise FileNotFoundError(f"no collection {cid}")
-        path = f"{self.base}/{cid}/{self._version(cid)}"
-        try:
-            tables = [self.spark.read.schema(s).parquet(f"{path}/{n}") for n, s in (("collection", COLLECTION), ("documents", DOCUMENTS), ("chunks", CHUNKS))]
-            row = tables[0].first()
-        except Exception as e:
-            raise CorruptCollection(f"corrupt collection store {cid}: {e}") from e
-        if row is None:
-            raise CorruptCollection(f"corrupt collection store {cid}: no metadata")
-        return Collection(row.id, row.name, row.root_path, tables[1], tables[2])
+    def _table(self, cid: str, segments: list[dict], name: str, key: str, schema) -> DataFrame:
+        """A table over all segments, without the rows of documents that a later segment took."""
+        read = lambda s, n, kind: self.spark.read.schema(kind).parquet(f"{self.base}/{cid}/{s['name']}/{n}")
+        out = gone = None
+        for k, segment in enumerate(segments):
+            rows = read(segment, name, schema).withColumn("in_segment", F.lit(k))
+            out = rows if out is None else out.unionByName(rows)
+            if segment["gone"]:
+                ids = read(segment, "gone", _GONE).select(F.col("id").alias("gone_id"), F.lit(k).alias("by_segment"))
+                gone = ids if gone is None else gone.unionByName(ids)
+        if out is None:
+            return self.spark.createDataFrame([], schema)
+        if gone is not None:
+            gone = gone.groupBy("gone_id").agg(F.max("by_segment").alias("by_segment"))
+            if sum(s["gone"] for s in segments) <= MOST_GONE:
+                gone = F.broadcast(gone)
+            out = out.join(gone, (F.col(key) == F.col("gone_id")) & (F.col("in_segment") < F.col("by_segment")), "left_anti")
+        return out.select(*schema.names)
 
-    def save(self, collection: Collection) -> Collection:
-        """Write a new version and make it the one in force; returns it as read back. The version before the last is removed."""
-        cid, version = collection.id, f"v-{uuid.uuid4().hex}"
-        path = f"{self.base}/{cid}/{version}"
-        before = self._version(cid) if self.exists(cid) else None
-        self.spark.createDataFrame([(cid, collection.name, collection.root_path)], COLLECTION).coalesce(1).write.parquet(f"{path}/collection")
-        collection.documents.select(*DOCUMENTS.names).write.parquet(f"{path}/documents")
-        collection.chunks.select(*CHUNKS.names).write.parquet(f"{path}/chunks")
-        fs, new = self._fs(f"{self._pointer(cid)}.{version}.tmp")
+    def load(self, cid: str) -> Collection:
+        """The collection in force."""
+        manifest = self._manifest(cid)
+        for segment in manifest["segments"]:
+            for name in ("documents", "chunks", "gone"):
+                fs, where = self._fs(f"{self.base}/{cid}/{segment['name']}/{name}")
+                if not fs.exists(where):
+                    raise CorruptCollection(f"corrupt collection store {cid}: no {name} in {segment['name']}")
+        tables = (self._table(cid, manifest["segments"], n, k, s) for n, k, s in (("documents", "id", DOCUMENTS), ("chunks", "document_id", CHUNKS)))
+        return Collection(cid, manifest["name"], manifest["root_path"], *tables)
+
+    def _write(self, cid: str, delta: Delta) -> dict:
+        name = f"s-{uuid.uuid4().hex}"
+        path = f"{self.base}/{cid}/{name}"
+        delta.documents.select(*DOCUMENTS.names).write.parquet(f"{path}/documents")
+        delta.chunks.select(*CHUNKS.names).write.parquet(f"{path}/chunks")
+        delta.gone.select("id").distinct().write.parquet(f"{path}/gone")
+        return {"name": name, "gone": self.spark.read.schema(_GONE).parquet(f"{path}/gone").count()}
+
+    def _switch(self, cid: str, manifest: dict) -> None:
+        """Replace the manifest, and delete the folders that the one before had retired."""
+        before = self._manifest(cid) if self.exists(cid) else {"segments": [], "retired": []}
+        now = {s["name"] for s in manifest["segments"]}
+        manifest["retired"] = sorted({s["name"] for s in before["segments"]} - now)
+        fs, new = self._fs(f"{self._pointer(cid)}.{uuid.uuid4().hex}.tmp")
         stream = fs.create(new, True)
-        stream.write(bytearray(version.encode()))
+        stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
         _, current = self._fs(self._pointer(cid))
         jvm = self.spark._jvm
@@ -103,12 +151,40 @@ class CollectionStore:
         overwrite = self.spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(new, current, overwrite)
-        for status in fs.listStatus(current.getParent()):
-            name = status.getPath().getName()
-            if status.isDirectory() and name not in (version, before):
-                fs.delete(status.getPath(), True)
+        for name in before.get("retired", []):
+            if name not in now:
+                fs.delete(self._fs(f"{self.base}/{cid}/{name}")[1], True)
+
+    def save(self, collection: Collection) -> Collection:
+        """Write the whole collection as one segment; returns it as read back."""
+        cid = collection.id
+        none = self.spark.createDataFrame([], _GONE)
+        segment = self._write(cid, Delta(collection.documents, collection.chunks, none))
+        self._switch(cid, {"name": collection.name, "root_path": collection.root_path, "segments": [segment]})
         return self.load(cid)
 
+    def append(self, cid: str, delta: Delta) -> Collection:
+        """Add a segment to a collection; if that makes too many, or too many ids gone, all are written anew as one."""
+        manifest = self._manifest(cid)
+        segments = [*manifest["segments"], self._write(cid, delta)]
+        self._switch(cid, {"name": manifest["name"], "root_path": manifest["root_path"], "segments": segments})
+        if len(segments) > MOST_SEGMENTS or sum(s["gone"] for s in segments) > MOST_GONE:
+            return self.save(self.load(cid))
+        return self.load(cid)
+
+    def staging(self, cid: str, label: str, rows: DataFrame) -> DataFrame:
+        """``rows`` written once beside the segments and read back, until :meth:`clear`."""
+        path = f"{self.base}/{cid}/staging-{uuid.uuid4().hex}/{label}"
+        rows.write.parquet(path)
+        self._staged.append(path.rpartition("/")[0])
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete what this store has staged."""
+        while self._staged:
+            fs, where = self._fs(self._staged.pop())
+            fs.delete(where, True)
+
 
 def import_json(spark: SparkSession, path: str) -> Collection:
     """A collection from a single JSON file with ``collection``, ``documents`` and ``chunks``, the latter two keyed by id."""

@@ -1,5 +1,6 @@
 import os
 import time
+import uuid
 import zlib
 
 import pytest
@@ -77,13 +78,77 @@ def test_failed_parse_keeps_the_old_version(spark, engine, folder, monkeypatch):
     from florilege.operators import ingest as module
 
     engine.index(str(folder), "c")
-    broken = lambda files, ocr=None: files.select("path", F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<long>").alias("boundaries"), F.lit("bad").alias("error"))
-    monkeypatch.setattr(module, "parse", broken)
+    parse_text = module.parse_text
+    monkeypatch.setattr(module, "parse_text", lambda files: parse_text(files).withColumns({"text": F.lit(None).cast("string"), "error": F.lit("bad")}))
     files = spark.createDataFrame([(str(folder / "notes.txt"), bytearray(b"new"), None), (str(folder / "policy.md"), bytearray(b"new"), None)], "path string, content binary, error string")
     result = module.ingest(engine.load("c"), files, ChunkOptions(100, 10))
     assert result.counts()["error"] == 2 and result.collection.documents.count() == 2
 
 
+def test_each_image_is_read_once(spark, tmp_path):
+    class CountingOcr:
+        """Notes each call in a folder, since it is called in workers (and so defined here); one image fails."""
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def image_to_text(self, path):
+            with open(path, "rb") as f:
+                content = f.read()
+            with open(f"{self.folder}/{uuid.uuid4().hex}", "wb") as f:
+                f.write(content)
+            if b"bad" in content:
+                raise RuntimeError("blurred")
+            return " text of " + content.decode() + " "
+
+    root, calls = tmp_path / "images", tmp_path / "calls"
+    root.mkdir()
+    calls.mkdir()
+    for name in ("one", "two", "bad"):
+        (root / f"{name}.png").write_text(name)
+    engine = Engine(spark, str(tmp_path / "base"), ocr=CountingOcr(str(calls)))
+    first = engine.index(str(root), "c")
+    assert first.counts() == {"added": 2, "updated": 0, "unchanged": 0, "skipped": 0, "error": 1, "removed": 0}
+    assert len(list(calls.iterdir())) == 3
+    assert [os.path.basename(r.path) for r in first.report.collect()] == ["bad.png", "one.png", "two.png"]
+    (root / "two.png").write_text("three")
+    (root / "one.png").unlink()
+    assert engine.index(str(root), "c").counts() == {"added": 0, "updated": 1, "unchanged": 0, "skipped": 0, "error": 1, "removed": 1}
+    assert len(list(calls.iterdir())) == 5  # the changed one, and the bad one again
+    assert [r.text for r in engine.load("c").chunks.collect()] == ["text of three"]
+    assert not [p for p in (tmp_path / "base").rglob("staging*")]
+
+
+@pytest.mark.parametrize("most_gone", [200_000, 0])
+def test_a_change_adds_a_segment(spark, tmp_path, monkeypatch, most_gone):
+    from florilege.sources import store as module
+
+    monkeypatch.setattr(module, "MOST_SEGMENTS", 4)
+    monkeypatch.setattr(module, "MOST_GONE", most_gone)
+    root = tmp_path / "docs"
+    root.mkdir()
+    engine, want = Engine(spark, str(tmp_path / "base")), {}
+    at_work = tmp_path / "base" / collection_id("c") / "s-of-another-writer"
+    for step in range(6):
+        for k in range(3):
+            want[f"f{(step + k) % 5}.txt"] = f"text {step} of file {k}"
+            (root / f"f{(step + k) % 5}.txt").write_text(want[f"f{(step + k) % 5}.txt"])
+        if step == 3:
+            (root / "f0.txt").unlink()
+            del want["f0.txt"]
+        engine.index(str(root), "c")
+        at_work.mkdir(exist_ok=True)
+        found = engine.store.load(collection_id("c"))
+        assert {os.path.basename(r.document_path): r.text for r in found.chunks.collect()} == want
+        assert sorted(os.path.basename(r.path) for r in found.documents.collect()) == sorted(want)
+    assert at_work.exists()
+    segments = [p for p in (tmp_path / "base" / collection_id("c")).iterdir() if p.name.startswith("s-")]
+    assert len(segments) <= 1 + 2 * 4 + 2
+    changed = [p for p in (tmp_path / "base" / collection_id("c")).iterdir()]
+    assert engine.index(str(root), "c").counts()["unchanged"] == len(want)
+    assert sorted(changed) == sorted((tmp_path / "base" / collection_id("c")).iterdir())  # nothing was written
+
+
 def test_scan(spark, folder):
     (folder / ".hidden").mkdir()
     (folder / ".hidden" / "_x.txt").write_text("x")
