@@ -10,11 +10,13 @@ from pyspark.sql import SparkSession
 
 from florilege.api import Engine
 from florilege.plans.export import answer_json, answer_text
+from florilege.sources.pdf import Tesseract
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="florilege", description="Chat with the files of a folder.")
     top.add_argument("--base", default=os.environ.get("FLORILEGE_HOME") or os.path.expanduser("~/.florilege/collections"))
+    top.add_argument("--ocr", action="store_true", help="read images and scanned PDFs with the program tesseract")
     commands = top.add_subparsers(dest="command", required=True)
     for name, what in (("index", "folder"), ("ask", "question"), ("watch", "folder")):
         c = commands.add_parser(name)
@@ -32,7 +34,10 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    engine = Engine(spark or SparkSession.builder.appName("florilege").getOrCreate(), args.base)
+    if args.ocr and not Tesseract.available():
+        print("--ocr needs the program tesseract", file=sys.stderr)
+        return 1
+    engine = Engine(spark or SparkSession.builder.appName("florilege").getOrCreate(), args.base, ocr=Tesseract() if args.ocr else None)
     if args.command == "index":
         result = engine.index(args.folder, args.collection)
         print(f'Indexed "{args.collection}" from {args.folder}')

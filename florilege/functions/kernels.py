@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 
@@ -77,7 +76,3 @@ class Hasher:
         norm = float(np.add.accumulate(weight * weight)[-1])
         out = weight.astype(np.float32)
         return out * np.float32(1 / np.sqrt(norm)) if norm else out
-
-
-def term_counts(toks: list[bytes]) -> list[dict[str, object]]:
-    return [{"term": t.decode(), "tf": n} for t, n in Counter(toks).items()]

@@ -7,60 +7,81 @@ shuffle: the ``postings`` are an explode, and only the terms that a question ask
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from florilege.functions.kernels import Hasher, term_counts, tokens, windows
+from florilege.functions.kernels import Hasher, tokens, windows
 from florilege.schema import CHUNKS, ChunkOptions
 
 DIM = 256
 _ROWS = 512
-_TERMS = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
 
 
-def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions(), dim: int = DIM) -> DataFrame:
-    """Chunks of ``docs(id, path, text[, boundaries])``, embedded and counted: rows of ``CHUNKS``.
+def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions(), dim: int = DIM, columns: Sequence[str] = tuple(CHUNKS.names)) -> DataFrame:
+    """Chunks of ``docs(id, path, text[, boundaries])``, embedded and counted: rows of ``CHUNKS``, or of some of its columns.
 
     Offsets are bytes of the text's UTF-8 form. Windows without text take no index. Documents without words, and null texts,
     have no chunks. ``boundaries`` (byte offsets where pages 2.. begin) gives page numbers; without it, or empty, they are null.
+    Nothing can be pruned from a pass through Python, so ``columns`` says what is to be made: vectors and terms cost most.
     """
     size, step = options.normalised()
     dim = dim if dim > 0 else DIM
     bounds = F.col("boundaries").cast("array<long>") if "boundaries" in docs.columns else F.lit(None).cast("array<long>")
+    schema = T.StructType([CHUNKS[c] for c in columns])
+    wanted = set(columns)
+    kinds = {"start_offset": pa.int64(), "end_offset": pa.int64(), "page_number": pa.int32(), "dl": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(dim)
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True))
-            kinds = [pa.string()] * 4 + [pa.int64()] * 2 + [pa.int32()]
-            vectors = np.concatenate(columns[7])
-            at = pa.array(np.arange(0, len(vectors) + 1, dim, dtype=np.int32))
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
-            arrays += [pa.ListArray.from_arrays(at, pa.array(vectors)), pa.array(columns[8], pa.int32()), pa.array(columns[9], _TERMS)]
-            return pa.RecordBatch.from_arrays(arrays, CHUNKS.names)
-
-        rows: list[tuple] = []
+        rows: dict[str, list] = {c: [] for c in wanted}
+
+        def made() -> pa.RecordBatch:
+            arrays = []
+            for c in columns:
+                if c == "embedding":
+                    vectors = np.concatenate(rows[c])
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(vectors) + 1, dim, dtype=np.int32)), pa.array(vectors)))
+                elif c == "terms":
+                    at = np.cumsum([0, *(len(n) for n in rows[c])]).astype(np.int32)
+                    flat = [pa.array([t for n in rows[c] for t in n], pa.binary()).cast(pa.string()), pa.array([k for n in rows[c] for k in n.values()], pa.int32())]
+                    arrays.append(pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(flat, ["term", "tf"])))
+                else:
+                    arrays.append(pa.array(rows[c], kinds.get(c, pa.string())))
+                rows[c].clear()
+            return pa.RecordBatch.from_arrays(arrays, list(columns))
+
+        n = 0
         for batch in batches:
             ids, paths, pages = (batch.column(i).to_pylist() for i in (0, 1, 3))
             for k, text in enumerate(batch.column(2)):
                 own = sorted(pages[k] or [])
                 for index, (start, end, part) in enumerate(windows(text.as_py() or "", size, step)):
-                    toks = tokens(part)
-                    page = 1 + int(np.searchsorted(own, start, "right")) if own else None
-                    key = hashlib.sha1(f"{ids[k]}:{index}".encode()).hexdigest()[:16]
-                    rows.append((key, ids[k], paths[k], part, start, end, page, hasher.vector(toks), len(toks), term_counts(toks)))
-                    if len(rows) >= _ROWS:
-                        yield batch_of(rows)
-                        rows = []
-        if rows:
-            yield batch_of(rows)
-
-    return docs.select("id", "path", "text", bounds.alias("boundaries")).mapInArrow(run, CHUNKS)
+                    toks = tokens(part) if wanted & {"embedding", "dl", "terms"} else []
+                    value = {"document_id": ids[k], "document_path": paths[k], "text": part, "start_offset": start, "end_offset": end, "dl": len(toks)}
+                    if "id" in wanted:
+                        value["id"] = hashlib.sha1(f"{ids[k]}:{index}".encode()).hexdigest()[:16]
+                    if "page_number" in wanted:
+                        value["page_number"] = 1 + int(np.searchsorted(own, start, "right")) if own else None
+                    if "embedding" in wanted:
+                        value["embedding"] = hasher.vector(toks)
+                    if "terms" in wanted:
+                        value["terms"] = Counter(toks)
+                    for c, held in rows.items():
+                        held.append(value[c])
+                    n += 1
+                    if n == _ROWS:
+                        yield made()
+                        n = 0
+        if n:
+            yield made()
+
+    return docs.select("id", "path", "text", bounds.alias("boundaries")).mapInArrow(run, schema)
 
 
 def embed_texts(texts: DataFrame, key: str, dim: int = DIM) -> DataFrame:

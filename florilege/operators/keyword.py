@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from florilege.functions import scores
 from florilege.functions.text import unique_tokens
 
-#: Distinct (question, term) rows up to which the question side is broadcast.
-BROADCAST_TERMS = 100_000
+#: Distinct (question, term) rows up to which the question side is broadcast; beyond, parts that each term's postings are dealt into.
+BROADCAST_TERMS, SALT = 100_000, 16
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -36,17 +36,23 @@ def bm25_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """``query_id, chunk_id, score`` of every chunk with a term of the question.
 
     Postings meet the few terms that are asked for before anything is shuffled, provided those are few (checked by a count);
-    otherwise Spark joins by term as it sees fit.
+    otherwise both sides are joined by term and a part of its chunks, so that no common term is one hot key.
     """
     terms = question_terms(questions)
     small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     asked = terms.select("term").distinct()
-    hits = postings(chunks).join(F.broadcast(asked) if small else asked, "term")
+    found = postings(chunks)
+    if small:
+        hits = found.join(F.broadcast(asked), "term")
+    else:
+        every = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part")
+        found = found.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(SALT)).cast("int"))
+        hits = found.join(asked.select("term", every), ["term", "part"])
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(chunks)
     weighted = df.crossJoin(F.broadcast(stats)).select("term", "avg_dl", scores.idf(F.col("n"), F.col("df")).alias("idf"))  # stats: one row
     weighted = terms.join(weighted, "term")
-    scored = hits.join(F.broadcast(weighted) if small else weighted, "term")
+    scored = hits.join(F.broadcast(weighted), "term") if small else hits.join(weighted.select("*", every), ["term", "part"])
     return scored.groupBy("query_id", "chunk_id").agg(F.sum(scores.bm25(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("score"))
 
 

@@ -1,20 +1,25 @@
-"""Exact cosine top-k: chunk vectors stream past a bounded matrix of question vectors."""
+"""Exact cosine top-k: chunk vectors stream past bounded blocks of question vectors.
+
+Up to a block of questions goes to every task, and chunks stay where they are. More questions are dealt into blocks, and so are
+chunks; each pair of blocks is a task of bounded size, so that no question vector passes through the driver and the plan is the
+same for any number of them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from florilege.operators.chunk import DIM, embed_texts
 from florilege.operators.keyword import ranked
 
-#: Questions that one pass over the chunks compares with.
-QUESTION_BLOCK = 4096
+#: Questions of a block, chunks of a block, and chunks whose scores are held at a time.
+QUESTION_BLOCK, CHUNK_BLOCK, _SLICE = 4096, 16_384, 512
 _HITS = "query_id long, chunk_id string, score double"
 
 
@@ -28,60 +33,94 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def cosine_top_k(chunks: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """``query_id, chunk_id, score, rank`` of the k nearest rows of ``chunks(id, embedding)`` to each of ``vectors(query_id, embedding)``.
 
-    Zero, empty or unequally long vectors have cosine 0 and take part. Questions come in blocks of bounded size, each with a
-    pass of its own; a task keeps k rows per question before anything is shuffled.
+    Zero, empty or unequally long vectors have cosine 0 and take part. A task keeps k rows per question before anything is
+    shuffled.
     """
-    found = vectors.select("query_id", "embedding").toLocalIterator()
-    blocks, block = [], []
-    for row in found:
-        block.append(row)
-        if len(block) == QUESTION_BLOCK:
-            blocks.append(_block_top_k(chunks, block, k))
-            block = []
-    if block or not blocks:
-        blocks.append(_block_top_k(chunks, block, k))
-    return ranked(reduce(DataFrame.unionByName, blocks), k)
-
-
-def _block_top_k(chunks: DataFrame, block: list, k: int) -> DataFrame:
-    ids = np.array([r.query_id for r in block], np.int64)
-    dims = [len(r.embedding or ()) for r in block]
-    groups = [(d, np.flatnonzero(np.array(dims) == d)) for d in sorted(set(dims))]
-    sides = [(d, own, np.array([block[i].embedding for i in own], np.float64).reshape(len(own), d)) for d, own in groups]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[np.ndarray, ...] | None = None
-        for batch in batches:
-            score = np.zeros((len(ids), batch.num_rows))
-            for d, own, q in sides:
-                x, rows = _matrix(batch.column(1), d) if d else (np.zeros((0, 0)), np.zeros(0, int))
+    vectors = vectors.select("query_id", "embedding")
+    few = vectors.limit(QUESTION_BLOCK + 1).collect()
+    if len(few) <= QUESTION_BLOCK:
+        block = Block([r.query_id for r in few], [r.embedding for r in few], k)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block.clear()
+            for batch in batches:
+                block.meet(batch.column(0), batch.column(1))
+            yield block.found()
+
+        return ranked(chunks.select("id", "embedding").mapInArrow(run, _HITS), k)
+    side = lambda rows, key, size: (-(-rows.count() // size), F.pmod(F.xxhash64(key), F.lit(max(1, -(-rows.count() // size)))).cast("int"))
+    (questions, own_q), (parts, own_c) = side(vectors, "query_id", QUESTION_BLOCK), side(chunks.select("id"), "id", CHUNK_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
+    none_id, none_name = F.lit(None).cast("long"), F.lit(None).cast("string")
+    tiles = vectors.select(own_q.alias("q"), every(parts).alias("c"), F.col("query_id").cast("long").alias("query_id"), none_name.alias("id"), "embedding")
+    tiles = tiles.unionByName(chunks.select(every(questions).alias("q"), own_c.alias("c"), none_id.alias("query_id"), "id", "embedding"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        asked = table.filter(pc.is_valid(table["query_id"]))
+        met = table.filter(pc.is_null(table["query_id"])).combine_chunks()
+        block = Block(asked["query_id"].to_pylist(), asked["embedding"].to_pylist(), k)
+        for batch in met.to_batches():
+            block.meet(batch.column(batch.schema.get_field_index("id")), batch.column(batch.schema.get_field_index("embedding")))
+        return pa.Table.from_batches([block.found()])
+
+    return ranked(tiles.groupBy("q", "c").applyInArrow(compare, _HITS), k)
+
+
+class Block:
+    """Question vectors, and the k nearest chunks to each of those that it has met."""
+
+    def __init__(self, ids: list[int], vectors: list, k: int):
+        self.ids, self.k = np.array(ids, np.int64), k
+        dims = np.array([len(v or ()) for v in vectors], np.int64)
+        groups = [(int(d), np.flatnonzero(dims == d)) for d in np.unique(dims)]
+        self.sides = [(d, own, np.array([vectors[i] for i in own], np.float64).reshape(len(own), d)) for d, own in groups if d]
+        self.clear()
+
+    def clear(self) -> None:
+        self.kept: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+        self.floor = np.full(len(self.ids), -np.inf)  # rounded score of the worst of k kept
+
+    def meet(self, names: pa.Array, embeddings: pa.Array) -> None:
+        for low in range(0, len(names) if len(self.ids) else 0, _SLICE):
+            some, n = embeddings.slice(low, _SLICE), len(names[low : low + _SLICE])
+            score = np.zeros((len(self.ids), n))
+            for d, own, q in self.sides:
+                x, rows = _matrix(some, d)
                 if len(rows):
                     norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
                     with np.errstate(all="ignore"):
                         score[np.ix_(own, rows)] = np.where(norms > 0, q @ x.T / norms, 0.0)
-            names = np.array(batch.column(0).to_pylist(), dtype=object)
             key = np.round(score, 9)
-            best = []
-            for i in range(len(ids)):
-                some = np.arange(len(names)) if len(names) <= k else np.flatnonzero(key[i] >= np.partition(key[i], len(names) - k)[len(names) - k])
-                best.append((np.full(len(some), i), names[some], score[i, some]))
-            merged = [np.concatenate(c) for c in zip(*best, strict=True)] if best else []
-            if merged:
-                kept = tuple(np.concatenate(c) for c in zip(kept, merged, strict=True)) if kept else tuple(merged)
-                kept = _cut(kept, k)
-        if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0].astype(int)]), pa.array(kept[1], pa.string()), pa.array(kept[2].astype(float))], ["query_id", "chunk_id", "score"])
-
-    return chunks.select("id", "embedding").mapInArrow(run, _HITS)
+            least = np.maximum(self.floor, np.partition(key, n - self.k, axis=1)[:, n - self.k]) if n > self.k else self.floor
+            q, at = np.nonzero(key >= least[:, None])
+            self.kept.append((q, np.array(names.slice(low, _SLICE).to_pylist(), dtype=object)[at], score[q, at]))
+            self.waiting += len(q)
+            if self.waiting > 4 * self.k * len(self.ids):
+                self._cut()
+
+    def _cut(self) -> None:
+        rows = _cut(tuple(np.concatenate(c) for c in zip(*self.kept, strict=True)), self.k)
+        self.kept, self.waiting = [rows], 0
+        full = np.bincount(rows[0], minlength=len(self.ids)) >= self.k
+        worst = np.full(len(self.ids), np.inf)
+        np.minimum.at(worst, rows[0], np.round(rows[2], 9))
+        self.floor = np.where(full, worst, -np.inf)
+
+    def found(self) -> pa.RecordBatch:
+        if self.kept:
+            self._cut()
+        q, names, score = self.kept[0] if self.kept else (np.zeros(0, np.int64), [], np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(names, pa.string()), pa.array(score)], ["query_id", "chunk_id", "score"])
 
 
 def _cut(rows: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
     """The k best of each question by score to nine digits, then by id."""
     q, names, score = rows
-    order = np.lexsort((names.astype(str), -np.round(score.astype(float), 9), q.astype(int)))
+    order = np.lexsort((names.astype(str), -np.round(score, 9), q))
     q = q[order]
-    first = np.searchsorted(q.astype(int), q.astype(int), "left")
-    keep = np.arange(len(q)) - first < k
+    keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
     return q[keep], names[order][keep], score[order][keep]
 
 

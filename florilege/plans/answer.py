@@ -74,16 +74,19 @@ class Called:
 
 def prompt(question: str, passages: list[tuple[str, str]]) -> str:
     sources = "\n\n".join(f"[{i}] Source: {path}\n{text}" for i, (path, text) in enumerate(passages, 1))
-    return f"{sources}\n\nQuestion: {question}"
+    return f"Sources:\n\n{sources}\n\n\nQuestion: {question}"
 
 
 def remote(url: str, key: str, model: str, max_tokens: int = 1000, timeout: float = 30.0) -> Called:
     """A generator behind an HTTP messages endpoint: a POST with model, system, messages and max_tokens; text blocks are joined.
 
-    An ``error`` in the reply is raised with its message; the HTTP status is not looked at otherwise.
+    An ``error`` in the reply is raised with its message; the HTTP status is not looked at otherwise. Without passages the answer
+    is a fixed sentence, and nothing is sent.
     """
 
     def fn(question: str, passages: list[tuple[str, str]]) -> str:
+        if not passages:
+            return NO_CONTEXT
         body = {"model": model, "max_tokens": max_tokens, "system": SYSTEM, "messages": [{"role": "user", "content": prompt(question, passages)}]}
         request = urllib.request.Request(url, json.dumps(body).encode(), {"content-type": "application/json", "x-api-key": key})
         try:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +15,11 @@ from florilege.functions import scores, text
 from florilege.operators import keyword, vector
 from florilege.operators.chunk import chunk_documents, embed_texts
 from florilege.operators.fusion import fuse, hybrid_search
-from florilege.operators.ingest import snapshot_diff
+from florilege.operators.ingest import IngestResult, ingest, snapshot_diff
 from florilege.plans import export
-from florilege.plans.answer import answer
-from florilege.schema import ChunkOptions
+from florilege.plans.answer import REFUSAL, answer
+from florilege.schema import CHUNKS, DOCUMENTS, AnswerOptions, ChunkOptions
+from florilege.sources.store import Collection, collection_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,8 +52,20 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
     return _spread(_table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", path.alias("path"), "text").withColumn("id", text.short_id(F.col("path")))
 
 
-def _chunks(spark: SparkSession, d: str, options: ChunkOptions = ChunkOptions()) -> DataFrame:
-    return chunk_documents(_corpus(spark, d), options)
+def _chunks(spark: SparkSession, d: str, *columns: str, options: ChunkOptions = ChunkOptions()) -> DataFrame:
+    """Chunks of the corpus, with the columns that the query looks at."""
+    return chunk_documents(_corpus(spark, d), options, columns=columns)
+
+
+_held: list[DataFrame] = []
+
+
+def _hold(rows: DataFrame) -> DataFrame:
+    """``rows`` cached, for a query that reads them several times; what earlier queries held is let go, and would be made anew."""
+    while _held:
+        _held.pop().unpersist()
+    _held.append(rows.persist())
+    return rows
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -149,23 +163,29 @@ def fnv_hash(spark: SparkSession, d: str) -> DataFrame:
     return t.select("token", text.fnv1a(F.col("token")).alias("hash"))
 
 
-@_query("select doc_id, case when strlen(text) > 220 and strlen(text) = len(text) then substr(text, 1, 220) || '…' else text end as snippet from documents where strlen(text) = len(text) or strlen(text) <= 220")
-def snippets(spark: SparkSession, d: str) -> DataFrame:
-    """Of documents that are ASCII alone or short, where SQL can cut bytes; :func:`snippets_all` has all of them."""
-    docs = _table(spark, d, "documents").where((F.octet_length("text") == F.length("text")) | (F.octet_length("text") <= 220))
-    return docs.select("doc_id", text.snippet(F.col("text")).alias("snippet"))
+def _cut_sql(text: str, n: int) -> str:
+    """The first n bytes and an ellipsis: as many whole characters as fit, and U+FFFD for one that the cut splits."""
+    whole = f"list_max(list_filter(range(0, {n + 1}), lambda i: strlen(left({text}, i)) <= {n}))"
+    cut = f"case when strlen({text}) = len({text}) then substr({text}, 1, {n}) else left({text}, {whole}) || case when strlen(left({text}, {whole})) < {n} then chr(65533) else '' end end"
+    return f"(case when strlen({text}) > {n} then {cut} || '…' else {text} end)"
 
 
-@_query()
-def snippets_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of all documents; without SQL, which cannot cut bytes."""
+@_query(f"select doc_id, {_cut_sql('text', 220)} as snippet from documents")
+def snippets(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
 
 
+@_query("select doc_id, trim(text, (select string_agg(chr(c::integer), '') from (select unnest(range(9, 14) || [32, 133, 160, 5760] || range(8192, 8203) || [8232, 8233, 8239, 8287, 12288]) as c))) as text from (select doc_id, chr(8195) || chr(10) || text || chr(160) || ' ' as text from documents)")
+def unicode_trim(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with white space of all kinds put around them, trimmed."""
+    padded = F.concat(F.lit("\u2003\n"), F.col("text"), F.lit("\u00a0 "))
+    return _table(spark, d, "documents").select("doc_id", text.unicode_trim(padded).alias("text"))
+
+
 @_query(f"with {_chunk_sql()} select chunk_id, (1 + (case when 1000 <= start_offset then 1 else 0 end) + (case when 2500 <= start_offset then 1 else 0 end) + (case when 9000 <= start_offset then 1 else 0 end))::integer as page_number from chunk")
 def page_numbers(spark: SparkSession, d: str) -> DataFrame:
     bounds = F.array(*(F.lit(x).cast("long") for x in (1000, 2500, 9000)))
-    return chunk_documents(_corpus(spark, d).withColumn("boundaries", bounds)).select(F.col("id").alias("chunk_id"), "page_number")
+    return chunk_documents(_corpus(spark, d).withColumn("boundaries", bounds), columns=("id", "page_number")).select(F.col("id").alias("chunk_id"), "page_number")
 
 
 @_query(r"""
@@ -182,22 +202,22 @@ _CHUNK_COLUMNS = "chunk_id, document_id, document_path, start_offset::bigint as
 
 @_query(f"with {_chunk_sql()} select {_CHUNK_COLUMNS} from chunk")
 def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).select(F.col("id").alias("chunk_id"), "document_id", "document_path", "start_offset", "end_offset", "text")
+    return _chunks(spark, d, "id", "document_id", "document_path", "start_offset", "end_offset", "text").select(F.col("id").alias("chunk_id"), "document_id", "document_path", "start_offset", "end_offset", "text")
 
 
 @_query(f"with {_chunk_sql(30, 20)} select {_CHUNK_COLUMNS} from chunk")
 def chunk_small(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d, ChunkOptions(30, 10)).select(F.col("id").alias("chunk_id"), "document_id", "document_path", "start_offset", "end_offset", "text")
+    return _chunks(spark, d, "id", "document_id", "document_path", "start_offset", "end_offset", "text", options=ChunkOptions(30, 10)).select(F.col("id").alias("chunk_id"), "document_id", "document_path", "start_offset", "end_offset", "text")
 
 
 @_query(f"with {_chunk_sql(100, 100)} select {_CHUNK_COLUMNS} from chunk")
 def chunk_no_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d, ChunkOptions(100, 0)).select(F.col("id").alias("chunk_id"), "document_id", "document_path", "start_offset", "end_offset", "text")
+    return _chunks(spark, d, "id", "document_id", "document_path", "start_offset", "end_offset", "text", options=ChunkOptions(100, 0)).select(F.col("id").alias("chunk_id"), "document_id", "document_path", "start_offset", "end_offset", "text")
 
 
 @_query(f"with {_chunk_sql()}, {_EMB} select chunk_id, b as bucket, n from cv_c")
 def bucket_counts(spark: SparkSession, d: str) -> DataFrame:
-    feats = _chunks(spark, d).select(F.col("id").alias("chunk_id"), F.explode(text.features(text.tokens(F.col("text")))).alias("f"))
+    feats = _chunks(spark, d, "id", "text").select(F.col("id").alias("chunk_id"), F.explode(text.features(text.tokens(F.col("text")))).alias("f"))
     counts = feats.groupBy("chunk_id", "f").agg(F.count("*").alias("n"))
     buckets = counts.select("f").distinct().withColumn("bucket", text.fnv1a(F.col("f")) % 256)  # each feature is hashed once
     return counts.join(buckets, "f").groupBy("chunk_id", "bucket").agg(F.sum("n").alias("n"))
@@ -205,43 +225,43 @@ def bucket_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"with {_chunk_sql()}, {_EMB} select chunk_id, b as bucket, round(weight::double, 5) as weight from cv_long")
 def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = _chunks(spark, d).select(F.col("id").alias("chunk_id"), F.posexplode("embedding").alias("bucket", "weight")).where("weight != 0")
+    rows = _chunks(spark, d, "id", "embedding").select(F.col("id").alias("chunk_id"), F.posexplode("embedding").alias("bucket", "weight")).where("weight != 0")
     return rows.select("chunk_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("weight").cast("double"), 5).alias("weight"))
 
 
 # --- keyword index ---------------------------------------------------------------------------------------------------------
 @_query(f"with {_chunk_sql()}, {_POST} select term, chunk_id, tf, dl from post")
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return keyword.postings(_chunks(spark, d)).select("term", "chunk_id", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
+    return keyword.postings(_chunks(spark, d, "id", "dl", "terms")).select("term", "chunk_id", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
 
 
 @_query(f"with {_chunk_sql()}, {_POST} select term, df, round(ln(1 + ((select count(*) from tok) - df + 0.5::double) / (df + 0.5::double)), 9) as idf from (select term, count(*) as df from post group by term)")
 def term_idf(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _chunks(spark, d).persist()
+    chunks = _hold(_chunks(spark, d, "id", "dl", "terms"))
     both = keyword.document_frequency(chunks).crossJoin(F.broadcast(keyword.corpus_stats(chunks)))
     return both.select("term", "df", F.round(scores.idf(F.col("n"), F.col("df")), 9).alias("idf"))
 
 
 @_query(f"with {_chunk_sql()}, {_TOK} select count(*) as n, sum(len(t))::bigint as total_dl, round(avg(len(t)), 9) as avg_dl from tok")
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return keyword.corpus_stats(_chunks(spark, d)).select("n", "total_dl", F.round("avg_dl", 9).alias("avg_dl"))
+    return keyword.corpus_stats(_chunks(spark, d, "dl")).select("n", "total_dl", F.round("avg_dl", 9).alias("avg_dl"))
 
 
 @_query(f"with {_chunk_sql()}, {_POST}, {_QTOK}, {_BM25} select query_id, chunk_id, round(score, 8) as score from bm")
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    found = keyword.bm25_scores(_chunks(spark, d).persist(), _questions(spark, d))
+    found = keyword.bm25_scores(_hold(_chunks(spark, d, "id", "dl", "terms")), _questions(spark, d))
     return found.select("query_id", "chunk_id", F.round("score", 8).alias("score"))
 
 
 @_query(f"with {_chunk_sql()}, {_POST}, {_QTOK}, {_BM25} select query_id, chunk_id, rank::integer as rank, round(score, 8) as score from {_top('bm', _K)}")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = keyword.KeywordIndex(_chunks(spark, d).persist()).search(_questions(spark, d), _K)
+    found = keyword.KeywordIndex(_hold(_chunks(spark, d, "id", "dl", "terms"))).search(_questions(spark, d), _K)
     return found.select("query_id", "chunk_id", "rank", F.round("score", 8).alias("score"))
 
 
 @_query(f"with {_chunk_sql()}, {_TOK}, gone as (select chunk_id from chunk join doc on doc.id = document_id where doc_id % 3 = 0) select count(*) as n, sum(len(t))::bigint as total_dl from tok where chunk_id not in (select chunk_id from gone)")
 def index_remove(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _chunks(spark, d)
+    chunks = _chunks(spark, d, "id", "document_path", "dl")
     gone = chunks.where(F.regexp_extract("document_path", r"(\d+)", 1).cast("long") % 3 == 0).select("id")
     return keyword.corpus_stats(keyword.KeywordIndex(chunks).remove(gone).chunks).select("n", "total_dl")
 
@@ -259,35 +279,35 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"with {_chunk_sql()}, {_QEMB}, {_EMB}, {_COS} select query_id, chunk_id, rank::integer as rank, round(score, 6) as score from {_top('cs', _K)}")
 def hashed_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = vector.VectorIndex(_chunks(spark, d)).search(_questions(spark, d), _K)
+    found = vector.VectorIndex(_chunks(spark, d, "id", "embedding")).search(_questions(spark, d), _K)
     return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @_query(f"with {_chunk_sql()}, {_QEMB}, {_EMB}, {_COS} select query_id, round(max(score), 6) as confidence, max(score) >= 0.4::double as answerable from cs group by query_id")
 def guardrail(spark: SparkSession, d: str) -> DataFrame:
     """With a threshold that some questions miss."""
-    found = vector.confidence(_chunks(spark, d), embed_texts(_questions(spark, d), "query_id"))
+    found = vector.confidence(_chunks(spark, d, "id", "embedding"), embed_texts(_questions(spark, d), "query_id"))
     return found.select("query_id", F.round("confidence", 6).alias("confidence"), (F.col("confidence") >= 0.4).alias("answerable"))
 
 
 # --- fusion and answers ----------------------------------------------------------------------------------------------------
 @_query(f"{_HYBRID} select query_id, chunk_id, rank::integer as rank, round(score, 9) as score from {_top('fused', _K)}")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    chunks, asked = _chunks(spark, d).persist(), _questions(spark, d)
+    chunks, asked = _hold(_chunks(spark, d, "id", "embedding", "dl", "terms")), _questions(spark, d)
     both = [vector.VectorIndex(chunks).search(asked, _K), keyword.KeywordIndex(chunks).search(asked, _K)]
     return fuse(both, _K).select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
 
 
 @_query(f"{_HYBRID} select query_id, rank::integer as rank, chunk_id, document_path, round(score, 9) as score from ftop join chunk using (chunk_id)")
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _chunks(spark, d).persist()
+    chunks = _hold(_chunks(spark, d, "id", "document_path", "embedding", "dl", "terms"))
     found = hybrid_search(chunks, _questions(spark, d), 5)
     late = chunks.select(F.col("id").alias("chunk_id"), "document_path")
     return found.join(late, "chunk_id").select("query_id", "rank", "chunk_id", "document_path", F.round("score", 9).alias("score"))
 
 
-def _answers(spark: SparkSession, d: str) -> DataFrame:
-    return answer(_chunks(spark, d).persist(), _questions(spark, d))
+def _answers(spark: SparkSession, d: str, options: AnswerOptions = AnswerOptions()) -> DataFrame:
+    return answer(_hold(_chunks(spark, d, "id", "document_path", "text", "embedding", "dl", "terms")), _questions(spark, d), options)
 
 
 @_query(f"""{_HYBRID}, conf as (select query_id, round(max(score), 6) as confidence from cs group by query_id)
@@ -297,71 +317,55 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     return _answers(spark, d).select("query_id", F.size("citations").alias("n_citations"), paths.alias("paths"), F.round("confidence", 6).alias("confidence"), "answerable")
 
 
-def _ascii_questions(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Questions whose cited chunks are ASCII alone, where SQL can cut bytes."""
-    cited = found.select("query_id", F.explode("citations.chunk_id").alias("id")).join(chunks.select("id", (F.octet_length("text") == F.length("text")).alias("ascii")), "id")
-    return cited.groupBy("query_id").agg(F.bool_and("ascii").alias("ascii")).where("ascii")
-
-
-_PASSAGE = "case when strlen(text) > 400 then substr(text, 1, 400) || '…' else text end"
 _FOOT = "(Local extractive mode: passages are quoted as they are; set up a generator for written answers.)"
-_ASCII = "mixed as (select query_id from ftop join chunk using (chunk_id) group by query_id having bool_and(strlen(text) = len(text)))"
+_BREAK = "chr(10) || chr(10)"
+_TEXT = f"""'Based on ' || count(*) || ' matching passage(s) in your documents:' || {_BREAK} || string_agg(rank || '. (' || document_path || ') ' || {_cut_sql("text", 400)} || {_BREAK}, '' order by rank) || '{_FOOT}'"""
+_CITED = f"""string_agg('- `' || document_path || '` (score ' || printf('%.3f', score) || '): ' || replace({_cut_sql("text", 220)}, chr(10), ' ') || chr(10), '' order by rank)"""
+_LISTED = "string_agg('  - ' || document_path || ' (score ' || printf('%.3f', score) || ')' || chr(10), '' order by rank)"
+_REFUSAL = REFUSAL.replace("'", "''")
 
 
-@_query(f"""{_HYBRID}, {_ASCII}
-select query_id, 'Based on ' || count(*) || ' matching passage(s) in your documents:' || chr(10) || chr(10) || string_agg(rank || '. (' || document_path || ') ' || {_PASSAGE} || chr(10) || chr(10), '' order by rank) || '{_FOOT}' as text
-from ftop join chunk using (chunk_id) where query_id in (select query_id from mixed) group by query_id""")
-def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
-    """Of questions whose passages are ASCII alone, where SQL can cut bytes; :func:`extractive_answer_all` has all of them."""
-    chunks = _chunks(spark, d).persist()
-    found = answer(chunks, _questions(spark, d)).persist()
-    return found.join(_ascii_questions(found, chunks), "query_id", "left_semi").select("query_id", "text")
+def _said(threshold: float) -> str:
+    """Tables ``said(query_id, confidence, answerable, text, sources, listed)``; a refusal has no sources."""
+    return f"""{_HYBRID}, full_text as (select query_id, {_TEXT} as text, {_CITED} as sources, {_LISTED} as listed from ftop join chunk using (chunk_id) group by query_id),
+conf as (select query_id, max(score) as confidence from cs group by query_id),
+said as (select query_id, confidence, confidence >= {threshold}::double as answerable, case when confidence >= {threshold}::double then full_text.text else '{_REFUSAL}' end as text,
+  case when confidence >= {threshold}::double then sources end as sources, case when confidence >= {threshold}::double then listed end as listed from conf join full_text using (query_id))"""
 
 
-@_query()
-def extractive_answer_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of all questions, refused ones too; without SQL, which cannot cut bytes."""
+@_query(f"{_said(0.15)} select query_id, text from said")
+def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
     return _answers(spark, d).select("query_id", "text")
 
 
-@_query(f"""{_HYBRID}, {_ASCII}
-select query_id, '**Sources:**' || chr(10) || chr(10) || string_agg('- `' || document_path || '` (score ' || printf('%.3f', score) || '): ' || replace(case when strlen(text) > 220 then substr(text, 1, 220) || '…' else text end, chr(10), ' ') || chr(10), '' order by rank) || chr(10) as sources
-from ftop join chunk using (chunk_id) where query_id in (select query_id from mixed) group by query_id""")
-def session_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Of questions whose passages are ASCII alone; :func:`session_sources_all` has all of them."""
-    chunks = _chunks(spark, d).persist()
-    found = answer(chunks, _questions(spark, d)).persist()
-    sections = export.session_sections(found.join(_ascii_questions(found, chunks), "query_id", "left_semi").withColumn("seq", F.col("query_id")))
-    return sections.select(F.col("seq").alias("query_id"), F.concat(F.lit("**Sources:**"), F.element_at(F.split("section", r"\*\*Sources:\*\*"), -1)).alias("sources"))
+@_query(f"{_said(0.5)} select query_id, text, answerable, round(confidence, 6) as confidence, sources is null as without_sources from said")
+def refused_answers(spark: SparkSession, d: str) -> DataFrame:
+    """With a threshold that some questions miss: their answers are refusals without citations."""
+    found = _answers(spark, d, AnswerOptions(threshold=0.5))
+    return found.select("query_id", "text", "answerable", F.round("confidence", 6).alias("confidence"), F.col("citations").isNull().alias("without_sources"))
 
 
-@_query()
-def session_sources_all(spark: SparkSession, d: str) -> DataFrame:
-    """Whole sections of all questions, refused ones too, which have no sources; without SQL, which cannot cut bytes."""
-    sections = export.session_sections(_answers(spark, d).withColumn("seq", F.col("query_id")))
+@_query(f"{_said(0.5)} select query_id, '## Q' || query_id || ': ' || benchmark.text || {_BREAK} || said.text || {_BREAK} || coalesce('**Sources:**' || {_BREAK} || sources || chr(10), '') as section from said join benchmark on item_id = query_id")
+def session_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Whole sections of all questions, with a threshold that some miss; a refused one has no sources."""
+    sections = export.session_sections(_answers(spark, d, AnswerOptions(threshold=0.5)).withColumn("seq", F.col("query_id")))
     return sections.select(F.col("seq").alias("query_id"), "section")
 
 
-@_query()
+@_query(f"{_HYBRID}, conf as (select query_id, max(score) as confidence from cs group by query_id) select query_id, json_keys, n_citations, first_path, confidence, answerable, refused from (select query_id, confidence >= 0.5::double as answerable, round(confidence, 6) as confidence, 'text,citations,confidence,answerable' as json_keys, case when confidence >= 0.5::double then 5 end as n_citations, case when confidence >= 0.5::double then document_path end as first_path, confidence < 0.5::double as refused from conf join ftop using (query_id) join chunk using (chunk_id) where rank = 1)")
 def answer_json(spark: SparkSession, d: str) -> DataFrame:
-    return export.answer_json(_answers(spark, d))
+    """The JSON of each answer, read back; a refusal's citations are null."""
+    found = export.answer_json(_answers(spark, d, AnswerOptions(threshold=0.5)))
+    kind = "text string, citations array<struct<chunk_id:string,document_path:string,snippet:string,score:double>>, confidence double, answerable boolean"
+    back = found.select("query_id", F.array_join(F.json_object_keys("json"), ",").alias("json_keys"), F.from_json("json", kind).alias("j"))
+    cited = F.when(F.col("j.citations").isNotNull(), F.size("j.citations"))
+    return back.select("query_id", "json_keys", cited.alias("n_citations"), F.try_element_at(F.col("j.citations.document_path"), F.lit(1)).alias("first_path"), F.round("j.confidence", 6).alias("confidence"), "j.answerable", (F.col("j.text") == REFUSAL).alias("refused"))
 
 
-@_query(f"""{_HYBRID}, {_ASCII}
-select query_id, 'Based on ' || count(*) || ' matching passage(s) in your documents:' || chr(10) || chr(10) || string_agg(rank || '. (' || document_path || ') ' || {_PASSAGE} || chr(10) || chr(10), '' order by rank) || '{_FOOT}' || chr(10)
-  || chr(10) || 'Sources:' || chr(10) || string_agg('  - ' || document_path || ' (score ' || printf('%.3f', score) || ')' || chr(10), '' order by rank) as rendered
-from ftop join chunk using (chunk_id) where query_id in (select query_id from mixed) group by query_id""")
+@_query(f"{_said(0.5)} select query_id, text || chr(10) || coalesce(chr(10) || 'Sources:' || chr(10) || listed, '') as rendered from said")
 def answer_text(spark: SparkSession, d: str) -> DataFrame:
-    """Of questions whose passages are ASCII alone; :func:`answer_text_all` has all of them."""
-    chunks = _chunks(spark, d).persist()
-    found = answer(chunks, _questions(spark, d)).persist()
-    return export.answer_text(found.join(_ascii_questions(found, chunks), "query_id", "left_semi"))
-
-
-@_query()
-def answer_text_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of all questions, refused ones too; without SQL, which cannot cut bytes."""
-    return export.answer_text(_answers(spark, d))
+    """With a threshold that some questions miss; a refusal has no sources."""
+    return export.answer_text(_answers(spark, d, AnswerOptions(threshold=0.5)))
 
 
 @_query("""with t as (select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) as reply, lead(role) over (partition by conv_id order by turn) as next_role from conversations)
@@ -403,12 +407,12 @@ def ingest_report(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"with {_chunk_sql()}, {_DIFF} select chunk_id from chunk where document_id not in (select id from diff where status in ('removed', 'updated'))")
 def prune_chunks(spark: SparkSession, d: str) -> DataFrame:
     gone = _diff(spark, d).where(F.col("status").isin("removed", "updated")).select(F.col("id").alias("document_id"))
-    return _chunks(spark, d).join(gone, "document_id", "left_anti").select(F.col("id").alias("chunk_id"))
+    return _chunks(spark, d, "id", "document_id").join(gone, "document_id", "left_anti").select(F.col("id").alias("chunk_id"))
 
 
 @_query(f"with {_chunk_sql()}, per as (select document_id, count(*) as n from chunk group by document_id) select source, count(*) as doc_count, coalesce(sum(n), 0)::bigint as chunk_count from doc left join per on id = document_id group by source")
 def collection_summary(spark: SparkSession, d: str) -> DataFrame:
-    return export.collection_summary(_corpus(spark, d).select("id", "source"), _chunks(spark, d), "source")
+    return export.collection_summary(_corpus(spark, d).select("id", "source"), _chunks(spark, d, "document_id"), "source")
 
 
 @_query(f"with {_chunk_sql()}, per as (select document_id, count(*) as n from chunk group by document_id), c as (select source, count(*) as docs, coalesce(sum(n), 0)::bigint as chunks from doc left join per on id = document_id group by source) select printf('%-20s  %5d docs  %6d chunks  root=%s', source, docs, chunks, 'documents') as line from c")
@@ -417,6 +421,44 @@ def collection_listing(spark: SparkSession, d: str) -> DataFrame:
     return c.select(export.listing_line(F.col("source"), F.col("doc_count"), F.col("chunk_count"), F.lit("documents")).alias("line"))
 
 
+def _stored(spark: SparkSession, d: str) -> Collection:
+    """A collection of documents in other states than on disk: some are missing, some have other texts, some are left over."""
+    docs = _corpus(spark, d).where("doc_id % 3 != 0")
+    old = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.lit("an older text")).otherwise(F.col("text")))
+    state = Collection(collection_id("corpus"), "corpus", "documents", *(spark.createDataFrame([], s) for s in (DOCUMENTS, CHUNKS)))
+    state.documents = old.select("id", "path", F.sha2("text", 256).alias("hash"), text.mime_type(F.col("path")).alias("mime_type"), F.lit(None).cast("timestamp").alias("indexed_at"))
+    state.chunks = chunk_documents(old)
+    return state
+
+
+def _ingested(spark: SparkSession, d: str) -> IngestResult:
+    """All documents as files, but for some that are gone, cannot be read, or have a name that no parser claims."""
+    path = F.when(F.col("doc_id") % 11 == 1, F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".bin"))).otherwise(F.col("path"))
+    unread = F.col("doc_id") % 13 == 2
+    files = _corpus(spark, d).where("doc_id % 7 != 0").select(path.alias("path"), F.when(~unread, F.col("text").cast("binary")).alias("content"), F.when(unread, F.lit("no permission")).alias("error"))
+    return ingest(_stored(spark, d), files, stage=lambda rows, label: rows)
+
+
+_INGEST = """disk as (select id, path, text, sha256(text) as hash from doc where doc_id % 7 != 0 and doc_id % 11 != 1 and doc_id % 13 != 2),
+stored as (select id, path, case when doc_id % 5 = 0 then 'an older text' else text end as text from doc where doc_id % 3 != 0),
+state as (select coalesce(d.id, s.id) as id, coalesce(d.path, s.path) as path, case when d.id is null then 'removed' when s.id is null then 'added' when d.text = s.text then 'unchanged' else 'updated' end as status from disk d full join stored s on d.id = s.id)"""
+
+
+@_query(f"""with {_DOC}, {_INGEST} select path, status, null::varchar as error from state
+union all select 'documents/' || doc_id || '.bin', 'skipped', null from doc where doc_id % 7 != 0 and doc_id % 11 = 1
+union all select path, 'error', 'no permission' from doc where doc_id % 7 != 0 and doc_id % 11 != 1 and doc_id % 13 = 2""")
+def ingest_run(spark: SparkSession, d: str) -> DataFrame:
+    """What a whole ingestion reports: files added, updated, unchanged, removed, skipped and not read."""
+    return _ingested(spark, d).report
+
+
+@_query(f"""with {_chunk_sql()}, {_INGEST} select chunk_id, document_path, start_offset::bigint as start_offset, text from chunk where document_id in (select id from state where status in ('added', 'updated', 'unchanged'))""")
+def ingest_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of a collection after an ingestion: kept ones and new ones."""
+    found = _ingested(spark, d).collection.chunks
+    return found.select(F.col("id").alias("chunk_id"), "document_path", "start_offset", "text")
+
+
 @_query(f"with {_DOC} select path, trim(translate(text, chr(10) || chr(13), '  ')) as text, 0 as n_boundaries, null::varchar as error from doc")
 def pdf_text(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as one-stream PDFs by an expression and read back by the parser."""
@@ -426,3 +468,32 @@ def pdf_text(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Length 1 >>\nstream\nBT ("), shown, F.lit(") Tj ET\nendstream\nendobj\n"))
     files = _corpus(spark, d).select("path", body.cast("binary").alias("content"), F.lit("pdf").alias("parser"))
     return parse(files).select("path", "text", F.size("boundaries").alias("n_boundaries"), "error")
+
+
+@_query(rf"""with {_DOC}, p as (select path, doc_id, trim(translate(text, chr(10) || chr(13), '  ')) as one, 'Quelle ' || source as two from doc)
+select path, case when one = '' then two else one || chr(10) || chr(10) || two end as text, case when one = '' then [] else [strlen(one) + 2] end::bigint[] as boundaries, null::varchar as error from p""")
+def pdf_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as PDFs of three streams, the second of arrays and the third of no text, half of them deflated, and read back."""
+    from collections.abc import Iterator
+
+    from florilege.sources.files import parse
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
+        for batch in batches:
+            made = []
+            for doc_id, source, shown in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                pages = [f"BT ({shown}) Tj ET", f"BT [(Quelle) -250 (\\040{source[:2]}) 3 ({source[2:]})] TJ ET", "q 1 0 0 1 re"]
+                out = b"%PDF-1.4\n"
+                for page in pages:
+                    body, how = page.encode(), b""
+                    if doc_id % 2:
+                        body, how = zlib.compress(body), b" /Filter /FlateDecode"
+                    out += b"1 0 obj\n<< /Length 1" + how + b" >>\nstream\n" + body + b"\r\nendstream\nendobj\n"  # a carriage return of its own, lest one that ends the body be taken for it
+                made.append(out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array(["pdf"] * len(made))], ["path", "content", "parser"])
+
+    shown = F.regexp_replace(F.regexp_replace("text", r"([\\()])", r"\\$1"), r"[\r\n]", " ")
+    files = _corpus(spark, d).select("path", "doc_id", "source", shown).mapInArrow(write, "path string, content binary, parser string")
+    return parse(files).select("path", "text", "boundaries", "error")

@@ -12,6 +12,8 @@ from typing import Protocol
 
 #: A direct text of fewer bytes counts as scanned; the resolution pages are drawn at.
 MIN_TEXT_BYTES, DPI = 80, 200
+#: What counts as a stream, a shown string, an array of strings, a string in it, and an escape. A string may hold
+#: line breaks and escaped ones. The array's pattern takes a backslash with what follows it alone, so that it never backtracks.
 _STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
 _SHOWN = re.compile(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", re.S)
 _ARRAY = re.compile(rb"\[((?:[^\]\\]|\\.)*)\]\s*TJ", re.S)
@@ -26,6 +28,21 @@ class OcrEngine(Protocol):
     def image_to_text(self, path: str) -> str: ...
 
 
+class Tesseract:
+    """Optical recognition by the program ``tesseract``, which has to be on the path of the executors."""
+
+    def __init__(self, language: str = "eng", program: str = "tesseract", timeout: float = 300.0):
+        self.language, self.program, self.timeout = language, program, timeout
+
+    @classmethod
+    def available(cls, program: str = "tesseract") -> bool:
+        return shutil.which(program) is not None
+
+    def image_to_text(self, path: str) -> str:
+        done = subprocess.run([self.program, path, "stdout", "-l", self.language], check=True, capture_output=True, timeout=self.timeout)
+        return done.stdout.decode("utf-8", "replace")
+
+
 def unescape(raw: bytes) -> bytes:
     """Escapes of a string: named ones, three octal digits, and otherwise the character itself."""
 

@@ -199,6 +199,16 @@ def test_pdf(deflate):
     assert pdf.direct_text(data) == ("Hello (there) A\n\nx World", [17])
 
 
+def test_recognition_by_a_program(tmp_path, monkeypatch, capsys, spark):
+    assert main(["--ocr", "--base", str(tmp_path), "list"], spark) == (0 if pdf.Tesseract.available() else 1)
+    program = tmp_path / "reads"
+    program.write_text("#!/bin/sh\necho \"  read $1 as $4 \"\n")
+    program.chmod(0o755)
+    assert pdf.image_text(b"x", ".png", pdf.Tesseract("deu", str(program))).endswith(".png as deu")
+    with pytest.raises(Exception, match="No such file"):
+        pdf.Tesseract(program=str(tmp_path / "none")).image_to_text("a.png")
+
+
 def test_pdf_details():
     assert pdf.unescape(rb"a\n\t\\\b\060") == b"a\n\t\\b0"
     assert pdf.direct_text(b"<< /FlateDecode >>\nstream\nnot zlib\nendstream") == ("", [])

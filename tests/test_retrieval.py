@@ -9,7 +9,7 @@ from florilege.operators.fusion import hybrid_search
 from florilege.operators.keyword import KeywordIndex, bm25_scores, corpus_stats
 from florilege.operators.vector import VectorIndex, confidence, cosine_top_k
 from florilege.plans import export
-from florilege.plans.answer import NO_CONTEXT, REFUSAL, Called, answer, extractive_text, prompt
+from florilege.plans.answer import NO_CONTEXT, REFUSAL, Called, answer, extractive_text, prompt, remote
 from florilege.schema import AnswerOptions, ChunkOptions
 
 CORPUS = {
@@ -73,9 +73,15 @@ def test_zero_vector_and_cosine(spark):
     assert [round(x, 6) for x in row] == [0.707107, 0.0, 0.0, 1.0]
 
 
-def test_vector_top_k_against_brute_force(spark):
+@pytest.mark.parametrize("blocks", [(4096, 16_384, 512), (4096, 16_384, 7), (2, 40, 16)])
+def test_vector_top_k_against_brute_force(spark, monkeypatch, blocks):
     import numpy as np
 
+    from florilege.operators import vector
+
+    for name, size in zip(("QUESTION_BLOCK", "CHUNK_BLOCK", "_SLICE"), blocks, strict=True):
+        monkeypatch.setattr(vector, name, size)
+
     rng = np.random.default_rng(0)
     x = np.round(rng.normal(size=(300, 8)), 1)
     x[7] = 0
@@ -90,6 +96,27 @@ def test_vector_top_k_against_brute_force(spark):
         assert [got[q, k + 1] for k in range(12)] == [f"{i:03}" for i in want]
 
 
+def test_many_terms_give_the_same_scores(spark, chunks, monkeypatch):
+    from florilege.operators import keyword
+
+    asked = spark.createDataFrame([(1, "when does the alarm ring"), (2, "the door of the greenhouse, the the")], "query_id long, text string")
+    few = {(r.query_id, r.chunk_id): r.score for r in bm25_scores(chunks, asked).collect()}
+    monkeypatch.setattr(keyword, "BROADCAST_TERMS", 0)
+    many = {(r.query_id, r.chunk_id): r.score for r in bm25_scores(chunks, asked).collect()}
+    assert few and few == pytest.approx(many)
+
+
+def test_some_columns_of_chunks(spark):
+    docs = spark.createDataFrame([("d", "p", "a b a c " * 90), ("e", "q", None), ("f", "r", " \u00a0 ")], "id string, path string, text string")
+    whole = {r.id: r for r in chunk_documents(docs, ChunkOptions(50, 10)).collect()}
+    assert len(whole) > 2 and all({t.term: t.tf for t in r.terms} == {x: r.text.split().count(x) for x in r.text.split()} and r.dl == len(r.text.split()) for r in whole.values())
+    for columns in (["dl"], ["id", "terms"], ["embedding", "id"], ["text", "page_number", "id"]):
+        some = chunk_documents(docs, ChunkOptions(50, 10), columns=columns)
+        assert some.columns == columns and some.count() == len(whole)
+        if "id" in columns:
+            assert all(r[c] == whole[r.id][c] for r in some.collect() for c in columns)
+
+
 def test_index_add_and_remove(spark, chunks):
     gone = chunks.where("document_path = 'alarm.md'").select("id")
     less = KeywordIndex(chunks).remove(gone)
@@ -108,7 +135,8 @@ def test_reembedding(spark, chunks):
 def test_extractive_text(spark):
     rows = spark.createDataFrame([([("p", "x" * 401)],), ([],)], "passages array<struct<path:string,text:string>>").select(extractive_text(F.col("passages")).alias("t")).collect()
     assert "1. (p) " + "x" * 400 + "…\n\n" in rows[0].t and rows[1].t == NO_CONTEXT
-    assert prompt("q", [("p", "t")]) == "[1] Source: p\nt\n\nQuestion: q"
+    assert prompt("q", [("p", "t"), ("r", "u")]) == "Sources:\n\n[1] Source: p\nt\n\n[2] Source: r\nu\n\n\nQuestion: q"
+    assert remote("http://127.0.0.1:9/none", "key", "model").fn("q", []) == NO_CONTEXT  # nothing is sent
 
 
 def test_renderings(spark, chunks):
