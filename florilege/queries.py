@@ -223,6 +223,12 @@ def bucket_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts.join(buckets, "f").groupBy("chunk_id", "bucket").agg(F.sum("n").alias("n"))
 
 
+@_query(f"with {_chunk_sql()}, {_EMB} select chunk_id, round(sum((1 + ln(n)) * (1 + ln(n))), 6) as squares from cv_c group by chunk_id")
+def feature_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The squared length of each chunk's vector before it is scaled."""
+    return bucket_counts(spark, d).groupBy("chunk_id").agg(F.round(F.sum(scores.log_tf(F.col("n")) * scores.log_tf(F.col("n"))), 6).alias("squares"))
+
+
 @_query(f"with {_chunk_sql()}, {_EMB} select chunk_id, b as bucket, round(weight::double, 5) as weight from cv_long")
 def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = _chunks(spark, d, "id", "embedding").select(F.col("id").alias("chunk_id"), F.posexplode("embedding").alias("bucket", "weight")).where("weight != 0")
@@ -277,6 +283,14 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "chunk_id", "rank", F.round("score", 8).alias("score"))
 
 
+@_query("select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 8) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+def cosines(spark: SparkSession, d: str) -> DataFrame:
+    """Of each vector with the next, by an expression."""
+    a = _table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
+    return a.join(b, "vec_id").select("vec_id", F.round(scores.cosine(F.col("x"), F.col("y")), 8).alias("cosine"))
+
+
 @_query(f"with {_chunk_sql()}, {_QEMB}, {_EMB}, {_COS} select query_id, chunk_id, rank::integer as rank, round(score, 6) as score from {_top('cs', _K)}")
 def hashed_topk(spark: SparkSession, d: str) -> DataFrame:
     found = vector.VectorIndex(_chunks(spark, d, "id", "embedding")).search(_questions(spark, d), _K)
