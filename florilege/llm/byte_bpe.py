@@ -4,7 +4,7 @@
 leftmost position of the least rank below them. A merge takes the root's position, joins the two live neighbours and
 updates two leaves and one removed leaf, each in logarithmic time, so a piece of n bytes takes O(n log n).
 
-Pieces (matches of the pre-tokenizer's pattern) repeat a lot, so their ids are kept in a table of bounded size.
+Pieces (matches of the pre-tokenizer's pattern) repeat a lot, so their ids are kept in a table of bounded bytes.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from florilege.llm.textkernels import sliced
 from florilege.llm.worker import begin, keeps
 
-#: Pieces whose ids are kept at a time, and the longest of them in characters.
-CACHED_PIECES, CACHED_CHARS = 1_000_000, 48
+#: Bytes that kept pieces and their ids may take in a worker, about; the longest of them in characters; bytes of texts at a time.
+CACHED_BYTES, CACHED_CHARS, SLICE_BYTES = 320 << 20, 48, 4 << 20
 _NONE = 1 << 60
 
 
@@ -81,16 +82,18 @@ def encode_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Pieces(dict):
-    """Ids by piece: a table of bounded size that computes what it lacks."""
+    """Ids by piece: a table of bounded bytes that computes what it lacks."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self._ranks = ranks
+        self._ranks, self._bytes = ranks, 0
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = tuple(encode_bytes(piece.encode(), self._ranks))
         if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHED_PIECES:
+            self._bytes += 210 + len(piece) + 36 * len(ids)  # a string, a tuple, their place in the table, and the numbers
+            if self._bytes > CACHED_BYTES:
                 self.clear()
+                self._bytes = 0
             self[piece] = ids
         return ids
 
@@ -117,7 +120,17 @@ def _encoder(rank_path: str, pattern: str) -> Encoder:
     return Encoder(load_ranks(rank_path), pattern)
 
 
-keeps("byte_bpe", _encoder.cache_clear)
+@lru_cache(1)
+def _tokens(rank_path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in load_ranks(rank_path).items()}
+
+
+def _forget() -> None:
+    _encoder.cache_clear()
+    _tokens.cache_clear()
+
+
+keeps("byte_bpe", _forget)
 
 
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -129,11 +142,11 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("byte_bpe")
+        batches = sliced(batches, "text", SLICE_BYTES, "byte_bpe")
         encoder = _encoder(rank_path, pattern)
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids = [encoder.encode(text or "") for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for part in batches:
+            ids = [encoder.encode(text or "") for text in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -142,7 +155,8 @@ def decode_documents(encoded: DataFrame, rank_path: str) -> DataFrame:
     """``doc_id, bytes`` for every row of ``encoded(doc_id, ids)``; null ids count as an empty list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {rank: token for token, rank in load_ranks(rank_path).items()}
+        begin("byte_bpe")
+        tokens = _tokens(rank_path)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 raw = [b"".join(map(tokens.__getitem__, ids or ())) for ids in part.column(1).to_pylist()]
@@ -160,6 +174,7 @@ def digest_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("byte_bpe")
+        batches = sliced(batches, "text", SLICE_BYTES, "byte_bpe")
         encoder = _encoder(rank_path, pattern)
         names = {rank: str(rank) for rank in encoder.tokens}.__getitem__
         for batch in batches:

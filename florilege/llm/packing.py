@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import zlib
 from array import array
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from florilege.llm.storage import materialize
+from florilege.llm.textkernels import sliced
 from florilege.llm.worker import begin, keeps
 
 WINDOW, END_ID = 4096, 2
@@ -28,7 +30,7 @@ WINDOW, END_ID = 4096, 2
 SHARD_PIECES = 4096
 #: Chunks of each of two generations whose ids are kept, and the longest of them in characters.
 CACHED_CHUNKS, CACHED_CHARS = 250_000, 48
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long"
 
 
 class BestFit:
@@ -94,16 +96,38 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are packed as little-endian 32-bit numbers")
 
 
+#: The parts of a tokenizer file for which texts may be tokenized chunk by chunk between spaces and newlines.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def by_chunks(spec: dict) -> bool:
+    """Whether a tokenizer lowers case, takes runs of letters or marks as pre-tokens, maps bytes without regard to what is before,
+    merges without chance, and has no added token that could stand in a chunk without a <."""
+    split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    bytes_ = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    return (
+        (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", _SPLIT, "Removed", True)
+        and len(rest) == 1 and bytes_.items() <= rest[0].items()
+        and _MODEL.items() <= {"type": "BPE", **spec["model"]}.items()
+        and all("<" in t["content"] for t in spec.get("added_tokens") or ())
+        and not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding")
+    )
+
+
 class ChunkTokenizer:
     """Token ids as little-endian 32-bit bytes, joined from those of the chunks between spaces and newlines.
 
-    Right for lower-casing tokenizers whose pre-tokens are runs of letters or of marks, without white space, and whose
-    normalizer leaves each side of a space alone.
+    Of a tokenizer for which :func:`by_chunks` does not hold, whole texts are encoded instead.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.in_chunks = by_chunks(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
         self._merge = self.tokenizer.model.tokenize
         self._known = _Chunks(self._ids)
@@ -130,6 +154,8 @@ class ChunkTokenizer:
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes(), len(chunk) <= CACHED_CHARS
 
     def encode(self, text: str) -> bytes:
+        if not self.in_chunks:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self._known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -162,9 +188,9 @@ keeps("packing", _tokenizer.cache_clear)
 
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """Pieces of every row of ``docs(doc_id, text)``: ``doc_id, start, length, ids_crc32, doc_tokens``.
+    """Pieces of every row of ``docs(doc_id, text)``: ``doc_id, start, length, ids_crc32, doc_tokens, place``.
 
-    A null or empty text is a document of the end id alone. Every id lies in exactly one piece; all pieces of a document but
+    ``place`` tells pieces apart, however often a document is repeated. A null or empty text is a document of the end id alone. Every id lies in exactly one piece; all pieces of a document but
     the last fill a window. Repeated rows are packed as often as they come. Narrow: no shuffle.
     """
     end = np.asarray([end_id], "<u4").tobytes()
@@ -172,18 +198,21 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("packing")
         tokenizer = _tokenizer(tokenizer_path)
-        for batch in batches:
+        n = None
+        for batch in sliced(batches, "text", 4 << 20, "packing"):
+            n = batch.column(2)[0].as_py() << 40 if n is None else n
             ids, rows = batch.column(0).to_pylist(), []
             for doc_id, text in zip(ids, batch.column(1), strict=True):
                 raw = tokenizer.encode(text.as_py() or "") + end
                 total = len(raw) // 4
                 for start in range(0, total, window):
                     piece = raw[4 * start : 4 * (start + window)]
-                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total))
+                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total, n))
+                    n += 1
             columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split(" ")[0] for c in PIECES.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text", F.spark_partition_id().alias("task")).mapInArrow(run, PIECES)
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -195,10 +224,10 @@ def pack(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIEC
     """
     full, rest = pieces.where(F.col("length") >= window), pieces.where(F.col("length") < window)
     shards = max(1, -(-rest.count() // shard_pieces))
-    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards))
+    key = F.pmod(F.xxhash64("place"), F.lit(shards))  # equal pieces have different places
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("place", "ascending")])
         fit = BestFit(window)
         placed = [fit.place(n) for n in table.column("length").to_pylist()]
         base = (2 * key[0].as_py()) << 31
@@ -208,7 +237,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIEC
     packed = rest.withColumn("shard", key).groupBy("shard").applyInArrow(run, f"{PIECES}, sequence_id long, offset long")
     # odd upper halves: apart from the shards' ids, and unique by partition and row
     alone = full.withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return packed.unionByName(alone)
+    return packed.unionByName(alone).drop("place")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES) -> DataFrame:

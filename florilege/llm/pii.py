@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from florilege.llm.worker import begin
+from florilege.llm.textkernels import sliced
 
 KINDS = ("email", "ip", "card", "phone")
 #: Atoms of a segment, and those whose candidates are scored at a time; islands may be of any length.
 MAX_ATOMS, SCORED_ATOMS = 16, 4096
+#: Bytes of texts at a time.
+SLICE_BYTES = 4 << 20
 #: Sentences and rounds of the training; both bound its cost.
 TRAIN_SENTENCES, TRAIN_ROUNDS = 160, 40
 
@@ -413,8 +415,7 @@ def find_in_documents(docs: DataFrame) -> DataFrame:
     model = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("pii")
-        for batch in batches:
+        for batch in sliced(batches, "text", SLICE_BYTES, "pii"):
             counts, digests, spans = [], [], []
             for text in batch.column(1):
                 base, every = find_spans(text.as_py() or "", model)
@@ -449,8 +450,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     rows = docs.toDF(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("pii")
-        for batch in batches:
+        for batch in sliced(batches, columns[at], SLICE_BYTES, "pii"):
             texts = [None if x is None else redact(x, find_spans(x, model)[1]) for x in (v.as_py() for v in batch.column(at))]
             yield batch.set_column(at, columns[at], pa.array(texts, batch.schema.field(at).type))
 

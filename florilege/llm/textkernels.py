@@ -61,9 +61,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that ``column`` has at most ``limit`` bytes in each, or one row."""
-    begin("texts")
+def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, operator: str = "texts") -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that ``column`` has at most ``limit`` bytes in each, or one row; a task of ``operator`` begins."""
+    begin(operator)
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import json
 import math
 import random
 import re
@@ -137,6 +138,40 @@ def test_chunks_make_the_whole(parts):
     assert np.asarray(tokenizer.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == tokenizer.encode(text)
 
 
+def test_other_tokenizers_take_whole_texts(tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    spec = json.loads(open(VOCABULARY, encoding="utf-8").read())
+    assert packing.by_chunks(spec)
+    changes = [("normalizer", None), ("normalizer", {"type": "Lowercase"}), ("pre_tokenizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("added_tokens", [{"content": "word"}]), ("model", {**spec["model"], "dropout": 0.1}), ("truncation", {"max_length": 4})]
+    assert not any(packing.by_chunks({**spec, name: value}) for name, value in changes)
+    spec["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "Lowercase"}, {"type": "Replace", "pattern": {"String": "a b"}, "content": "ab"}]}
+    path = str(tmp_path / "other.json")
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    theirs, own = tokenizers.Tokenizer.from_file(path), packing.ChunkTokenizer(path)
+    for text in ("a b c", "A B", "", "so a bold move"):
+        assert np.asarray(theirs.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == own.encode(text)
+
+
+def test_many_equal_pieces_are_no_hot_shard(spark):
+    docs = spark.createDataFrame([(None, "")] * 3000 + [(7, "one two")] * 900, "doc_id long, text string").repartition(5)
+    rows = packing.pack_documents(docs, VOCABULARY, window=16, shard_pieces=100).collect()
+    shards = collections.Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 3900 and max(shards.values()) < 200
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert all(sorted(o for o, _ in own) == sorted(np.cumsum([0, *(n for _, n in sorted(own))])[:-1].tolist()) for own in by.values())
+    assert len(by) < 1.1 * (3000 + 900 * 3) / 16 + 40
+
+
+def test_kept_pieces_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHED_BYTES", 5000)
+    encoder = byte_bpe.Encoder(byte_bpe.load_ranks(RANKS), public_tokenizers.PATTERN)
+    for k in range(200):
+        text = f"piece{k} of text"
+        assert encoder.decode(encoder.encode(text)) == text.encode() and len(encoder._known) < 25
+
+
 # --- rules -------------------------------------------------------------------------------------------------------------------
 def _corpus(n=400, seed=0):
     rng = random.Random(seed)
