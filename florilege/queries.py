@@ -151,15 +151,15 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-@_query("with t as (select item_id, regexp_extract_all(lower(text), '[A-Za-z0-9_]+') as t from benchmark) select item_id, array_to_string(list_transform(range(2, len(t) + 1), lambda i: t[i - 1] || '_' || t[i]), ' ') as pairs from t")
+@_query("with t as (select doc_id, regexp_extract_all(lower(text), '[A-Za-z0-9_]+') as t from documents) select doc_id, array_to_string(list_transform(range(2, len(t) + 1), lambda i: t[i - 1] || '_' || t[i]), ' ') as pairs from t")
 def bigrams(spark: SparkSession, d: str) -> DataFrame:
-    t = _table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("t"))
-    return t.select("item_id", F.array_join(F.slice(text.features(F.col("t")), F.size("t") + 1, F.greatest(F.size("t"), F.lit(1))), " ").alias("pairs"))
+    t = _table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.array_join(F.slice(text.features(F.col("t")), F.size("t") + 1, F.greatest(F.size("t"), F.lit(1))), " ").alias("pairs"))
 
 
-@_query(f"with t as (select distinct unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) as f from benchmark) select f as token, ({_FNV})::bigint as hash from t")
+@_query(f"with t as (select distinct unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) as f from documents) select f as token, ({_FNV})::bigint as hash from t")
 def fnv_hash(spark: SparkSession, d: str) -> DataFrame:
-    t = _table(spark, d, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("token")).distinct()
+    t = _table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("token")).distinct()
     return t.select("token", text.fnv1a(F.col("token")).alias("hash"))
 
 
