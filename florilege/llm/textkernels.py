@@ -15,7 +15,7 @@ import pyarrow as pa
 from florilege.llm.worker import begin
 
 #: Texts are worked on in slices of about this many bytes; temporaries take about 60 times that.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _RNG = np.random.default_rng(20240229)
 _BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
