@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -117,6 +118,12 @@ def by_chunks(spec: dict) -> bool:
     )
 
 
+def _ends_in_letter(core: str) -> bool:
+    """Whether the last character is a letter or number and stays one: a few are normalized or lowered to a letter with a mark."""
+    last = core[-1:]
+    return last.isalnum() and (last < _LATIN_END or unicodedata.normalize("NFC", last).lower()[-1].isalnum())
+
+
 class ChunkTokenizer:
     """Token ids as little-endian 32-bit bytes, joined from those of the chunks between spaces and newlines.
 
@@ -141,7 +148,7 @@ class ChunkTokenizer:
         """
         if "<" not in chunk:  # no special token's string
             core = chunk.rstrip(_MARKS)
-            marks = chunk[len(core) :] if core and core[-1].isalnum() else ""
+            marks = chunk[len(core) :] if _ends_in_letter(core) else ""
             plain = chunk[: len(chunk) - len(marks)]
             if plain.isascii() or (plain.isalpha() and max(plain) < _LATIN_END):
                 plain = plain.lower()

@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -131,8 +131,11 @@ def test_packed_table(spark):
     assert packing.pack_documents(odd(spark), VOCABULARY).count() >= len(ODD) + 3
 
 
-@given(st.lists(st.sampled_from(["a", "b", " ", "\n", "\t", "É", "ß", "中", "é", "é", "#", "'s", "1", "<|endoftext|>", "\x85", "\x1c", "\xa0", "İ", "Σ", "A", "Dog,", "x.", "<|ENDOFTEXT|>", "²?", "!"]), max_size=30))
+@given(st.lists(st.sampled_from(["a", "b", " ", "\n", "\t", "É", "ß", "中", "é", "é", "#", "'s", "1", "<|endoftext|>", "\x85", "\x1c", "\xa0", "İ", "\u0958", "Σ", "A", "Dog,", "x.", "<|ENDOFTEXT|>", "²?", "!"]), max_size=30))
 @settings(max_examples=200, deadline=None)
+@example(["İ", "!"])
+@example(["\u0958", "?"])
+@example(["\u0344", "."])
 def test_chunks_make_the_whole(parts):
     tokenizer, text = packing._tokenizer(VOCABULARY), "".join(parts)
     assert np.asarray(tokenizer.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == tokenizer.encode(text)
