@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RANKS, VOCABULARY = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
+RANKS, VOCABULARY, PIECES = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,14 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from florilege.llm.piece_bpe import digest_documents
+
+    return digest_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_quality": op2_quality,
@@ -93,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_lm_score": op9_lm_score,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_piece_bpe": op11_piece_bpe,
 }
 
 _OP1_SQL = """
