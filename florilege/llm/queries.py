@@ -90,6 +90,12 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from florilege.llm.lexical import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_quality": op2_quality,
@@ -102,8 +108,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_piece_bpe": op11_piece_bpe,
+    "op12_lexical_search": op12_lexical_search,
 }
 
+_OP12_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as t from documents
+), i as (
+  select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) as term from benchmark
+), q as (select item_id, term, count(*) as times from i group by item_id, term
+), s as (select count(*) as docs, sum(len(t))::bigint as total from d where len(t) > 0
+), p as (select doc_id, any_value(len(t)) as n, term, count(*) as tf from (select doc_id, t, unnest(t) as term from d) where term in (select term from q) group by doc_id, term
+), w as (select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint as w from p cross join s group by term
+), r as (
+  select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::bigint as score
+  from q join p using (term) join w using (term) cross join s group by item_id, doc_id
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::integer as rank, doc_id, score from r where score > 0
+qualify rank <= 20
+"""
+
 _OP1_SQL = """
 with recursive v as (
   select vec_id, embedding::double[] as e from embeddings
@@ -146,4 +170,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_embedding_neardup": _OP1_SQL,
     "op4_sharding": _OP4_SQL,
     "op8_warc": _OP8_SQL,
+    "op12_lexical_search": _OP12_SQL,
 }
