@@ -27,7 +27,7 @@ from florilege.llm.textkernels import sliced
 from florilege.llm.worker import begin, keeps
 
 #: Bytes that kept stretches and their ids may take in a worker, about; the longest of them in characters; bytes of texts at a time.
-CACHED_BYTES, CACHED_CHARS, SLICE_BYTES = 256 << 20, 40, 4 << 20
+CACHED_BYTES, CACHED_CHARS, SLICE_BYTES = 256 << 20, 40, 2 << 20
 BLANK = "▁"
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
@@ -126,6 +126,8 @@ class _Stretches(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         self._vocabulary, self._bytes = vocabulary, 0
+        #: Stretches computed since this was last emptied, with their ids; None: they are not noted.
+        self.fresh: list[tuple[str, tuple[int, ...]]] | None = None
 
     def __missing__(self, stretch: str) -> tuple[int, ...]:
         v, ids = self._vocabulary, []
@@ -138,6 +140,8 @@ class _Stretches(dict):
             else:
                 ids.append(v.unknown)
         out = tuple(ids)
+        if self.fresh is not None:
+            self.fresh.append((stretch, out))
         if len(stretch) <= CACHED_CHARS:
             self._bytes += 250 + 2 * len(stretch) + 36 * len(out)  # a string, a tuple, their place in the table, and the numbers
             if self._bytes > CACHED_BYTES:
@@ -158,14 +162,18 @@ class Encoder:
         else:
             inner = "".join(f"[{re.escape(group)}]+|" for group in _groups(known))
             self.cuts = re.compile(f"{BLANK}*(?:{inner.rstrip('|')})|{BLANK}+|.", re.S).findall if inner else list
-        self._known = _Stretches(v)
+        self.known = _Stretches(v)
+
+    def stretches(self, text: str) -> list[str]:
+        """A text normalised and cut."""
+        text = text.replace(" ", BLANK)
+        return self.cuts(BLANK + text if text and self.vocabulary.prefix else text)
 
     def encode(self, text: str, end: bool = True) -> list[int]:
         """Ids of a text, and of its end."""
         v = self.vocabulary
         if text:
-            text = text.replace(" ", BLANK)
-            ids = list(chain.from_iterable(map(self._known.__getitem__, self.cuts(BLANK + text if v.prefix else text))))
+            ids = list(chain.from_iterable(map(self.known.__getitem__, self.stretches(text))))
             if not v.byte_ids:
                 ids = [x for k, x in enumerate(ids) if x != v.unknown or not k or ids[k - 1] != v.unknown]
         else:
@@ -200,6 +208,35 @@ class Encoder:
         return "".join(parts).replace(BLANK, " ")
 
 
+class Checked:
+    """An encoder whose stretches are all compared with the library when they are first computed, a batch at a time.
+
+    The library puts a blank before a text, so a stretch is given to it after a character that no merge reaches across.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.encoder, self.library = Encoder(path), sentencepiece.SentencePieceProcessor(model_file=path)
+        merged = {c for piece in self.encoder.vocabulary.place for c in piece}
+        self.before = next(c for c in map(chr, range(1, 0x110000)) if c not in merged)
+        self.skip = len(self.library.encode(self.before))
+        self.wrong: set[str] = set()
+
+    def digest(self, texts: list[str]) -> Iterator[tuple[list[int], str, bool]]:
+        """Ids and decoded form of each text, and whether the library agrees on all stretches of it and on that form."""
+        known = self.encoder.known
+        known.fresh = []
+        ids = list(map(self.encoder.encode, texts))
+        fresh, known.fresh = known.fresh, None
+        theirs = self.library.encode([self.before + stretch for stretch, _ in fresh], num_threads=1)
+        self.wrong.update(stretch for (stretch, own), found in zip(fresh, theirs, strict=True) if list(own) != found[self.skip :])
+        for text, own in zip(texts, ids, strict=True):
+            decoded = self.encoder.decode(own)
+            agrees = decoded == self.library.decode(own) and (not self.wrong or self.wrong.isdisjoint(self.encoder.stretches(text)))
+            yield own, decoded, agrees
+
+
 def _characters(raw: bytes) -> str:
     """UTF-8 decoded, with U+FFFD for each byte that is part of no character."""
     out = ""
@@ -219,15 +256,13 @@ def _encoder(path: str) -> Encoder:
 
 
 @lru_cache(1)
-def _library(path: str):
-    import sentencepiece
-
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+def _checked(path: str) -> Checked:
+    return Checked(path)
 
 
 def _forget() -> None:
     _encoder.cache_clear()
-    _library.cache_clear()
+    _checked.cache_clear()
 
 
 keeps("piece_bpe", _forget)
@@ -268,23 +303,20 @@ def digest_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """Round trip of every text: ``doc_id, n_tokens, ids_sha256, decoded_sha256, agrees``, in one narrow pass.
 
     The digests are over the decimal ids joined by one space and over the UTF-8 form of the text that the ids decode to.
-    ``agrees`` says whether the library gives the same ids and decodes them to the same text; it is asked for each Arrow batch,
-    and what the agenda found is returned in any case. Null and empty texts have the end's id alone; ids of documents, repeated
-    rows, empty tables and other columns are as in :func:`encode_documents`.
+    ``agrees`` says whether the library gives the same ids for every stretch of the text (each is compared when it is first
+    computed, an Arrow batch at a time) and decodes the text's ids to the same text; what the agenda found is returned in any
+    case. Null and empty texts have the end's id alone; ids of documents, repeated rows, empty tables and other columns are as in
+    :func:`encode_documents`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("piece_bpe")
-        encoder, library = _encoder(model_path), _library(model_path)
-        names = list(map(str, range(len(encoder.vocabulary.strings)))).__getitem__
+        checked = _checked(model_path)
+        names = list(map(str, range(len(checked.encoder.vocabulary.strings)))).__getitem__
         for batch in sliced(batches, "text", SLICE_BYTES, "piece_bpe"):
             sizes, of_ids, of_texts, agrees = [], [], [], []
-            for scalar in batch.column(1):
-                text = scalar.as_py() or ""
-                ids = encoder.encode(text)
-                decoded = encoder.decode(ids)
-                theirs = library.encode(text, add_eos=True)
-                agrees.append(ids == theirs and decoded == library.decode(theirs))
+            for ids, decoded, same in checked.digest([t or "" for t in batch.column(1).to_pylist()]):
+                agrees.append(same)
                 sizes.append(len(ids))
                 of_ids.append(hashlib.sha256(" ".join(map(names, ids)).encode()).hexdigest())
                 of_texts.append(hashlib.sha256(decoded.encode()).hexdigest())

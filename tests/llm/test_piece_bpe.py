@@ -60,7 +60,16 @@ def test_kept_stretches_are_bounded(monkeypatch):
     monkeypatch.setattr(piece_bpe, "CACHED_BYTES", 2_000)
     small = Encoder(MODEL)
     first = small.encode("some words that are different each " * 3)
-    assert small._known._bytes <= 2_000 and small.encode("some words that are different each " * 3) == first
+    assert small.known._bytes <= 2_000 and small.encode("some words that are different each " * 3) == first
+
+
+def test_a_wrong_stretch_is_noticed_wherever_it_occurs(monkeypatch):
+    checked = piece_bpe.Checked(MODEL)
+    assert [same for *_, same in checked.digest(TEXTS)] == [True] * len(TEXTS)
+    checked = piece_bpe.Checked(MODEL)
+    monkeypatch.setattr(piece_bpe, "merge", lambda text, v: list(text) if text == "▁two" else merge(text, v))
+    assert [same for *_, same in checked.digest(["one", "one two", "two"])] == [True, False, False]
+    assert [same for *_, same in checked.digest(["three", "one two three"])] == [True, False]
 
 
 def test_other_models_are_named(tmp_path):
