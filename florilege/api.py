@@ -17,12 +17,12 @@ from florilege.plans.export import listing_line, session_markdown
 from florilege.schema import QUESTIONS, AnswerOptions, ChunkOptions
 from florilege.sources.files import Folder, Store
 from florilege.sources.pdf import OcrEngine
-from florilege.sources.store import Collection, CollectionStore, CorruptCollection, collection_id
+from florilege.sources.store import Collection, CollectionStore, collection_id
 from florilege.streaming.watch import DEFAULT_INTERVAL, watch
 
 
 class Engine:
-    """Collections under a base path. Loaded ones are kept, cached by id, until they are indexed again."""
+    """Collections under a base path. Loaded ones are kept, cached by id, until anyone saves them anew."""
 
     def __init__(self, spark: SparkSession, base: str, chunking: ChunkOptions = ChunkOptions(), answers: AnswerOptions = AnswerOptions(), dim: int = DIM, ocr: OcrEngine | None = None, generator: Generator | None = None):
         self.spark, self.store = spark, CollectionStore(spark, base)
@@ -35,8 +35,11 @@ class Engine:
         return self.ocr is not None
 
     def load(self, name: str) -> Collection:
+        """The collection in force; it is read anew if anyone has saved it since it was last asked for."""
         cid = collection_id(name)
-        if cid not in self._loaded:
+        old = self._loaded.get(cid)
+        if old is None or old.version != self.store.version(cid):
+            self._forget(cid)
             found = self.store.load(cid)
             found.chunks = found.chunks.persist()
             self._loaded[cid] = found
@@ -73,14 +76,16 @@ class Engine:
         return self.spark.createDataFrame([(i, t, top_k) for i, t in enumerate(texts, 1)], QUESTIONS)
 
     def search(self, questions: DataFrame, name: str, top_k: int = 0) -> DataFrame:
-        return hybrid_search(self.load(name).chunks, questions, top_k, self.dim)
+        found = self.load(name)
+        return hybrid_search(found.chunks, questions, top_k, self.dim, found.index)
 
     def ask(self, question: str | DataFrame, name: str, top_k: int = 0) -> DataFrame:
         """Answers to one question or to a table of them; FileNotFoundError for an unknown collection."""
         if top_k < 0:
             raise ValueError("top_k must not be negative")
         asked = self.questions([question], top_k) if isinstance(question, str) else question
-        return answer(self.load(name).chunks, asked, self.answers, self.generator, self.dim).withColumn("backend", F.lit(self.generator.name))
+        found = self.load(name)
+        return answer(found.chunks, asked, self.answers, self.generator, self.dim, found.index).withColumn("backend", F.lit(self.generator.name))
 
     def watch(self, root: str, name: str, interval: float = DEFAULT_INTERVAL) -> StreamingQuery:
         """Index once, then again at every interval."""
@@ -89,14 +94,7 @@ class Engine:
 
     def list_collections(self) -> DataFrame:
         """``id, name, root_path, doc_count, chunk_count, line``; unreadable collections are left out."""
-        rows = []
-        for cid in self.store.list():
-            try:
-                c = self.store.load(cid)
-                rows.append((c.id, c.name, c.root_path, c.documents.count(), c.chunks.count()))
-            except CorruptCollection:
-                continue
-        out = self.spark.createDataFrame(rows, "id string, name string, root_path string, doc_count long, chunk_count long")
+        out = self.store.summaries()
         return out.withColumn("line", listing_line(F.col("name"), F.col("doc_count"), F.col("chunk_count"), F.col("root_path")))
 
     def export_session(self, answers: DataFrame, name: str) -> str:

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from florilege.functions import scores
 from florilege.functions.text import snippet
 from florilege.operators.chunk import DIM, embed_texts
-from florilege.operators.fusion import fuse
+from florilege.operators.fusion import Retriever, fuse
 from florilege.operators.keyword import KeywordIndex
 from florilege.operators.vector import cosine_top_k
 from florilege.schema import AnswerOptions, checked_top_k
+from florilege.sources.folders import written
 
 #: The sentence of a refusal, and bytes of snippets and passages.
 REFUSAL = "I can't find anything in the indexed documents that answers this confidently. Try rephrasing, or check the question is covered by what's in this collection."
@@ -77,7 +78,7 @@ def prompt(question: str, passages: list[tuple[str, str]]) -> str:
     return f"Sources:\n\n{sources}\n\n\nQuestion: {question}"
 
 
-def remote(url: str, key: str, model: str, max_tokens: int = 1000, timeout: float = 30.0) -> Called:
+def remote(url: str, key: str, model: str, max_tokens: int = 1000, timeout: float = 30.0, headers: dict[str, str] | None = None) -> Called:
     """A generator behind an HTTP messages endpoint: a POST with model, system, messages and max_tokens; text blocks are joined.
 
     An ``error`` in the reply is raised with its message; the HTTP status is not looked at otherwise. Without passages the answer
@@ -88,7 +89,7 @@ def remote(url: str, key: str, model: str, max_tokens: int = 1000, timeout: floa
         if not passages:
             return NO_CONTEXT
         body = {"model": model, "max_tokens": max_tokens, "system": SYSTEM, "messages": [{"role": "user", "content": prompt(question, passages)}]}
-        request = urllib.request.Request(url, json.dumps(body).encode(), {"content-type": "application/json", "x-api-key": key})
+        request = urllib.request.Request(url, json.dumps(body).encode(), {"content-type": "application/json", "x-api-key": key, **(headers or {})})
         try:
             with urllib.request.urlopen(request, timeout=timeout) as reply:
                 found = json.load(reply)
@@ -107,12 +108,13 @@ def generator_from_env(prefix: str = "FLORILEGE") -> Generator:
     return remote(url, key, os.environ.get(f"{prefix}_GENERATOR_MODEL") or "default") if url and key else Extractive()
 
 
-def answer(chunks: DataFrame, questions: DataFrame, options: AnswerOptions = AnswerOptions(), generator: Generator | None = None, dim: int = DIM) -> DataFrame:
+def answer(chunks: DataFrame, questions: DataFrame, options: AnswerOptions = AnswerOptions(), generator: Generator | None = None, dim: int = DIM, keyword_index: Retriever | None = None) -> DataFrame:
     """One row per question of ``questions(query_id, text[, top_k])``: ``query_id, question, text, citations, confidence, answerable``.
 
     Confidence is the best cosine. Below the threshold the answer is a refusal with null citations, and neither keyword search
     nor generator sees the question. Cosines are computed once, for both confidence and ranking. A ``top_k`` of 0 or null takes
-    that of the options; options with a ``top_k`` of 0 are the default ones altogether.
+    that of the options; options with a ``top_k`` of 0 are the default ones altogether. ``keyword_index`` is a stored index of
+    the same chunks; without it their terms are read.
     """
     options = AnswerOptions() if options.top_k == 0 else options
     own_k = F.when(F.coalesce("top_k", F.lit(0)) > 0, F.col("top_k")).otherwise(options.top_k) if "top_k" in questions.columns else F.lit(options.top_k)
@@ -121,13 +123,14 @@ def answer(chunks: DataFrame, questions: DataFrame, options: AnswerOptions = Ans
         raise ValueError("top_k must not be negative")
     most = checked_top_k(asked.agg(F.max("k")).first()[0] or options.top_k)
     texts = asked.select("query_id", F.col("question").alias("text"))
-    vectors = cosine_top_k(chunks, embed_texts(texts, "query_id", dim), scores.fetch_size(most)).persist()
+    vectors = cosine_top_k(chunks, embed_texts(texts, "query_id", dim), scores.fetch_size(most))
+    vectors = written(vectors, "nearest")  # a few rows a question, which both the confidence and the ranking are read from
     best = vectors.where("rank = 1").select("query_id", F.col("score").alias("confidence"))
     known = asked.join(best, "query_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     known = known.withColumn("answerable", F.col("confidence") >= F.lit(options.threshold))
     open_ = known.where("answerable").select("query_id", "k")
     fetch = F.greatest(F.lit(20), 4 * F.col("k"))
-    keyword = KeywordIndex(chunks).search(texts.join(open_.select("query_id"), "query_id", "left_semi"), scores.fetch_size(most))
+    keyword = (keyword_index or KeywordIndex(chunks)).search(texts.join(open_.select("query_id"), "query_id", "left_semi"), scores.fetch_size(most))
     rankings = [r.join(open_, "query_id").where(F.col("rank") <= fetch).select("query_id", "chunk_id", "rank") for r in (vectors, keyword)]
     fused = fuse(rankings, most).join(open_, "query_id").where(F.col("rank") <= F.col("k"))
     late = fused.join(chunks.select(F.col("id").alias("chunk_id"), F.col("document_path").alias("path"), F.col("text").alias("passage")), "chunk_id")

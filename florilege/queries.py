@@ -19,7 +19,8 @@ from florilege.operators.ingest import IngestResult, ingest, snapshot_diff
 from florilege.plans import export
 from florilege.plans.answer import REFUSAL, answer
 from florilege.schema import CHUNKS, DOCUMENTS, AnswerOptions, ChunkOptions
-from florilege.sources.store import Collection, collection_id
+from florilege.sources.folders import fresh_path
+from florilege.sources.store import Collection, CollectionStore, collection_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -445,12 +446,15 @@ def _stored(spark: SparkSession, d: str) -> Collection:
     return state
 
 
-def _ingested(spark: SparkSession, d: str) -> IngestResult:
+def _files(spark: SparkSession, d: str) -> DataFrame:
     """All documents as files, but for some that are gone, cannot be read, or have a name that no parser claims."""
     path = F.when(F.col("doc_id") % 11 == 1, F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".bin"))).otherwise(F.col("path"))
     unread = F.col("doc_id") % 13 == 2
-    files = _corpus(spark, d).where("doc_id % 7 != 0").select(path.alias("path"), F.when(~unread, F.col("text").cast("binary")).alias("content"), F.when(unread, F.lit("no permission")).alias("error"))
-    return ingest(_stored(spark, d), files, stage=lambda rows, label: rows)
+    return _corpus(spark, d).where("doc_id % 7 != 0").select(path.alias("path"), F.when(~unread, F.col("text").cast("binary")).alias("content"), F.when(unread, F.lit("no permission")).alias("error"))
+
+
+def _ingested(spark: SparkSession, d: str) -> IngestResult:
+    return ingest(_stored(spark, d), _files(spark, d), stage=lambda rows, label: rows)
 
 
 _INGEST = """disk as (select id, path, text, sha256(text) as hash from doc where doc_id % 7 != 0 and doc_id % 11 != 1 and doc_id % 13 != 2),
@@ -473,6 +477,51 @@ def ingest_chunks(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("chunk_id"), "document_path", "start_offset", "text")
 
 
+def _saved(spark: SparkSession, d: str) -> Collection:
+    """A collection saved in one state, and brought up to date by a second segment."""
+    store = CollectionStore(spark, fresh_path(spark, "collections"))
+    old = store.save(_stored(spark, d))
+    try:
+        result = ingest(old, _files(spark, d), stage=lambda rows, label: store.staging(old.id, label, rows))
+        return store.append(old.id, result.delta)
+    finally:
+        store.clear()
+
+
+_KEPT = f"""{_chunk_sql()}, {_INGEST},
+new_chunk as (select * from chunk where document_id in (select id from state where status in ('added', 'updated', 'unchanged')))"""
+_KEPT_POST = _POST.replace("from chunk", "from new_chunk")
+
+
+@_query(f"""with {_KEPT} select document_path, count(*) as n_chunks, min(chunk_id) as first_chunk, sum(strlen(text))::bigint as n_bytes from new_chunk group by document_path""")
+def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of a collection that was saved, and then brought up to date through the store."""
+    return _saved(spark, d).chunks.groupBy("document_path").agg(F.count("*").alias("n_chunks"), F.min("id").alias("first_chunk"), F.sum(F.octet_length("text")).alias("n_bytes"))
+
+
+@_query(f"with {_KEPT}, {_KEPT_POST}, {_QTOK} select term, chunk_id, tf, dl from post where term in (select unnest(t) from qtok)")
+def stored_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of all terms of the questions, out of the stored index of two segments."""
+    found = _saved(spark, d).index.postings(keyword.question_terms(_questions(spark, d)))
+    return found.select("term", "chunk_id", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
+
+
+@_query(f"""with {_KEPT}, {_KEPT_POST}, {_QTOK}, s as (select count(*) as n, sum(len(t))::bigint as total_dl from tok)
+select term, count(*) as df, any_value(n) as n, any_value(total_dl) as total_dl from post cross join s where term in (select unnest(t) from qtok) group by term""")
+def stored_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the questions' terms, kept up over two segments instead of counted anew."""
+    index = _saved(spark, d).index
+    n, total = index.corpus_stats()
+    return index.document_frequency(keyword.question_terms(_questions(spark, d))).select("term", "df", F.lit(n).cast("long").alias("n"), F.lit(total).cast("long").alias("total_dl"))
+
+
+@_query(f"with {_KEPT}, {_KEPT_POST}, {_QTOK}, {_BM25} select query_id, chunk_id, rank::integer as rank, round(score, 8) as score from {_top('bm', _K)}")
+def stored_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The best chunks by BM25 out of the stored index, most postings left unscored."""
+    found = _saved(spark, d).index.search(_questions(spark, d), _K)
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 8).alias("score"))
+
+
 @_query(f"with {_DOC} select path, trim(translate(text, chr(10) || chr(13), '  ')) as text, 0 as n_boundaries, null::varchar as error from doc")
 def pdf_text(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as one-stream PDFs by an expression and read back by the parser."""

@@ -1,34 +1,45 @@
-"""Collections on disk: segments of Parquet tables behind a manifest that is switched atomically.
-
-``<base>/<id>/CURRENT`` is the manifest: the collection's names and its segments, from the oldest to the latest.
-``<base>/<id>/<segment>/{documents,chunks,gone}`` holds what an ingestion added and the ids that it took from all earlier
-segments. So a small change writes little; a reader leaves out what later segments took. Once there are many segments, or
-many ids in them, all are written anew as one. A writer adds its segment and then replaces the manifest, so readers never see
-half a change, and a plan may read what it is about to supersede. Folders go when the second manifest after the last that
-named them is written; those that no manifest has named are let alone, since a writer may be at work. All goes through
-Hadoop's file systems, so the base may be in any store.
+"""Collections on disk: Parquet tables in segments, each of which counts once Spark has marked its last table as written.
+
+``<base>/<id>/<table>/segment=<name>/`` holds what one ingestion added: ``documents`` and ``chunks``, ``touched`` (ids of the
+documents that it added, replaced or removed), ``postings`` and ``terms`` (see :mod:`florilege.operators.inverted`), and at last
+``about``, one row of names and counts. A segment is in force if Spark's ``_SUCCESS`` stands beside its ``about``; there is no
+other pointer, and nothing is ever replaced. So writers that overlap keep what each of them added, and a reader never sees half
+of a segment. For each document the last segment that touched it counts, in the order of names, which begin with a number one
+higher than any in force when the segment was finished; of two that were written at once, either may come last.
+
+:meth:`CollectionStore.compact` writes many segments anew as one, which says what it stands for and comes before all others. The
+folders it stands for go later, once no plan should read them any more. All goes through Spark's readers and writers and
+Hadoop's listings, so the base may be in any store; Spark must be left to write its success marks.
 """
 
 from __future__ import annotations
 
-import json
+import time
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from florilege.operators.inverted import POSTINGS, TERMS, StoredIndex, clustered_postings, term_statistics
 from florilege.schema import CHUNKS, DOCUMENTS
 
 
-#: Segments of a collection, and ids gone from them, beyond which they are written anew as one; so the ids can be broadcast.
-MOST_SEGMENTS, MOST_GONE = 16, 200_000
-_GONE = "id string"
+#: Segments of a collection, and ids touched by all but the first, beyond which they are written anew as one; so the ids can be
+#: broadcast. Seconds for which folders stay that a compaction stands for.
+MOST_SEGMENTS, MOST_GONE, KEEP_SECONDS = 16, 200_000, 3600
+_KINDS = {name: T.StructType(fields) for name, fields in {
+    "documents": DOCUMENTS.fields, "chunks": CHUNKS.fields, "touched": [T.StructField("id", T.StringType())], "postings": POSTINGS.fields, "terms": TERMS.fields,
+    "about": [T.StructField(n, t) for n, t in (("name", T.StringType()), ("root_path", T.StringType()), ("stands_for", T.ArrayType(T.StringType())), ("n_touched", T.LongType()), ("n_chunks", T.LongType()), ("total_dl", T.LongType()))],
+}.items()}
+_BUCKETED = ("postings", "terms")
 
 
 class CorruptCollection(ValueError):
-    """A collection's manifest cannot be read, or names a segment that is not there."""
+    """A collection's segment cannot be read, or lacks a table."""
 
 
 def collection_id(name: str) -> str:
@@ -45,6 +56,9 @@ class Collection:
     root_path: str
     documents: DataFrame
     chunks: DataFrame
+    #: The stored inverted index, and what was in force when the collection was loaded; none of one that has not been saved.
+    index: StoredIndex | None = None
+    version: tuple[str, ...] = ()
 
     @classmethod
     def new(cls, spark: SparkSession, name: str, root_path: str = "") -> Collection:
@@ -69,111 +83,166 @@ class CollectionStore:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def _pointer(self, cid: str) -> str:
-        return f"{self.base}/{cid}/CURRENT"
+    def _names(self, path: str) -> list[str]:
+        fs, where = self._fs(path)
+        return [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()] if fs.exists(where) else []
+
+    def _committed(self, cid: str) -> list[str]:
+        """Names of all segments that have been written to the end."""
+        about = f"{self.base}/{cid}/about"
+        names = (n.removeprefix("segment=") for n in self._names(about) if n.startswith("segment="))
+        fs, _ = self._fs(about)
+        return sorted(n for n in names if fs.exists(self._fs(f"{about}/segment={n}/_SUCCESS")[1]))
 
     def exists(self, cid: str) -> bool:
-        fs, where = self._fs(self._pointer(cid))
-        return fs.exists(where)
+        return bool(self._committed(cid))
 
     def list(self) -> list[str]:
         """Ids of all collections; a base that does not exist has none."""
-        fs, where = self._fs(self.base)
-        if not fs.exists(where):
-            return []
-        return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()) if self.exists(n))
-
-    def _manifest(self, cid: str) -> dict:
-        if not self.exists(cid):
+        return sorted(n for n in self._names(self.base) if self.exists(n))
+
+    def _read(self, cid: str, table: str, segments: Iterable[str]) -> DataFrame:
+        """A table's rows in some segments, with the segment's name, and the bucket if there is one."""
+        kind = T.StructType([*_KINDS[table].fields, T.StructField("segment", T.StringType()), *([T.StructField("bucket", T.IntegerType())] if table in _BUCKETED else [])])
+        root = f"{self.base}/{cid}/{table}"
+        return self.spark.read.schema(kind).option("basePath", root).parquet(*(f"{root}/segment={s}" for s in segments))
+
+    def _in_force(self, cid: str) -> tuple[list[T.Row], list[T.Row]]:
+        """``about`` of the segments that count, in their order, and of those that others stand for.
+
+        Of several compactions that stand for none of each other, the one that stands for most counts; what another alone stands
+        for is still there.
+        """
+        names = self._committed(cid)
+        if not names:
             raise FileNotFoundError(f"no collection {cid}")
-        fs, where = self._fs(self._pointer(cid))
-        stream = fs.open(where)
         try:
-            found = json.loads(bytes(stream.readAllBytes()).decode())
-            if not isinstance(found["segments"], list) or not all(isinstance(found[k], str) for k in ("name", "root_path")):
-                raise ValueError("not a manifest")
-            return found
-        except (ValueError, KeyError, TypeError) as e:
+            about = sorted(self._read(cid, "about", names).collect(), key=lambda r: r.segment)  # a row for each segment
+        except Exception as e:
             raise CorruptCollection(f"corrupt collection store {cid}: {e}") from e
-        finally:
-            stream.close()
-
-    def _table(self, cid: str, segments: list[dict], name: str, key: str, schema) -> DataFrame:
-        """A table over all segments, without the rows of documents that a later segment took."""
-        read = lambda s, n, kind: self.spark.read.schema(kind).parquet(f"{self.base}/{cid}/{s['name']}/{n}")
-        out = gone = None
-        for k, segment in enumerate(segments):
-            rows = read(segment, name, schema).withColumn("in_segment", F.lit(k))
-            out = rows if out is None else out.unionByName(rows)
-            if segment["gone"]:
-                ids = read(segment, "gone", _GONE).select(F.col("id").alias("gone_id"), F.lit(k).alias("by_segment"))
-                gone = ids if gone is None else gone.unionByName(ids)
-        if out is None:
-            return self.spark.createDataFrame([], schema)
-        if gone is not None:
-            gone = gone.groupBy("gone_id").agg(F.max("by_segment").alias("by_segment"))
-            if sum(s["gone"] for s in segments) <= MOST_GONE:
-                gone = F.broadcast(gone)
-            out = out.join(gone, (F.col(key) == F.col("gone_id")) & (F.col("in_segment") < F.col("by_segment")), "left_anti")
-        return out.select(*schema.names)
+        if sorted(r.segment for r in about) != names or any(r.name is None for r in about):
+            raise CorruptCollection(f"corrupt collection store {cid}: a segment does not say what it is")
+        whole = [r for r in about if r.stands_for is not None]
+        replaced = {s for r in whole for s in r.stands_for}
+        first = max((r for r in whole if r.segment not in replaced), key=lambda r: (len(r.stands_for), r.segment), default=None)
+        covered = set(first.stands_for) if first else set()
+        rest = [r for r in about if r.stands_for is None and r.segment not in covered]
+        return ([first] if first else []) + rest, [r for r in about if r.segment in covered or (r.stands_for is not None and r is not first)]
+
+    def version(self, cid: str) -> tuple[str, ...]:
+        """Names of all segments; another tuple once anything has been saved."""
+        return tuple(self._committed(cid))
 
     def load(self, cid: str) -> Collection:
         """The collection in force."""
-        manifest = self._manifest(cid)
-        for segment in manifest["segments"]:
-            for name in ("documents", "chunks", "gone"):
-                fs, where = self._fs(f"{self.base}/{cid}/{segment['name']}/{name}")
-                if not fs.exists(where):
-                    raise CorruptCollection(f"corrupt collection store {cid}: no {name} in {segment['name']}")
-        tables = (self._table(cid, manifest["segments"], n, k, s) for n, k, s in (("documents", "id", DOCUMENTS), ("chunks", "document_id", CHUNKS)))
-        return Collection(cid, manifest["name"], manifest["root_path"], *tables)
-
-    def _write(self, cid: str, delta: Delta) -> dict:
-        name = f"s-{uuid.uuid4().hex}"
-        path = f"{self.base}/{cid}/{name}"
-        delta.documents.select(*DOCUMENTS.names).write.parquet(f"{path}/documents")
-        delta.chunks.select(*CHUNKS.names).write.parquet(f"{path}/chunks")
-        delta.gone.select("id").distinct().write.parquet(f"{path}/gone")
-        return {"name": name, "gone": self.spark.read.schema(_GONE).parquet(f"{path}/gone").count()}
-
-    def _switch(self, cid: str, manifest: dict) -> None:
-        """Replace the manifest, and delete the folders that the one before had retired."""
-        before = self._manifest(cid) if self.exists(cid) else {"segments": [], "retired": []}
-        now = {s["name"] for s in manifest["segments"]}
-        manifest["retired"] = sorted({s["name"] for s in before["segments"]} - now)
-        fs, new = self._fs(f"{self._pointer(cid)}.{uuid.uuid4().hex}.tmp")
-        stream = fs.create(new, True)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        _, current = self._fs(self._pointer(cid))
-        jvm = self.spark._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.toUri() if current.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        overwrite = self.spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(new, current, overwrite)
-        for name in before.get("retired", []):
-            if name not in now:
-                fs.delete(self._fs(f"{self.base}/{cid}/{name}")[1], True)
+        version = self.version(cid)
+        live, _ = self._in_force(cid)
+        names = [r.segment for r in live]
+        for table in _KINDS:
+            fs, _ = self._fs(self.base)
+            for name in names:
+                if not fs.exists(self._fs(f"{self.base}/{cid}/{table}/segment={name}")[1]):
+                    raise CorruptCollection(f"corrupt collection store {cid}: no {table} in {name}")
+        gone = None
+        if len(names) > 1:
+            touched = self._read(cid, "touched", names[1:]).groupBy(F.col("id").alias("gone_id")).agg(F.max("segment").alias("by_segment"))
+            gone = F.broadcast(touched) if sum(r.n_touched for r in live[1:]) <= MOST_GONE else touched
+        tables = {}
+        for table, key in (("documents", "id"), ("chunks", "document_id")):
+            rows = self._read(cid, table, names)
+            if gone is not None:
+                rows = rows.join(gone, (F.col(key) == F.col("gone_id")) & (F.col("segment") < F.col("by_segment")), "left_anti")
+            tables[table] = rows.select(*_KINDS[table].names)
+        index = StoredIndex(self._read(cid, "postings", names), self._read(cid, "terms", names), self._read(cid, "chunks", names), sum(r.n_chunks for r in live), sum(r.total_dl for r in live), gone)
+        return Collection(cid, live[0].name, live[0].root_path, tables["documents"], tables["chunks"], index, version)
+
+    def _write(self, cid: str, name: str, meta: tuple[str, str], documents: DataFrame, chunks: DataFrame, removed: DataFrame | None, stands_for: list[str] | None) -> None:
+        """All tables of a segment; the index is made from the chunks as written, and the last table puts the segment in force."""
+
+        def put(table: str, rows: DataFrame) -> None:
+            writer = rows.write.mode("overwrite")
+            (writer.partitionBy("bucket") if table in _BUCKETED else writer).parquet(f"{self.base}/{cid}/{table}/segment={name}")
+
+        put("documents", documents.select(*DOCUMENTS.names))
+        put("chunks", chunks.select(*CHUNKS.names))
+        own = self._read(cid, "documents", [name]).select("id")
+        put("touched", own if removed is None else own.unionByName(removed.select("id")).distinct())
+        cut = self._read(cid, "chunks", [name])
+        put("postings", clustered_postings(cut))
+        put("terms", term_statistics(cut))
+        n_chunks, total_dl = cut.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        n_touched = self._read(cid, "touched", [name]).count()
+        put("about", self.spark.createDataFrame([(*meta, stands_for, n_touched, n_chunks, total_dl)], _KINDS["about"]).coalesce(1))
+
+    def _next(self, cid: str) -> int:
+        return 1 + max((int(n[1:11]) for n in self._committed(cid)), default=0)
+
+    def _whole(self, collection: Collection, stands_for: list[str]) -> Collection:
+        self._write(collection.id, f"c{self._next(collection.id):010d}-{uuid.uuid4().hex}", (collection.name, collection.root_path), collection.documents, collection.chunks, None, stands_for)
+        return self.load(collection.id)
 
     def save(self, collection: Collection) -> Collection:
-        """Write the whole collection as one segment; returns it as read back."""
-        cid = collection.id
-        none = self.spark.createDataFrame([], _GONE)
-        segment = self._write(cid, Delta(collection.documents, collection.chunks, none))
-        self._switch(cid, {"name": collection.name, "root_path": collection.root_path, "segments": [segment]})
+        """Write the whole collection as one segment instead of all there are; returns it as read back."""
+        return self._whole(collection, self._committed(collection.id))
+
+    def append(self, cid: str, delta: Delta, name: str | None = None) -> Collection:
+        """Add a segment to a collection that exists, and compact it if that makes too many, or too many ids touched.
+
+        What other writers have added meanwhile stays. A ``name`` of the caller's (``s`` and ten digits first) makes a repeated
+        call write the same segment again.
+        """
+        first = self._in_force(cid)[0][0]
+        self._write(cid, name or f"s{self._next(cid):010d}-{uuid.uuid4().hex}", (first.name, first.root_path), delta.documents, delta.chunks, delta.gone, None)
+        live, _ = self._in_force(cid)
+        if len(live) > MOST_SEGMENTS or sum(r.n_touched for r in live[1:]) > MOST_GONE:
+            return self.compact(cid)
         return self.load(cid)
 
-    def append(self, cid: str, delta: Delta) -> Collection:
-        """Add a segment to a collection; if that makes too many, or too many ids gone, all are written anew as one."""
-        manifest = self._manifest(cid)
-        segments = [*manifest["segments"], self._write(cid, delta)]
-        self._switch(cid, {"name": manifest["name"], "root_path": manifest["root_path"], "segments": segments})
-        if len(segments) > MOST_SEGMENTS or sum(s["gone"] for s in segments) > MOST_GONE:
-            return self.save(self.load(cid))
-        return self.load(cid)
+    def compact(self, cid: str, keep_seconds: float | None = None) -> Collection:
+        """Write all that is in force as one segment, and delete folders that others stand for once they are ``keep_seconds`` old.
+
+        Writers may append meanwhile: their segments are not stood for, and stay. Only what every compaction in force stands for is
+        deleted, so that two of them at once lose nothing either.
+        """
+        live, covered = self._in_force(cid)
+        out = self._whole(self.load(cid), sorted({r.segment for r in [*live, *covered]}))
+        live, covered = self._in_force(cid)
+        whole = [r for r in [*live, *covered] if r.stands_for is not None]
+        replaced = {s for r in whole for s in r.stands_for}
+        standing = [set(r.stands_for) for r in whole if r.segment not in replaced]
+        old = time.time() - (KEEP_SECONDS if keep_seconds is None else keep_seconds)
+        for name in set.intersection(*standing) if standing else ():
+            fs, mark = self._fs(f"{self.base}/{cid}/about/segment={name}/_SUCCESS")
+            if fs.exists(mark) and fs.getFileStatus(mark).getModificationTime() / 1000 <= old:
+                for table in _KINDS:
+                    if table != "about":
+                        fs.delete(self._fs(f"{self.base}/{cid}/{table}/segment={name}")[1], True)
+                fs.delete(mark.getParent(), True)
+        return out
+
+    def summaries(self) -> DataFrame:
+        """``id, name, root_path, doc_count, chunk_count`` of all collections; those that cannot be read are left out.
+
+        Documents and chunks are counted by collection in one pass over ids alone; the driver sees names.
+        """
+        about, found = [], {"documents": None, "chunks": None}
+        for cid in self.list():
+            try:
+                c = self.load(cid)
+            except CorruptCollection:
+                continue
+            about.append((cid, c.name, c.root_path))
+            for table in found:
+                ids = getattr(c, table).select(F.lit(cid).alias("id"))
+                found[table] = ids if found[table] is None else found[table].unionByName(ids)
+        out = self.spark.createDataFrame(about, "id string, name string, root_path string")
+        for table, label in (("documents", "doc_count"), ("chunks", "chunk_count")):
+            counts = found[table].groupBy("id").agg(F.count("*").alias(label)) if about else self.spark.createDataFrame([], f"id string, {label} long")
+            out = out.join(counts, "id", "left")
+        return out.fillna(0, ["doc_count", "chunk_count"])
 
     def staging(self, cid: str, label: str, rows: DataFrame) -> DataFrame:
-        """``rows`` written once beside the segments and read back, until :meth:`clear`."""
+        """``rows`` written once beside the tables and read back, until :meth:`clear`."""
         path = f"{self.base}/{cid}/staging-{uuid.uuid4().hex}/{label}"
         rows.write.parquet(path)
         self._staged.append(path.rpartition("/")[0])
