@@ -3,8 +3,8 @@
 P1(w) = l1 c(w) / N + (1 - l1) / (V + 1), and for each higher order P(w | h) = l(b) c(h, w) / c(h) + (1 - l(b)) P(w | h'), where h'
 is the shorter context and b the bucket of the context's frequency c(h) (its power of two). An unseen context leaves all to
 the lower order. The weights l of each order's buckets are learned by expectation-maximisation on held-out counts, order by order:
-a fixed share of the training documents is deleted from the counts that predict it. In a table where that share holds no
-document, each token of the training documents is deleted alone (leaving one out).
+a share of the training documents is deleted from the counts that predict it: of 89 shares by a hash of the id, the first that
+holds a document. So a table of any size has one, and one rule; of a few hundred documents or more it is the first of all.
 
 Counts are not joined row by row. Documents are read in blocks of bounded size; a block asks once for each of its different
 n-grams, in sorted arrays by the first bits of their hash, as rows of thousands of n-grams. Where so many blocks ask for one
@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from florilege.llm.ids import with_long_id
 from florilege.llm.storage import discard, materialize
 from florilege.llm.textkernels import Words, mix, sliced, utf8
 
 #: Tokens of a block at most, but for the last document.
 BLOCK_TOKENS = 1_000_000
-#: Documents with crc32 mod TEST_MOD = TEST_REST are never learned from; of the others, one in DELETED is held out for the weights.
+#: Documents with crc32 mod TEST_MOD = TEST_REST are never learned from; of the others, one share in DELETED is held out for the weights.
 TEST_MOD, TEST_REST, DELETED = 7, 2, 89
 EM_ROUNDS, FLOOR = 60, 1e-6
 #: Tokens of the longest n-gram.
@@ -101,10 +102,10 @@ class _Block:
         self.n += len(self.tokens[-1])
 
 
-def roles(ids: list[int | None]) -> np.ndarray:
-    """0: training, 1: training and held out for the weights, 2: test. A null id counts as an empty name."""
+def roles(ids: list[int | None], share: int = 0) -> np.ndarray:
+    """0: training, 1: training and in the share that is held out for the weights, 2: test. A null id counts as an empty name."""
     crc = np.array([zlib.crc32(b"" if i is None else str(i).encode()) for i in ids], np.int64)
-    return np.where(crc % TEST_MOD == TEST_REST, 2, np.where(crc // TEST_MOD % DELETED == 0, 1, 0))
+    return np.where(crc % TEST_MOD == TEST_REST, 2, np.where(crc // TEST_MOD % DELETED == share, 1, 0))
 
 
 def _stamp(tokens: np.ndarray) -> int:
@@ -153,13 +154,23 @@ def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "stamp", "part", "payload"])
 
 
-def _held_out() -> Column:
-    """Whether :func:`roles` is 1."""
+def _share_of() -> Column:
+    """The share that a training document is in; null for others."""
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return (crc % TEST_MOD != TEST_REST) & (F.floor(crc / TEST_MOD) % DELETED == 0)
+    return F.when(crc % TEST_MOD != TEST_REST, F.floor(crc / TEST_MOD) % DELETED)
+
+
+def first_share(docs: DataFrame) -> int:
+    """The first share that holds a document; only ids are read."""
+    return docs.agg(F.min(_share_of())).first()[0] or 0
+
+
+def _held_out(share: int) -> Column:
+    """Whether :func:`roles` is 1."""
+    return F.coalesce(_share_of() == share, F.lit(False))
 
 
-def _blocks(docs: DataFrame, bits: int | None, counting: bool) -> DataFrame:
+def _blocks(docs: DataFrame, bits: int | None, counting: bool, share: int = 0) -> DataFrame:
     """Rows ``block, stamp, part, payload`` of blocks: their requests by so many bits of the hash, or with None their documents.
 
     Blocks that ask without counting have negative numbers. A block is told by its task and number; the stamp makes sure that
@@ -167,7 +178,7 @@ def _blocks(docs: DataFrame, bits: int | None, counting: bool) -> DataFrame:
     """
 
     def rows_of(number: int, held: _Block) -> Iterator[tuple[int, int, int, bytes]]:
-        tokens, sizes, role = np.concatenate(held.tokens), np.concatenate(held.sizes), roles(held.ids)
+        tokens, sizes, role = np.concatenate(held.tokens), np.concatenate(held.sizes), roles(held.ids, share)
         stamp, block = _stamp(tokens), number if counting else -number
         if bits is not None:
             yield from ((block, stamp, part, payload) for part, payload in _pack_requests(role, sizes, tokens, bits, counting))
@@ -297,12 +308,12 @@ class _Counts:
         self.first = np.cumsum(self.sizes) - self.sizes
         self.end = np.repeat(np.cumsum(self.sizes) - 1, self.sizes)  # of each token's document
 
-    def estimates(self, tokens: int, less: list[np.ndarray] | int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    def estimates(self, tokens: int, less: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each order the buckets of the contexts and the maximum-likelihood estimates, with counts less those of ``less``.
 
         ``tokens`` is the number of all tokens so counted. What stands before a document is as frequent as its end mark.
         """
-        c = [x - (less[o] if isinstance(less, list) else less) for o, x in enumerate(self.c)]
+        c = [x - less[o] for o, x in enumerate(self.c)] if less is not None else self.c
         out = [(np.zeros(len(c[0]), np.int64), c[0] / max(tokens, 1))]
         for o in range(1, ORDER):
             before = np.empty_like(c[0])
@@ -345,12 +356,12 @@ def expectation_maximisation(rows: np.ndarray, rounds: int = EM_ROUNDS) -> np.nd
 
 
 def _deleted(tokens: int, held: int):
-    """Packed buckets and estimates of the held-out tokens of a block, by counts without them; if ``held`` is 0, of all training tokens, by counts without each."""
+    """Packed buckets and estimates of the held-out tokens of a block, by counts without them."""
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         c = _Counts(left, right)
-        own = np.repeat(c.role == 1 if held else c.role == 0, c.sizes)
-        made = c.estimates(tokens - held, c.k) if held else c.estimates(tokens - 1, 1)
+        own = np.repeat(c.role == 1, c.sizes)
+        made = c.estimates(tokens - held, c.k)
         return pa.table([pa.array([_compress(*(x[own] for b, ml in made for x in (b.astype(np.uint8), ml)))])], names=["payload"])
 
     return run
@@ -398,28 +409,30 @@ def _scores(weights: list[np.ndarray], tokens: int, words: int):
     return run
 
 
-def _most_grams(docs: DataFrame) -> int:
+def _most_grams(docs: DataFrame, share: int = 0) -> int:
     """A bound of the n-grams that blocks can ask for: white space is counted, of which there is one less than words at least."""
     text = F.coalesce("text", F.lit(""))
     tokens = F.length(text) - F.length(F.translate(text, "\x20\t\n\x0b\x0c\r", "")) + 2
-    return ORDER * (docs.agg(F.sum(tokens * F.when(_held_out(), 2).otherwise(1))).first()[0] or 0)
+    return ORDER * (docs.agg(F.sum(tokens * F.when(_held_out(share), 2).otherwise(1))).first()[0] or 0)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Tokens are words with A-Z lowered, then one end. A null text counts as empty (one token); null ids are kept; repeated rows
-    are learned from and scored each. Without training documents only the uniform part is left, and scores are 0 times
-    log10(1). An empty table gives no rows. Where no training document is in the deleted share, as in tables of few
-    documents, the weights are learned from all training tokens, each by the counts without itself.
+    are learned from and scored each; other columns are ignored, whatever their names. Without training documents only the
+    uniform part is left, and scores are 0 times log10(1). Where all training documents are held out for the weights, as a
+    lone one is, no estimate predicts them, and the uniform part alone is left too. An empty table gives no rows.
 
     ``docs`` is read twice, once for the n-grams and once for the documents to be scored, rather than kept: it should be a
     table as written, whose tasks see the same rows each time. If they don't, the job fails; it never mixes counts up.
     """
-    deleted = docs.where(_held_out())
-    grams = _most_grams(docs)
+    docs = with_long_id(docs.select("doc_id", "text"))
+    share = first_share(docs)
+    deleted = docs.where(_held_out(share))
+    grams = _most_grams(docs, share)
     bits = min(STEP_BITS, _bits(grams))
-    asked = _blocks(docs, bits, True).unionByName(_blocks(deleted, bits, False))
+    asked = _blocks(docs, bits, True, share).unionByName(_blocks(deleted, bits, False, share))
     answered = exchange(asked, grams, bits)
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -432,13 +445,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def by_block(rows: DataFrame, counting: bool, run, schema: str) -> DataFrame:
         answers = found.where(F.col("block") > 0 if counting else F.col("block") < 0)
-        return _blocks(rows, None, counting).groupBy("block", "stamp").cogroup(answers.groupBy("block", "stamp")).applyInArrow(run, schema)
+        return _blocks(rows, None, counting, share).groupBy("block", "stamp").cogroup(answers.groupBy("block", "stamp")).applyInArrow(run, schema)
 
     weights: list[np.ndarray] = []
     if tokens:
-        sample = by_block(deleted, False, _deleted(tokens, held), "payload binary") if held else by_block(docs, True, _deleted(tokens, 0), "payload binary")
-        sample = materialize(sample, "held-out")
+        sample = materialize(by_block(deleted, False, _deleted(tokens, held), "payload binary"), "held-out")
         for order in range(ORDER):
-            weights.append(_learned(sample, order, weights, 1 / ((del_words if held else words) + 1)))
+            weights.append(_learned(sample, order, weights, 1 / (del_words + 1)))
         discard(sample.sparkSession, sample)
     return by_block(docs, True, _scores(weights, tokens, words), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

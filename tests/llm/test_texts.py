@@ -507,9 +507,12 @@ def test_personal_data_tables(spark):
 
 # --- language model ----------------------------------------------------------------------------------------------------------
 def _plain_scores(texts, order=3):
-    """Scores by plain counts, and whether any document was held out."""
+    """Scores by plain counts, and the share of documents that is held out."""
     toks = {i: WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) + ["</s>"] for i, t in enumerate(texts)}
-    role = dict(zip(toks, lm.roles(list(toks)).tolist(), strict=True))
+    crc = [zlib.crc32(str(i).encode()) for i in toks]
+    share = min((x // 7 % 89 for x in crc if x % 7 != 2), default=0)  # the first of 89 that holds a training document
+    role = {i: 2 if x % 7 == 2 else int(x // 7 % 89 == share) for i, x in zip(toks, crc, strict=True)}
+    assert lm.roles(list(toks), share).tolist() == list(role.values())
     c, k = collections.Counter(), collections.Counter()
     grams = lambda w, j, o: tuple((["<s>"] * order + w)[order + j - o + 1 : order + j + 1])
     for i, w in toks.items():
@@ -522,7 +525,6 @@ def _plain_scores(texts, order=3):
         for n in (c,) * (role[i] != 2) + (k,) * (role[i] == 1):
             for o in range(1, order):
                 n[o, ("<s>",) * o] += 1
-    held = any(r == 1 for r in role.values())
     v = sum(o == 1 and g != ("<s>",) for o, g in c)
     left = sum(o == 1 and g != ("<s>",) and c[o, g] > k[o, g] for o, g in c)
 
@@ -534,8 +536,8 @@ def _plain_scores(texts, order=3):
             out.append((h.bit_length() if o > 1 else 0, (c[o, g] - less(o, g)) / h if h > 0 else 0.0))
         return out
 
-    rows = [estimates(w, j, (lambda o, g: k[o, g]) if held else (lambda o, g: 1)) for i, w in toks.items() for j in range(len(w)) if role[i] == (1 if held else 0)]
-    weights, below = [], [1 / ((left if held else v) + 1)] * len(rows)
+    rows = [estimates(w, j, lambda o, g: k[o, g]) for i, w in toks.items() for j in range(len(w)) if role[i] == 1]
+    weights, below = [], [1 / (left + 1)] * len(rows)
     for o in range(order):
         weights.append(lm.expectation_maximisation(np.array([(r[o][0], r[o][1], q, 1) for r, q in zip(rows, below, strict=True)], float).reshape(-1, 4)))
         below = [weights[o][r[o][0]] * r[o][1] + (1 - weights[o][r[o][0]]) * q for r, q in zip(rows, below, strict=True)]
@@ -549,10 +551,10 @@ def _plain_scores(texts, order=3):
             score += math.log10(p)
         base = sum(math.log10((c[1, (x,)] + 1) / (n + v + 1)) for x in w)
         out[i] = len(w), sum(c[1, (x,)] > 0 for x in w), n, role[i] == 2, base, score
-    return out, held
+    return out, share
 
 
-@pytest.mark.parametrize(("docs", "task_grams"), [(260, 3_000_000), (260, 40), (60, 3_000_000)])
+@pytest.mark.parametrize(("docs", "task_grams"), [(260, 3_000_000), (260, 40), (60, 3_000_000), (3, 3_000_000)])
 def test_language_model_against_plain_counts(spark, monkeypatch, docs, task_grams):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 700)
     monkeypatch.setattr(lm, "TASK_GRAMS", task_grams)
@@ -561,8 +563,8 @@ def test_language_model_against_plain_counts(spark, monkeypatch, docs, task_gram
     words, texts = _corpus(docs, 9)
     texts = [t.title() if i % 3 else t for i, t in enumerate(texts)] + texts[:9] + [t for t in ODD if t is None or len(t) < 500]
     monkeypatch.setattr(lm, "_BINS", 256)
-    want, held = _plain_scores(texts)
-    assert held == (docs > 100)  # of few documents none is held out
+    want, share = _plain_scores(texts)
+    assert (share == 0) == (docs > 100)  # of few documents, it is a later share that holds one
     got = lm.score_documents(table(spark, texts).repartition(3)).collect()
     assert len(got) == len(texts)
     for r in got:
