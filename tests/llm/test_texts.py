@@ -386,17 +386,53 @@ def test_field_on_held_out_sentences():
     assert hit > 0.85 * gold and extra < 0.15 * gold
 
 
+FORMS = {
+    "3-3-4": r"\d{3}-\d{3}-\d{4}", "3 3 4": r"\d{3} \d{3} \d{4}", "3.3.4": r"\d{3}\.\d{3}\.\d{4}", "(3) 3-4": r"\(\d{3}\) \d{3}-\d{4}", "trunk": r"0\d{2,3} \d{6,8}", "trunk 3 4": r"0\d{2,3} \d{3} \d{4}",
+    "card": r"[\d -]{14,23}",
+}
+
+
+def test_field_finds_each_form_beyond_the_patterns():
+    """On unseen sentences; spans that overlap base ones don't count."""
+    model, rng = pii.trained(), random.Random(977)
+    found_of, of, extra = collections.Counter(), collections.Counter(), 0
+    for _ in range(1500):
+        text, gold = pii._sentence(rng)
+        base, every = pii.find_spans(text, model)
+        gold = [x for x in gold if not any(s < x[2] and x[1] < e for _, s, e in base)]
+        beyond = set(every) - set(base)
+        extra += len(beyond - set(gold))
+        for x in gold:
+            form = next((name for name, shape in FORMS.items() if (name == "card") == (x[0] == "card") and re.fullmatch(shape, text[x[1] : x[2]])), "other")
+            of[form] += 1
+            found_of[form] += x in beyond
+    assert all(of[f] >= 15 and found_of[f] >= 0.9 * of[f] for f in FORMS), (found_of, of)
+    assert extra <= 0.05 * (extra + sum(found_of.values())), (extra, found_of)
+
+
+@pytest.mark.parametrize(("text", "span"), [("call 555-123-4567 now", "555-123-4567"), ("or 555 123 4567.", "555 123 4567"), ("Tel. 0171 1234567, bitte", "0171 1234567"), ("(030) 1234567 im Amt", "(030) 1234567")])
+def test_phones_without_a_country(text, span):
+    assert [(k, text[s:e]) for k, s, e in pii.find_spans(text, pii.trained())[1]] == [("phone", span)]
+
+
+@pytest.mark.parametrize("text", ["on 2023-10-12 at 12:30", "isbn 978-3-1614-8410-0 here", "order 1234-5678-9012 sent", "parts 123 456 789 left", "from 1234 5678 to", "in 2019 2020 2021 too", "12345678 pieces", "room 0815 of 1999"])
+def test_numbers_that_are_no_personal_data(text):
+    assert pii.find_spans(text, pii.trained()) == ([], [])
+
+
 def _span_features(text, start, end):
     """The features of one candidate, from its characters."""
     s, before, after = text[start:end], text[start - 1 : start], text[end : end + 1]
     digits = re.sub("[^0-9]", "", s)
     n, at, four = len(digits), s.count("@"), bool(pii._PARTS.fullmatch(s))
     small = four and all(int(p) <= 255 for p in s.split("."))
+    sizes = [len(g) for g in re.findall("[0-9]+", s)]
     return [
         1, n < 7, 7 <= n <= 9, 10 <= n <= 13, 14 <= n <= 19, n > 19, at == 1, at == 1 and bool(pii._EMAIL_SHAPE.fullmatch(s)), at == 0 and bool(re.search(r"[^\W\d_]", s)), four, small,
         13 <= n <= 19 and pii.luhn(digits), bool(pii._CARD_GROUPS.fullmatch(s)), not s.strip("0123456789 -"), s[0] == "+", s[0] == "(", not s.lstrip("+").strip("0123456789 ().-"),
         bool(pii._PHONE_GROUPS.fullmatch(s)), s.isdigit(), s.count("(") != s.count(")"), before != "" and (before.isalnum() or before in "_+(@"),
         after != "" and (after.isalnum() or after in "_@"), before != "" and before in "=\"'#$/.-,:", after != "" and after in "=\"'%/-:", s[-1].isdigit(),
+        *((bool(pii._THREES.fullmatch(s)), bool(pii._TRUNK.fullmatch(s)), len(sizes) > 1 and len(set(sizes)) == 1, len(set(re.sub("[0-9]", "", s))) > 1) if 7 <= n <= 19 and not s.lstrip("+").strip("0123456789 ().-") else (0, 0, 0, 0)),
     ]
 
 
