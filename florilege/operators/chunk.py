@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from florilege.functions.kernels import Hasher, tokens, windows
 from florilege.schema import CHUNKS, ChunkOptions
@@ -23,23 +24,26 @@ DIM = 256
 _ROWS = 512
 
 
-def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions(), dim: int = DIM, columns: Sequence[str] = tuple(CHUNKS.names)) -> DataFrame:
+def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions(), dim: int = DIM, columns: Sequence[str] = tuple(CHUNKS.names), keep: Sequence[str] = ()) -> DataFrame:
     """Chunks of ``docs(id, path, text[, boundaries])``, embedded and counted: rows of ``CHUNKS``, or of some of its columns.
 
     Offsets are bytes of the text's UTF-8 form. Windows without text take no index. Documents without words, and null texts,
     have no chunks. ``boundaries`` (byte offsets where pages 2.. begin) gives page numbers; without it, or empty, they are null.
     Nothing can be pruned from a pass through Python, so ``columns`` says what is to be made: vectors and terms cost most.
+    ``keep`` names further columns of ``docs`` that each chunk takes from its document; they come last.
     """
     size, step = options.normalised()
     dim = dim if dim > 0 else DIM
     bounds = F.col("boundaries").cast("array<long>") if "boundaries" in docs.columns else F.lit(None).cast("array<long>")
-    schema = T.StructType([CHUNKS[c] for c in columns])
-    wanted = set(columns)
+    kept = [docs.schema[c] for c in keep]
+    schema = T.StructType([*(CHUNKS[c] for c in columns), *kept])
+    wanted, kept_kinds = set(columns), [to_arrow_type(f.dataType) for f in kept]
     kinds = {"start_offset": pa.int64(), "end_offset": pa.int64(), "page_number": pa.int32(), "dl": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(dim)
         rows: dict[str, list] = {c: [] for c in wanted}
+        taken: list[list] = [[] for _ in kept]
 
         def made() -> pa.RecordBatch:
             arrays = []
@@ -54,11 +58,15 @@ def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions(), dim
                 else:
                     arrays.append(pa.array(rows[c], kinds.get(c, pa.string())))
                 rows[c].clear()
-            return pa.RecordBatch.from_arrays(arrays, list(columns))
+            arrays += [pa.array(values, kind) for values, kind in zip(taken, kept_kinds, strict=True)]
+            for values in taken:
+                values.clear()
+            return pa.RecordBatch.from_arrays(arrays, schema.names)
 
         n = 0
         for batch in batches:
             ids, paths, pages = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            others = [batch.column(4 + i).to_pylist() for i in range(len(kept))]
             for k, text in enumerate(batch.column(2)):
                 own = sorted(pages[k] or [])
                 for index, (start, end, part) in enumerate(windows(text.as_py() or "", size, step)):
@@ -74,6 +82,8 @@ def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions(), dim
                         value["terms"] = Counter(toks)
                     for c, held in rows.items():
                         held.append(value[c])
+                    for values, other in zip(taken, others, strict=True):
+                        values.append(other[k])
                     n += 1
                     if n == _ROWS:
                         yield made()
@@ -81,7 +91,7 @@ def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions(), dim
         if n:
             yield made()
 
-    return docs.select("id", "path", "text", bounds.alias("boundaries")).mapInArrow(run, schema)
+    return docs.select("id", "path", "text", bounds.alias("boundaries"), *keep).mapInArrow(run, schema)
 
 
 def embed_texts(texts: DataFrame, key: str, dim: int = DIM) -> DataFrame:

@@ -121,6 +121,10 @@ fused as (select query_id, chunk_id, sum(1 / (60::double + rank)) as score from
 ftop as {_top("fused", 5)}"""
 
 
+#: For the queries of the jobs.
+HYBRID_SQL, chunk_sql = _HYBRID, _chunk_sql
+
+
 # --- scalar functions ------------------------------------------------------------------------------------------------------
 @_query(f"with {_DOC} select doc_id, id, left(sha256(source), 16) as collection_id, sha256(text) as hash from doc")
 def document_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -533,10 +537,10 @@ def pdf_text(spark: SparkSession, d: str) -> DataFrame:
     return parse(files).select("path", "text", F.size("boundaries").alias("n_boundaries"), "error")
 
 
-@_query(rf"""with {_DOC}, p as (select path, doc_id, trim(translate(text, chr(10) || chr(13), '  ')) as one, 'Quelle ' || source as two from doc)
+@_query(rf"""with {_DOC}, p as (select path, doc_id, trim(translate(text, chr(10) || chr(13), '  ')) as one, 'siehe [1 Quelle ' || source as two from doc)
 select path, case when one = '' then two else one || chr(10) || chr(10) || two end as text, case when one = '' then [] else [strlen(one) + 2] end::bigint[] as boundaries, null::varchar as error from p""")
 def pdf_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written as PDFs of three streams, the second of arrays and the third of no text, half of them deflated, and read back."""
+    """Documents written as PDFs of three streams, half of them deflated, and read back: the second has an open bracket and an array, the third no text."""
     from collections.abc import Iterator
 
     from florilege.sources.files import parse
@@ -547,7 +551,7 @@ def pdf_pages(spark: SparkSession, d: str) -> DataFrame:
         for batch in batches:
             made = []
             for doc_id, source, shown in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                pages = [f"BT ({shown}) Tj ET", f"BT [(Quelle) -250 (\\040{source[:2]}) 3 ({source[2:]})] TJ ET", "q 1 0 0 1 re"]
+                pages = [f"BT ({shown}) Tj ET", f"BT (siehe [1) Tj [(Quelle) -250 (\\040{source[:2]}) 3 ({source[2:]})] TJ ET", "q 1 0 0 1 re"]
                 out = b"%PDF-1.4\n"
                 for page in pages:
                     body, how = page.encode(), b""

@@ -13,10 +13,11 @@ from typing import Protocol
 #: A direct text of fewer bytes counts as scanned; the resolution pages are drawn at.
 MIN_TEXT_BYTES, DPI = 80, 200
 #: What counts as a stream, a shown string, an array of strings, a string in it, and an escape. A string may hold
-#: line breaks and escaped ones. The array's pattern takes a backslash with what follows it alone, so that it never backtracks.
+#: line breaks and escaped ones. An array holds no bracket but an escaped one, and ends at the first that TJ follows, escaped or
+#: not; its pattern says which of the two a backslash is, so that it never backtracks.
 _STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
 _SHOWN = re.compile(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", re.S)
-_ARRAY = re.compile(rb"\[((?:[^\]\\]|\\.)*)\]\s*TJ", re.S)
+_ARRAY = re.compile(rb"\[((?:[^\[\]\\]|\\(?=\][\t\n\f\r ]*TJ)|\\[\[\]]|\\(?![\[\]]))*)\][\t\n\f\r ]*TJ")
 _STRING = re.compile(rb"\(((?:[^()\\]|\\.)*)\)", re.S)
 _ESCAPE = re.compile(rb"\\([0-7]{3}|.)", re.S)
 _NAMED = {b"n": b"\n", b"r": b"\r", b"t": b"\t"}

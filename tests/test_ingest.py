@@ -199,6 +199,26 @@ def test_pdf(deflate):
     assert pdf.direct_text(data) == ("Hello (there) A\n\nx World", [17])
 
 
+@pytest.mark.parametrize(("shown", "text"), [
+    (rb"BT (see [1) Tj (more) Tj [(a)] TJ ET", "see [1 more a"),
+    (rb"BT (see [1) Tj (more [2) Tj [(a) 3 (b)] TJ [(c)]TJ ET", "see [1 more [2 ab c"),
+    (rb"[(a \] b)] TJ [(c \[ d)] TJ", "a ] b c [ d"),
+    (rb"[(a) (b\\)] TJ", "ab\\"),
+    (rb"[(x) \] TJ", "x"),
+    (rb"[(x\\]) ] TJ", "x\\]"),
+    (rb"[[(x)] TJ", "x"),
+    (rb"[(x) ]TJ \n (y)Tj", "y x"),
+])
+def test_brackets_in_shown_strings(shown, text):
+    assert pdf.shown_text(shown).decode() == text
+
+
+def test_an_array_without_end_takes_no_long_time():
+    began = time.time()
+    assert pdf.shown_text(b"[(a" + b"\\" * 200_000) == b"" and pdf.shown_text(b"[" * 100_000 + b"(a)] TJ") == b"a"
+    assert time.time() - began < 5
+
+
 def test_recognition_by_a_program(tmp_path, monkeypatch, capsys, spark):
     assert main(["--ocr", "--base", str(tmp_path), "list"], spark) == (0 if pdf.Tesseract.available() else 1)
     program = tmp_path / "reads"
