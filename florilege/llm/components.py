@@ -1,8 +1,8 @@
 """Connected components of a graph given by edge rows, by alternating large-star and small-star steps.
 
 A step is one aggregation by node and one join with its result; rounds are logarithmic in the graph's size in practice. Edges
-shrink towards stars around the least node of each component. Each round is written to the shared folder, so lineage stays
-short and nothing but a fingerprint reaches the driver.
+shrink towards stars around the least node of each component, which may have a third of all edges: such nodes are joined apart.
+Each step is written to the shared folder, so lineage stays short and nothing but counts and a fingerprint reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,21 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from florilege.llm.hot import join_by_key
 from florilege.llm.storage import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("node")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+    linked = materialize(join_by_key(both.where("v > u"), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+    discard(edges.sparkSession, least)
+    return linked
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), "m")
-    linked = edges.join(least, F.col("u") == F.col("node")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct()
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    linked = join_by_key(edges, least, ["u"], "n").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = materialize(linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    for table in (least, edges):
+        discard(edges.sparkSession, table)
+    return out
 
 
 def _fingerprint(edges: DataFrame) -> tuple[int, int, int]:
@@ -43,7 +49,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(now, "edges")
     seen = _fingerprint(now)
     for _ in range(max_rounds):
-        nxt = materialize(_small_star(_large_star(now)), "edges")
+        nxt = _small_star(_large_star(now))
         discard(spark, now)
         now, before, seen = nxt, seen, _fingerprint(nxt)
         if seen == before:  # a round that changes nothing: all stars

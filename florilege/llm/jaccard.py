@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from florilege.llm.components import connected_components
+from florilege.llm.hot import join_by_key
 from florilege.llm.idfilter import split_by_ids
+from florilege.llm.ids import with_long_id
 from florilege.llm.storage import discard, materialize
 from florilege.llm.textkernels import Words, mix, sliced, utf8
 from florilege.llm.worker import begin
@@ -195,20 +197,26 @@ def _compare(threshold: float, n: int):
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
-    """``home, size, doc_id, weight, grams binary`` of the rows ``home, size, doc_id, weight, key_a, text`` whose set has that key."""
+    """``home, size, own, doc_id, weight, grams binary`` of the rows with these, ``key_a`` and ``text`` whose set has that key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text", 1 << 20):
-            h, size = gram_sets(Words(*utf8(part.column(5))), n)
+            h, size = gram_sets(Words(*utf8(part.column(6))), n)
             at = np.concatenate([[0], np.cumsum(size)])
             grams = pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
-            batch = pa.RecordBatch.from_arrays([*part.columns[:4], grams], ["home", "size", "doc_id", "weight", "grams"])
-            yield batch.filter(pa.array(_keys(h, size)[0] == np.asarray(part.column(4))))
+            batch = pa.RecordBatch.from_arrays([*part.columns[:5], grams], ["home", "size", "own", "doc_id", "weight", "grams"])
+            yield batch.filter(pa.array(_keys(h, size)[0] == np.asarray(part.column(5))))
 
-    return texts.select("home", "size", "doc_id", "weight", "key_a", "text").mapInArrow(run, "home long, size long, doc_id long, weight long, grams binary")
+    return texts.select("home", "size", "own", "doc_id", "weight", "key_a", "text").mapInArrow(run, "home long, size long, own int, doc_id long, weight long, grams binary")
 
 
-def _cell_pairs(shared: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
+def _cells(candidates: DataFrame, block: int) -> DataFrame:
+    """``home, size, blocks, n``: cells of near copies of one home and like size, the blocks they are dealt into, and their members."""
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n_grams") / F.lit(BLOCK_GRAMS))).cast("int")
+    return candidates.groupBy("home", "size").agg(blocks.alias("blocks"), F.count("*").alias("n"))
+
+
+def _cell_pairs(shared: DataFrame, candidates: DataFrame, cells: DataFrame) -> DataFrame:
     """What each cell is compared with: ``home, size, low, high, role, own_blocks, other_blocks``, where low and high are cells.
 
     Role 0 is the cell with itself, 1 the lower and 2 the higher of two cells of like sizes that have members in one bucket, or
@@ -216,8 +224,7 @@ def _cell_pairs(shared: DataFrame, candidates: DataFrame, block: int) -> DataFra
     where it has more than ``LISTED``, no task holds them all.
     """
     cell = F.struct("home", "size")
-    blocks = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n_grams") / F.lit(BLOCK_GRAMS))).cast("int")
-    sizes = materialize(candidates.groupBy("home", "size").agg(blocks.alias("blocks")).select(cell.alias("cell"), "blocks"), "cells")
+    sizes = cells.select(cell.alias("cell"), "blocks")
     at = materialize(shared.join(candidates.select("doc_id", cell.alias("cell")), "doc_id").select("band", "h", "cell").distinct(), "bucket-cells")
     several = at.groupBy("band", "h").agg(F.ceil(F.count("*") / F.lit(LISTED)).alias("lists"), F.count("*").alias("n")).where("n > 1").drop("n")
     lists = at.join(several, ["band", "h"]).withColumn("list", F.pmod(F.xxhash64("cell"), F.col("lists")))
@@ -246,9 +253,11 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     ``exact_id`` is the least doc_id with the same n-gram set, ``class_id`` the least doc_id that links reach, ``n_links`` the
     number of other documents with similarity >= threshold (equal sets included), ``kept`` whether it is its class's least.
     Texts without words (null, empty, blank) link with nothing. Rows that repeat a doc_id are one document, that of the least
-    set key; rows with a null doc_id are left out, since nothing could name them. An empty table gives no rows.
+    set key; rows with a null doc_id are left out, since nothing could name them. Other columns are ignored, whatever their
+    names; an id of another than an integer type is a TypeError. An empty table gives no rows.
     """
     bands, rows = choose_bands(threshold, recall)
+    docs = with_long_id(docs.select("doc_id", "text"))
     sketched = materialize(sketch_documents(docs.where("doc_id is not null"), n, bands, rows), "minhash")
     repeats = sketched.groupBy("doc_id").agg(F.count("*").alias("c"), F.min(F.struct("key_a", "key_b")).alias("k")).where("c > 1")
     ids = sketched.select("doc_id", "n_grams", "key_a", "key_b")
@@ -261,21 +270,27 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
 
     # buckets with more than one representative, each led by its least one; a home is the least leader of a representative
     band_rows = sketched.join(reps, ["doc_id", "key_a", "n_grams"], "left_semi").select("doc_id", F.posexplode("bands").alias("band", "h"))
-    least = band_rows.groupBy("band", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    shared = materialize(band_rows.join(least, ["band", "h"]), "buckets")
-    done, homes = [shared], shared.groupBy("doc_id").agg(F.min("least").alias("home"))
+    least = band_rows.groupBy("band", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    least = materialize(least.where("least < most").drop("most"), "leaders")
+    shared = materialize(join_by_key(band_rows, least, ["band", "h"], "n"), "buckets")
+    done, homes = [least, shared], shared.groupBy("doc_id").agg(F.min("least").alias("home"))
     for _ in range(HOPS):
-        lead = shared.join(homes, "doc_id").groupBy("band", "h").agg(F.min("home").alias("lead"))
-        homes = materialize(shared.join(lead, ["band", "h"]).groupBy("doc_id").agg(F.min("lead").alias("home")), "homes")
-        done.append(homes)
+        lead = materialize(shared.join(homes, "doc_id").groupBy("band", "h").agg(F.min("home").alias("lead"), F.count("*").alias("n")), "leads")
+        homes = materialize(join_by_key(shared, lead, ["band", "h"], "n").groupBy("doc_id").agg(F.min("lead").alias("home")), "homes")
+        done += [lead, homes]
     # sizes that differ by more than the threshold's share cannot link; a hair wider, for the rounding of logarithms
     size = F.floor(F.log("n_grams") / F.lit(max(1e-9, -math.log(min(1.0, threshold)) * (1 + 1e-9)))).cast("long")
     candidates = materialize(homes.join(reps, "doc_id").withColumn("size", size), "candidates")
-    plan = materialize(_cell_pairs(shared, candidates, block), "cell-pairs")
-
-    texts = split_by_ids(docs.select("doc_id", "text"), "doc_id", candidates, "doc_id")[0].join(candidates, "doc_id")
+    cells = materialize(_cells(candidates, block), "cells")
+    # a member's block of its cell, and the plan by cell and block: so a group of near copies is spread over as many keys as blocks
+    dealt = join_by_key(candidates, cells, ["home", "size"], "n").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = materialize(dealt.select("doc_id", "home", "size", "own", "weight", "key_a"), "dealt")
+    plan = _cell_pairs(shared, candidates, cells).withColumn("own", F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)))
+    plan = materialize(plan.drop("own_blocks"), "cell-pairs")
+
+    texts = split_by_ids(docs.select("doc_id", "text"), "doc_id", dealt, "doc_id")[0].join(dealt, "doc_id")
     sets = _sets(texts, n).dropDuplicates(["doc_id"]) if repeats.limit(1).count() else _sets(texts, n)
-    placed = sets.join(plan, ["home", "size"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("own_blocks")).cast("int"))
+    placed = sets.join(plan, ["home", "size", "own"])
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
     first = F.when(F.col("role") == 0, F.least("own", "other")).when(F.col("role") == 1, F.col("own")).otherwise(F.col("other"))
     second = F.when(F.col("role") == 0, F.greatest("own", "other")).when(F.col("role") == 1, F.col("other")).otherwise(F.col("own"))
@@ -283,14 +298,15 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     tasks = placed.select(F.xxhash64("low", "high", first, second).alias("task"), side.cast("int").alias("side"), "doc_id", "weight", "grams")
     tasks = tasks.repartition("task").sortWithinPartitions("task", "doc_id")
     links = materialize(tasks.mapInArrow(_compare(threshold, n), "doc_id long, to long, links long"), "links")
-    for table in (*done, candidates, plan):
+    for table in (*done, candidates, cells, dealt, plan):
         discard(docs.sparkSession, table)
 
     found_links = links.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
     near = connected_components(links.select(F.col("doc_id").alias("u"), F.col("to").alias("v")))
     wide = classes.join(found_links, F.col("exact_id") == F.col("rep"), "left").join(near, F.col("exact_id") == F.col("node"), "left")
-    wide = wide.select("n_grams", "key_a", "key_b", "exact_id", F.coalesce("component", "exact_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    joined = members.where("n_grams > 0").join(wide, ["n_grams", "key_a", "key_b"]).select("doc_id", "class_id", "exact_id", "n_links")
+    wide = wide.select("n_grams", "key_a", "key_b", "exact_id", F.coalesce("component", "exact_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "weight")
+    wide = materialize(wide, "set-classes")
+    joined = join_by_key(members.where("n_grams > 0"), wide, ["n_grams", "key_a", "key_b"], "weight").select("doc_id", "class_id", "exact_id", "n_links")
     alone = lone.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("exact_id"), F.lit(0).cast("long").alias("n_links"))
     return joined.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
