@@ -62,19 +62,23 @@ def _measure(words: Words) -> tuple[dict[str, np.ndarray], np.ndarray]:
     return base, np.stack([stats[k] for k in STATS], axis=1)
 
 
-def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and one column ``rule`` with the base counts and the statistics of ``text``; one narrow pass."""
+def with_stats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` and one column ``rule`` with the base counts and the statistics of ``text``; one narrow pass.
+
+    A text that is kept is sent to Python once, and measured in its own column.
+    """
+    at = keep.index(text) if text in keep else len(keep)
     rule = T.StructType([T.StructField(c, T.LongType()) for c in BASE] + [T.StructField("stats", T.ArrayType(T.DoubleType()))])
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("rule", rule)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches, "rule"):
-            base, stats = _measure(Words(*utf8(part.column(len(keep)))))
+        for part in sliced(batches, [*keep, "rule"][at]):
+            base, stats = _measure(Words(*utf8(part.column(at))))
             lists = pa.ListArray.from_arrays(np.arange(0, stats.size + 1, len(STATS), dtype=np.int32), pa.array(stats.ravel()))
             made = pa.StructArray.from_arrays([*(pa.array(base[c]) for c in BASE), lists], [*BASE, "stats"])
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], made], [*keep, "rule"])
 
-    return docs.select(*keep, F.col("text").alias("rule")).mapInArrow(run, schema)
+    return docs.select(*keep, *([F.col(text).alias("rule")] if at == len(keep) else [])).mapInArrow(run, schema)
 
 
 def sketch(stats: DataFrame) -> DataFrame:
@@ -179,5 +183,5 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     columns = [f"c{i}" for i in range(len(docs.columns))]  # names of our own cannot clash
     renamed = docs.toDF(*columns)
     at = dict(zip(docs.columns, columns, strict=True))
-    rows = renamed.withColumns({"text": F.col(at["text"]), "lang": F.col(at["lang"]), "source": F.col(at["source"])})
-    return judged(with_stats(rows, [*columns, "lang", "source"]), fences(lean)).where("kept").select(*columns).toDF(*docs.columns)
+    rows = renamed.withColumns({"lang": F.col(at["lang"]), "source": F.col(at["source"])})
+    return judged(with_stats(rows, [*columns, "lang", "source"], at["text"]), fences(lean)).where("kept").select(*columns).toDF(*docs.columns)
