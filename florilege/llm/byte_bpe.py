@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from florilege.llm.ids import with_long_id
 from florilege.llm.textkernels import sliced
 from florilege.llm.worker import begin, keeps
 
@@ -136,8 +137,8 @@ keeps("byte_bpe", _forget)
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """``doc_id, ids`` for every row of ``docs(doc_id, text)``.
 
-    A null text counts as empty and gives an empty list; a null doc_id is kept; repeated rows give repeated rows; other
-    columns are ignored. One narrow pass: no shuffle, and a lost task is simply run again.
+    A null text counts as empty and gives an empty list; a null doc_id is kept, and one of another than an integer type is a
+    TypeError; repeated rows give repeated rows; an empty table gives none; other columns are ignored. One narrow pass: no shuffle, and a lost task is simply run again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +149,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
             ids = [encoder.encode(text or "") for text in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return with_long_id(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, rank_path: str) -> DataFrame:
@@ -162,14 +163,14 @@ def decode_documents(encoded: DataFrame, rank_path: str) -> DataFrame:
                 raw = [b"".join(map(tokens.__getitem__, ids or ())) for ids in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return with_long_id(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id long, bytes binary")
 
 
 def digest_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """Round trip of every text: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, in one narrow pass.
 
     The digests are over the decimal ids joined by commas and over the bytes that the ids decode to. Null and empty texts
-    have no tokens.
+    have no tokens; ids of documents, repeated rows, empty tables and other columns are as in :func:`encode_documents`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,4 +187,4 @@ def digest_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
                 of_bytes.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_long_id(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from florilege.llm.ids import with_long_id
 from florilege.llm.storage import materialize
 from florilege.llm.textkernels import sliced
 from florilege.llm.worker import begin, keeps
@@ -219,7 +220,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, en
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split(" ")[0] for c in PIECES.split(", ")])
 
-    return docs.select("doc_id", "text", F.spark_partition_id().alias("task")).mapInArrow(run, PIECES)
+    return with_long_id(docs.select("doc_id", "text")).withColumn("task", F.spark_partition_id()).mapInArrow(run, PIECES)
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -248,5 +249,10 @@ def pack(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIEC
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Tokenize, cut and pack: one row per piece with its sequence and offset. An empty table gives no rows."""
+    """Tokenize, cut and pack: one row per piece of ``docs(doc_id, text)`` with its sequence and offset.
+
+    A null text counts as empty and has the end's id alone; a null doc_id is kept, and one of another than an integer type is a
+    TypeError; repeated rows are packed each; an empty table gives no rows; other columns are ignored. Which pieces share a
+    sequence depends on how rows are dealt into tasks, their ids and padding do not.
+    """
     return pack(materialize(cut_documents(docs, tokenizer_path, window, end_id), "pieces"), window, shard_pieces)

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 RANKS, VOCABULARY, PIECES = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
+#: Bytes of a shard: small enough for many shards, of several depths, at any size of the tables here.
+SHARD_BYTES = 256 << 10
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,7 +39,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from florilege.llm.sharding import shard_documents
 
-    return shard_documents(_table(spark, sf_dir, "documents"))
+    return shard_documents(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +146,7 @@ select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, coalesce(l
 from embeddings left join n on n.u = vec_id left join c on c.u = vec_id
 """
 
-_OP4_SQL = """
+_OP4_SQL = f"""
 with d as (
   select doc_id, strlen(coalesce(text, ''))::bigint as n_bytes, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from documents
 ), p as (
@@ -150,7 +154,7 @@ with d as (
 ), b as (
   select k, prefix, sum(n_bytes)::bigint as shard_bytes, count(*) as shard_docs from p group by k, prefix
 ), s as (
-  select doc_id, min(k) as depth from p join b using (k, prefix) where shard_bytes <= 8388608 or shard_docs = 1 group by doc_id
+  select doc_id, min(k) as depth from p join b using (k, prefix) where shard_bytes <= {SHARD_BYTES} or shard_docs = 1 group by doc_id
 )
 select p.doc_id, p.n_bytes, s.depth, lpad(case when s.depth = 0 then '' else bin(p.prefix) end, s.depth, '0') as shard, b.shard_bytes, b.shard_docs
 from p join s on p.doc_id = s.doc_id and p.k = s.depth join b on b.k = p.k and b.prefix = p.prefix

@@ -100,8 +100,8 @@ def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES, most: int = BROAD
     """One row per row of ``docs(doc_id, text)``: ``doc_id, n_bytes, depth, shard, shard_bytes, shard_docs``.
 
     ``shard`` is the hash prefix as a string of ``depth`` bits, empty for one shard of all. A null text has no bytes; a null
-    doc_id hashes as an empty name; a document over the limit is alone in its shard. Repeated rows are dealt each. An empty
-    table gives no rows. The texts are read once and never shuffled; a directory of more than ``most`` entries is joined by
+    doc_id hashes as an empty name; a document over the limit is alone in its shard. Repeated rows are dealt each, and other
+    columns are ignored. An empty table gives no rows. The texts are read once and never shuffled; a directory of more than ``most`` entries is joined by
     hash prefix, a smaller one broadcast.
     """
     rows = materialize(docs.select(*_hash(["doc_id"], "doc_id", "text", "h", "n_bytes")), "hashes")
