@@ -51,6 +51,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         except FileNotFoundError:
             print(f'no such collection "{args.collection}": index a folder first', file=sys.stderr)
             return 1
+        if error := found.first().error:
+            print(f"the generator failed: {error}", file=sys.stderr)
+            return 1
         if args.json:
             print(answer_json(found).first().json)
             return 0

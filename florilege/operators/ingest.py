@@ -7,14 +7,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from florilege.functions.text import mime_type, short_id
 from florilege.operators.chunk import DIM, chunk_documents
-from florilege.schema import CHUNKS, DOCUMENTS, ChunkOptions
+from florilege.schema import CHUNKS, DOCUMENTS, ChunkOptions, shaped
 from florilege.sources.files import BINARY_PARSERS, Files, Folder, parse_binary, parse_text, parser_of
+from florilege.sources.folders import written
 from florilege.sources.pdf import OcrEngine
 from florilege.sources.store import Collection, Delta
 
+#: Microseconds by which the clocks of a file system and of the driver may differ.
+CLOCK_MICROS = 2_000_000
+_HASHED = T.StructType([T.StructField("path", T.StringType()), T.StructField("hash", T.StringType()), T.StructField("error", T.StringType()), T.StructField("modified", T.LongType()), T.StructField("length", T.LongType())])
 STATUSES = ("added", "updated", "unchanged", "skipped", "error", "removed")
 
 
@@ -45,11 +50,21 @@ class IngestResult:
         return {s: found.get(s, 0) for s in STATUSES}
 
 
-def _cached(rows: DataFrame, label: str) -> DataFrame:
-    return rows.persist()
+def _hashes(source: Folder | Files, claimed: DataFrame, stored: DataFrame) -> DataFrame:
+    """``path, hash, error`` and, where a listing says them, ``modified, length`` of the claimed files.
+
+    A file whose time and length are those of the stored document, and whose time was past when that was read by more than the
+    clocks may differ, keeps its hash unopened; all others are opened.
+    """
+    if "modified" not in claimed.columns:
+        return shaped(source.hashes(claimed), _HASHED)
+    known = shaped(stored, DOCUMENTS).where(F.col("modified") + CLOCK_MICROS < F.unix_micros("indexed_at")).select("path", "modified", "length", F.col("hash").alias("known_hash"))
+    marked = claimed.join(known, ["path", "modified", "length"], "left")
+    same = marked.where("known_hash is not null").withColumn("hash", F.col("known_hash"))
+    return shaped(same, _HASHED).unionByName(shaped(source.hashes(marked.where("known_hash is null").drop("known_hash")), _HASHED))
 
 
-def ingest(collection: Collection, files: DataFrame | Folder | Files, options: ChunkOptions = ChunkOptions(), dim: int = DIM, ocr: OcrEngine | None = None, prune_root: str | None = None, stage: Callable[[DataFrame, str], DataFrame] = _cached) -> IngestResult:
+def ingest(collection: Collection, files: DataFrame | Folder | Files, options: ChunkOptions = ChunkOptions(), dim: int = DIM, ocr: OcrEngine | None = None, prune_root: str | None = None, stage: Callable[[DataFrame, str], DataFrame] = written) -> IngestResult:
     """Bring a collection up to date with files: a table ``path, content, error``, or a folder or store of them.
 
     Files that no parser claims are skipped; unchanged ones are not parsed. A document that fails to parse keeps its old
@@ -57,24 +72,26 @@ def ingest(collection: Collection, files: DataFrame | Folder | Files, options: C
     longer claimed, are removed: all of them, or with ``prune_root`` those under that root only. The result is a plan; nothing
     is written to the collection until it is saved.
 
-    Hashes are compared first, of which no more than ids, paths and hashes is moved. Then added and updated files alone are read
+    Hashes are compared first, of which no more than ids, paths and hashes is moved; a file that its folder lists with the time and
+    length of the stored document is not opened. Then added and updated files alone are read
     again and parsed, once; their hashes are those of what was parsed. ``stage`` keeps the two tables, of hashes and of parsed
-    files, so that all that follows sees the same rows; by default they are cached.
+    files, so that all that follows sees the same rows; by default they are written to the shared folder.
     """
     source = Files(files) if isinstance(files, DataFrame) else files
-    claimed = source.paths().withColumn("parser", parser_of(F.col("path"), ocr is not None))
+    claimed = source.paths(stage).withColumn("parser", parser_of(F.col("path"), ocr is not None))
     skipped = claimed.where("parser is null").select("path", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"))
-    hashed = stage(source.hashes(claimed.where("parser is not null")).select(short_id(F.col("path")).alias("id"), "path", "hash", "error"), "hashes")
+    hashed = stage(_hashes(source, claimed.where("parser is not null"), collection.documents).withColumn("id", short_id(F.col("path"))), "hashes")
     unread = hashed.where("hash is null").select("path", F.lit("error").alias("status"), "error")
     diff = snapshot_diff(hashed.where("hash is not null"), collection.documents, prune_root)
-    todo = diff.where(F.col("status").isin("added", "updated")).select("id", "path", F.col("status").alias("fresh_status"), parser_of(F.col("path"), ocr is not None).alias("parser"))
+    listed = hashed.select("id", "modified", "length")
+    todo = diff.where(F.col("status").isin("added", "updated")).select("id", "path", F.col("status").alias("fresh_status"), parser_of(F.col("path"), ocr is not None).alias("parser")).join(listed, "id")
     binary = F.col("parser").isin(BINARY_PARSERS)
     fresh = lambda some: source.read(todo.where(some)).withColumn("hash", F.sha2("content", 256))
     parsed = parse_text(fresh(~binary)).unionByName(parse_binary(fresh(binary), ocr))
     parsed = stage(parsed.drop("parser"), "parsed")
     failed = parsed.where("error is not null").select("path", F.lit("error").alias("status"), "error")
     good = parsed.where("error is null")
-    documents = good.select("id", "path", "hash", mime_type(F.col("path")).alias("mime_type"), F.current_timestamp().alias("indexed_at"))
+    documents = good.select("id", "path", "hash", mime_type(F.col("path")).alias("mime_type"), F.current_timestamp().alias("indexed_at"), "modified", "length")
     gone = diff.where("status = 'removed'").select("id").unionByName(good.where("fresh_status = 'updated'").select("id"))
     kept_documents = collection.documents.join(gone, "id", "left_anti")
     kept_chunks = collection.chunks.join(gone.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
@@ -82,5 +99,5 @@ def ingest(collection: Collection, files: DataFrame | Folder | Files, options: C
     done = good.select("path", F.col("fresh_status").alias("status"), F.lit(None).cast("string").alias("error"))
     same = diff.where(F.col("status").isin("unchanged", "removed")).select("path", "status", F.lit(None).cast("string").alias("error"))
     report = done.unionByName(same).unionByName(skipped).unionByName(unread).unionByName(failed).orderBy("path", "status")
-    new = Collection(collection.id, collection.name, collection.root_path, kept_documents.select(*DOCUMENTS.names).unionByName(documents), kept_chunks.select(*CHUNKS.names).unionByName(chunks))
+    new = Collection(collection.id, collection.name, collection.root_path, shaped(kept_documents, DOCUMENTS).unionByName(documents), kept_chunks.select(*CHUNKS.names).unionByName(chunks))
     return IngestResult(new, report, Delta(documents, chunks, gone))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from florilege.operators.chunk import DIM, embed_texts
 from florilege.operators.keyword import ranked
+from florilege.sources.folders import written
 
 #: Questions of a block, chunks of a block, and chunks whose scores are held at a time.
 QUESTION_BLOCK, CHUNK_BLOCK, _SLICE = 4096, 16_384, 512
@@ -48,8 +49,10 @@ def cosine_top_k(chunks: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             yield block.found()
 
         return ranked(chunks.select("id", "embedding").mapInArrow(run, _HITS), k)
-    side = lambda rows, key, size: (-(-rows.count() // size), F.pmod(F.xxhash64(key), F.lit(max(1, -(-rows.count() // size)))).cast("int"))
-    (questions, own_q), (parts, own_c) = side(vectors, "query_id", QUESTION_BLOCK), side(chunks.select("id"), "id", CHUNK_BLOCK)
+    vectors = written(vectors, "questions")  # so many are embedded once, not for each of the passes below
+    blocks = lambda rows, size: max(1, -(-rows.count() // size))
+    questions, parts = blocks(vectors, QUESTION_BLOCK), blocks(chunks.select("id"), CHUNK_BLOCK)
+    own_q, own_c = (F.pmod(F.xxhash64(key), F.lit(n)).cast("int") for key, n in (("query_id", questions), ("id", parts)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
     none_id, none_name = F.lit(None).cast("long"), F.lit(None).cast("string")
     tiles = vectors.select(own_q.alias("q"), every(parts).alias("c"), F.col("query_id").cast("long").alias("query_id"), none_name.alias("id"), "embedding")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+import threading
+import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.functions import scores
@@ -26,11 +30,13 @@ REFUSAL = "I can't find anything in the indexed documents that answers this conf
 NO_CONTEXT = "No relevant context was found."
 FOOTER = "(Local extractive mode: passages are quoted as they are; set up a generator for written answers.)"
 SNIPPET_BYTES, PASSAGE_BYTES = 220, 400
+#: Questions that a task has called for before it gives any on.
+CALLED_ROWS = 256
 SYSTEM = "Answer using ONLY the numbered source passages. Cite them by number. If they do not hold the answer, say so."
 
 
 class Generator(Protocol):
-    """Adds a column ``text`` with the answer to rows ``query_id, question, passages array<struct<path, text>>``."""
+    """Adds a column ``text`` with the answer, and maybe ``error``, to rows ``query_id, question, passages array<struct<path, text>>``."""
 
     name: str
 
@@ -55,22 +61,84 @@ def extractive_text(passages: Column) -> Column:
 
 
 class Called:
-    """Calls ``fn(question, [(path, text), ...]) -> str`` for each question, on the executors."""
+    """Calls ``fn(question, [(path, text), ...]) -> str`` for each question, on the executors, several at a time in each task.
 
-    def __init__(self, fn: Callable[[str, list[tuple[str, str]]], str], name: str = "called"):
+    A call that fails is repeated ``attempts`` times in all, after pauses that double; a task starts ``per_second`` calls at most.
+    A question whose calls all fail has an empty text and an ``error``, and the others their answers. A task that is run again
+    calls again: see :class:`Remembered`.
+    """
+
+    def __init__(self, fn: Callable[[str, list[tuple[str, str]]], str], name: str = "called", workers: int = 4, attempts: int = 3, pause: float = 1.0, per_second: float = 20.0):
         self.fn, self.name = fn, name
+        self.workers, self.attempts, self.pause, self.per_second = workers, attempts, pause, per_second
 
     def answer(self, asked: DataFrame) -> DataFrame:
-        fn = self.fn
+        fn, workers, attempts, pause, per_second = self.fn, self.workers, self.attempts, self.pause, self.per_second
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = batch.select(["question", "passages"]).to_pylist()
-                texts = [fn(r["question"], [(p["path"], p["text"]) for p in r["passages"] or ()]) for r in rows]
-                yield batch.append_column("text", pa.array(texts, pa.string()))
+            lock, free = threading.Lock(), [0.0]
+
+            def wait() -> None:
+                with lock:
+                    start = max(free[0], time.monotonic())
+                    free[0] = start + 1 / per_second
+                time.sleep(max(0.0, start - time.monotonic()))
+
+            def one(row: dict) -> tuple[str, str | None]:
+                error = None
+                for k in range(attempts):
+                    if k:
+                        time.sleep(pause * 2 ** (k - 1))
+                    wait()
+                    try:
+                        return fn(row["question"], [(p["path"], p["text"]) for p in row["passages"] or ()]), None
+                    except Exception as e:  # noqa: BLE001  a question without an answer is a row, not the end of the run
+                        error = f"{type(e).__name__}: {e}"
+                return "", error
+
+            with ThreadPoolExecutor(workers) as pool:
+                for batch in batches:
+                    for part in (batch.slice(i, CALLED_ROWS) for i in range(0, batch.num_rows, CALLED_ROWS)):
+                        made = list(pool.map(one, part.select(["question", "passages"]).to_pylist()))
+                        texts, errors = (pa.array([m[k] for m in made], pa.string()) for k in (0, 1))
+                        yield part.append_column("text", texts).append_column("error", errors)
 
         ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema)
-        return asked.mapInArrow(run, f"{ddl}, text string")
+        return asked.mapInArrow(run, f"{ddl}, text string, error string")
+
+
+class Remembered:
+    """A generator whose answers are kept in a table: a prompt is asked once, whatever asks for it, in this run or a later one.
+
+    ``path`` holds Parquet rows ``prompt_hash, text, error``; answers with an error are asked again. Runs that overlap may ask the
+    same twice, and then the answer that sorts first counts for both.
+    """
+
+    def __init__(self, generator: Generator, path: str):
+        self.generator, self.path, self.name = generator, path, generator.name
+
+    def _kept(self, spark: SparkSession) -> DataFrame:
+        try:
+            rows = spark.read.schema("prompt_hash string, text string, error string").parquet(self.path)
+        except AnalysisException as e:  # nothing has been kept yet
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = spark.createDataFrame([], "prompt_hash string, text string, error string")
+        good = F.min(F.when(F.col("error").isNull(), F.col("text")))
+        return rows.groupBy("prompt_hash").agg(good.alias("text"), F.when(good.isNull(), F.max("error")).alias("error"))
+
+    def answer(self, asked: DataFrame) -> DataFrame:
+        spark = asked.sparkSession
+        keyed = written(asked.withColumn("prompt_hash", F.sha2(F.to_json(F.struct(F.lit(self.name).alias("name"), "question", "passages")), 256)), "prompts")
+        known = self._kept(spark).where("error is null").select("prompt_hash")
+        fresh = with_error(self.generator.answer(keyed.join(known, "prompt_hash", "left_anti").dropDuplicates(["prompt_hash"])))
+        fresh.select("prompt_hash", "text", "error").write.mode("append").parquet(self.path)
+        return keyed.join(self._kept(spark), "prompt_hash", "left").withColumn("text", F.coalesce("text", F.lit(""))).drop("prompt_hash")
+
+
+def with_error(made: DataFrame) -> DataFrame:
+    """What a generator has made, with an ``error`` that is null where it gives none."""
+    return made if "error" in made.columns else made.withColumn("error", F.lit(None).cast("string"))
 
 
 def prompt(question: str, passages: list[tuple[str, str]]) -> str:
@@ -78,11 +146,12 @@ def prompt(question: str, passages: list[tuple[str, str]]) -> str:
     return f"Sources:\n\n{sources}\n\n\nQuestion: {question}"
 
 
-def remote(url: str, key: str, model: str, max_tokens: int = 1000, timeout: float = 30.0, headers: dict[str, str] | None = None) -> Called:
+def remote(url: str, key: str, model: str, max_tokens: int = 1000, timeout: float = 30.0, headers: dict[str, str] | None = None, **calls) -> Called:
     """A generator behind an HTTP messages endpoint: a POST with model, system, messages and max_tokens; text blocks are joined.
 
     An ``error`` in the reply is raised with its message; the HTTP status is not looked at otherwise. Without passages the answer
-    is a fixed sentence, and nothing is sent.
+    is a fixed sentence, and nothing is sent. ``headers`` are sent beside the key, such as the version that a service asks for;
+    ``calls`` are options of :class:`Called`.
     """
 
     def fn(question: str, passages: list[tuple[str, str]]) -> str:
@@ -99,17 +168,20 @@ def remote(url: str, key: str, model: str, max_tokens: int = 1000, timeout: floa
             raise RuntimeError(found["error"].get("message", "the generator failed"))
         return "".join(b.get("text", "") for b in found.get("content", []) if b.get("type") == "text")
 
-    return Called(fn, f"remote:{model}")
+    return Called(fn, f"remote:{model}", **calls)
 
 
 def generator_from_env(prefix: str = "FLORILEGE") -> Generator:
-    """The remote generator if ``<prefix>_GENERATOR_URL`` and ``_KEY`` are set (``_MODEL`` overrides the model), else the extractive one."""
-    url, key = (os.environ.get(f"{prefix}_GENERATOR_{x}") for x in ("URL", "KEY"))
-    return remote(url, key, os.environ.get(f"{prefix}_GENERATOR_MODEL") or "default") if url and key else Extractive()
+    """The remote generator if ``<prefix>_GENERATOR_URL`` and ``_KEY`` are set, else the extractive one.
+
+    ``_MODEL`` overrides the model, and ``_HEADERS`` is a JSON object of further headers.
+    """
+    url, key, headers = (os.environ.get(f"{prefix}_GENERATOR_{x}") for x in ("URL", "KEY", "HEADERS"))
+    return remote(url, key, os.environ.get(f"{prefix}_GENERATOR_MODEL") or "default", headers=json.loads(headers or "{}")) if url and key else Extractive()
 
 
 def answer(chunks: DataFrame, questions: DataFrame, options: AnswerOptions = AnswerOptions(), generator: Generator | None = None, dim: int = DIM, keyword_index: Retriever | None = None) -> DataFrame:
-    """One row per question of ``questions(query_id, text[, top_k])``: ``query_id, question, text, citations, confidence, answerable``.
+    """One row per question of ``questions(query_id, text[, top_k])``: ``query_id, question, text, citations, confidence, answerable, error``.
 
     Confidence is the best cosine. Below the threshold the answer is a refusal with null citations, and neither keyword search
     nor generator sees the question. Cosines are computed once, for both confidence and ranking. A ``top_k`` of 0 or null takes
@@ -140,7 +212,7 @@ def answer(chunks: DataFrame, questions: DataFrame, options: AnswerOptions = Ans
     passages = F.transform("hits", lambda h: F.struct(h["path"].alias("path"), h["text"].alias("text")))
     citations = F.transform("hits", lambda h: F.struct(h["chunk_id"].alias("chunk_id"), h["path"].alias("document_path"), snippet(h["text"], SNIPPET_BYTES).alias("snippet"), h["score"].alias("score")))
     full = full.select("query_id", "question", "confidence", "answerable", passages.alias("passages"), citations.alias("citations"))
-    columns = ["query_id", "question", "text", "citations", "confidence", "answerable"]
-    answered = (generator or Extractive()).answer(full).select(*columns)
-    refused = known.where("not answerable").withColumn("text", F.lit(REFUSAL)).withColumn("citations", F.lit(None).cast(full.schema["citations"].dataType))
+    columns = ["query_id", "question", "text", "citations", "confidence", "answerable", "error"]
+    answered = with_error((generator or Extractive()).answer(full)).select(*columns)
+    refused = with_error(known.where("not answerable")).withColumn("text", F.lit(REFUSAL)).withColumn("citations", F.lit(None).cast(full.schema["citations"].dataType))
     return answered.unionByName(refused.select(*columns))

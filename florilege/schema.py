@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _STRING, _LONG, _INT = T.StringType(), T.LongType(), T.IntegerType()
@@ -14,7 +16,8 @@ def _table(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
-DOCUMENTS = _table(id=_STRING, path=_STRING, hash=_STRING, mime_type=_STRING, indexed_at=T.TimestampType())
+#: ``modified`` (microseconds) and ``length`` are those of the file when it was read; null if they were not known.
+DOCUMENTS = _table(id=_STRING, path=_STRING, hash=_STRING, mime_type=_STRING, indexed_at=T.TimestampType(), modified=_LONG, length=_LONG)
 #: A chunk with its derived index data: its vector, its length in tokens and its term frequencies.
 CHUNKS = _table(
     id=_STRING, document_id=_STRING, document_path=_STRING, text=_STRING, start_offset=_LONG, end_offset=_LONG, page_number=_INT,
@@ -23,7 +26,13 @@ CHUNKS = _table(
 COLLECTION = _table(id=_STRING, name=_STRING, root_path=_STRING)
 QUESTIONS = _table(query_id=_LONG, text=_STRING, top_k=_INT)
 CITATION = _table(chunk_id=_STRING, document_path=_STRING, snippet=_STRING, score=T.DoubleType())
-ANSWERS = _table(query_id=_LONG, text=_STRING, citations=T.ArrayType(CITATION), confidence=T.DoubleType(), answerable=T.BooleanType())
+ANSWERS = _table(query_id=_LONG, text=_STRING, citations=T.ArrayType(CITATION), confidence=T.DoubleType(), answerable=T.BooleanType(), error=_STRING)
+
+
+def shaped(rows: DataFrame, kind: T.StructType) -> DataFrame:
+    """The columns of a table in its order; those that ``rows`` lacks are null."""
+    there = set(rows.columns)
+    return rows.select(*(F.col(f.name) if f.name in there else F.lit(None).cast(f.dataType).alias(f.name) for f in kind))
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import RDD
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from florilege.functions.text import blank_markdown, extension
+from florilege.sources.folders import written
 from florilege.sources.pdf import OcrEngine, image_text, pdf_text
 
 #: Extensions that each parser claims, with regard to case but for images.
@@ -24,6 +26,8 @@ CODE = [".go", ".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".c", ".h", ".cpp",
 TEXT = [".txt"]
 #: Parsers that work on bytes in Python.
 BINARY_PARSERS = ["pdf", "image"]
+#: Entries that a task lists at a time, and levels of folders that are listed one by one at most.
+LISTED_ROWS, LEVELS = 10_000, 4
 #: Files of a store that are opened one by one.
 FEW_FILES = 10_000
 _LOCAL = re.compile("^file:/*")
@@ -37,27 +41,67 @@ def parser_of(path: Column, ocr: bool = False) -> Column:
     return out.when(F.lower(ext).isin(IMAGE), "image") if ocr else out
 
 
-def scan_folder(spark: SparkSession, root: str, files_per_task: int = 256) -> DataFrame:
-    """``path`` of every file under a root that the driver and executors see, dot files too.
+def _entry(path: str, link: bool = False) -> tuple[str, int, int]:
+    """Path, time of the last change in microseconds and length; of a link that leads nowhere, those of the link."""
+    try:
+        found = os.lstat(path) if link else os.stat(path)
+    except OSError:
+        found = os.lstat(path)
+    return path, found.st_mtime_ns // 1000, found.st_size
 
-    Links to folders are not followed, not even as the root; a root that is a file gives that file. A folder that cannot be
-    listed fails the scan, so that nothing is pruned by mistake. Only names are gathered here, never contents.
-    """
+
+def _walk(folder: str, deep: bool) -> Iterator[tuple[str, int, int, bool]]:
+    """Entries of a folder, or of all below it; links to folders count as files, and a folder that cannot be listed is an error."""
 
     def fail(error: OSError) -> None:
         raise error
 
+    for at, inner, names in os.walk(folder, onerror=fail, followlinks=False):
+        links = [d for d in inner if os.path.islink(os.path.join(at, d))]
+        yield from ((*_entry(os.path.join(at, n), n in links), False) for n in [*names, *links])
+        if not deep:
+            yield from ((os.path.join(at, d), 0, 0, True) for d in inner if d not in links)
+            return
+
+
+def _listed(folders: DataFrame, deep: bool) -> DataFrame:
+    """``path, modified, length, folder`` of what is in ``folders(path)``, listed by the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = _walk(folder, deep)
+                while rows := list(islice(found, LISTED_ROWS)):
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "modified", "length", "folder"])
+
+    return folders.select("path").mapInArrow(run, "path string, modified long, length long, folder boolean")
+
+
+def scan_folder(spark: SparkSession, root: str, stage: Callable[[DataFrame, str], DataFrame] = written, files_per_task: int = 256) -> DataFrame:
+    """``path, modified, length`` of every file under a root that the driver and executors see, dot files too.
+
+    Links to folders are not followed, not even as the root; a root that is a file gives that file. A folder that cannot be
+    listed fails the scan, so that nothing is pruned by mistake. Executors list the folders, level by level until there are as
+    many as tasks, and then each subtree as a whole; ``stage`` keeps each level and the result. The driver sees counts alone.
+    """
     if not os.path.lexists(root):
         raise FileNotFoundError(root)
-    paths: list[tuple[str]] = []
-    if os.path.isdir(root) and not os.path.islink(root):
-        for folder, inner, names in os.walk(root, onerror=fail, followlinks=False):
-            links = [d for d in inner if os.path.islink(os.path.join(folder, d))]
-            paths += [(os.path.join(folder, n),) for n in names + links]
-    else:
-        paths.append((root,))
-    tasks = max(1, min(len(paths) // files_per_task, 10_000) or 1)
-    return spark.createDataFrame(sorted(paths), "path string").repartition(tasks)
+    kind = "path string, modified long, length long"
+    if not os.path.isdir(root) or os.path.islink(root):
+        return spark.createDataFrame([_entry(root)], kind)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    level = stage(_listed(spark.createDataFrame([(root,)], "path string"), False), "listing")
+    files, folders = level.where("not folder"), level.where("folder")
+    for _ in range(LEVELS):
+        if not 0 < (n := folders.count()) < tasks:
+            break
+        level = stage(_listed(folders.repartition(n), False), "listing")
+        files, folders = files.unionByName(level.where("not folder")), level.where("folder")
+    if n := folders.count():
+        files = files.unionByName(_listed(folders.repartition(min(n, 10 * tasks)), True))
+    found = stage(files.drop("folder"), "files")
+    return found.repartition(max(1, min(found.count() // files_per_task, 10_000)))
 
 
 def read_files(paths: DataFrame) -> DataFrame:
@@ -107,8 +151,8 @@ class Folder:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
-    def paths(self) -> DataFrame:
-        return scan_folder(self.spark, self.root)
+    def paths(self, stage: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+        return scan_folder(self.spark, self.root, stage)
 
     def hashes(self, paths: DataFrame) -> DataFrame:
         return hash_files(paths)
@@ -123,7 +167,7 @@ class Files:
     def __init__(self, rows: DataFrame):
         self.rows = rows
 
-    def paths(self) -> DataFrame:
+    def paths(self, stage: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
         return self.rows.select("path")
 
     def hashes(self, paths: DataFrame) -> DataFrame:

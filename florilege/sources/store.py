@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from florilege.operators.inverted import POSTINGS, TERMS, StoredIndex, clustered_postings, term_statistics
-from florilege.schema import CHUNKS, DOCUMENTS
+from florilege.schema import CHUNKS, DOCUMENTS, shaped
 
 
 #: Segments of a collection, and ids touched by all but the first, beyond which they are written anew as one; so the ids can be
@@ -163,7 +163,7 @@ class CollectionStore:
             writer = rows.write.mode("overwrite")
             (writer.partitionBy("bucket") if table in _BUCKETED else writer).parquet(f"{self.base}/{cid}/{table}/segment={name}")
 
-        put("documents", documents.select(*DOCUMENTS.names))
+        put("documents", shaped(documents, DOCUMENTS))
         put("chunks", chunks.select(*CHUNKS.names))
         own = self._read(cid, "documents", [name]).select("id")
         put("touched", own if removed is None else own.unionByName(removed.select("id")).distinct())

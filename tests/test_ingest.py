@@ -161,6 +161,59 @@ def test_scan(spark, folder):
         scan_folder(spark, str(folder / "none"))
 
 
+def test_scan_of_many_folders(spark, tmp_path, monkeypatch):
+    """Levels that are listed one by one, subtrees that are listed whole, and links, with times and lengths."""
+    from florilege.sources import files
+
+    want = {}
+    for k in range(12):
+        for name in (f"a{k}/f.txt", f"a{k}/b/c/d/{k}.txt", f"a{k}/b/.h/x y.txt", "top.txt"):
+            path = tmp_path / "r" / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(name * (k + 1))
+            want[str(path)] = len(name) * (k + 1)
+    (tmp_path / "r" / "empty").mkdir()
+    (tmp_path / "r" / "a1" / "loop").symlink_to(tmp_path / "r")
+    (tmp_path / "r" / "a2" / "nowhere").symlink_to(tmp_path / "none")
+    (tmp_path / "r" / "a3" / "link.txt").symlink_to(tmp_path / "r" / "a4" / "f.txt")
+    extra = {str(tmp_path / "r" / n) for n in ("a1/loop", "a2/nowhere")}
+    want[str(tmp_path / "r" / "a3" / "link.txt")] = want[str(tmp_path / "r" / "a4" / "f.txt")]
+    for levels in (0, 1, 4):
+        monkeypatch.setattr(files, "LEVELS", levels)
+        rows = scan_folder(spark, str(tmp_path / "r"), files_per_task=3).collect()
+        assert {r.path for r in rows} == want.keys() | extra and len(rows) == len(want) + 2
+        assert {r.path: r.length for r in rows if r.path in want} == want
+        assert all(r.modified == os.lstat(r.path).st_mtime_ns // 1000 for r in rows if not os.path.islink(r.path))
+    assert scan_folder(spark, str(tmp_path / "r" / "empty")).count() == 0
+    assert [r.path for r in scan_folder(spark, str(tmp_path / "r" / "a1" / "loop")).collect()] == [str(tmp_path / "r" / "a1" / "loop")]
+
+
+def test_a_folder_that_cannot_be_listed_fails_the_scan(spark, tmp_path, monkeypatch):
+    (tmp_path / "r" / "gone").mkdir(parents=True)
+    from florilege.sources import files
+
+    folders = spark.createDataFrame([(str(tmp_path / "r" / "gone" / "none"),)], "path string")
+    with pytest.raises(Exception, match="No such file"):
+        files._listed(folders, True).collect()
+
+
+def test_unchanged_files_are_not_opened(spark, engine, folder):
+    """A file with another text but the old time and length would be found by its hash; it is not looked into."""
+    for name in ("policy.md", "notes.txt"):
+        os.utime(folder / name, (1_700_000_000, 1_700_000_000))
+    (folder / "fresh.txt").write_text("of a clock that is ahead, so that its time proves nothing")
+    os.utime(folder / "fresh.txt", (4_000_000_000, 4_000_000_000))
+    engine.index(str(folder), "c")
+    (folder / "notes.txt").write_text((folder / "notes.txt").read_text().upper())
+    os.utime(folder / "notes.txt", (1_700_000_000, 1_700_000_000))
+    assert engine.index(str(folder), "c").counts() == {"added": 0, "updated": 0, "unchanged": 3, "skipped": 1, "error": 0, "removed": 0}
+    os.utime(folder / "notes.txt", (1_700_000_001, 1_700_000_001))
+    os.utime(folder / "policy.md", (1_700_000_001, 1_700_000_001))  # opened, and found to be the same
+    (folder / "fresh.txt").write_text((folder / "fresh.txt").read_text().upper())
+    os.utime(folder / "fresh.txt", (4_000_000_000, 4_000_000_000))
+    assert engine.index(str(folder), "c").counts() == {"added": 0, "updated": 2, "unchanged": 1, "skipped": 1, "error": 0, "removed": 0}
+
+
 def test_store(spark, tmp_path, engine, folder):
     store = CollectionStore(spark, str(tmp_path / "none"))
     assert store.list() == [] and not store.exists("x")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from florilege.operators import inverted
 from florilege.operators.chunk import chunk_documents
 from florilege.operators.keyword import KeywordIndex, corpus_stats, document_frequency
-from florilege.schema import CHUNKS, DOCUMENTS, ChunkOptions
+from florilege.schema import CHUNKS, ChunkOptions
 from florilege.sources.store import Collection, CollectionStore, Delta
 
 NAME = "c"
@@ -19,7 +19,7 @@ NAME = "c"
 def delta(spark, texts, removed=()):
     """A segment of documents by id, and ids to remove."""
     docs = spark.createDataFrame([(i, f"{i}.txt", t) for i, t in texts.items()], "id string, path string, text string")
-    documents = docs.select("id", "path", F.sha2("text", 256).alias("hash"), F.lit("text/plain").alias("mime_type"), F.lit(None).cast("timestamp").alias("indexed_at")).select(*DOCUMENTS.names)
+    documents = docs.select("id", "path", F.sha2("text", 256).alias("hash"), F.lit("text/plain").alias("mime_type"), F.lit(None).cast("timestamp").alias("indexed_at"))
     gone = spark.createDataFrame([(i,) for i in removed], "id string")
     return Delta(documents, chunk_documents(docs, ChunkOptions(8, 2)), gone)
 
