@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from florilege.llm.hot import join_by_key
 from florilege.llm.idfilter import split_by_ids
 from florilege.llm.storage import materialize
 from florilege.llm.worker import begin
@@ -36,18 +37,22 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """``page_id, url, html, payload_digest, payload_bytes, refers_to`` of ``pages(page_id, url, html)``.
 
     Of equal payloads of at least ``least`` bytes the smallest page_id is the response, and all rows with that page_id; rows
-    with other page_ids, null too, revisit it and have no html. If no page_id is known, all are responses. Payloads are not
-    shuffled: revisits are found among ids and digests, and a bitmap of them picks the responses out of the pages.
+    with other page_ids, null too, revisit it and have no html. If no page_id is known, all are responses. A null html counts as
+    empty; other columns are ignored; an empty table gives no rows. Payloads are not shuffled: digests that come more than once
+    are broadcast if they are few; else revisits are found among ids and digests, and a bitmap of them picks the responses.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
     rows = rows.withColumn("capture_key", F.xxhash64("payload_digest", "page_id"))
     lean = materialize(rows.drop("html"), "pages")
     same = lean.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
-    same = materialize(same.where("n > 1 and refers_to is not null").select(F.col("payload_digest").alias("same_digest"), "refers_to"), "same-payloads")
-    few = F.broadcast(same) if same.count() <= BROADCAST_DIGESTS else same
-    revisits = lean.join(few, F.col("payload_digest") == F.col("same_digest")).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    revisits = materialize(revisits.drop("same_digest"), "revisits")
+    same = materialize(same.where("n > 1 and refers_to is not null").select("payload_digest", "refers_to", "n"), "same-payloads")
+    columns = ["page_id", "url", "html", "payload_digest", "payload_bytes", "refers_to"]
+    other = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    if same.count() <= BROADCAST_DIGESTS:
+        met = rows.join(F.broadcast(same.drop("n")), "payload_digest", "left").withColumn("refers_to", F.when(other, F.col("refers_to")))
+        return met.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html"))).select(*columns)
+    revisits = materialize(join_by_key(lean, same, ["payload_digest"], "n").where(other), "revisits")
     known = revisits.select("capture_key", F.col("payload_digest").alias("d"), F.col("page_id").alias("p"))
     is_ = (F.col("payload_digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p"))
     maybe, responses = split_by_ids(rows, "capture_key", known, "capture_key")
@@ -55,7 +60,6 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     others = split_by_ids(lean, "capture_key", known, "capture_key")[0].join(known.drop("capture_key").distinct(), is_, "left_anti")
     others = materialize(others.select("capture_key", F.col("payload_digest").alias("d"), F.col("page_id").alias("p")).distinct(), "taken-for-revisits")
     responses = responses.unionByName(split_by_ids(maybe, "capture_key", others, "capture_key")[0].join(others.drop("capture_key"), is_, "left_semi"))
-    columns = ["page_id", "url", "html", "payload_digest", "payload_bytes", "refers_to"]
     responses = responses.withColumn("refers_to", F.lit(None).cast("long"))
     return responses.select(*columns).unionByName(revisits.withColumn("html", F.lit(None).cast("string")).select(*columns))
 
