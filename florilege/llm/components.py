@@ -2,7 +2,8 @@
 
 A step is one aggregation by node and one join with its result; rounds are logarithmic in the graph's size in practice. Edges
 shrink towards stars around the least node of each component, which may have a third of all edges: such nodes are joined apart.
-Each step is written to the shared folder, so lineage stays short and nothing but counts and a fingerprint reaches the driver.
+Each step of many edges, and each round, is written to the shared folder, so lineage stays short and nothing but counts and a
+fingerprint reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,24 +11,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from florilege.llm import hot
 from florilege.llm.hot import join_by_key
 from florilege.llm.storage import discard, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """``u, m, n``: each first end with the least of its second ends and its number of edges."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Link every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
-    linked = materialize(join_by_key(both.where("v > u"), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+    least = _least(both).withColumn("m", F.least("u", "m"))
+    linked = lambda rows: rows.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    if few:
+        return linked(both.where("v > u").join(least, "u"))
+    least = materialize(least, "least")
+    out = materialize(linked(join_by_key(both.where("v > u"), least, ["u"], "n")), "edges")
     discard(edges.sparkSession, least)
-    return linked
+    return out
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them."""
-    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-    linked = join_by_key(edges, least, ["u"], "n").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    out = materialize(linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    least = _least(edges)
+    linked = lambda rows, least: rows.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    if few:
+        return materialize(linked(edges.join(least, "u"), least), "edges")
+    least = materialize(least, "least")
+    out = materialize(linked(join_by_key(edges, least, ["u"], "n"), least), "edges")
     for table in (least, edges):
         discard(edges.sparkSession, table)
     return out
@@ -49,7 +63,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(now, "edges")
     seen = _fingerprint(now)
     for _ in range(max_rounds):
-        nxt = _small_star(_large_star(now))
+        few = 2 * seen[0] <= hot.HOT_ROWS  # so few edges that no node can be hot
+        nxt = _small_star(_large_star(now, few), few)
         discard(spark, now)
         now, before, seen = nxt, seen, _fingerprint(nxt)
         if seen == before:  # a round that changes nothing: all stars
