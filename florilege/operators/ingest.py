@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from florilege.functions.text import mime_type, short_id
-from florilege.operators.chunk import DIM, chunk_documents
+from florilege.operators.chunk import DIM
+from florilege.operators.chunk_ranges import chunk_all
 from florilege.schema import CHUNKS, DOCUMENTS, ChunkOptions, shaped
 from florilege.sources.files import BINARY_PARSERS, Files, Folder, parse_binary, parse_text, parser_of
 from florilege.sources.folders import written
@@ -95,7 +96,7 @@ def ingest(collection: Collection, files: DataFrame | Folder | Files, options: C
     gone = diff.where("status = 'removed'").select("id").unionByName(good.where("fresh_status = 'updated'").select("id"))
     kept_documents = collection.documents.join(gone, "id", "left_anti")
     kept_chunks = collection.chunks.join(gone.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
-    chunks = chunk_documents(good.select("id", "path", "text", "boundaries"), options, dim)
+    chunks = chunk_all(good.select("id", "path", "text", "boundaries"), options, dim)
     done = good.select("path", F.col("fresh_status").alias("status"), F.lit(None).cast("string").alias("error"))
     same = diff.where(F.col("status").isin("unchanged", "removed")).select("path", "status", F.lit(None).cast("string").alias("error"))
     report = done.unionByName(same).unionByName(skipped).unionByName(unread).unionByName(failed).orderBy("path", "status")

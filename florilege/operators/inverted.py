@@ -68,8 +68,10 @@ class StoredIndex:
         few = [r.term for r in terms.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
         if len(few) > LITERAL_TERMS:
             own = terms.select("term").distinct().withColumn("bucket", bucket_of(F.col("term")))
-            small = own.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-            return rows.join(F.broadcast(own) if small else own, ["bucket", "term"])
+            # in parts of a size that is broadcast, so that no common term gathers in one task
+            parts = 1 + own.count() // (BROADCAST_TERMS * 4 // 5)
+            part = F.pmod(F.xxhash64("term", F.lit(7)), F.lit(parts))
+            return reduce(DataFrame.unionByName, (rows.join(F.broadcast(own.where(part == p)), ["bucket", "term"]) for p in range(parts)))
         if not few:
             return rows.where(F.lit(False))
         spark = rows.sparkSession

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from florilege.functions import scores, text
 from florilege.operators import keyword, vector
 from florilege.operators.chunk import chunk_documents, embed_texts
+from florilege.operators.chunk_ranges import chunk_by_ranges
 from florilege.operators.fusion import fuse, hybrid_search
 from florilege.operators.ingest import IngestResult, ingest, snapshot_diff
 from florilege.plans import export
@@ -220,6 +221,13 @@ def chunk_no_overlap(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d, "id", "document_id", "document_path", "start_offset", "end_offset", "text", options=ChunkOptions(100, 0)).select(F.col("id").alias("chunk_id"), "document_id", "document_path", "start_offset", "end_offset", "text")
 
 
+@_query(f"with {_chunk_sql()}, {_TOK} select chunk_id, document_id, start_offset::bigint as start_offset, end_offset::bigint as end_offset, chunk.text, len(t)::integer as dl from chunk join tok using (chunk_id)")
+def chunk_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all documents, each cut into ranges of a thousand characters, as those of very long ones are."""
+    found = chunk_by_ranges(_corpus(spark, d), columns=("id", "document_id", "start_offset", "end_offset", "text", "dl"), chars=1000)
+    return found.withColumnRenamed("id", "chunk_id")
+
+
 @_query(f"with {_chunk_sql()}, {_EMB} select chunk_id, b as bucket, n from cv_c")
 def bucket_counts(spark: SparkSession, d: str) -> DataFrame:
     feats = _chunks(spark, d, "id", "text").select(F.col("id").alias("chunk_id"), F.explode(text.features(text.tokens(F.col("text")))).alias("f"))

@@ -7,6 +7,7 @@ the clock; each batch runs the incremental ingestion, which is idempotent, so a
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +18,17 @@ log = logging.getLogger(__name__)
 
 
 def watch(spark: SparkSession, on_change: Callable[[], object], interval: float = DEFAULT_INTERVAL, checkpoint: str | None = None) -> StreamingQuery:
-    """Call ``on_change`` once per interval until the query is stopped; an interval of 0 or less means five seconds.
+    """Call ``on_change`` once per interval, the first time after one, until the query is stopped; an interval of 0 or less means
+    five seconds.
 
     An error is logged, and watching goes on.
     """
     seconds = interval if interval > 0 else DEFAULT_INTERVAL
+    began = time.monotonic()
 
     def tick(batch: DataFrame, number: int) -> None:
+        if time.monotonic() - began < seconds / 2:
+            return  # the batch that a stream begins with
         try:
             on_change()
         except Exception:
