@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,8 @@ from florilege.sources.store import Collection, Delta
 
 #: Microseconds by which the clocks of a file system and of the driver may differ.
 CLOCK_MICROS = 2_000_000
+#: Buckets of ids that a collection and a folder are compared by.
+BUCKETS = 4096
 _HASHED = T.StructType([T.StructField("path", T.StringType()), T.StructField("hash", T.StringType()), T.StructField("error", T.StringType()), T.StructField("modified", T.LongType()), T.StructField("length", T.LongType())])
 STATUSES = ("added", "updated", "unchanged", "skipped", "error", "removed")
 
@@ -38,6 +40,34 @@ def snapshot_diff(disk: DataFrame, stored: DataFrame, keep_outside: str | None =
     return both.select(F.coalesce("id", "old_id").alias("id"), F.coalesce("path", "old_path").alias("path"), F.coalesce("hash", "old_hash").alias("hash"), status.alias("status"))
 
 
+def equal_buckets(disk: DataFrame, stored: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``bucket``: buckets of ids that hold the same ids with the same hashes on both sides, by their numbers and two 64-bit digests.
+
+    Digests are added up where the rows are; what is joined is a row for each bucket and side.
+    """
+
+    def digests(rows: DataFrame) -> DataFrame:
+        both = F.expr("bit_xor(xxhash64(id, hash))").alias("a"), F.expr("bit_xor(xxhash64(hash, id, 7))").alias("b")
+        return rows.groupBy(_bucket(buckets).alias("bucket")).agg(F.count("*").alias("n"), *both)
+
+    return digests(disk).join(digests(stored), ["bucket", "n", "a", "b"]).select("bucket")
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(11)), F.lit(buckets))
+
+
+def digest_diff(disk: DataFrame, stored: DataFrame, equal: DataFrame, keep_outside: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of :func:`snapshot_diff`, where ids of ``equal(bucket)`` buckets, of which there are ``buckets`` at most, aren't joined.
+
+    So what is shuffled follows what has changed: of a collection with few changes, most rows stay where they are.
+    """
+    equal = F.broadcast(equal)
+    within = lambda rows, how: rows.withColumn("bucket", _bucket(buckets)).join(equal, "bucket", how).drop("bucket")
+    same = within(disk.select("id", "path", "hash"), "left_semi").withColumn("status", F.lit("unchanged"))
+    return same.unionByName(snapshot_diff(within(disk, "left_anti"), within(stored, "left_anti"), keep_outside))
+
+
 @dataclass
 class IngestResult:
     """The new state, a report of ``path, status, error`` with one row per file or removed document in path order, and what is new."""
@@ -73,7 +103,7 @@ def ingest(collection: Collection, files: DataFrame | Folder | Files, options: C
     longer claimed, are removed: all of them, or with ``prune_root`` those under that root only. The result is a plan; nothing
     is written to the collection until it is saved.
 
-    Hashes are compared first, of which no more than ids, paths and hashes is moved; a file that its folder lists with the time and
+    Hashes are compared first: by digests of buckets of ids, and then, in those buckets that differ, one by one; a file that its folder lists with the time and
     length of the stored document is not opened. Then added and updated files alone are read
     again and parsed, once; their hashes are those of what was parsed. ``stage`` keeps the two tables, of hashes and of parsed
     files, so that all that follows sees the same rows; by default they are written to the shared folder.
@@ -83,7 +113,9 @@ def ingest(collection: Collection, files: DataFrame | Folder | Files, options: C
     skipped = claimed.where("parser is null").select("path", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"))
     hashed = stage(_hashes(source, claimed.where("parser is not null"), collection.documents).withColumn("id", short_id(F.col("path"))), "hashes")
     unread = hashed.where("hash is null").select("path", F.lit("error").alias("status"), "error")
-    diff = snapshot_diff(hashed.where("hash is not null"), collection.documents, prune_root)
+    there = hashed.where("hash is not null")
+    equal = stage(equal_buckets(there, collection.documents), "equal-buckets")
+    diff = digest_diff(there, collection.documents, equal, prune_root)
     listed = hashed.select("id", "modified", "length")
     todo = diff.where(F.col("status").isin("added", "updated")).select("id", "path", F.col("status").alias("fresh_status"), parser_of(F.col("path"), ocr is not None).alias("parser")).join(listed, "id")
     binary = F.col("parser").isin(BINARY_PARSERS)

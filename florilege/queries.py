@@ -16,7 +16,7 @@ from florilege.operators import keyword, vector
 from florilege.operators.chunk import chunk_documents, embed_texts
 from florilege.operators.chunk_ranges import chunk_by_ranges
 from florilege.operators.fusion import fuse, hybrid_search
-from florilege.operators.ingest import IngestResult, ingest, snapshot_diff
+from florilege.operators.ingest import IngestResult, digest_diff, equal_buckets, ingest, snapshot_diff
 from florilege.plans import export
 from florilege.plans.answer import REFUSAL, answer
 from florilege.schema import CHUNKS, DOCUMENTS, AnswerOptions, ChunkOptions
@@ -413,12 +413,16 @@ stored as (select id, path, case when doc_id % 5 = 0 then sha256('old') else sha
 diff as (select coalesce(d.id, s.id) as id, coalesce(d.path, s.path) as path, case when d.id is null then 'removed' when s.id is null then 'added' when d.hash = s.hash then 'unchanged' else 'updated' end as status from disk d full join stored s on d.id = s.id)"""
 
 
-def _diff(spark: SparkSession, d: str) -> DataFrame:
-    """The corpus without some documents against the corpus without others and with some altered."""
+def _states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The corpus without some documents, and the corpus without others and with some altered."""
     docs = _corpus(spark, d)
     disk = docs.where("doc_id % 7 != 0").withColumn("hash", F.sha2("text", 256))
     stored = docs.where("doc_id % 3 != 0").withColumn("hash", F.when(F.col("doc_id") % 5 == 0, F.sha2(F.lit("old"), 256)).otherwise(F.sha2("text", 256)))
-    return snapshot_diff(disk, stored)
+    return disk, stored
+
+
+def _diff(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot_diff(*_states(spark, d))
 
 
 @_query(f"with {_DOC}, {_DIFF} select id, path, status from diff")
@@ -426,6 +430,14 @@ def ingest_diff(spark: SparkSession, d: str) -> DataFrame:
     return _diff(spark, d).select("id", "path", "status")
 
 
+@_query(f"with {_DOC}, {_DIFF} select id, path, status from diff")
+def ingest_digests(spark: SparkSession, d: str) -> DataFrame:
+    """The same difference, where buckets of ids that are equal on both sides are not joined."""
+    disk, stored = _states(spark, d)
+    equal = equal_buckets(disk, stored, 256)
+    return digest_diff(disk, stored, equal, buckets=256).select("id", "path", "status")
+
+
 @_query(f"with {_DOC}, {_DIFF} select " + ", ".join(f"count(*) filter (status = '{s}') as {s}" for s in ("added", "updated", "unchanged", "skipped", "error", "removed")) + " from diff")
 def ingest_report(spark: SparkSession, d: str) -> DataFrame:
     return export.ingest_report(_diff(spark, d))
@@ -466,7 +478,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ingested(spark: SparkSession, d: str) -> IngestResult:
-    return ingest(_stored(spark, d), _files(spark, d), stage=lambda rows, label: rows)
+    return ingest(_stored(spark, d), _files(spark, d))
 
 
 _INGEST = """disk as (select id, path, text, sha256(text) as hash from doc where doc_id % 7 != 0 and doc_id % 11 != 1 and doc_id % 13 != 2),
