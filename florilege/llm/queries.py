@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from florilege.llm.storage import fresh_path, tidy
+
 RANKS, VOCABULARY, PIECES = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
@@ -18,12 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@tidy
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from florilege.llm.neardup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+@tidy
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from florilege.llm.quality import classify_documents
 
@@ -36,18 +40,21 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_in_documents(_table(spark, sf_dir, "documents"))
 
 
+@tidy
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from florilege.llm.sharding import shard_documents
 
     return shard_documents(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+@tidy
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from florilege.llm.rules import judge_documents
 
     return judge_documents(_table(spark, sf_dir, "documents"))
 
 
+@tidy
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,8 +71,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+@tidy
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from florilege.llm.storage import fresh_path
     from florilege.llm.warc import assemble, read_archives, with_revisits, write_archives
 
     path = fresh_path(spark, "warc")
@@ -74,12 +81,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to", F.size("metadata").alias("n_metadata"), F.col("request").isNotNull().alias("has_request"))
 
 
+@tidy
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from florilege.llm.lm import score_documents
 
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+@tidy
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from florilege.llm.jaccard import near_duplicates
 
@@ -94,6 +103,7 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+@tidy
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from florilege.llm.lexical import search
 

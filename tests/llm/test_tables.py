@@ -5,6 +5,8 @@ import gzip
 import hashlib
 import random
 import re
+import threading
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,9 +15,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from florilege.llm import idfilter, jaccard, neardup, sharding, warc
+from florilege.llm import queries as llm_queries
 from florilege.llm.components import connected_components
-from florilege.llm.storage import discard, fresh_path, materialize, scratch, shared_dir
+from florilege.llm.storage import discard, fresh_path, materialize, scratch, shared_dir, tidy
 
+SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -160,6 +164,48 @@ def test_scratch_removes_what_is_not_kept(spark):
     discard(spark, b)
 
 
+def folders(spark):
+    base = Path(shared_dir(spark).removeprefix("file:")) / "florilege"
+    return {p.name for p in base.iterdir()} if base.exists() else set()
+
+
+@pytest.mark.parametrize("name", sorted(n for n, q in llm_queries.QUERIES.items() if hasattr(q, "__wrapped__")))
+def test_a_query_leaves_only_what_its_result_reads(spark, name):
+    before = folders(spark)
+    rows = llm_queries.QUERIES[name](spark, SF)
+    left = folders(spark) - before
+    assert left == {f.rsplit("/florilege/", 1)[1].split("/")[0] for f in rows.inputFiles() if "/florilege/" in f}
+    assert rows.count() > 0 and len(rows.limit(3).collect()) > 0
+    for label in left:
+        discard(spark, f"{shared_dir(spark)}/florilege/{label}")
+
+
+def test_a_query_that_fails_leaves_nothing(spark):
+    @tidy
+    def fails(spark, sf_dir):
+        materialize(spark.range(3), "t")
+        raise ValueError("no")
+
+    before = folders(spark)
+    with pytest.raises(ValueError, match="no"):
+        fails(spark, SF)
+    assert folders(spark) == before
+
+
+def test_threads_keep_their_tables_apart(spark):
+    rows = {}
+
+    def other():
+        rows["t"] = materialize(spark.range(3), "t")
+
+    with scratch(spark):
+        thread = threading.Thread(target=other)
+        thread.start()
+        thread.join()
+    assert rows["t"].count() == 3
+    discard(spark, rows["t"])
+
+
 def test_banding_reaches_the_recall():
     for threshold in (0.5, 0.8, 0.95):
         bands, rows = jaccard.choose_bands(threshold, 0.999)
