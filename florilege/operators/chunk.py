@@ -7,21 +7,21 @@ shuffle: the ``postings`` are an explode, and only the terms that a question ask
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
-from florilege.functions.kernels import Hasher, tokens, windows
+from florilege.functions.kernels import WHITE_SPACE, Indexed, cut, joined, lists
 from florilege.schema import CHUNKS, ChunkOptions
 
 DIM = 256
-_ROWS = 512
+#: Chunks of an Arrow batch, and bytes of documents that are cut at a time.
+_ROWS, _BYTES = 512, 1 << 20
 
 
 def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions(), dim: int = DIM, columns: Sequence[str] = tuple(CHUNKS.names), keep: Sequence[str] = ()) -> DataFrame:
@@ -36,74 +36,81 @@ def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions(), dim
     dim = dim if dim > 0 else DIM
     bounds = F.col("boundaries").cast("array<long>") if "boundaries" in docs.columns else F.lit(None).cast("array<long>")
     kept = [docs.schema[c] for c in keep]
-    schema = T.StructType([*(CHUNKS[c] for c in columns), *kept])
-    wanted, kept_kinds = set(columns), [to_arrow_type(f.dataType) for f in kept]
-    kinds = {"start_offset": pa.int64(), "end_offset": pa.int64(), "page_number": pa.int32(), "dl": pa.int32()}
+    schema, wanted = T.StructType([*(CHUNKS[c] for c in columns), *kept]), set(columns)
+
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Chunks of some documents."""
+        texts = batch.column(2).cast(pa.binary()).fill_null(b"").to_pylist()
+        raw, begin, _ = joined(texts)
+        own, start, end = cut(raw, begin, size, step)
+        parts = [raw[a:b].decode("utf-8", "replace").strip(WHITE_SPACE) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        full = np.flatnonzero([bool(p) for p in parts])
+        own, start, end, parts = own[full], start[full], end[full], [parts[i] for i in full.tolist()]
+        index = np.arange(len(own)) - np.searchsorted(own, own)
+        ids = batch.column(0).to_pylist()
+        pages = [sorted(p or []) for p in batch.column(3).to_pylist()] if "page_number" in wanted else []
+        for low in range(0, len(own), _ROWS):
+            some = slice(low, low + _ROWS)
+            doc, at = own[some], start[some] - begin[own[some]]
+            found = Indexed(raw, start[some], end[some]) if wanted & {"embedding", "dl", "terms"} else None
+            make = {
+                "id": lambda: pa.array([hashlib.sha1(f"{ids[d]}:{i}".encode()).hexdigest()[:16] for d, i in zip(doc.tolist(), index[some].tolist(), strict=True)], pa.string()),
+                "document_id": lambda: batch.column(0).take(pa.array(doc)),
+                "document_path": lambda: batch.column(1).take(pa.array(doc)),
+                "text": lambda: pa.array(parts[some], pa.string()),
+                "start_offset": lambda: pa.array(at),
+                "end_offset": lambda: pa.array(end[some] - begin[doc]),
+                "page_number": lambda: pa.array([1 + int(np.searchsorted(pages[d], a, "right")) if pages[d] else None for d, a in zip(doc.tolist(), at.tolist(), strict=True)], pa.int32()),
+                "embedding": lambda: lists(found.vectors(dim)),
+                "dl": lambda: pa.array(found.n.astype(np.int32)),
+                "terms": lambda: found.terms(),
+            }
+            kept_values = [batch.column(4 + i).take(pa.array(doc)) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*(make[c]() for c in columns), *kept_values], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(dim)
-        rows: dict[str, list] = {c: [] for c in wanted}
-        taken: list[list] = [[] for _ in kept]
-
-        def made() -> pa.RecordBatch:
-            arrays = []
-            for c in columns:
-                if c == "embedding":
-                    vectors = np.concatenate(rows[c])
-                    arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(vectors) + 1, dim, dtype=np.int32)), pa.array(vectors)))
-                elif c == "terms":
-                    at = np.cumsum([0, *(len(n) for n in rows[c])]).astype(np.int32)
-                    flat = [pa.array([t for n in rows[c] for t in n], pa.binary()).cast(pa.string()), pa.array([k for n in rows[c] for k in n.values()], pa.int32())]
-                    arrays.append(pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(flat, ["term", "tf"])))
-                else:
-                    arrays.append(pa.array(rows[c], kinds.get(c, pa.string())))
-                rows[c].clear()
-            arrays += [pa.array(values, kind) for values, kind in zip(taken, kept_kinds, strict=True)]
-            for values in taken:
-                values.clear()
-            return pa.RecordBatch.from_arrays(arrays, schema.names)
-
-        n = 0
         for batch in batches:
-            ids, paths, pages = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            others = [batch.column(4 + i).to_pylist() for i in range(len(kept))]
-            for k, text in enumerate(batch.column(2)):
-                own = sorted(pages[k] or [])
-                for index, (start, end, part) in enumerate(windows(text.as_py() or "", size, step)):
-                    toks = tokens(part) if wanted & {"embedding", "dl", "terms"} else []
-                    value = {"document_id": ids[k], "document_path": paths[k], "text": part, "start_offset": start, "end_offset": end, "dl": len(toks)}
-                    if "id" in wanted:
-                        value["id"] = hashlib.sha1(f"{ids[k]}:{index}".encode()).hexdigest()[:16]
-                    if "page_number" in wanted:
-                        value["page_number"] = 1 + int(np.searchsorted(own, start, "right")) if own else None
-                    if "embedding" in wanted:
-                        value["embedding"] = hasher.vector(toks)
-                    if "terms" in wanted:
-                        value["terms"] = Counter(toks)
-                    for c, held in rows.items():
-                        held.append(value[c])
-                    for values, other in zip(taken, others, strict=True):
-                        values.append(other[k])
-                    n += 1
-                    if n == _ROWS:
-                        yield made()
-                        n = 0
-        if n:
-            yield made()
+            for part in bounded(batch, 2):
+                yield from rows(part)
 
     return docs.select("id", "path", "text", bounds.alias("boundaries"), *keep).mapInArrow(run, schema)
 
 
+def bounded(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``_ROWS`` rows and, but for single rows, ``_BYTES`` of the text column."""
+    size = np.cumsum(np.asarray(pc.binary_length(batch.column(text)).fill_null(0), np.int64))
+    low = 0
+    while low < batch.num_rows:
+        before = size[low - 1] if low else 0
+        high = min(low + _ROWS, max(low + 1, int(np.searchsorted(size, before + _BYTES, "right"))))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def indexed(texts: pa.Array) -> Indexed:
+    """The tokens of whole texts; a null has none."""
+    return Indexed(*joined(texts.cast(pa.binary()).fill_null(b"").to_pylist()))
+
+
+def bucket_counts(texts: DataFrame, key: str, dim: int = DIM) -> DataFrame:
+    """``key, counts``: how many features of each of ``texts(key, text)`` fall into each bucket, from 0; one narrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in bounded(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(indexed(part.column(1)).counts(dim))], [key, "counts"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, "text").mapInArrow(run, f"{key} {kind}, counts array<long>")
+
+
 def embed_texts(texts: DataFrame, key: str, dim: int = DIM) -> DataFrame:
     """``key, embedding`` of every row of ``texts(key, text)``; a text without tokens has the zero vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(dim)
         for batch in batches:
-            for part in (batch.slice(i, _ROWS) for i in range(0, batch.num_rows, _ROWS)):
-                vectors = np.concatenate([hasher.vector(tokens(t.as_py() or "")) for t in part.column(1)])
-                at = pa.array(np.arange(0, len(vectors) + 1, dim, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, pa.array(vectors))], [key, "embedding"])
+            for part in bounded(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(indexed(part.column(1)).vectors(dim))], [key, "embedding"])
 
     kind = texts.schema[key].dataType.simpleString()
     return texts.select(key, "text").mapInArrow(run, f"{key} {kind}, embedding array<float>")

@@ -8,7 +8,6 @@ task sees more of a text than a range and one window, but for the row that the t
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,9 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from florilege.functions.kernels import Hasher, tokens
+from florilege.functions.kernels import lists
 from florilege.functions.text import chunk_id, page_number, unicode_trim
-from florilege.operators.chunk import DIM, chunk_documents
+from florilege.operators.chunk import DIM, bounded, chunk_documents, indexed
 from florilege.schema import CHUNKS, ChunkOptions
 from florilege.sources.folders import written
 
@@ -46,23 +45,21 @@ def _starts(raw: bytes, joined: bool) -> list[int]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            raw = batch.column(2)[i].as_py().encode()
-            n = len(_starts(raw, batch.column(3)[i].as_py()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([n], pa.int64()), pa.array([len(raw)], pa.int64())], ["id", "k", "words", "bytes"])
+        raw = [t.encode() for t in batch.column(2).to_pylist()]
+        words = [len(_starts(r, j)) for r, j in zip(raw, batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(words, pa.int64()), pa.array(map(len, raw), pa.int64())], ["id", "k", "words", "bytes"])
 
 
 def _pieces(size: int, step: int):
     """Rows ``id, window, k, start, piece`` of the pieces that windows have in ranges; start is null but in a window's first range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                doc, k, part, joined, words, first, at, total = (batch.column(c)[i].as_py() for c in range(8))
+            for doc, k, part, joined, words, first, at, total in zip(*(c.to_pylist() for c in batch.columns[:8]), strict=True):
                 raw = part.encode()
                 starts = _starts(raw, joined)
                 last = 0 if total <= size else -(-(total - size) // step)
-                rows: list[tuple] = []
                 for w in range(max(0, -(-(first - size) // step)), min(last, (first + words - 1) // step) + 1):
                     a, b = w * step, min(w * step + size, total)
                     if b < first or a >= first + words:
@@ -74,8 +71,8 @@ def _pieces(size: int, step: int):
                     if len(rows) == _ROWS:
                         yield _batch(rows)
                         rows = []
-                if rows:
-                    yield _batch(rows)
+        if rows:
+            yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -86,20 +83,14 @@ def _pieces(size: int, step: int):
 
 def with_index_data(chunks: DataFrame, dim: int) -> DataFrame:
     """Chunks with the vectors, lengths and term counts of their texts."""
-    names = chunks.columns
-    at = names.index("text")
+    at = chunks.columns.index("text")
     schema = T.StructType([*chunks.schema.fields, CHUNKS["embedding"], CHUNKS["dl"], CHUNKS["terms"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(dim)
         for batch in batches:
-            for part in (batch.slice(i, _ROWS) for i in range(0, batch.num_rows, _ROWS)):
-                toks = [tokens(t) for t in part.column(at).to_pylist()]
-                vectors = np.concatenate([hasher.vector(t) for t in toks])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(vectors) + 1, dim, dtype=np.int32)), pa.array(vectors))
-                terms = [[{"term": t.decode(), "tf": n} for t, n in Counter(x).items()] for x in toks]
-                made = [lists, pa.array([len(t) for t in toks], pa.int32()), pa.array(terms, pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())])))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], schema.names)
+            for part in bounded(batch, at):
+                found = indexed(part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists(found.vectors(dim)), pa.array(found.n.astype(np.int32)), found.terms()], schema.names)
 
     return chunks.mapInArrow(run, schema)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from florilege.functions import scores, text
 from florilege.operators import keyword, vector
+from florilege.operators.chunk import bucket_counts as bucket_counts_of
 from florilege.operators.chunk import chunk_documents, embed_texts
 from florilege.operators.chunk_ranges import chunk_by_ranges
 from florilege.operators.fusion import fuse, hybrid_search
@@ -230,16 +231,16 @@ def chunk_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"with {_chunk_sql()}, {_EMB} select chunk_id, b as bucket, n from cv_c")
 def bucket_counts(spark: SparkSession, d: str) -> DataFrame:
-    feats = _chunks(spark, d, "id", "text").select(F.col("id").alias("chunk_id"), F.explode(text.features(text.tokens(F.col("text")))).alias("f"))
-    counts = feats.groupBy("chunk_id", "f").agg(F.count("*").alias("n"))
-    buckets = counts.select("f").distinct().withColumn("bucket", text.fnv1a(F.col("f")) % 256)  # each feature is hashed once
-    return counts.join(buckets, "f").groupBy("chunk_id", "bucket").agg(F.sum("n").alias("n"))
+    counts = bucket_counts_of(_chunks(spark, d, "id", "text"), "id")
+    return counts.select(F.col("id").alias("chunk_id"), F.posexplode("counts").alias("bucket", "n")).where("n > 0").select("chunk_id", F.col("bucket").cast("long").alias("bucket"), "n")
 
 
 @_query(f"with {_chunk_sql()}, {_EMB} select chunk_id, round(sum((1 + ln(n)) * (1 + ln(n))), 6) as squares from cv_c group by chunk_id")
 def feature_weights(spark: SparkSession, d: str) -> DataFrame:
     """The squared length of each chunk's vector before it is scaled."""
-    return bucket_counts(spark, d).groupBy("chunk_id").agg(F.round(F.sum(scores.log_tf(F.col("n")) * scores.log_tf(F.col("n"))), 6).alias("squares"))
+    counts = bucket_counts_of(_chunks(spark, d, "id", "text"), "id").where(F.exists("counts", lambda n: n > 0))
+    squares = F.aggregate("counts", F.lit(0.0), lambda s, n: s + scores.log_tf(n) * scores.log_tf(n))
+    return counts.select(F.col("id").alias("chunk_id"), F.round(squares, 6).alias("squares"))
 
 
 @_query(f"with {_chunk_sql()}, {_EMB} select chunk_id, b as bucket, round(weight::double, 5) as weight from cv_long")
