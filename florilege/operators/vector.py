@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from florilege.operators.best import Best
 from florilege.operators.chunk import DIM, embed_texts
 from florilege.operators.keyword import ranked
 from florilege.sources.folders import written
@@ -81,9 +82,7 @@ class Block:
         self.clear()
 
     def clear(self) -> None:
-        self.kept: list[tuple[np.ndarray, ...]] = []
-        self.waiting = 0
-        self.floor = np.full(len(self.ids), -np.inf)  # rounded score of the worst of k kept
+        self.best = Best(len(self.ids), self.k)
 
     def meet(self, names: pa.Array, embeddings: pa.Array) -> None:
         for low in range(0, len(names) if len(self.ids) else 0, _SLICE):
@@ -95,36 +94,11 @@ class Block:
                     norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
                     with np.errstate(all="ignore"):
                         score[np.ix_(own, rows)] = np.where(norms > 0, q @ x.T / norms, 0.0)
-            key = np.round(score, 9)
-            least = np.maximum(self.floor, np.partition(key, n - self.k, axis=1)[:, n - self.k]) if n > self.k else self.floor
-            q, at = np.nonzero(key >= least[:, None])
-            self.kept.append((q, np.array(names.slice(low, _SLICE).to_pylist(), dtype=object)[at], score[q, at]))
-            self.waiting += len(q)
-            if self.waiting > 4 * self.k * len(self.ids):
-                self._cut()
-
-    def _cut(self) -> None:
-        rows = _cut(tuple(np.concatenate(c) for c in zip(*self.kept, strict=True)), self.k)
-        self.kept, self.waiting = [rows], 0
-        full = np.bincount(rows[0], minlength=len(self.ids)) >= self.k
-        worst = np.full(len(self.ids), np.inf)
-        np.minimum.at(worst, rows[0], np.round(rows[2], 9))
-        self.floor = np.where(full, worst, -np.inf)
+            self.best.meet(names.slice(low, _SLICE), score)
 
     def found(self) -> pa.RecordBatch:
-        if self.kept:
-            self._cut()
-        q, names, score = self.kept[0] if self.kept else (np.zeros(0, np.int64), [], np.zeros(0))
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(names, pa.string()), pa.array(score)], ["query_id", "chunk_id", "score"])
-
-
-def _cut(rows: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
-    """The k best of each question by score to nine digits, then by id."""
-    q, names, score = rows
-    order = np.lexsort((names.astype(str), -np.round(score, 9), q))
-    q = q[order]
-    keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
-    return q[keep], names[order][keep], score[order][keep]
+        q, names, score = self.best.found()
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), names, pa.array(score)], ["query_id", "chunk_id", "score"])
 
 
 def confidence(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
