@@ -23,7 +23,7 @@ from florilege.operators.fusion import Retriever, fuse
 from florilege.operators.keyword import KeywordIndex
 from florilege.operators.vector import cosine_top_k
 from florilege.schema import AnswerOptions, checked_top_k
-from florilege.sources.folders import written
+from florilege.sources.folders import among, written
 
 #: The sentence of a refusal, and bytes of snippets and passages.
 REFUSAL = "I can't find anything in the indexed documents that answers this confidently. Try rephrasing, or check the question is covered by what's in this collection."
@@ -205,7 +205,8 @@ def answer(chunks: DataFrame, questions: DataFrame, options: AnswerOptions = Ans
     keyword = (keyword_index or KeywordIndex(chunks)).search(texts.join(open_.select("query_id"), "query_id", "left_semi"), scores.fetch_size(most))
     rankings = [r.join(open_, "query_id").where(F.col("rank") <= fetch).select("query_id", "chunk_id", "rank") for r in (vectors, keyword)]
     fused = fuse(rankings, most).join(open_, "query_id").where(F.col("rank") <= F.col("k"))
-    late = fused.join(chunks.select(F.col("id").alias("chunk_id"), F.col("document_path").alias("path"), F.col("text").alias("passage")), "chunk_id")
+    # k rows a question: the chunks, with their texts, are not moved to meet them
+    late = among(chunks.select(F.col("id").alias("chunk_id"), F.col("document_path").alias("path"), F.col("text").alias("passage")), fused, "chunk_id")
     row = F.struct("rank", "chunk_id", "path", F.col("passage").alias("text"), "score")
     got = late.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("hits"))  # at most k rows of a question
     full = known.where("answerable").join(got, "query_id", "left").withColumn("hits", F.coalesce("hits", F.expr("cast(array() as array<struct<rank:int,chunk_id:string,path:string,text:string,score:double>>)")))

@@ -21,7 +21,7 @@ from florilege.operators.ingest import IngestResult, digest_diff, equal_buckets,
 from florilege.plans import export
 from florilege.plans.answer import REFUSAL, answer
 from florilege.schema import CHUNKS, DOCUMENTS, AnswerOptions, ChunkOptions
-from florilege.sources.folders import fresh_path
+from florilege.sources.folders import among, fresh_path, written
 from florilege.sources.store import Collection, CollectionStore, collection_id
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,15 +60,9 @@ def _chunks(spark: SparkSession, d: str, *columns: str, options: ChunkOptions =
     return chunk_documents(_corpus(spark, d), options, columns=columns)
 
 
-_held: list[DataFrame] = []
-
-
-def _hold(rows: DataFrame) -> DataFrame:
-    """``rows`` cached, for a query that reads them several times; what earlier queries held is let go, and would be made anew."""
-    while _held:
-        _held.pop().unpersist()
-    _held.append(rows.persist())
-    return rows
+def _kept(chunks: DataFrame) -> DataFrame:
+    """Chunks written once, for a query that reads them several times: a reader takes its columns alone, and no executor holds them."""
+    return written(chunks, "chunks")
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -257,8 +251,8 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"with {_chunk_sql()}, {_POST} select term, df, round(ln(1 + ((select count(*) from tok) - df + 0.5::double) / (df + 0.5::double)), 9) as idf from (select term, count(*) as df from post group by term)")
 def term_idf(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _hold(_chunks(spark, d, "id", "dl", "terms"))
-    both = keyword.document_frequency(chunks).crossJoin(F.broadcast(keyword.corpus_stats(chunks)))
+    # lengths and terms are made in passes of their own, which cost less than writing both
+    both = keyword.document_frequency(_chunks(spark, d, "id", "dl", "terms")).crossJoin(F.broadcast(keyword.corpus_stats(_chunks(spark, d, "dl"))))
     return both.select("term", "df", F.round(scores.idf(F.col("n"), F.col("df")), 9).alias("idf"))
 
 
@@ -269,13 +263,13 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"with {_chunk_sql()}, {_POST}, {_QTOK}, {_BM25} select query_id, chunk_id, round(score, 8) as score from bm")
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    found = keyword.bm25_scores(_hold(_chunks(spark, d, "id", "dl", "terms")), _questions(spark, d))
+    found = keyword.bm25_scores(_kept(_chunks(spark, d, "id", "dl", "terms")), _questions(spark, d))
     return found.select("query_id", "chunk_id", F.round("score", 8).alias("score"))
 
 
 @_query(f"with {_chunk_sql()}, {_POST}, {_QTOK}, {_BM25} select query_id, chunk_id, rank::integer as rank, round(score, 8) as score from {_top('bm', _K)}")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = keyword.KeywordIndex(_hold(_chunks(spark, d, "id", "dl", "terms"))).search(_questions(spark, d), _K)
+    found = keyword.KeywordIndex(_kept(_chunks(spark, d, "id", "dl", "terms"))).search(_questions(spark, d), _K)
     return found.select("query_id", "chunk_id", "rank", F.round("score", 8).alias("score"))
 
 
@@ -321,21 +315,21 @@ def guardrail(spark: SparkSession, d: str) -> DataFrame:
 # --- fusion and answers ----------------------------------------------------------------------------------------------------
 @_query(f"{_HYBRID} select query_id, chunk_id, rank::integer as rank, round(score, 9) as score from {_top('fused', _K)}")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    chunks, asked = _hold(_chunks(spark, d, "id", "embedding", "dl", "terms")), _questions(spark, d)
+    chunks, asked = _kept(_chunks(spark, d, "id", "embedding", "dl", "terms")), _questions(spark, d)
     both = [vector.VectorIndex(chunks).search(asked, _K), keyword.KeywordIndex(chunks).search(asked, _K)]
     return fuse(both, _K).select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
 
 
 @_query(f"{_HYBRID} select query_id, rank::integer as rank, chunk_id, document_path, round(score, 9) as score from ftop join chunk using (chunk_id)")
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _hold(_chunks(spark, d, "id", "document_path", "embedding", "dl", "terms"))
+    chunks = _kept(_chunks(spark, d, "id", "document_path", "embedding", "dl", "terms"))
     found = hybrid_search(chunks, _questions(spark, d), 5)
     late = chunks.select(F.col("id").alias("chunk_id"), "document_path")
-    return found.join(late, "chunk_id").select("query_id", "rank", "chunk_id", "document_path", F.round("score", 9).alias("score"))
+    return among(late, found, "chunk_id").select("query_id", "rank", "chunk_id", "document_path", F.round("score", 9).alias("score"))
 
 
 def _answers(spark: SparkSession, d: str, options: AnswerOptions = AnswerOptions()) -> DataFrame:
-    return answer(_hold(_chunks(spark, d, "id", "document_path", "text", "embedding", "dl", "terms")), _questions(spark, d), options)
+    return answer(_kept(_chunks(spark, d, "id", "document_path", "text", "embedding", "dl", "terms")), _questions(spark, d), options)
 
 
 @_query(f"""{_HYBRID}, conf as (select query_id, round(max(score), 6) as confidence from cs group by query_id)

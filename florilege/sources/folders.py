@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Rows up to which a side of a join is broadcast, after a count.
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +35,9 @@ def written(rows: DataFrame, label: str) -> DataFrame:
     path = fresh_path(rows.sparkSession, label)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def among(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with a table that is written first, and broadcast if its count allows: then ``rows`` stay where they are."""
+    few = written(few, "few")
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, key)
