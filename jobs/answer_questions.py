@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from florilege.plans.answer import answer
 from florilege.schema import AnswerOptions
+from florilege.sources.folders import among
 from jobs import config
 from jobs.index_documents import current_chunks
 
@@ -51,7 +52,7 @@ def answer_questions(spark: SparkSession, index: str, questions: str, target: st
     lines = written.select("query_id", "confidence", F.posexplode("citations").alias("at", "c")).select("query_id", "confidence", (F.col("at") + 1).alias("rank"), "c.chunk_id", "c.document_path", "c.snippet", "c.score")
     langs = chunks.select(F.col("id").alias("chunk_id"), "lang")
     # citations are top_k a question, chunks are all of the corpus: only ids and languages of the latter are moved
-    lines = lines.join(langs, "chunk_id")
+    lines = among(langs, lines, "chunk_id").select(*lines.columns, "lang")
     lines.write.mode("overwrite").partitionBy("lang").parquet(path("citations"))
     rows = spark.read.schema(lines.schema).parquet(path("citations"))
     documents = chunks.groupBy("lang").agg(F.count_distinct("document_id").alias("documents"))

@@ -111,8 +111,18 @@ def index_documents(spark: SparkSession, source: str, target: str, checkpoint: s
 
 def current_chunks(spark: SparkSession, target: str) -> DataFrame:
     """Chunks of each document's last version: rows of the library's chunks, with ``lang``."""
-    last = _log(spark, target).where("there").select(F.col("id").alias("document_id"), "batch")
-    return spark.read.schema(STORED).parquet(f"{target}/chunks").join(last, ["document_id", "batch"], "left_semi").select(*CHUNKS.names, "lang")
+    # a batch counts once it is in the log, and of its documents those that no later batch has; these alone are many, so the
+    # others are taken away, and chunks stay where they are
+    entries = spark.read.schema(LOG).parquet(f"{target}/documents").select("id", "batch", "there")
+    newest = F.max_by(F.struct("batch", "there"), "batch")
+    old = entries.groupBy("id").agg(newest.alias("last"), F.collect_set("batch").alias("batches"))
+    gone = old.select(F.col("id").alias("document_id"), "last", F.explode("batches").alias("batch")).where("batch < last.batch or not last.there").select("document_id", "batch")
+    batches = sorted(r.batch for r in entries.select("batch").distinct().collect())
+    rows = spark.read.schema(STORED).parquet(f"{target}/chunks").where(F.col("batch").isin(batches))
+    n = gone.limit(BROADCAST_IDS + 1).count()
+    if n:
+        rows = rows.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, ["document_id", "batch"], "left_anti")
+    return rows.select(*CHUNKS.names, "lang")
 
 
 def main(argv: Sequence[str] | None = None) -> None:
