@@ -16,17 +16,23 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from florilege.functions import scores
-from florilege.operators.keyword import BROADCAST_TERMS, postings, question_terms, ranked
+from florilege.operators.best import Best
+from florilege.operators.keyword import BEST_QUESTIONS, BROADCAST_TERMS, Asked, postings, question_terms, ranked, scored_rows
 from florilege.sources.folders import written
 
 #: Folders of postings by hash of the term; terms up to which a scan is told them one by one; rare postings a wanted chunk that
 #: the first bound is taken from; candidates with terms up to which they are broadcast; what sums of scores may be off by.
 BUCKETS, LITERAL_TERMS, SEED_POSTINGS, BROADCAST_LOOKUPS, SLACK = 32, 256, 50, 500_000, 1e-6
+#: Postings that are scored at a time for many questions.
+SHARED_POSTINGS = 500_000
 POSTINGS = T.StructType([T.StructField(n, t) for n, t in (("term", T.StringType()), ("document_id", T.StringType()), ("chunk_id", T.StringType()), ("tf", T.IntegerType()), ("dl", T.IntegerType()))])
 TERMS = T.StructType([T.StructField(n, t) for n, t in (("term", T.StringType()), ("df", T.LongType()), ("max_tf", T.IntegerType()), ("min_dl", T.IntegerType()))])
 
@@ -36,10 +42,10 @@ def bucket_of(term: Column) -> Column:
 
 
 def clustered_postings(chunks: DataFrame) -> DataFrame:
-    """Rows of ``POSTINGS`` and their bucket, ranged by bucket, term and chunk: a common term is dealt over as many tasks as it fills."""
+    """Rows of ``POSTINGS`` and their bucket, by bucket and term within each task: chunks stay where they are, and a common
+    term is dealt over as many files as there are tasks."""
     rows = chunks.select("document_id", F.col("id").alias("chunk_id"), "dl", F.explode("terms").alias("t")).select("t.term", "document_id", "chunk_id", "t.tf", "dl")
-    order = ("bucket", "term", "chunk_id")
-    return rows.withColumn("bucket", bucket_of(F.col("term"))).repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.withColumn("bucket", bucket_of(F.col("term"))).sortWithinPartitions("bucket", "term")
 
 
 def term_statistics(chunks: DataFrame) -> DataFrame:
@@ -163,6 +169,10 @@ class StoredIndex:
                 else:
                     leading.append(r)
             rest.append((q, below, least))
+        distinct = {r.term: r.df for r in rows}
+        # many questions with terms in common: a posting is moved once for all of them, if that is less than for each of them
+        if sum(r.df for r in leading) > sum(distinct.values()) and len(by_query) <= BEST_QUESTIONS:
+            return self._shared(Asked(rows), asked, k, avg_dl, {r.term: r.idf for r in rows}, sum(distinct.values()))
         first = summed("leading", leading)
         if not following:
             return ranked(first.withColumnRenamed("part", "score"), k).select("query_id", "chunk_id", "score", "rank")
@@ -174,3 +184,27 @@ class StoredIndex:
         more = self.scored("following", hits).select("query_id", "chunk_id", scores.bm25(F.col("idf"), F.col("tf"), F.col("dl"), F.lit(avg_dl)).alias("part"))
         whole = open_.unionByName(more).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
         return ranked(whole, k).select("query_id", "chunk_id", "score", "rank")
+
+    def _shared(self, asked: Asked, questions: DataFrame, k: int, avg_dl: float, idf: dict[str, float], size: int) -> DataFrame:
+        """The k best chunks of all questions: postings are dealt out by chunk, and a part of the chunks is scored at a time."""
+        asked.avg_dl, asked.idf = avg_dl, np.array([idf[t] for t in asked.terms])
+        hits = self.scored("shared", self.postings(questions.sparkSession.createDataFrame([(t,) for t in asked.terms], "term string")))
+        parts = max(1, -(-size // SHARED_POSTINGS))
+        dealt = hits.groupBy(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).alias("part"))
+        schema, made = scored_rows(asked, questions)
+
+        def best(table: pa.Table) -> pa.Table:
+            chunk = table["chunk_id"].combine_chunks().dictionary_encode()
+            order = np.argsort(np.asarray(chunk.indices), kind="stable")
+            own = np.asarray(chunk.indices)[order]
+            at = np.asarray(pc.index_in(table["term"].combine_chunks(), value_set=pa.array(asked.terms)))[order]
+            tf, dl = (np.asarray(table[c].combine_chunks())[order] for c in ("tf", "dl"))
+            kept = Best(len(asked.ids), k)
+            step = asked.step()
+            for low in range(0, len(chunk.dictionary), step):
+                a, b = np.searchsorted(own, [low, low + step])
+                names = chunk.dictionary.slice(low, step)
+                kept.meet(names, asked.sums(own[a:b] - low, at[a:b], tf[a:b], dl[a:b], len(names)))
+            return pa.Table.from_batches([made(*kept.found())])
+
+        return ranked(dealt.applyInArrow(best, schema), k)

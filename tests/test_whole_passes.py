@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from florilege import queries
-from florilege.operators import keyword
+from florilege.operators import inverted, keyword
 from florilege.operators.chunk import chunk_documents
-from florilege.schema import ChunkOptions
+from florilege.operators.chunk_ranges import chunk_by_ranges
+from florilege.schema import CHUNKS, ChunkOptions
 from florilege.sources.folders import among
+from florilege.sources.store import Collection, CollectionStore
 from jobs.index_documents import current_chunks, index_documents
 
 
@@ -57,3 +59,27 @@ def test_chunks_in_force_are_read_without_a_shuffle(spark, tables, tmp_path):
     index_documents(spark, f"{tables}/documents.parquet", f"{tmp_path}/index", f"{tmp_path}/checkpoint")
     found = current_chunks(spark, f"{tmp_path}/index")
     assert found.select("document_path").distinct().count() == 117 and "Exchange" not in plan(found)
+
+
+def test_many_questions_move_a_posting_once(spark, tables, tmp_path, monkeypatch):
+    """Questions with terms in common, from the stored index: what is scored are the terms' postings, not those of each question."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select(F.col("doc_id").cast("string").alias("id"), F.lit("p").alias("path"), "text")
+    asked = spark.read.parquet(f"{tables}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    new = Collection.new(spark, "c")
+    documents = docs.select("id", "path", F.lit("h").alias("hash"), F.lit("m").alias("mime_type"), F.lit(None).cast("timestamp").alias("indexed_at"))
+    index = CollectionStore(spark, str(tmp_path)).save(Collection(new.id, "c", "r", documents, chunk_documents(docs, ChunkOptions(8, 2)).select(*CHUNKS.names))).index
+    seen = []
+    index.scored = lambda what, rows: seen.append(what) or rows
+    rows = lambda f: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in f.collect())
+    want = rows(keyword.KeywordIndex(index.chunks).search(asked, 7))
+    monkeypatch.setattr(inverted, "SHARED_POSTINGS", 100)
+    assert rows(index.search(asked, 7)) == want and seen == ["seed", "shared"]
+    assert "Exchange" not in plan(inverted.clustered_postings(index.chunks))
+
+
+def test_ranges_are_counted_many_at_a_time(spark):
+    """Pieces come in batches of many ranges, and a document whose windows all have text needs no numbering by a window."""
+    docs = spark.createDataFrame([(f"d{k}", f"{k}.txt", "one two three four five six " * 9) for k in range(30)], "id string, path string, text string").coalesce(1)
+    found = chunk_by_ranges(docs, ChunkOptions(7, 2), columns=("id", "text", "dl"), chars=20)
+    assert "RowNumber" not in plan(found) and "row_number" not in plan(found) and "Join" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, chunk_documents(docs, ChunkOptions(7, 2), columns=("id", "text", "dl")).collect()))
