@@ -6,7 +6,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 _WORD = re.compile(rb"[^ \n\t\r]+")
 _TOKEN = re.compile(rb"[a-z0-9_]+")
@@ -92,6 +91,13 @@ def _within(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n - low, n)
 
 
+def stretches(strings: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of strings where they are, and where each begins and how long it is; no string becomes a Python object."""
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64) if len(strings) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at[:-1], np.diff(at)
+
+
 class Indexed:
     """Tokens of stretches of bytes, told apart exactly: their numbers, and from these term counts and hashed features.
 
@@ -134,9 +140,7 @@ class Indexed:
 
     def counts(self, dim: int) -> np.ndarray:
         """Tokens and neighbouring pairs, joined by an underscore, of each stretch by bucket."""
-        length = np.asarray(pc.binary_length(self.words)).astype(np.int64)
-        data = np.frombuffer(b"".join(self.words.to_pylist()), np.uint8)
-        start = np.cumsum(length) - length
+        data, start, length = stretches(self.words)
         h = hashed(data, start, length)
         a, b = self.number[:-1], self.number[1:]
         pair = hashed(data, start[b], length[b], (h[a] ^ np.uint32(95)) * np.uint32(16777619)) % np.uint32(dim)

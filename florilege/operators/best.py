@@ -20,7 +20,10 @@ class Best:
         n, key = len(names), np.round(score, 9)
         least = np.maximum(self.floor, np.partition(key, n - self.k, axis=1)[:, n - self.k]) if n > self.k else self.floor
         q, at = np.nonzero((key >= least[:, None]) & (key > -np.inf))
-        self.kept.append((q, np.array(names.to_pylist(), dtype=object)[at], score[q, at]))
+        if not len(q):
+            return
+        some, own = np.unique(at, return_inverse=True)  # few chunks of a slice are among the best, and only their names are made
+        self.kept.append((q, np.array(names.take(pa.array(some)).to_pylist(), dtype=object)[own], score[q, at]))
         self.waiting += len(q)
         if self.waiting > 4 * self.k * self.n:
             self._cut()

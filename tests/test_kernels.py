@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from florilege import queries
@@ -45,3 +46,26 @@ def test_features_are_counted_where_chunks_are(spark, tmp_path, name):
     assert "hashpartitioning" not in found._jdf.queryExecution().toString()
     rows = found.collect()
     assert sum(r.n for r in rows) == 7 if name == "bucket_counts" else len(rows) == 1
+
+
+def test_words_are_hashed_where_they_are():
+    """Many different words: none of them becomes a Python object before it is hashed."""
+
+    class Buffers:
+        """An Arrow array that only shows its buffers."""
+
+        def __init__(self, strings):
+            self.buffers, self.offset, self.n = strings.buffers, strings.offset, len(strings)
+
+        def __len__(self):
+            return self.n
+
+    raw, begin, end = kernels.joined([t.encode() for t in TEXTS])
+    found = kernels.Indexed(raw, begin, end)
+    want = found.counts(64)
+    found.words = Buffers(found.words)
+    assert (found.counts(64) == want).all()
+    words = pa.array([b"ab", b"", b"cde", b"f"], pa.binary())
+    for part in (words, words.slice(1, 2), words.slice(4)):
+        data, start, length = kernels.stretches(part)
+        assert [data[a : a + n].tobytes() for a, n in zip(start, length, strict=True)] == part.to_pylist()
