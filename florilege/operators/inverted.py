@@ -12,7 +12,7 @@ count only for chunks that another term has found and that can still get there.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,8 +31,8 @@ from florilege.sources.folders import written
 #: Folders of postings by hash of the term; terms up to which a scan is told them one by one; rare postings a wanted chunk that
 #: the first bound is taken from; candidates with terms up to which they are broadcast; what sums of scores may be off by.
 BUCKETS, LITERAL_TERMS, SEED_POSTINGS, BROADCAST_LOOKUPS, SLACK = 32, 256, 50, 500_000, 1e-6
-#: Postings that are scored at a time for many questions.
-SHARED_POSTINGS = 500_000
+#: Postings that are scored at a time for many questions; postings that a task sorts at a time, and gives on at a time.
+SHARED_POSTINGS, SORTED_POSTINGS, _GIVEN = 500_000, 2_000_000, 1 << 16
 POSTINGS = T.StructType([T.StructField(n, t) for n, t in (("term", T.StringType()), ("document_id", T.StringType()), ("chunk_id", T.StringType()), ("tf", T.IntegerType()), ("dl", T.IntegerType()))])
 TERMS = T.StructType([T.StructField(n, t) for n, t in (("term", T.StringType()), ("df", T.LongType()), ("max_tf", T.IntegerType()), ("min_dl", T.IntegerType()))])
 
@@ -43,9 +43,39 @@ def bucket_of(term: Column) -> Column:
 
 def clustered_postings(chunks: DataFrame) -> DataFrame:
     """Rows of ``POSTINGS`` and their bucket, by bucket and term within each task: chunks stay where they are, and a common
-    term is dealt over as many files as there are tasks."""
-    rows = chunks.select("document_id", F.col("id").alias("chunk_id"), "dl", F.explode("terms").alias("t")).select("t.term", "document_id", "chunk_id", "t.tf", "dl")
-    return rows.withColumn("bucket", bucket_of(F.col("term"))).sortWithinPartitions("bucket", "term")
+    term is dealt over as many files as there are tasks.
+
+    Terms are sorted by number, each spelled once, some million postings at a time; Spark then sorts by bucket alone, which is a
+    stable sort of numbers. A task of more postings has several such runs in each bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch.column(3).flatten())
+            if size >= SORTED_POSTINGS:
+                yield from _by_term(held)
+                held, size = [], 0
+        if size:
+            yield from _by_term(held)
+
+    rows = chunks.select("document_id", F.col("id").alias("chunk_id"), "dl", "terms").mapInArrow(run, POSTINGS)
+    return rows.withColumn("bucket", bucket_of(F.col("term"))).sortWithinPartitions("bucket")
+
+
+def _by_term(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings by term of chunks ``document_id, chunk_id, dl, terms``, in the chunks' order within a term."""
+    document, chunk, dl, terms = (pa.chunked_array(c).combine_chunks() for c in zip(*(b.columns for b in batches), strict=True))
+    flat = terms.flatten()
+    row = np.repeat(np.arange(len(terms)), np.asarray(terms.value_lengths().fill_null(0)))
+    term = flat.field("term").dictionary_encode()
+    rank = np.empty(len(term.dictionary), np.int32)
+    rank[np.asarray(pc.array_sort_indices(term.dictionary))] = np.arange(len(rank))
+    order = np.argsort(rank[np.asarray(term.indices)], kind="stable")
+    for low in range(0, len(order), _GIVEN):
+        at, own = (pa.array(x) for x in (order[low : low + _GIVEN], row[order[low : low + _GIVEN]]))
+        yield pa.RecordBatch.from_arrays([term.dictionary.take(term.indices.take(at)), document.take(own), chunk.take(own), flat.field("tf").take(at), dl.take(own)], POSTINGS.names)
 
 
 def term_statistics(chunks: DataFrame) -> DataFrame:
@@ -56,7 +86,9 @@ def term_statistics(chunks: DataFrame) -> DataFrame:
 
 @dataclass
 class StoredIndex:
-    """Postings and statistics in segments, and ``gone(id, by_segment)``: documents that a later segment has taken from earlier ones.
+    """Postings and statistics in segments, and ``gone(gone_id, by_segment)``: documents that a later segment has taken from earlier ones.
+
+    ``segment`` and ``by_segment`` are numbers in the order of segments.
 
     ``chunks`` are asked only for the lengths of what is gone. ``n`` and ``total_dl`` count all segments' chunks, those gone too.
     """

@@ -28,9 +28,10 @@ from florilege.operators.inverted import POSTINGS, TERMS, StoredIndex, clustered
 from florilege.schema import CHUNKS, DOCUMENTS, shaped
 
 
-#: Segments of a collection, and ids touched by all but the first, beyond which they are written anew as one; so the ids can be
-#: broadcast. Seconds for which folders stay that a compaction stands for.
-MOST_SEGMENTS, MOST_GONE, KEEP_SECONDS = 16, 200_000, 3600
+#: Segments of a collection beyond which they are written anew as one. Ids touched by all but the first (about 120 bytes each) up to
+#: which they are broadcast; beyond, segments are written anew once those ids are more than the first segment's documents, so what
+#: is written anew stays in proportion to what has been added. Seconds for which folders stay that a compaction stands for.
+MOST_SEGMENTS, MOST_GONE, KEEP_SECONDS = 16, 2_000_000, 3600
 _KINDS = {name: T.StructType(fields) for name, fields in {
     "documents": DOCUMENTS.fields, "chunks": CHUNKS.fields, "touched": [T.StructField("id", T.StringType())], "postings": POSTINGS.fields, "terms": TERMS.fields,
     "about": [T.StructField(n, t) for n, t in (("name", T.StringType()), ("root_path", T.StringType()), ("stands_for", T.ArrayType(T.StringType())), ("n_touched", T.LongType()), ("n_chunks", T.LongType()), ("total_dl", T.LongType()))],
@@ -143,17 +144,22 @@ class CollectionStore:
             for name in names:
                 if not fs.exists(self._fs(f"{self.base}/{cid}/{table}/segment={name}")[1]):
                     raise CorruptCollection(f"corrupt collection store {cid}: no {table} in {name}")
+        number = F.array_position(F.lit(names), F.col("segment")).cast("int")  # rows say it in four bytes instead of a name
+
+        def read(table: str, segments: list[str]) -> DataFrame:
+            return self._read(cid, table, segments).withColumn("segment", number)
+
         gone = None
         if len(names) > 1:
-            touched = self._read(cid, "touched", names[1:]).groupBy(F.col("id").alias("gone_id")).agg(F.max("segment").alias("by_segment"))
+            touched = read("touched", names[1:]).groupBy(F.col("id").alias("gone_id")).agg(F.max("segment").alias("by_segment"))
             gone = F.broadcast(touched) if sum(r.n_touched for r in live[1:]) <= MOST_GONE else touched
         tables = {}
         for table, key in (("documents", "id"), ("chunks", "document_id")):
-            rows = self._read(cid, table, names)
+            rows = read(table, names)
             if gone is not None:
                 rows = rows.join(gone, (F.col(key) == F.col("gone_id")) & (F.col("segment") < F.col("by_segment")), "left_anti")
             tables[table] = rows.select(*_KINDS[table].names)
-        index = StoredIndex(self._read(cid, "postings", names), self._read(cid, "terms", names), self._read(cid, "chunks", names), sum(r.n_chunks for r in live), sum(r.total_dl for r in live), gone)
+        index = StoredIndex(read("postings", names), read("terms", names), read("chunks", names), sum(r.n_chunks for r in live), sum(r.total_dl for r in live), gone)
         return Collection(cid, live[0].name, live[0].root_path, tables["documents"], tables["chunks"], index, version)
 
     def _write(self, cid: str, name: str, meta: tuple[str, str], documents: DataFrame, chunks: DataFrame, removed: DataFrame | None, stands_for: list[str] | None) -> None:
@@ -186,7 +192,7 @@ class CollectionStore:
         return self._whole(collection, self._committed(collection.id))
 
     def append(self, cid: str, delta: Delta, name: str | None = None) -> Collection:
-        """Add a segment to a collection that exists, and compact it if that makes too many, or too many ids touched.
+        """Add a segment to a collection that exists, and compact it if that makes too many, or more ids touched than the first has.
 
         What other writers have added meanwhile stays. A ``name`` of the caller's (``s`` and ten digits first) makes a repeated
         call write the same segment again.
@@ -194,7 +200,7 @@ class CollectionStore:
         first = self._in_force(cid)[0][0]
         self._write(cid, name or f"s{self._next(cid):010d}-{uuid.uuid4().hex}", (first.name, first.root_path), delta.documents, delta.chunks, delta.gone, None)
         live, _ = self._in_force(cid)
-        if len(live) > MOST_SEGMENTS or sum(r.n_touched for r in live[1:]) > MOST_GONE:
+        if len(live) > MOST_SEGMENTS or sum(r.n_touched for r in live[1:]) > max(MOST_GONE, live[0].n_touched):
             return self.compact(cid)
         return self.load(cid)
 

@@ -240,3 +240,36 @@ def test_orders_of_segments(spark, base):
         assert texts_of(store.load(cid)) == {"x": "text 2"}
         store.append(cid, delta(spark, {"x": "text 2 again"}), name="s0000000003-fixed")
         assert texts_of(store.load(cid)) == {"x": "text 2 again"} and len(store._in_force(cid)[0]) == 3
+
+
+def test_a_segment_that_touches_many_documents_does_not_rewrite_all(spark, base, monkeypatch):
+    """Whole collections are written anew in proportion to what has been added, whatever the number of ids touched."""
+    monkeypatch.setattr("florilege.sources.store.MOST_GONE", 2)
+    store, state = CollectionStore(spark, base), {f"d{k}": f"common text {k}" for k in range(6)}
+    cid = begin(spark, store, state).id
+    found = store.append(cid, delta(spark, {"d0": "other words", "new": "common new"}, ["d1", "d2"]))
+    state = {k: v for k, v in state.items() if k not in ("d1", "d2")} | {"d0": "other words", "new": "common new"}
+    assert [r.stands_for is None for r in store._in_force(cid)[0]] == [False, True]  # beside the first, not instead of it
+    assert texts_of(found) == state
+    terms = spark.createDataFrame([("common",), ("other",)], "term string")
+    assert {r.term: r.df for r in found.index.document_frequency(terms).collect()} == {"common": 4, "other": 1}
+    assert found.index.postings(terms).count() == 5 and found.index.corpus_stats()[0] == 5
+    found = store.append(cid, delta(spark, {f"d{k}": "third text" for k in range(3, 6)}))
+    state |= {f"d{k}": "third text" for k in range(3, 6)}
+    assert len(store._in_force(cid)[0]) == 1 and texts_of(found) == state  # seven ids are more than the first had
+
+
+@pytest.mark.parametrize("run", [2_000_000, 7])
+def test_postings_are_sorted_by_term_before_spark_sorts_by_bucket(spark, monkeypatch, run):
+    monkeypatch.setattr(inverted, "SORTED_POSTINGS", run)
+    monkeypatch.setattr(inverted, "_GIVEN", 5)
+    rng = random.Random(8)
+    texts = {f"d{k}": " ".join(rng.choices(WORDS, k=rng.randrange(30))) for k in range(40)}
+    chunks = delta(spark, texts).chunks.select(*CHUNKS.names).coalesce(1)
+    chunks = chunks.unionByName(chunks.where("id = ''").select(*CHUNKS.names))  # a task without chunks
+    found = inverted.clustered_postings(chunks).collect()
+    flat = chunks.select(F.explode("terms").alias("t"), "document_id", "id", "dl").select("t.term", "document_id", "id", "t.tf", "dl", inverted.bucket_of(F.col("t.term")))
+    assert sorted(map(tuple, found)) == sorted(map(tuple, flat.collect()))
+    assert [r.bucket for r in found] == sorted(r.bucket for r in found)
+    if run > 1000:
+        assert [(r.bucket, r.term) for r in found] == sorted((r.bucket, r.term) for r in found)
