@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,7 @@ from florilege.operators.chunk import DIM
 from florilege.operators.chunk_ranges import chunk_all
 from florilege.schema import CHUNKS, DOCUMENTS, ChunkOptions, shaped
 from florilege.sources.files import BINARY_PARSERS, Files, Folder, parse_binary, parse_text, parser_of
-from florilege.sources.folders import written
+from florilege.sources.folders import BROADCAST_IDS, written
 from florilege.sources.pdf import OcrEngine
 from florilege.sources.store import Collection, Delta
 
@@ -95,7 +95,7 @@ def _hashes(source: Folder | Files, claimed: DataFrame, stored: DataFrame) -> Da
     return shaped(same, _HASHED).unionByName(shaped(source.hashes(marked.where("known_hash is null").drop("known_hash")), _HASHED))
 
 
-def ingest(collection: Collection, files: DataFrame | Folder | Files, options: ChunkOptions = ChunkOptions(), dim: int = DIM, ocr: OcrEngine | None = None, prune_root: str | None = None, stage: Callable[[DataFrame, str], DataFrame] = written) -> IngestResult:
+def ingest(collection: Collection, files: DataFrame | Folder | Files, options: ChunkOptions = ChunkOptions(), dim: int = DIM, ocr: OcrEngine | None = None, prune_root: str | None = None, stage: Callable[[DataFrame, str], DataFrame] = written, columns: Sequence[str] = tuple(CHUNKS.names)) -> IngestResult:
     """Bring a collection up to date with files: a table ``path, content, error``, or a folder or store of them.
 
     Files that no parser claims are skipped; unchanged ones are not parsed. A document that fails to parse keeps its old
@@ -105,8 +105,10 @@ def ingest(collection: Collection, files: DataFrame | Folder | Files, options: C
 
     Hashes are compared first: by digests of buckets of ids, and then, in those buckets that differ, one by one; a file that its folder lists with the time and
     length of the stored document is not opened. Then added and updated files alone are read
-    again and parsed, once; their hashes are those of what was parsed. ``stage`` keeps the two tables, of hashes and of parsed
-    files, so that all that follows sees the same rows; by default they are written to the shared folder.
+    again and parsed, once; their hashes are those of what was parsed. ``stage`` keeps the tables of hashes, of what is to be read,
+    of parsed files and of what is gone, so that all that follows sees the same rows; by default they are written to the shared
+    folder. Chunks of documents that stay are not moved to meet what is gone, unless that is more than ``BROADCAST_IDS``.
+    ``columns`` of chunks are made and kept: all of them for a collection that is to be saved.
     """
     source = Files(files) if isinstance(files, DataFrame) else files
     claimed = source.paths(stage).withColumn("parser", parser_of(F.col("path"), ocr is not None))
@@ -118,6 +120,7 @@ def ingest(collection: Collection, files: DataFrame | Folder | Files, options: C
     diff = digest_diff(there, collection.documents, equal, prune_root)
     listed = hashed.select("id", "modified", "length")
     todo = diff.where(F.col("status").isin("added", "updated")).select("id", "path", F.col("status").alias("fresh_status"), parser_of(F.col("path"), ocr is not None).alias("parser")).join(listed, "id")
+    todo = stage(todo, "todo")
     binary = F.col("parser").isin(BINARY_PARSERS)
     fresh = lambda some: source.read(todo.where(some)).withColumn("hash", F.sha2("content", 256))
     parsed = parse_text(fresh(~binary)).unionByName(parse_binary(fresh(binary), ocr))
@@ -126,11 +129,13 @@ def ingest(collection: Collection, files: DataFrame | Folder | Files, options: C
     good = parsed.where("error is null")
     documents = good.select("id", "path", "hash", mime_type(F.col("path")).alias("mime_type"), F.current_timestamp().alias("indexed_at"), "modified", "length")
     gone = diff.where("status = 'removed'").select("id").unionByName(good.where("fresh_status = 'updated'").select("id"))
-    kept_documents = collection.documents.join(gone, "id", "left_anti")
-    kept_chunks = collection.chunks.join(gone.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
-    chunks = chunk_all(good.select("id", "path", "text", "boundaries"), options, dim)
+    gone = stage(gone, "gone")
+    lost = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept_documents = collection.documents.join(lost, "id", "left_anti")
+    kept_chunks = collection.chunks.join(lost.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
+    chunks = chunk_all(good.select("id", "path", "text", "boundaries"), options, dim, columns)
     done = good.select("path", F.col("fresh_status").alias("status"), F.lit(None).cast("string").alias("error"))
     same = diff.where(F.col("status").isin("unchanged", "removed")).select("path", "status", F.lit(None).cast("string").alias("error"))
     report = done.unionByName(same).unionByName(skipped).unionByName(unread).unionByName(failed).orderBy("path", "status")
-    new = Collection(collection.id, collection.name, collection.root_path, shaped(kept_documents, DOCUMENTS).unionByName(documents), kept_chunks.select(*CHUNKS.names).unionByName(chunks))
+    new = Collection(collection.id, collection.name, collection.root_path, shaped(kept_documents, DOCUMENTS).unionByName(documents), kept_chunks.select(*columns).unionByName(chunks))
     return IngestResult(new, report, Delta(documents, chunks, gone))

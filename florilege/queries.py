@@ -455,13 +455,13 @@ def collection_listing(spark: SparkSession, d: str) -> DataFrame:
     return c.select(export.listing_line(F.col("source"), F.col("doc_count"), F.col("chunk_count"), F.lit("documents")).alias("line"))
 
 
-def _stored(spark: SparkSession, d: str) -> Collection:
+def _stored(spark: SparkSession, d: str, *columns: str) -> Collection:
     """A collection of documents in other states than on disk: some are missing, some have other texts, some are left over."""
     docs = _corpus(spark, d).where("doc_id % 3 != 0")
     old = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.lit("an older text")).otherwise(F.col("text")))
     state = Collection(collection_id("corpus"), "corpus", "documents", *(spark.createDataFrame([], s) for s in (DOCUMENTS, CHUNKS)))
     state.documents = old.select("id", "path", F.sha2("text", 256).alias("hash"), text.mime_type(F.col("path")).alias("mime_type"), F.lit(None).cast("timestamp").alias("indexed_at"))
-    state.chunks = chunk_documents(old)
+    state.chunks = chunk_documents(old, columns=columns or tuple(CHUNKS.names))
     return state
 
 
@@ -472,8 +472,9 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return _corpus(spark, d).where("doc_id % 7 != 0").select(path.alias("path"), F.when(~unread, F.col("text").cast("binary")).alias("content"), F.when(unread, F.lit("no permission")).alias("error"))
 
 
-def _ingested(spark: SparkSession, d: str) -> IngestResult:
-    return ingest(_stored(spark, d), _files(spark, d))
+def _ingested(spark: SparkSession, d: str, *columns: str) -> IngestResult:
+    """An ingestion, whose chunks have the columns that the query looks at."""
+    return ingest(_stored(spark, d, *columns), _files(spark, d), columns=columns or tuple(CHUNKS.names))
 
 
 _INGEST = """disk as (select id, path, text, sha256(text) as hash from doc where doc_id % 7 != 0 and doc_id % 11 != 1 and doc_id % 13 != 2),
@@ -492,7 +493,7 @@ def ingest_run(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"""with {_chunk_sql()}, {_INGEST} select chunk_id, document_path, start_offset::bigint as start_offset, text from chunk where document_id in (select id from state where status in ('added', 'updated', 'unchanged'))""")
 def ingest_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The chunks of a collection after an ingestion: kept ones and new ones."""
-    found = _ingested(spark, d).collection.chunks
+    found = _ingested(spark, d, "id", "document_id", "document_path", "start_offset", "text").collection.chunks
     return found.select(F.col("id").alias("chunk_id"), "document_path", "start_offset", "text")
 
 

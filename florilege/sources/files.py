@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from florilege.functions.text import blank_markdown, extension
-from florilege.sources.folders import written
+from florilege.sources.folders import BROADCAST_IDS, BROADCAST_ROWS, written
 from florilege.sources.pdf import OcrEngine, image_text, pdf_text
 
 #: Extensions that each parser claims, with regard to case but for images.
@@ -174,7 +174,13 @@ class Files:
         return paths.join(self.rows.select("path", F.sha2("content", 256).alias("hash"), "error"), "path")
 
     def read(self, paths: DataFrame) -> DataFrame:
-        return paths.join(self.rows.select("path", "content", "error"), "path")
+        """The files of ``paths``, which is counted: contents that are not asked for stay where they are, and none is sorted."""
+        n, found = paths.count(), self.rows.select("path", "content", "error")
+        if n <= BROADCAST_ROWS:
+            return F.broadcast(paths).join(found, "path")
+        if n <= BROADCAST_IDS:
+            found = found.join(F.broadcast(paths.select("path")), "path", "left_semi")
+        return paths.hint("shuffle_hash").join(found, "path")
 
 
 def _store_listing(spark: SparkSession, root: str) -> dict[str, tuple]:

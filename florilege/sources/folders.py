@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows up to which a side of a join is broadcast, after a count.
-BROADCAST_ROWS = 100_000
+#: Rows up to which a side of a join is broadcast, after a count; ids alone, of some 100 bytes each.
+BROADCAST_ROWS, BROADCAST_IDS = 100_000, 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

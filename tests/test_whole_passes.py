@@ -89,3 +89,18 @@ def test_chunks_without_a_term_of_any_question(spark):
     docs = spark.createDataFrame([(f"d{k}", "p", t) for k, t in enumerate(["red green", "blue", ""])], "id string, path string, text string").repartition(3)
     asked = spark.createDataFrame([(1, "blue"), (2, "none")], "query_id long, text string")
     assert [(r.query_id, r["rank"]) for r in keyword.KeywordIndex(chunk_documents(docs)).search(asked, 3).collect()] == [(1, 1)]
+
+
+def test_an_ingestion_leaves_contents_and_kept_chunks_where_they_are(spark, tables, monkeypatch):
+    """Neither the contents of unchanged files nor the chunks of documents that stay are shuffled; the rows are the same if they are."""
+    chunks = lambda: queries.QUERIES["ingest_chunks"](spark, tables)
+    found = chunks()
+    assert "SortMergeJoin" not in plan(found) and "Exchange hashpartitioning" not in plan(found)
+    assert "embedding" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(map(tuple, found.collect()))
+    assert len(want) == spark.read.parquet(f"{tables}/documents.parquet").where("doc_id % 7 != 0 and doc_id % 11 != 1 and doc_id % 13 != 2 and length(text) > 0").count()
+    for few, ids in ((0, 2_000_000), (0, 0)):
+        monkeypatch.setattr("florilege.sources.files.BROADCAST_ROWS", few)
+        monkeypatch.setattr("florilege.sources.files.BROADCAST_IDS", ids)
+        monkeypatch.setattr("florilege.operators.ingest.BROADCAST_IDS", ids)
+        assert sorted(map(tuple, chunks().collect())) == want
